@@ -25,10 +25,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm._packed import cut, pack_counts, unpack_counts, unpack_keys
+from vacantia.llm._packed import cut, pack_counts, ranges, unpack_counts, unpack_keys
 from vacantia.llm._text import SPACED, U64, mix, slices, words
 from vacantia.operators.storage import checkpoint
 
@@ -42,9 +43,19 @@ EM_ROUNDS = 40
 HELD_OUT, DELETED, FOLDS = 2, 3, 7
 
 _END = mix(np.array([0x0E4D], dtype=np.uint64))[0]
-_SENT = "part int, block int, keys binary, fit binary, dev binary"
-_ANSWER = "block int, part int, total binary, dev binary, types bigint"
-_RESOLVED = "id bigint, held_out boolean, n_tokens bigint, c1 array<bigint>, c2 array<bigint>, cells array<bigint>, weights array<bigint>, tokens bigint, types bigint, dev_tokens bigint"
+#: Tokens of the documents that one resolved row holds (a longer document alone).
+ROW_TOKENS = 1 << 17
+
+_SENT = "kind int, part int, block int, keys binary, fit binary, dev binary"
+_ANSWER = "block int, kind int, part int, total binary, dev binary, types bigint"
+_RESOLVED = "ids array<bigint>, held_out array<boolean>, n_tokens array<bigint>, c1 binary, c2 binary, cells array<bigint>, weights array<bigint>, tokens bigint, types bigint, dev_tokens bigint"
+
+
+_RESOLVED_ARROW = pa.schema(
+    [("ids", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_tokens", pa.list_(pa.int64())), ("c1", pa.binary()), ("c2", pa.binary())]
+    + [("cells", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64()))]
+    + [(n, pa.int64()) for n in ("tokens", "types", "dev_tokens")]
+)
 
 
 def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,30 +73,29 @@ def _tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(counts)
 
 
-def _keys(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each token as a word (even) and with its predecessor (odd); the end stands before each document."""
+def _keys(hashes: np.ndarray, counts: np.ndarray, kind: int) -> np.ndarray:
+    """Key of each token as a word (kind 0) or with its predecessor (kind 1); the end stands before each document."""
+    if kind == 0:
+        return mix(hashes ^ U64(0x51ED270B))
     before = np.concatenate([hashes[:1], hashes[:-1]])
     before[np.cumsum(counts) - counts] = _END
-    one = U64(1)
-    return mix(hashes ^ U64(0x51ED270B)) & ~one, mix(before * U64(0x9E3779B97F4A7C15) + hashes) | one
-
-
-def _folds(table: pa.Table, counts: np.ndarray) -> np.ndarray:
-    return np.repeat(table["fold"].to_numpy(), counts)
+    return mix(before * U64(0x9E3779B97F4A7C15) + hashes)
 
 
 def _sender(parts: int):
     def send(table: pa.Table) -> pa.Table:
         hashes, counts = _tokens(table["text"].combine_chunks())
-        one, two = _keys(hashes, counts)
-        keys, at = np.unique(np.concatenate([one, two]), return_inverse=True)
-        fold = np.tile(_folds(table, counts), 2)
-        dev = np.bincount(at[fold == DELETED], minlength=len(keys))
-        fit = np.bincount(at[(fold != DELETED) & (fold != HELD_OUT)], minlength=len(keys))
-        rows = [(part, blob, *more) for part, blob, more in cut(keys, [fit, dev], parts)]
-        part, blob, f, d = zip(*rows, strict=True) if rows else ((), (), (), ())
-        block = table["block"][0].as_py() if len(table) else 0
-        return pa.table({"part": pa.array(part, pa.int32()), "block": pa.array([block] * len(part), pa.int32()), "keys": pa.array(blob, pa.binary()), "fit": pa.array(f, pa.binary()), "dev": pa.array(d, pa.binary())})
+        fold = np.repeat(table["fold"].to_numpy().astype(np.int8), counts)
+        block = table["block"][0].as_py()
+        rows = []
+        for kind in (0, 1):
+            keys, at = np.unique(_keys(hashes, counts, kind), return_inverse=True)
+            dev = np.bincount(at[fold == DELETED], minlength=len(keys))
+            fit = np.bincount(at[(fold != DELETED) & (fold != HELD_OUT)], minlength=len(keys))
+            del at
+            rows += [(kind, part, block, blob, *more) for part, blob, more in cut(keys, [fit, dev], parts)]
+        types = [pa.int32()] * 3 + [pa.binary()] * 3
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("kind", "part", "block", "keys", "fit", "dev"), zip(*rows, strict=True), types, strict=True)})
 
     return send
 
@@ -94,18 +104,20 @@ def _merge(table: pa.Table) -> pa.Table:
     """Totals of a range's keys over all blocks, in each block's own order of keys."""
     keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
     sizes = list(map(len, keys))
-    fit = np.concatenate([unpack_counts(x, n) for x, n in zip(table["fit"].to_pylist(), sizes, strict=True)])
-    dev = np.concatenate([unpack_counts(x, n) for x, n in zip(table["dev"].to_pylist(), sizes, strict=True)])
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
-    devs = np.bincount(at, weights=dev, minlength=len(distinct)).astype(np.int64)
-    totals = np.bincount(at, weights=fit, minlength=len(distinct)).astype(np.int64) + devs
+    del keys
+    sums = {}
+    for name in ("fit", "dev"):
+        each = np.concatenate([unpack_counts(x, n) for x, n in zip(table[name].to_pylist(), sizes, strict=True)])
+        sums[name] = np.zeros(len(distinct), dtype=np.int64)
+        np.add.at(sums[name], at, each)
+    total = sums["fit"] + sums["dev"]
     bounds = np.cumsum([0, *sizes])
-    types = int(np.count_nonzero((totals > 0) & (distinct & U64(1) == 0)))
-    blocks = table["block"].to_pylist()
-    part = table["part"][0].as_py()
-    out = [(b, part, pack_counts(totals[at[i:j]]), pack_counts(devs[at[i:j]]), types if k == 0 else 0) for k, (b, i, j) in enumerate(zip(blocks, bounds[:-1], bounds[1:], strict=True))]
-    b, p, t, d, n = zip(*out, strict=True)
-    return pa.table({"block": pa.array(b, pa.int32()), "part": pa.array(p, pa.int32()), "total": pa.array(t, pa.binary()), "dev": pa.array(d, pa.binary()), "types": pa.array(n, pa.int64())})
+    kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
+    types = int(np.count_nonzero(total)) if kind == 0 else 0
+    out = [(b, kind, part, pack_counts(total[at[i:j]]), pack_counts(sums["dev"][at[i:j]]), types if k == 0 else 0) for k, (b, i, j) in enumerate(zip(table["block"].to_pylist(), bounds[:-1], bounds[1:], strict=True))]
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()]
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "kind", "part", "total", "dev", "types"), zip(*out, strict=True), kinds, strict=True)})
 
 
 def _level(c: np.ndarray) -> np.ndarray:
@@ -120,55 +132,39 @@ def _context_class(c: np.ndarray) -> np.ndarray:
 def _resolver(parts: int):
     def resolve(docs: pa.Table, answers: pa.Table) -> pa.Table:
         hashes, counts = _tokens(docs["text"].combine_chunks())
-        one, two = _keys(hashes, counts)
-        keys, at = np.unique(np.concatenate([one, two]), return_inverse=True)
-        sizes = np.diff(np.concatenate([_range_bounds(keys, parts)]))
-        total, dev = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
-        first = np.cumsum(sizes) - sizes
-        for row in answers.select(["part", "total", "dev"]).to_pylist():
-            p = row["part"]
-            place = slice(first[p], first[p] + sizes[p])
-            total[place], dev[place] = unpack_counts(row["total"], int(sizes[p])), unpack_counts(row["dev"], int(sizes[p]))
-        n, ends = len(hashes), np.cumsum(counts)
-        c1, c2 = total[at[:n]], total[at[n:]]
         fold = docs["fold"].to_numpy()
         mine = np.repeat(fold == DELETED, counts)
-        # Counts without the deleted fold, at the deleted documents' tokens.
-        f1, f2 = c1[mine] - dev[at[:n]][mine], c2[mine] - dev[at[n:]][mine]
         own = counts[fold == DELETED]
-        end = _end_count(hashes, c1 - dev[at[:n]])
-        context = np.concatenate([f1[:1], f1[:-1]])
+        c, f = [], []  # all counts; counts without the deleted fold, at the deleted documents' tokens
+        for kind in (0, 1):
+            keys, at = np.unique(_keys(hashes, counts, kind), return_inverse=True)
+            bounds = ranges(keys, parts)
+            total, dev = np.empty(len(keys), dtype=np.int64), np.empty(len(keys), dtype=np.int64)
+            for row in answers.filter(pc.equal(answers["kind"], kind)).select(["part", "total", "dev"]).to_pylist():
+                place = slice(bounds[row["part"]], bounds[row["part"] + 1])
+                n = place.stop - place.start
+                total[place], dev[place] = unpack_counts(row["total"], int(n)), unpack_counts(row["dev"], int(n))
+            if kind == 0:
+                end = _end_count(hashes, (total - dev)[at])
+            c.append(total[at])
+            f.append((total - dev)[at[mine]])
+            del keys, at, total, dev
+        context = np.concatenate([f[0][:1], f[0][:-1]])
         context[np.cumsum(own) - own] = end
-        cell = ((_context_class(context) * 256 + _level(context)) * 256 + _level(f1)) * 256 + _level(f2)
-        cells, weights = np.unique(cell, return_counts=True)
-        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends, ends[-1:]]) if len(ends) else [0, 0], pa.int32()), pa.array(x, pa.int64()))
-        m = len(counts)
-        tail = lambda x: pa.array([None] * m + [x], pa.int64())
-        train = int(counts[fold != HELD_OUT].sum())
-        return pa.table(
-            {
-                "id": pa.concat_arrays([docs["id"].combine_chunks().cast(pa.int64()), pa.array([None], pa.int64())]),
-                "held_out": pa.array([*(fold == HELD_OUT).tolist(), None], pa.bool_()),
-                "n_tokens": pa.array([*counts.tolist(), None], pa.int64()),
-                "c1": lists(c1),
-                "c2": lists(c2),
-                "cells": pa.array([None] * m + [cells.tolist()], pa.list_(pa.int64())),
-                "weights": pa.array([None] * m + [weights.tolist()], pa.list_(pa.int64())),
-                "tokens": tail(train),
-                "types": tail(sum(answers["types"].to_pylist())),
-                "dev_tokens": tail(int(own.sum())),
-            }
-        )
+        cells, weights = np.unique(((_context_class(context) * 256 + _level(context)) * 256 + _level(f[0])) * 256 + _level(f[1]), return_counts=True)
+        stats = {"cells": cells, "weights": weights, "tokens": int(counts[fold != HELD_OUT].sum()), "types": sum(answers["types"].to_pylist()), "dev_tokens": int(own.sum())}
+        ids, ends, rows, lo = docs["id"].to_pylist(), np.cumsum(counts), [stats], 0
+        while lo < len(ids):
+            first = ends[lo] - counts[lo]
+            hi = max(lo + 1, int(np.searchsorted(ends, first + ROW_TOKENS, side="right")))
+            at = slice(first, ends[hi - 1])
+            rows.append({"ids": ids[lo:hi], "held_out": (fold[lo:hi] == HELD_OUT).tolist(), "n_tokens": counts[lo:hi], "c1": pack_counts(c[0][at]), "c2": pack_counts(c[1][at])})
+            lo = hi
+        return pa.Table.from_pylist(rows, schema=_RESOLVED_ARROW)
 
     return resolve
 
 
-def _range_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    from vacantia.llm._packed import ranges
-
-    return ranges(keys, parts)
-
-
 def _end_count(hashes: np.ndarray, counts: np.ndarray) -> int:
     """The count of the end, which every block has."""
     at = np.flatnonzero(hashes == _END)
@@ -196,21 +192,20 @@ def learn_weights(cells: np.ndarray, weights: np.ndarray, tokens: int, types: in
 def _scorer(mixed: np.ndarray, tokens: int, types: int, ends: int):
     def score(batches):
         for batch in batches:
-            n = np.asarray(batch.column(2))
-            if not len(n):
-                continue
-            c1 = np.asarray(batch.column(3).flatten()).astype(np.float64)
-            c2 = np.asarray(batch.column(4).flatten()).astype(np.float64)
-            first = np.cumsum(n) - n
-            context = np.concatenate([c1[:1], c1[:-1]])
-            context[first] = ends
-            kind = _context_class(context)
-            p = mixed[0, kind] * c2 / np.maximum(context, 1) + mixed[1, kind] * c1 / max(tokens, 1) + mixed[2, kind] / (types + 1)
-            base = np.add.reduceat(np.log10((c1 + 1) / (tokens + types + 1)), first)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(np.add.reduceat((c1 > 0).astype(np.int64), first)), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), first))],
-                names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-            )
+            for row in batch.to_pylist():
+                n = np.array(row["n_tokens"], dtype=np.int64)
+                c1, c2 = (unpack_counts(row[k], int(n.sum())).astype(np.float64) for k in ("c1", "c2"))
+                first = np.cumsum(n) - n
+                context = np.concatenate([c1[:1], c1[:-1]])
+                context[first] = ends
+                kind = _context_class(context)
+                p = mixed[0, kind] * c2 / np.maximum(context, 1) + mixed[1, kind] * c1 / max(tokens, 1) + mixed[2, kind] / (types + 1)
+                base = np.add.reduceat(np.log10((c1 + 1) / (tokens + types + 1)), first)
+                known = np.add.reduceat((c1 > 0).astype(np.int64), first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(row["ids"], pa.int64()), pa.array(row["held_out"], pa.bool_()), pa.array(n), pa.array(known), pa.array(np.full(len(n), tokens)), pa.array(base), pa.array(np.add.reduceat(np.log10(p), first))],
+                    names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
 
     return score
 
@@ -230,7 +225,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
         (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS).alias("fold"),
         F.col(text_col).alias("text"),
     ).repartition(blocks, "block")
-    answers = rows.groupBy("block").applyInArrow(_sender(blocks), _SENT).groupBy("part").applyInArrow(_merge, _ANSWER)
+    answers = rows.groupBy("block").applyInArrow(_sender(blocks), _SENT).groupBy("kind", "part").applyInArrow(_merge, _ANSWER)
     resolved = checkpoint(rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_resolver(blocks), _RESOLVED), "resolved")
 
     totals = resolved.filter("tokens is not null").agg(F.sum("tokens"), F.sum("types"), F.sum("dev_tokens")).first()
@@ -239,7 +234,7 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     grid = resolved.filter("cells is not null").select(F.explode(F.arrays_zip("cells", "weights")).alias("x")).groupBy("x.cells").agg(F.sum("x.weights").alias("n")).toArrow()
     mixed = learn_weights(grid["cells"].to_numpy(), grid["n"].to_numpy().astype(np.float64), tokens - dev_tokens, types)
     ends = docs.filter(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS != HELD_OUT).count()
-    scored = resolved.filter("tokens is null").select("id", "held_out", "n_tokens", "c1", "c2").mapInArrow(
+    scored = resolved.filter("tokens is null").select("ids", "held_out", "n_tokens", "c1", "c2").mapInArrow(
         _scorer(mixed, tokens, types, ends), "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
     return scored.withColumnRenamed("id", id_col)
