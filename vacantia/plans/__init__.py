@@ -1 +1,6 @@
-"""Part of the vacantia engine."""
+"""The engine's queries over the driver's tables."""
+
+from vacantia.plans import relational_queries
+from vacantia.plans.catalog import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "relational_queries"]

@@ -1 +1 @@
-"""Part of the vacantia engine."""
+"""Continuous maintenance as Structured Streaming jobs, and batch twins to compare them with."""
