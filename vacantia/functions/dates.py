@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_RFC = ("EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z")
+_RFC = ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z")
 _MONTHS = {"januar": 1, "january": 1, "februar": 2, "february": 2, "märz": 3, "march": 3, "april": 4, "mai": 5, "may": 5, "juni": 6, "june": 6, "juli": 7, "july": 7, "august": 8, "september": 9, "oktober": 10, "october": 10, "november": 11, "dezember": 12, "december": 12}
 
 
@@ -29,7 +29,10 @@ def epoch_or_prefix_date(value: Column) -> Column:
 def parse_feed_date(value: Column) -> Column:
     """RFC 2822 or ISO text to a timestamp, else null."""
     text = F.trim(value)
-    return F.coalesce(parse_iso(text), *[F.try_to_timestamp(text, F.lit(p)) for p in _RFC])
+    # The weekday says nothing; names of UTC become its offset.
+    mail = F.regexp_replace(F.regexp_replace(text, r"^[A-Za-z]{3,9},?\s+", ""), r"\s(?:GMT|UTC?|Z)$", " +0000")
+    shaped = F.when(mail.rlike(r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}(:\d{2})? [+-]\d{4}$"), mail)
+    return F.coalesce(parse_iso(text), *[F.try_to_timestamp(shaped, F.lit(p)) for p in _RFC])
 
 
 def deadline_from_text(text: Column) -> Column:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def drop_empty(m: Column) -> Column:
@@ -58,11 +62,6 @@ def inactive_row(m: Column) -> Column:
 
 def json_leaves(value: Column, *, nodes: int = 512, depth: int = 10, children: int = 80) -> Column:
     """array<struct<path, value>> of the scalar leaves of JSON text, depth first, within bounds."""
-    import json
-
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("array<struct<path:string,value:string>>")
     def walk(texts: pd.Series) -> pd.Series:
         def leaves(text):

@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -107,35 +107,46 @@ def embedded_postings(page: _Page, url: str) -> list[dict]:
     return out
 
 
-@pandas_udf("string")
-def html_text(html: pd.Series) -> pd.Series:
-    return html.map(text_of)
+def html_text(html: Column) -> Column:
+    @pandas_udf("string")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(text_of)
 
+    return run(html)
 
-_LINKS = "array<struct<href:string,text:string,score:int>>"
 
+def _links(html: str | None, url: str | None) -> list[dict]:
+    out = []
+    for href, text in parse(html).links:
+        full = urljoin(url or "", href)
+        out.append({"href": full, "text": text, "score": 60 * bool(CAREER.search(text)) + 40 * bool(CAREER.search(href))})
+    return sorted(out, key=lambda x: (-x["score"], len(x["href"]), x["href"], x["text"]))[:60]
+
+
+def html_links(html: Column, url: Column) -> Column:
+    """The 60 links most likely to lead to postings: array<struct<href, text, score>>."""
+
+    @pandas_udf("array<struct<href:string,text:string,score:int>>")
+    def run(pages: pd.Series, urls: pd.Series) -> pd.Series:
+        return pd.Series([_links(h, u) for h, u in zip(pages, urls, strict=True)])
+
+    return run(html, url)
 
-@pandas_udf(_LINKS)
-def html_links(html: pd.Series, url: pd.Series) -> pd.Series:
-    def links(h, u):
-        out = []
-        for href, text in parse(h).links:
-            full = urljoin(u or "", href)
-            score = 60 * bool(CAREER.search(text)) + 40 * bool(CAREER.search(href))
-            out.append({"href": full, "text": text, "score": score})
-        return sorted(out, key=lambda x: (-x["score"], len(x["href"]), x["href"]))[:60]
 
-    return pd.Series([links(h, u) for h, u in zip(html, url, strict=True)])
+def html_postings(html: Column, url: Column) -> Column:
+    @pandas_udf("array<struct<external_id:string,title:string,url:string,date_posted:string,valid_through:string,description:string>>")
+    def run(pages: pd.Series, urls: pd.Series) -> pd.Series:
+        return pd.Series([embedded_postings(parse(h), u) for h, u in zip(pages, urls, strict=True)])
 
+    return run(html, url)
 
-@pandas_udf("array<struct<external_id:string,title:string,url:string,date_posted:string,valid_through:string,description:string>>")
-def html_postings(html: pd.Series, url: pd.Series) -> pd.Series:
-    return pd.Series([embedded_postings(parse(h), u) for h, u in zip(html, url, strict=True)])
 
+def html_headings(html: Column) -> Column:
+    @pandas_udf("array<struct<level:int,text:string>>")
+    def run(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda h: [{"level": n, "text": t} for n, t in parse(h).headings])
 
-@pandas_udf("array<struct<level:int,text:string>>")
-def html_headings(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: [{"level": n, "text": t} for n, t in parse(h).headings])
+    return run(html)
 
 
 def inspect_pages(pages: DataFrame, *, html_col: str = "html", url_col: str = "url") -> DataFrame:
