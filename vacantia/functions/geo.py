@@ -32,9 +32,12 @@ def longitude(value: Column) -> Column:
 
 
 def degree_deltas(lat: Column, radius_km: Column) -> tuple[Column, Column]:
-    """Half height and half width in degrees of a box around a circle."""
+    """Half height and half width in degrees of a box that holds a circle, also near a pole and for wide circles."""
     dlat = radius_km / KM_PER_DEGREE
-    return dlat, radius_km / (KM_PER_DEGREE * F.greatest(F.lit(0.01), F.cos(F.radians(lat))))
+    near = radius_km / (KM_PER_DEGREE * F.greatest(F.lit(1e-9), F.cos(F.radians(lat))))
+    angle = F.least(radius_km * 1000 / EARTH_RADIUS_M, F.lit(1.5707963))
+    wide = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(angle) / F.greatest(F.lit(1e-9), F.cos(F.radians(lat))))))
+    return dlat, F.when(F.abs(lat) + dlat >= 90, 180.0).otherwise(F.greatest(near, wide))
 
 
 def in_box(lat: Column, lon: Column, lat0: Column, lon0: Column, radius_km: Column) -> Column:
