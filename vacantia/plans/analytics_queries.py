@@ -16,9 +16,9 @@ def _now():
     return F.lit("1998-06-01 00:00:00").cast("timestamp_ntz")
 
 
-@query(f"""WITH r AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 30 ELSE 3 END AS d, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS at FROM orders)
+@query(f"""WITH r AS (SELECT CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 7 WHEN 3 THEN 30 ELSE 3 END AS d, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderdate END AS due_at FROM orders)
 SELECT count(*) AS total, count(*) FILTER (coalesce(d, 7) = 1) AS daily, count(*) FILTER (coalesce(d, 7) = 7) AS weekly, count(*) FILTER (coalesce(d, 7) = 30) AS monthly, count(*) FILTER (coalesce(d, 7) NOT IN (1, 7, 30)) AS other,
-count(*) FILTER (at <= {_NOW}) AS due, count(*) FILTER (at <= {_NOW} - INTERVAL 24 HOUR) AS overdue, count(*) FILTER (at IS NULL) AS unscheduled FROM r""")
+count(*) FILTER (due_at <= {_NOW}) AS due, count(*) FILTER (due_at <= {_NOW} - INTERVAL 24 HOUR) AS overdue, count(*) FILTER (due_at IS NULL) AS unscheduled FROM r""")
 def health_counts(t: Tables):
     k = c("o_orderkey") % 5
     roots = t.orders.select(F.when(k == 1, 1).when(k == 2, 7).when(k == 3, 30).when(k == 4, 3).alias("interval_days"), F.when(c("o_orderkey") % 11 != 0, c("o_orderdate")).alias("next_at"))
@@ -33,7 +33,7 @@ def weekly_streak(t: Tables):
     return analytics.weekly_streak(e, F.lit("2024-01-10 12:00:00").cast("timestamp"))
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '4:59:59.999999' HOUR PRECEDING AND CURRENT ROW) AS in_window FROM events")
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 17999999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
 def rolling_budget(t: Tables):
     return analytics.rolling_count(t.events, ["user_id"], "ts", 5).select("event_id", "in_window")
 
@@ -44,11 +44,11 @@ def vote_shares_ties(t: Tables):
     return analytics.shares_with_ties(t.lineitem, ["l_suppkey"], "l_returnflag", "l_linenumber")
 
 
-@query("""SELECT l_orderkey, round(sum(g) / greatest(1, sum(w)), 6) AS coverage FROM (SELECT l_orderkey, l_returnflag, max(l_quantity) AS w, max(l_quantity * l_discount * 10) AS g FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT l_orderkey, round(sum(g) / greatest(1, sum(w)), 9) AS coverage FROM (SELECT l_orderkey, l_returnflag, max(l_quantity) AS w, max(l_quantity * l_discount * 10) AS g FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
 def ag16_weighted_coverage(t: Tables):
     rows = t.lineitem.withColumn("got", c("l_quantity") * c("l_discount") * 10)
     out = analytics.best_weight_coverage(rows, ["l_orderkey"], "l_returnflag", "l_quantity", "got")
-    return out.select("l_orderkey", F.round("coverage", 6).alias("coverage"))
+    return out.select("l_orderkey", F.round("coverage", 9).alias("coverage"))
 
 
 _REQ = """r AS (SELECT l_orderkey, ['supported', 'transferable', 'missing', 'unknown'][l_linenumber % 4 + 1] AS status, CASE WHEN l_partkey % 2 = 0 THEN 'close' ELSE 'far' END AS dist, CASE WHEN l_partkey % 3 = 0 THEN 'tool' ELSE 'capability' END AS cat,
@@ -75,10 +75,10 @@ def ag18_role_relevance(t: Tables):
     return analytics.role_relevance(_requirements(t), ["l_orderkey"])
 
 
-@query("SELECT l_orderkey, round(sum(CASE WHEN l_tax > 0.02 THEN l_tax END * l_quantity) / sum(CASE WHEN l_tax > 0.02 THEN l_quantity END), 6) AS component FROM lineitem GROUP BY 1")
+@query("SELECT l_orderkey, round(sum(CASE WHEN l_tax > 0.02 THEN l_tax END * l_quantity) / sum(CASE WHEN l_tax > 0.02 THEN l_quantity END), 9) AS component FROM lineitem GROUP BY 1")
 def ag19_weighted_component(t: Tables):
     rows = t.lineitem.withColumn("score", F.when(c("l_tax") > 0.02, c("l_tax")))
-    return analytics.weighted_component(rows, ["l_orderkey"], "score", "l_quantity").select("l_orderkey", F.round("component", 6).alias("component"))
+    return analytics.weighted_component(rows, ["l_orderkey"], "score", "l_quantity").select("l_orderkey", F.round("component", 9).alias("component"))
 
 
 _BM25 = """t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9äöüß+#]{2,}'), lambda w: w NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'for', 'with', 'der', 'die', 'das', 'und', 'in', 'mit', 'für', 'von')) AS w FROM documents),
@@ -269,7 +269,7 @@ def snk10_preserve_detail(t: Tables):
     return upserts.preserve_detail(old, new, "k")
 
 
-@query("SELECT key, min(at) AS queued_at, max(rev) AS revision FROM (SELECT user_id AS key, ts AS at, event_id AS rev FROM events) GROUP BY 1")
+@query("SELECT key, min(queued) AS queued_at, max(rev) AS revision FROM (SELECT user_id AS key, ts AS queued, event_id AS rev FROM events) GROUP BY 1")
 def snk15_sm01_enqueue(t: Tables):
     rows = t.events.select(c("user_id").alias("key"), c("ts").alias("queued_at"), c("event_id").alias("revision"))
     return upserts.enqueue(rows.filter("revision % 2 = 0"), rows.filter("revision % 2 = 1"), "key")
