@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from vacantia.llm._text import SPACED, U64, mix, slices, words
 from vacantia.operators.components import connected_components
-from vacantia.operators.storage import checkpoint
+from vacantia.operators.storage import checkpoint, drop
 
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2048
@@ -202,10 +202,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     )
     closed = dealt.join(sets.select("id", "shingles"), "id").groupBy("bucket", "x", "y").applyInArrow(_finisher(similarity, 100), "src bigint, dst bigint")
     more = checkpoint(closed, "links")
-    if more.isEmpty():
-        final = found
-    else:
-        final = connected_components(links.union(more))
+    final = found if more.isEmpty() else connected_components(links.union(more))
+    for used in (member, pairs, sets, links, more):  # nothing below reads these again
+        drop(used)
     back = classes.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     out = signed.join(back, ["k1", "k2", "n"], "left").select(
         F.col("id").alias(id_col),
