@@ -118,8 +118,8 @@ def bm25(docs: DataFrame, queries: DataFrame, *, doc: str, query: str, text: str
     tokens = docs.select(doc, strings.tokenize(F.col(text)).alias("t"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     terms = queries.select(query, F.explode(F.array_distinct(strings.tokenize(F.col(text)))).alias("term"))
-    tf = tokens.select(doc, F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
-    tf = tf.join(terms.select("term").distinct(), "term", "left_semi")
+    postings = tokens.select(doc, F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    tf = postings.groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
