@@ -55,6 +55,7 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     from vacantia.llm import minhash
 
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 150)
     rows = texts()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()}
     assert got == brute(rows, 2, 80)

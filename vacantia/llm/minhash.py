@@ -11,9 +11,9 @@ similarity; bands of ``rows`` values give candidate buckets.
 2. Representatives meet in band buckets.  Each bucket compares all its members
    with its two smallest ids on full shingle sets.
 3. Buckets whose other members still belong to several components are finished
-   exactly: members in blocks of ``BLOCK``, every pair of blocks one task, which
-   looks each set up in an inverted index and returns only links that join
-   components.
+   exactly: members in blocks of ``BLOCK`` (fewer if their sets are large), every
+   pair of blocks one task, which looks each set up in an inverted index and
+   returns only links that join components.
 4. Links become components by star contraction; classes get their members back.
 
 Defined cases: a document without text or words has no shingles and is alone; a
@@ -35,8 +35,8 @@ from vacantia.llm._text import SPACED, U64, mix, slices, words
 from vacantia.operators.components import connected_components
 from vacantia.operators.storage import checkpoint, drop
 
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 2048
+#: Members of a bucket that one task compares with as many others, and the shingles of one such block.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 SEED = 77
 
 _SIGNED = "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
@@ -193,9 +193,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     named = member.filter("m > 3").join(second, "bucket").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Pairs with either centre are tested: what is open lies between other members of different components.
-    mixed = named.filter("id > c2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("others"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")).filter("lo <> hi")
-    mixed = mixed.groupBy("others", "sum").agg(F.min("bucket").alias("bucket"))  # the same members in several bands count once
-    blocks = F.ceil(F.col("others") / BLOCK)
+    mixed = named.filter("id > c2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("others"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")).filter("lo <> hi")
+    mixed = mixed.groupBy("others", "shingles", "sum").agg(F.min("bucket").alias("bucket"))  # the same members in several bands count once
+    blocks = F.greatest(F.ceil(F.col("others") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     open_ = named.filter("id > c2").join(mixed, "bucket").select("bucket", "id", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component"
