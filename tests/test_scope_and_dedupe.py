@@ -153,3 +153,19 @@ def test_pages_and_contacts(spark):
     labels = spark.createDataFrame([("76131 Karlsruhe, Baden",), ("Neustadt",), (None,)], "label string")
     aliases = spark.createDataFrame([("karlsruhe", 1), ("neustadt", 2), ("neustadt", 3)], "alias string, code int")
     assert [tuple(x) for x in identity.resolve_municipalities(labels, aliases).collect()] == [("76131 Karlsruhe, Baden", 1)]
+
+
+def test_remote_scope(spark):
+    loc = "array<struct<label:string,country_code:string,latitude:double,longitude:double>>"
+    rows = [('{"remote_country_codes": ["DE", "Frankreich", "??"]}', None), ('{"applicantLocationRequirements": {"name": "Atlantis"}}', None), ('{"remote_country_codes": [], "remote_country": "at"}', None), ('{"remote_scope_source": "x", "country": "Germany"}', [("Wien", "AT", None, None)]), ("{}", [("Wien", "AT", None, None)]), (None, None)]
+    got = [r.s for r in spark.createDataFrame(rows, f"m string, l {loc}").select(scope.remote_scope(F.col("m"), F.col("l")).alias("s")).collect()]
+    assert [(x.countries, x.unresolved) for x in got] == [(["DE", "FR"], False), ([], True), (["AT"], False), (["AT", "DE"], False), ([], False), ([], False)]
+
+
+def test_listed_locations(spark):
+    loc = "array<struct<label:string,country_code:string>>"
+    both = [("München", "DE"), ("Wien", "AT")]
+    rows = [("Wien, Innenstadt", both), ("Munchen", both), ("Bonn", both), ("Bonn", [("Köln", "DE")]), (None, both)]
+    got = [r.x.label if r.x else None for r in spark.createDataFrame(rows, f"t string, l {loc}").select(scope.listed_location(F.col("t"), F.col("l")).alias("x")).collect()]
+    assert got == ["Wien", "München", None, "Köln", None]
+    assert spark.range(1).select(scope.location_parts(F.lit("Bonn; Köln / Ulm|A/B")).alias("p")).first().p == ["Bonn", "Köln", "Ulm", "A/B"]

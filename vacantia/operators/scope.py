@@ -134,3 +134,46 @@ def classify(postings: DataFrame, *, now: Column, lat: float | None = None, lon:
 
 def rejected_by_reason(classified: DataFrame) -> DataFrame:
     return classified.filter("not scope.eligible").groupBy(F.col("scope.reason").alias("reason")).agg(F.count("*").alias("n"))
+
+
+#: Metadata keys that can restrict where a remote posting may be worked from, in order (fixed values).
+REMOTE_KEYS = ("remote_country_codes", "applicantLocationRequirements", "applicant_location_requirements", "remote_country")
+
+
+def remote_scope(metadata: Column, locations: Column) -> Column:
+    """struct(countries, unresolved) of a posting's metadata (JSON text).
+
+    The first key with a value decides; a value that names no known country is an unresolved restriction.  Without one, a stated
+    scope source takes the countries of the locations and of the metadata's own country fields.
+    """
+    from vacantia.functions.records import country_code
+
+    none = F.expr("cast(array() as array<string>)")
+
+    def items(key: str) -> Column:
+        raw = F.get_json_object(metadata, f"$.{key}")
+        return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw))
+
+    present = F.coalesce(*[F.when(F.size(items(k)) > 0, items(k)) for k in REMOTE_KEYS])
+    codes = F.array_distinct(F.filter(F.transform(present, lambda x: country_code(x, COUNTRIES)), lambda x: x.isNotNull()))
+    own = F.array(*[country_code(F.get_json_object(metadata, f"$.{k}"), COUNTRIES) for k in ("country_code", "country", "office_country_code", "office.country_code")])
+    stated = F.array_distinct(F.array_compact(F.concat(F.transform(F.coalesce(locations, F.array().cast("array<struct<label:string,country_code:string,latitude:double,longitude:double>>")), lambda x: x["country_code"]), own)))
+    return F.when(present.isNotNull(), F.struct(codes.alias("countries"), (F.size(codes) == 0).alias("unresolved"))).when(
+        F.get_json_object(metadata, "$.remote_scope_source").isNotNull(), F.struct(stated.alias("countries"), F.lit(False).alias("unresolved"))
+    ).otherwise(F.struct(none.alias("countries"), F.lit(False).alias("unresolved")))
+
+
+def listed_location(text: Column, locations: Column) -> Column:
+    """The first listed location whose label stands in the text as whole words, or the other way round; else the only one listed; else null."""
+    words = strings.words_of(strings.fold(text))
+
+    def same(x: Column) -> Column:
+        label = strings.words_of(strings.fold(x["label"]))
+        return F.coalesce(strings.contains_phrase(words, label) | strings.contains_phrase(label, words), F.lit(False))
+
+    return F.coalesce(F.try_element_at(F.filter(locations, same), F.lit(1)), F.when(F.size(locations) == 1, F.try_element_at(locations, F.lit(1))))
+
+
+def location_parts(text: Column) -> Column:
+    """The single places of a location text: split at ; | line ends and spaced slashes."""
+    return F.filter(F.transform(F.split(text, r"[;\n|]+|(?<=\s)/(?=\s)"), lambda x: F.trim(x)), lambda x: x != "")

@@ -52,7 +52,7 @@ def greenhouse(body: Column) -> tuple[Column, Column, Column]:
     def row(r: Column) -> Column:
         offices = F.transform(F.coalesce(r["offices"], F.array().cast("array<struct<name:string>>")), lambda o: F.trim(o["name"]))
         address = F.coalesce(r["location"]["name"], F.lit(""))
-        local = F.transform(F.regexp_extract_all(address, F.lit(r"\b\d{5}\s+([^,;]+)"), F.lit(1)), F.trim)
+        local = F.transform(F.regexp_extract_all(address, F.lit(r"\b\d{5}\s+([^,;]+)"), F.lit(1)), lambda x: F.trim(x))
         known = F.exists(offices, lambda o: (F.lower(o) == F.lower(F.trim(address))) | F.lower(F.trim(address)).startswith(F.concat(F.lower(o), F.lit(","))))
         extra = F.when(F.size(local) > 0, local).when((F.trim(address) != "") & ~F.coalesce(known, F.lit(False)), F.array(F.trim(address))).otherwise(F.array().cast("array<string>"))
         arrangement = F.when(F.trim(address) != "", strings.work_arrangement(address)).otherwise(strings.work_arrangement(F.array_join(offices, " ")))
