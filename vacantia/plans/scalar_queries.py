@@ -225,3 +225,11 @@ def src20_inspect_pages(t: Tables):
     from vacantia.sources import html
 
     return html.inspect_pages(t.pages.select("page_id", "url", "html")).select("page_id", "kind", F.size("links").alias("n_links"), F.size("headings").alias("n_headings"), F.size("postings").alias("n_postings"))
+
+
+@query()
+def src11_page_postings(t: Tables):
+    from vacantia.sources import career_pages
+
+    p = t.pages.select("page_id", career_pages.page_postings(c("html"), c("url")).alias("p"))
+    return p.select("page_id", F.size("p.postings").alias("n_postings"), F.size("p.hints").alias("n_hints"), "p.complete", "p.page_title", "p.open_signal")

@@ -94,7 +94,7 @@ def embedded_postings(page: _Page, url: str) -> list[dict]:
     for block in page.json_ld:
         try:
             found = list(objects(json.loads(block)))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         for o in found:
             kind = o.get("@type")
