@@ -61,6 +61,24 @@ def test_match(spark):
     assert got[2, 1].tier == "unlikely" and got[2, 1].uncertain
 
 
+def test_match_by_duties_and_specialists(spark):
+    from vacantia.functions import tasks
+
+    duties = "Ihre Aufgaben:\nMaintain risk registers.\nPrepare slides." + "\nWeitere Angaben zur Stelle." * 10
+    special = "Your tasks:\nDesign relay protection with Python.\nPrescribe medicine." + "\nWeitere Angaben zur Stelle." * 10
+    jobs = spark.createDataFrame([(1, "Koordination", duties), (2, "Planer", special), (3, "Planer", None)], "job_id int, title string, description string")
+    jobs = R.enrich_distinct(jobs).withColumn("units", tasks.task_units(F.col("description"))).select("job_id", "title", "enriched", "units")
+    person = {"skills": ["Python"], "experience": [{"text": "Used SQL at university. Learning Rust."}]}
+    did = [("experience.0", "Maintained risk registers", None), ("experience.1", "Prepared slides", None)]
+    people = spark.createDataFrame([(1, json.dumps(person), did), (2, json.dumps(person), [])], "profile_id int, profile string, sources array<struct<source:string,text:string,context:string>>")
+    got = {(r.job_id, r.profile_id): r for r in profiles.match(jobs, people.withColumn("facts", tasks.profile_facts(F.col("sources")))).collect()}
+    assert (got[1, 1].score, got[1, 1].task_fit, got[1, 1].tier) == (85, 100, "recommended") and (got[1, 2].score, got[1, 2].tier) == (0, "unlikely")
+    assert got[2, 1].score <= 29 and got[2, 1].unknowns == ["Verify uncovered specialist duties: Prescribe medicine."] and got[3, 1].task_fit == 0
+    plain = {(r.job_id, r.profile_id): r for r in profiles.match(jobs.drop("units"), people.drop("sources")).collect()}
+    assert plain[1, 1].score == 0 and plain[1, 1].task_alignment.score is None
+    assert R.claimed_skills(["Used SQL at university. Learning Rust.", "Built it in Java"]) == {"SQL": 0.5, "Java": 1.0}
+
+
 def test_assessments(spark):
     good = {"dimensions": {"skills": {"score": 80}, "experience": {"score": None}}, "gates": {"language": {"status": "pass"}}}
     rows = [(1, 1, json.dumps(good)), (1, 2, json.dumps(good | {"gates": {"language": {"status": "maybe"}}})), (1, 3, "nonsense"), (1, 4, json.dumps({"dimensions": {"skills": {"score": 180}, "experience": {"score": 1}}, "gates": {}}))]

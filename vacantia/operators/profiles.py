@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from vacantia.functions import requirements as R
+from vacantia.functions import tasks
 from vacantia.operators import matching
 
-MATCH = "struct<role:boolean,secondary:boolean,weight:double,n_skills:int,substantive:int,matched:array<string>,missing:array<string>,gaps:array<struct<gap:string,kind:string>>,conflicts:array<string>,unknowns:array<string>,language_gate:string,language_points:int,experience_points:int>"
+MATCH = "struct<role:boolean,secondary:boolean,weight:double,n_skills:int,substantive:int,matched:array<string>,missing:array<string>,gaps:array<struct<gap:string,kind:string>>,conflicts:array<string>,unknowns:array<string>,language_gate:string,language_points:int,experience_points:int,content:int,uncovered:array<string>,stated:boolean>"
+
+
+def _texts(value) -> list[str]:
+    """The texts in a JSON value, in order."""
+    if isinstance(value, str):
+        return [value]
+    return [t for v in (value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()) for t in _texts(v)]
+
+
+def _content(rows: dict, abilities: dict[str, float]) -> int:
+    """What the posting's skills share with the profile's: 85 at most, 59 below two full specific ones, 0 below one."""
+    weight = {n: {"mentioned": 1.0, "optional": 0.25}.get(r["kind"], 0.0) for n, r in rows.items()}
+    shared = sum(w * abilities.get(n, 0.0) for n, w in weight.items())
+    special = sum(abilities.get(n, 0.0) for n, r in rows.items() if r["kind"] == "mentioned" and n not in R.GENERAL_SKILLS)
+    return round(min(85 * shared / max(1, sum(weight.values())), 85 if special >= 2 else 59)) if special >= 1 else 0
 
 
 def compare(job: dict, profile: dict) -> dict:
@@ -27,13 +45,18 @@ def compare(job: dict, profile: dict) -> dict:
         kind = rows[n]["kind"]
         substantive += kind == "mentioned"
         weight += half * {"mentioned": 1.0, "optional": 0.25, "incidental": 0.0, "title": 0.0 if role or secondary else 0.4}[kind]
+    stated = {n: 0.5 if context.get(n.casefold(), "professional") != "professional" else 1.0 for n in R.SKILLS if n.casefold() in have}
+    told = R.claimed_skills(_texts([profile.get("summary"), profile.get("experience"), profile.get("career_evidence")]))
+    abilities = {n: max(stated.get(n, 0.0), told.get(n, 0.0)) for n in stated | told}
+    able = {n for n, strength in abilities.items() if strength == 1} | set(stated)
+    uncovered = [d["quote"] for d in e["specialist"] if not able.intersection(d["skills"])]
     gaps, conflicts, unknowns = [], [], []
     for q in e["qualifications"]:
         held = [str(x).casefold() for x in (profile.get("education") or []) + (profile.get("certifications") or [])]
         if not held:
             kind = {"degree": "education", "certificate": "certification"}.get(q["kind"], q["kind"])
             gaps.append({"gap": "Verify requirement: " + q["evidence"], "kind": kind})
-    years, asked = profile.get("experience_years"), e["experience"]
+    years, asked = profile.get("experience_years"), None if pd.isna(e["experience"]) else e["experience"]  # a batch holds NaN for null
     if asked is not None and years is None:
         gaps.append({"gap": f"Verify experience: {asked:g} years", "kind": "experience"})
     points = 0 if asked is None or years is None else 5 if years >= asked else -10
@@ -56,38 +79,55 @@ def compare(job: dict, profile: dict) -> dict:
             conflicts.append("Excluded title term: " + t)
     if e["quality"] == "limited":
         unknowns.append("Full job description needs checking")
+    unknowns += ["Verify uncovered specialist duties: " + d for d in uncovered]
     return {
         "role": role, "secondary": secondary, "weight": weight, "n_skills": len(rows), "substantive": substantive, "matched": matched, "missing": [n for n in rows if n not in matched], "gaps": gaps,
         "conflicts": conflicts, "unknowns": unknowns, "language_gate": gate, "language_points": max(-20, min(10, bonus)), "experience_points": points,
+        "content": _content(rows, abilities), "uncovered": uncovered, "stated": bool(e["has_duties"]) or any(r["kind"] == "mentioned" for r in rows.values()),
     }
 
 
 def match(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     """(job_id, profile_id, score, tier, eligible, uncertain, …) for every posting and profile.
 
-    jobs: job_id, title, enriched.  profiles: profile_id, profile (JSON text): a stated query set, which every posting meets.
+    jobs: job_id, title, enriched, and, to compare duties, units (``tasks.task_units``).  profiles: profile_id, profile
+    (JSON text), and facts (``tasks.profile_facts``): a stated query set, which every posting meets.  Without units or
+    facts no duty counts as done.
     """
     import json
 
+    names = [x.split(":")[0] for x in re.split(r",(?=[a-z_]+:)", re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", MATCH[7:-1])))]
+
     @pandas_udf(MATCH)
     def run(titles: pd.Series, enriched: pd.DataFrame, texts: pd.Series) -> pd.DataFrame:
         parsed = {t: json.loads(t) for t in texts.unique()}
         rows = [compare({"title": a, "enriched": b}, parsed[p]) for a, b, p in zip(titles, enriched.to_dict("records"), texts, strict=True)]
-        return pd.DataFrame(rows, columns=[x.split(":")[0] for x in ("role", "secondary", "weight", "n_skills", "substantive", "matched", "missing", "gaps", "conflicts", "unknowns", "language_gate", "language_points", "experience_points")])
+        return pd.DataFrame(rows, columns=names)
 
-    m = jobs.crossJoin(profiles).withColumn("m", run("title", "enriched", "profile"))
+    for column, kind, df in (("units", tasks.UNIT, jobs), ("facts", tasks.FACT, profiles)):
+        if column not in df.columns:
+            empty = df.withColumn(column, F.from_json(F.lit("[]"), f"array<{kind}>"))
+            jobs, profiles = (empty, profiles) if column == "units" else (jobs, empty)
+    m = jobs.crossJoin(profiles).withColumn("m", run("title", "enriched", "profile")).withColumn("duties", tasks.alignment(F.col("units"), F.col("facts")))
     c = lambda n: F.col(f"m.{n}")
-    raw = matching.lexical_score(c("role"), c("secondary"), F.get_json_object("profile", "$.desired_roles[0]").isNotNull(), c("weight"), c("n_skills"))
-    limited = F.col("enriched.quality") == "limited"
-    false = F.lit(False)
-    limit = matching.score_limit(uncovered_specialist=false, missing_experience=false, unknown_experience=false, substantive=F.lit(True), limited=limited, role=c("role"), n_substantive=c("substantive"), secondary=c("secondary"), content=raw)
-    score = matching.adjusted_score(raw, matching.gap_penalty(c("gaps")), limit, c("experience_points"), c("language_points"), F.lit(0))
-    m = m.withColumn("score", score)
+    done = F.filter("duties.requirements", lambda r: r["evidence"]["status"] != "unknown")
+    proven = F.exists("duties.requirements", lambda r: (r["evidence"]["status"] == "supported") & (r["evidence"]["context"] != "academic"))
+    shown = F.coalesce(F.when(F.size(done) > 0, F.col("duties.score")), F.lit(0))
+    grounded = (F.size("units") >= 2) & (shown >= 65) & F.coalesce(proven, F.lit(False))
+    m = m.withColumn("shown", shown).withColumn("grounded", grounded)
+    lexical = matching.lexical_score(c("role"), c("secondary"), F.get_json_object("profile", "$.desired_roles[0]").isNotNull(), c("weight"), c("n_skills"))
+    raw = F.greatest(lexical, c("content"), F.least("shown", F.when(F.col("grounded"), 85).otherwise(59)))
+    limited = (F.col("enriched.quality") == "limited") & ~F.col("grounded")
+    false, special, stated = F.lit(False), F.size(c("uncovered")) > 0, c("stated") | (F.size("units") > 0)
+    limit = matching.score_limit(uncovered_specialist=special, missing_experience=false, unknown_experience=false, substantive=stated, limited=limited, role=c("role"), n_substantive=c("substantive"), secondary=c("secondary"), content=c("content"))
+    fit = F.when(stated, F.least(F.greatest(c("content"), "shown"), F.when(special, 29).otherwise(100))).otherwise(0)
+    m = m.withColumn("task_fit", fit).withColumn("score", matching.adjusted_score(raw, matching.gap_penalty(c("gaps")), limit, c("experience_points"), c("language_points"), F.lit(0)))
     bad = F.size(c("conflicts")) > 0
     open_ = (c("language_gate") == "unknown") | limited | (F.size(c("gaps")) > 0)
     return m.select(
-        "job_id", "profile_id", "score", matching.tier(F.col("score"), F.col("score"), bad, false, open_).alias("tier"), (~bad).alias("eligible"), (F.size(c("unknowns")) > 0).alias("uncertain"),
+        "job_id", "profile_id", "score", matching.tier(F.col("score"), F.col("task_fit"), bad, false, open_).alias("tier"), (~bad).alias("eligible"), (F.size(c("unknowns")) > 0).alias("uncertain"),
         c("matched").alias("matched_skills"), c("missing").alias("missing_skills"), c("gaps").alias("gaps"), c("conflicts").alias("conflicts"), c("unknowns").alias("unknowns"), c("language_gate").alias("language_gate"),
+        "task_fit", c("content").alias("content_score"), F.col("duties").alias("task_alignment"),
     )
 
 
