@@ -191,12 +191,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = checkpoint(tested.filter(f"100 * both >= {similarity} * (na + nb - both)").select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
     found = checkpoint(connected_components(links), "components")
 
-    named = member.filter("m > 3").join(second, "bucket").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = member.filter("m > 3 and id > c1").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     # Pairs with either centre are tested: what is open lies between other members of different components.
-    mixed = named.filter("id > c2").groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("others"), F.sum("n").alias("shingles"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum")).filter("lo <> hi")
-    mixed = mixed.groupBy("others", "shingles", "sum").agg(F.min("bucket").alias("bucket"))  # the same members in several bands count once
+    # Members are added up by component first, so no task reads a bucket member by member.
+    parts = named.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("sum"), F.min(F.struct("id", "n")).alias("first"))
+    centre = F.struct("first.id", "first.n", "k")  # the least of a bucket is the second centre, with the size of its component there
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min(centre).alias("c2")).filter("components - int(c2.k = 1) > 1")
+    mixed = mixed.select("bucket", F.col("c2.id").alias("c2"), (F.col("k") - 1).alias("others"), (F.col("n") - F.col("c2.n")).alias("shingles"), (F.col("sum") - F.xxhash64("c2.id").cast("decimal(20,0)")).alias("sum"))
+    mixed = mixed.groupBy("others", "shingles", "sum").agg(F.min(F.struct("bucket", "c2")).alias("b")).select("b.*", "others", "shingles")  # the same members in several bands count once
     blocks = F.greatest(F.ceil(F.col("others") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    open_ = named.filter("id > c2").join(mixed, "bucket").select("bucket", "id", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")))
+    open_ = named.join(mixed, "bucket").filter("id > c2").select("bucket", "id", "component", blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("blocks")))
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component"
     )
