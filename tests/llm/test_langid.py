@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 
@@ -41,3 +42,16 @@ def test_nothing_to_learn(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in langid.identify(df, langid.learn(df)).collect()] == ["und"]
     assert langid.identify(df.limit(0), langid.learn(df.limit(0))).collect() == []
+
+
+def test_labelled_junk_does_not_lift_the_limit(spark):
+    """Junk with a label in the calibration fold, few rows or many: junk stays rejected and texts stay accepted."""
+    rng = random.Random(5)
+    junk = lambda: " ".join(rng.choice(["tako", "miru", "neta", "qjvw", "wqjx"]) for _ in range(60))
+    calibrates = [i for i in range(20_000, 21_000) if zlib.crc32(str(i).encode()) % langid.FOLDS == langid.CALIBRATES]
+    for odd in (1, 12):
+        data = [*rows(), *((i, junk(), "xx") for i in calibrates[:odd]), (9100, junk(), None), (9101, "tako miru " * 20, None)]
+        df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+        got = {r.doc_id: r for r in langid.identify(df, langid.learn(df)).collect()}
+        assert got[9100].lang_pred == "xx" and got[9100].rejected
+        assert not got[9101].rejected and not any(got[i].rejected for i, _, lang in rows() if lang and i < 9000)

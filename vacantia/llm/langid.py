@@ -3,8 +3,9 @@
 One model a language, counted over all labelled documents of the fitting folds; n-grams are
 kept as sorted arrays of hashes with log probabilities and back-off weights, and
 looked up by binary search.  A text's language is that of the lowest cross-entropy for
-each symbol.  The entropies of a calibration fold give each language's mean and spread, and
-how far above the mean a text is still taken.
+each symbol.  The entropies of a calibration fold under their label's model give each language's
+median and spread (from the median absolute deviation), counted over all rows of the label, so odd
+labelled rows do not move the limit, nor does the number of rows.
 
 Symbols are the 61 most frequent letters of the fitting texts (lower-cased), one for any
 other letter, and one for a run of anything else, so a model has at most 64**3 trigrams
@@ -35,8 +36,10 @@ HELD_OUT, CALIBRATES, FOLDS = 0, 1, 5
 STEADY = 2000
 #: Scores take no more than so many symbols as independent evidence.
 EVIDENCE = 40
-#: A text is rejected beyond SLACK times the calibration's largest deviations (LEAST at least).
-SLACK, LEAST = 1.5, 8.0
+#: A text is rejected beyond so many robust standard deviations (in nats by the root of symbols, FLOOR at least) above its language's median.
+LIMIT, FLOOR = 10.0, 0.5
+#: Steps in which the calibration counts entropies and deviations.
+STEP = 1e-3
 
 
 def fold(doc_id: Column) -> Column:
@@ -242,38 +245,36 @@ def _calibrate(model: Model, text: DataFrame) -> None:
     sc = text.sparkSession.sparkContext
 
     def run(job):
-        held = sc.broadcast(model)
+        held, place = sc.broadcast(model), {x: k for k, x in enumerate(model.langs)}
 
         def task(batches):
             for batch in batches:
                 names = batch.column(1).to_pylist()
                 for lo, hi, data, offsets in slices(batch.column(0)):
                     x, n, letters = held.value.entropies(data, offsets)
-                    best = x.argmin(axis=0)
-                    ok = (letters > 0) & np.array([held.value.langs[b] == w for b, w in zip(best, names[lo:hi], strict=True)], dtype=bool)
-                    b, low = best[ok], x[best[ok], np.flatnonzero(ok)]
-                    yield from job(held.value, b, low, n[ok])
+                    k = np.array([place.get(w, -1) for w in names[lo:hi]], dtype=np.int64)
+                    ok = np.flatnonzero((letters > 0) & (k >= 0))
+                    yield from job(held.value, k[ok], x[k[ok], ok], n[ok])
 
         return task
 
-    def moments(m, b, low, n):
-        w = np.minimum(n, STEADY)
-        for k in np.unique(b):
-            z = b == k
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([float(z.sum())]), pa.array([float((w * low)[z].sum())]), pa.array([float(w[z].sum())]), pa.array([float((w * low**2)[z].sum())])], names=["k", "n", "x", "w", "xx"])
+    def measured(value):
+        """Each language's median of value(model, lang, entropy, n) over all calibration rows: counts of STEP, not rows, reach the driver."""
 
-    sums = text.mapInArrow(run(moments), "k bigint, n double, x double, w double, xx double").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", "x", "w", "xx")])
-    for r in sums.collect():  # one row for each language
-        model.mean[r.k] = r.x / r.w
-        model.spread[r.k] = max(np.sqrt(max(r.xx - r.x**2 / r.w, 0) / r.n), 1e-3)
+        def values(m, k, own, n):
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(np.floor(value(m, k, own, n) / STEP).astype(np.int64))], names=["k", "step"])
 
-    def extremes(m, b, low, n):
-        z = m.deviation(b, low, n)
-        for k in np.unique(b):
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)], pa.int64()), pa.array([float(z[b == k].max())])], names=["k", "z"])
+        steps: dict[int, list] = {}
+        for r in text.mapInArrow(run(values), "k bigint, step bigint").groupBy("k", "step").agg(F.count("*").alias("rows")).collect():
+            steps.setdefault(r.k, []).append((r.step, r.rows))
+        for k, found in steps.items():
+            step, rows = np.array(sorted(found)).T
+            yield k, (step[np.searchsorted(np.cumsum(rows), rows.sum() / 2)] + 0.5) * STEP
 
-    for r in text.mapInArrow(run(extremes), "k bigint, z double").groupBy("k").agg(F.max("z").alias("z")).collect():
-        model.limit[r.k] = max(SLACK * r.z, LEAST)
+    for k, x in measured(lambda m, k, own, n: own):
+        model.mean[k] = x
+    for k, x in measured(lambda m, k, own, n: np.abs(m.deviation(k, own, n))):  # spread is still 1
+        model.spread[k], model.limit[k] = max(x / 0.6745, FLOOR), LIMIT
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
