@@ -52,3 +52,23 @@ def test_one_and_none(spark):
     (r,) = run(spark, [(1, "abcd")])
     assert r.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert run(spark, []) == []
+
+
+def test_near_copies_of_a_third_of_all_rows(spark):
+    """A group's words stay in the lexicon: its members are alike, whole or with one word changed, and unlike others."""
+    rng = random.Random(2)
+    vocab = [f"w{k}" for k in range(2000)]
+    text = lambda: [rng.choice(vocab) for _ in range(80)]
+    core, data = text(), []
+    for k in range(300):
+        words = list(core) if k < 100 else text()
+        if 50 <= k < 100:
+            words[rng.randrange(80)] = f"own{k}"
+        data.append((k, " ".join(words)))
+    got = {r.doc_id: r for r in run(spark, data)}
+    assert not any(r.fingerprint.startswith("text:") for r in got.values())
+    assert np.mean([got[k].near_next for k in range(51, 100)]) > 0.6
+    assert np.mean([got[k].near_next for k in range(101, 300)]) < 0.2
+    assert np.mean([got[k].near_edited for k in range(102, 300)]) > 0.2
+    bare = {r.doc_id: r for r in run(spark, [(k, f"a b c d e f g h i j k l m n o p q{k}") for k in range(20)])}
+    assert np.mean([bare[k].near_next for k in range(1, 20)]) > 0.4

@@ -7,13 +7,15 @@ fall into each of ``LEVELS`` x ``DRAWS`` random subsets of the lexicon; level l
 their few words alone, so the share of equal subset hashes says how much two
 documents share; equal texts agree in all.
 
-Document frequencies of all words are counted with packed keys.  A word in the
-band stands in at least ``LOW`` of all documents, so the lexicon has at most
+Document frequencies of all words are counted with packed keys.  Copies and near copies must not push
+their words out of the band: a document has the smallest hashes of its shingles as sketches, and where a
+sketch is shared by ``LOW`` of all documents or more, these count as one document at the band's upper edge.
+A word in the band stands in at least ``LOW`` of all documents, so the lexicon has at most
 (mean distinct words a document) / LOW words, whatever the corpus; above
 ``MOST`` words the lower edge of the band rises until they fit.
 
-Defined cases: null text is empty; a text without lexicon words is fingerprinted by its
-digest and is like its equals only; equal rows and ids are ordered by id, then text; null ids come last;
+Defined cases: null text is empty; a text without lexicon words uses all its words; a text without words is
+fingerprinted by its digest and is like its equals only; equal rows and ids are ordered by id, then text; null ids come last;
 a single document is its own next; other columns are ignored.
 """
 
@@ -35,6 +37,10 @@ from vacantia.operators.storage import checkpoint
 LOW, HIGH = 0.001, 0.1
 MOST = 2_000_000
 LEVELS, DRAWS = 12, 24
+#: Words of a shingle, and sketches of a document: near copies share one of them at least.
+SHINGLE, SKETCHES = 3, 4
+#: Weight of one document in fixed point.
+ONE = 1 << 20
 #: Levels at which more than so many of the draws are filled say too little of an edited text.
 SPARSE = 18
 #: Distinct words that a counting task holds before it sends them on.
@@ -56,6 +62,51 @@ def _distinct(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[new], d[new]
 
 
+def _sketches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Smallest shingle hash in each of SKETCHES parts of the hash space: documents x SKETCHES, 0 for none."""
+    w = words(data, offsets, ALNUM)
+    n = w.counts()
+    out = np.zeros((len(n), SKETCHES), dtype=np.uint64)
+    if not len(w.hashes):
+        return out
+    left = np.repeat(w.first[1:], n) - np.arange(len(w.hashes))  # words from each place to its document's end
+    h = w.hashes.copy()
+    for k in range(1, SHINGLE):
+        h = mix(h + U64(k))
+        h[:-k] += np.where(left[:-k] > k, w.hashes[k:], U64(0))
+    h = mix(h)
+    whole = (left >= SHINGLE) | (np.repeat(n, n) < SHINGLE)
+    some = np.flatnonzero(n)
+    most = U64(2**64 - 1)
+    for k in range(SKETCHES):
+        least = np.minimum.reduceat(np.where(whole & (h % U64(SKETCHES) == k), h, most), w.first[some])
+        out[some, k] = np.where(least == most, U64(0), least)
+    return out
+
+
+def _shared(text: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches of at least ``least`` documents in order, and their documents: at most SKETCHES / LOW, whatever the corpus."""
+
+    def sketch(batches):
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                k, c = np.unique(_sketches(data, offsets), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(k[k > 0].view(np.int64)), pa.array(c[k > 0])], names=["sketch", "n"])
+
+    found = text.mapInArrow(sketch, "sketch bigint, n bigint").groupBy("sketch").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    keys, n = found["sketch"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    by = np.argsort(keys)
+    return keys[by], n[by]
+
+
+def _weights(sketches: np.ndarray, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What each document counts: ONE, or its part of the largest group that shares a sketch with it."""
+    if not len(keys):
+        return np.full(len(sketches), ONE, dtype=np.int64)
+    at = np.minimum(np.searchsorted(keys, sketches), len(keys) - 1)
+    return np.ceil(ONE / np.where(keys[at] == sketches, n[at], 1).max(axis=1)).astype(np.int64)
+
+
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, at = np.unique(np.concatenate(keys), return_inverse=True)
     return k, np.bincount(at, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)
@@ -65,38 +116,52 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
     """Sorted hashes of the words in the band of document frequency."""
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
     parts = max(1, -(-(size or 0) // PART_BYTES))
+    text = docs.select(F.col(text_col).alias("text"))
+    lo = max(2, int(np.ceil(low * n)))
+    shared = docs.sparkSession.sparkContext.broadcast(_shared(text, lo))
 
     def send(batches):
-        keys, counts, held = [], [], 0
+        keys, counts, light, held = [], [], [], 0
 
         def flush():
             if keys:
-                for part, blob, (c,) in cut(*(lambda k, c: (k, [c]))(*_totals(keys, counts)), parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([c], pa.binary())], names=["part", "keys", "counts"])
+                k, c = _totals(keys, counts)
+                _, v = _totals(keys, light)
+                for part, blob, (x, y) in cut(k, [c, v], parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=["part", "keys", "counts", "light"])
                 keys.clear()
                 counts.clear()
+                light.clear()
 
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                h, _ = _distinct(data, offsets)
-                k, c = np.unique(h, return_counts=True)
+                h, d = _distinct(data, offsets)
+                k, at, c = np.unique(h, return_inverse=True, return_counts=True)
                 keys.append(k)
                 counts.append(c)
+                missing = ONE - _weights(_sketches(data, offsets), *shared.value)  # 0 but for documents of shared sketches
+                light.append(np.bincount(at, weights=missing[d], minlength=len(k)).astype(np.int64))
                 held += len(k)
                 if held > HELD:
                     yield from flush()
                     held = 0
         yield from flush()
 
-    lo, hi = max(2, int(np.ceil(low * n))), max(2, int(high * n))
-
     def merge(table: pa.Table) -> pa.Table:
         keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
         k, c = _totals(keys, [unpack_counts(x, len(y)) for x, y in zip(table["counts"].to_pylist(), keys, strict=True)])
-        band = (c >= lo) & (c <= hi)
+        _, v = _totals(keys, [unpack_counts(x, len(y)) for x, y in zip(table["light"].to_pylist(), keys, strict=True)])
+        band = (c >= lo) & (c - v / ONE <= hi)
         return pa.table({"word": pa.array(k[band].view(np.int64)), "df": pa.array(c[band])})
 
-    sent = docs.select(F.col(text_col).alias("text")).mapInArrow(send, "part int, keys binary, counts binary")
+    def weigh(batches):
+        for batch in batches:
+            for _, _, data, offsets in slices(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array([int(_weights(_sketches(data, offsets), *shared.value).sum())])], names=["weight"])
+
+    weight = text.mapInArrow(weigh, "weight bigint").agg(F.sum("weight")).first()[0] if len(shared.value[0]) else n * ONE
+    hi = max(2, int(high * (weight or 0) / ONE))
+    sent = text.mapInArrow(send, "part int, keys binary, counts binary, light binary")
     band = checkpoint(sent.groupBy("part").applyInArrow(merge, "word bigint, df bigint"), "lexicon")
     if band.count() > most:
         band = band.orderBy(F.desc("df"), "word").limit(most)
@@ -107,10 +172,12 @@ def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> np.ndarr
     """Subset hashes (a byte, 0 for an empty subset) of each document: documents x LEVELS * DRAWS."""
     h, d = _distinct(data, offsets)
     out = np.zeros((len(offsets) - 1, LEVELS * DRAWS), dtype=np.uint8)
-    if not len(known) or not len(h):
+    if not len(h):
         return out
-    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    mine = known[at] == h
+    mine = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), dtype=bool)
+    bare = np.ones(len(out), dtype=bool)
+    bare[d[mine]] = False
+    mine |= bare[d]  # a document without lexicon words uses all its words
     h, d = h[mine], d[mine]
     by = np.argsort(d, kind="stable")  # documents in order, their words by hash
     for draw in range(DRAWS):
@@ -128,7 +195,7 @@ def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> np.ndarr
 
 
 def _spelled(marks: np.ndarray, texts: list[bytes]) -> list[str]:
-    """Two hex digits a subset; the digest for a text without lexicon words."""
+    """Two hex digits a subset; the digest for a text without words."""
     hexed = marks.tobytes().hex()
     width = 2 * marks.shape[1]
     empty = ~marks.any(axis=1)
