@@ -72,3 +72,16 @@ def test_near_copies_of_a_third_of_all_rows(spark):
     assert np.mean([got[k].near_edited for k in range(102, 300)]) > 0.2
     bare = {r.doc_id: r for r in run(spark, [(k, f"a b c d e f g h i j k l m n o p q{k}") for k in range(20)])}
     assert np.mean([bare[k].near_next for k in range(1, 20)]) > 0.4
+
+
+def test_half_edit_of_over_ten_thousand_lexicon_words(spark):
+    """The likeness of an edited text does not fall with its length."""
+    rng = random.Random(6)
+    data = [(k, f"short{k} text{k}") for k in range(100, 140)]
+    for k in range(6):
+        words = [f"d{k}w{j}" for j in range(11_000)]
+        data.append((50 - k, " ".join(words)))
+        data.append((10 - k, " ".join(rng.sample(words, len(words)))))  # puts the words into the band
+    got = {r.doc_id: r for r in run(spark, data)}
+    assert np.mean([got[50 - k].near_edited for k in range(5)]) > 0.12
+    assert max(got[50 - k].near_next for k in range(5)) < 0.05

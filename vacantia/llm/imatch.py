@@ -2,8 +2,8 @@
 
 The lexicon holds the words whose document frequency lies in a band.  A document
 keeps its distinct lexicon words in order of their hashes, and hashes the words that
-fall into each of ``LEVELS`` x ``DRAWS`` random subsets of the lexicon; level l keeps a
-2**-l part of it.  Sparse subsets survive an edit that leaves
+fall into each of levels x ``DRAWS`` random subsets of the lexicon; level l keeps a
+2**-l part of it, and there are as many levels as leave the largest document less than one word on average (``LEVELS`` at least).  Sparse subsets survive an edit that leaves
 their few words alone, so the share of equal subset hashes says how much two
 documents share; equal texts agree in all.
 
@@ -112,8 +112,13 @@ def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return k, np.bincount(at, weights=np.concatenate(counts), minlength=len(k)).astype(np.int64)
 
 
-def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH, most: int = MOST) -> np.ndarray:
+def lexicon(docs: DataFrame, **options) -> np.ndarray:
     """Sorted hashes of the words in the band of document frequency."""
+    return _lexicon(docs, **options)[0]
+
+
+def _lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH, most: int = MOST) -> tuple[np.ndarray, int]:
+    """The lexicon, and the most distinct words of a document."""
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
     parts = max(1, -(-(size or 0) // PART_BYTES))
     text = docs.select(F.col(text_col).alias("text"))
@@ -121,14 +126,14 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
     shared = docs.sparkSession.sparkContext.broadcast(_shared(text, lo))
 
     def send(batches):
-        keys, counts, light, held = [], [], [], 0
+        keys, counts, light, held, widest = [], [], [], 0, 0
 
         def flush():
             if keys:
                 k, c = _totals(keys, counts)
                 _, v = _totals(keys, light)
                 for part, blob, (x, y) in cut(k, [c, v], parts):
-                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], names=["part", "keys", "counts", "light"])
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([blob], pa.binary()), pa.array([x], pa.binary()), pa.array([y], pa.binary()), pa.array([widest])], names=["part", "keys", "counts", "light", "widest"])
                 keys.clear()
                 counts.clear()
                 light.clear()
@@ -139,6 +144,7 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
                 k, at, c = np.unique(h, return_inverse=True, return_counts=True)
                 keys.append(k)
                 counts.append(c)
+                widest = max(widest, int(np.bincount(d).max(initial=0)))
                 missing = ONE - _weights(_sketches(data, offsets), *shared.value)  # 0 but for documents of shared sketches
                 light.append(np.bincount(at, weights=missing[d], minlength=len(k)).astype(np.int64))
                 held += len(k)
@@ -152,7 +158,8 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
         k, c = _totals(keys, [unpack_counts(x, len(y)) for x, y in zip(table["counts"].to_pylist(), keys, strict=True)])
         _, v = _totals(keys, [unpack_counts(x, len(y)) for x, y in zip(table["light"].to_pylist(), keys, strict=True)])
         band = (c >= lo) & (c - v / ONE <= hi)
-        return pa.table({"word": pa.array(k[band].view(np.int64)), "df": pa.array(c[band])})
+        widest = max(table["widest"].to_pylist())  # in a row without a word
+        return pa.table({"word": pa.array([*k[band].view(np.int64).tolist(), None], pa.int64()), "df": pa.array([*c[band].tolist(), widest], pa.int64())})
 
     def weigh(batches):
         for batch in batches:
@@ -161,17 +168,19 @@ def lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
 
     weight = text.mapInArrow(weigh, "weight bigint").agg(F.sum("weight")).first()[0] if len(shared.value[0]) else n * ONE
     hi = max(2, int(high * (weight or 0) / ONE))
-    sent = text.mapInArrow(send, "part int, keys binary, counts binary, light binary")
-    band = checkpoint(sent.groupBy("part").applyInArrow(merge, "word bigint, df bigint"), "lexicon")
+    sent = text.mapInArrow(send, "part int, keys binary, counts binary, light binary, widest bigint")
+    merged = checkpoint(sent.groupBy("part").applyInArrow(merge, "word bigint, df bigint"), "lexicon")
+    widest = merged.filter("word is null").agg(F.max("df")).first()[0] or 0
+    band = merged.filter("word is not null")
     if band.count() > most:
         band = band.orderBy(F.desc("df"), "word").limit(most)
-    return np.sort(band.select("word").toArrow()["word"].to_numpy().view(np.uint64))
+    return np.sort(band.select("word").toArrow()["word"].to_numpy().view(np.uint64)), widest
 
 
-def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Subset hashes (a byte, 0 for an empty subset) of each document: documents x LEVELS * DRAWS."""
+def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, levels: int) -> np.ndarray:
+    """Subset hashes (a byte, 0 for an empty subset) of each document: documents x levels * DRAWS."""
     h, d = _distinct(data, offsets)
-    out = np.zeros((len(offsets) - 1, LEVELS * DRAWS), dtype=np.uint8)
+    out = np.zeros((len(offsets) - 1, levels * DRAWS), dtype=np.uint8)
     if not len(h):
         return out
     mine = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), dtype=bool)
@@ -183,7 +192,7 @@ def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray) -> np.ndarr
     for draw in range(DRAWS):
         words_, owner = h[by], d[by]
         x = mix(words_ ^ _SALTS[draw])
-        for level in range(LEVELS):
+        for level in range(levels):
             inside = x < U64((1 << 64 >> level) - 1)
             x, owner = x[inside], owner[inside]  # a level's subset lies within the level's before
             if not len(x):
@@ -204,7 +213,7 @@ def _spelled(marks: np.ndarray, texts: list[bytes]) -> list[str]:
 
 def _likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Share of equal subset hashes on sparse levels; 1 for equal fingerprints."""
-    a, b = a.reshape(len(a), LEVELS, DRAWS), b.reshape(len(b), LEVELS, DRAWS)
+    a, b = a.reshape(len(a), a.shape[1] // DRAWS, DRAWS), b.reshape(len(b), b.shape[1] // DRAWS, DRAWS)
     some = (a > 0) | (b > 0)
     sparse = some.sum(axis=2) <= SPARSE
     sparse[:, -1] = True
@@ -223,11 +232,11 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _rows(ids: list, texts: list[str], known: np.ndarray) -> dict:
+def _rows(ids: list, texts: list[str], known: np.ndarray, levels: int) -> dict:
     """Results of all documents but the last, each with its successor in the list."""
     raw = [t.encode() for t in texts]
     cut_ = [edited(a, b).encode() for a, b in zip(texts[:-1], texts[1:], strict=True)]
-    own, other = _marks(*_arrow(raw), known), _marks(*_arrow(cut_), known)
+    own, other = _marks(*_arrow(raw), known, levels), _marks(*_arrow(cut_), known, levels)
     a, b = _spelled(own, raw), _spelled(other, cut_)
     n = len(cut_)
     return {
@@ -254,7 +263,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     the first document of the next partition.
     """
     sc = docs.sparkSession.sparkContext
-    known = sc.broadcast(lexicon(docs, text_col=text_col))
+    lexicon_, widest = _lexicon(docs, text_col=text_col)
+    known, levels = sc.broadcast(lexicon_), max(LEVELS, widest.bit_length() + 1)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
     order = F.col("id").desc_nulls_last()
@@ -269,7 +279,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 ids += batch.column(0).slice(lo, hi - lo).to_pylist()
                 texts += body.slice(lo, hi - lo).to_pylist()
                 first = texts[0] if first is None else first
-                got = pa.table(_rows(ids, texts, known.value), schema=_RESULT)
+                got = pa.table(_rows(ids, texts, known.value, levels), schema=_RESULT)
                 none = pa.nulls(len(got), pa.string())
                 yield from pa.Table.from_arrays([*got.columns, pa.nulls(len(got), pa.int32()), none, none], schema=_WIDE).to_batches()
                 ids, texts = ids[-1:], texts[-1:]
@@ -285,7 +295,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def finish(batches):
         for batch in batches:
             for i, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from pa.table(_rows([i, None], [a, b], known.value), schema=_RESULT).to_batches()
+                yield from pa.table(_rows([i, None], [a, b], known.value, levels), schema=_RESULT).to_batches()
 
     done = wide.filter("part is null").select("id", *_RESULT.names[1:])
     return done.unionByName(pairs.mapInArrow(finish, _DDL)).withColumnRenamed("id", id_col)
