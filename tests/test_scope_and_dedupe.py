@@ -169,3 +169,14 @@ def test_listed_locations(spark):
     got = [r.x.label if r.x else None for r in spark.createDataFrame(rows, f"t string, l {loc}").select(scope.listed_location(F.col("t"), F.col("l")).alias("x")).collect()]
     assert got == ["Wien", "München", None, "Köln", None]
     assert spark.range(1).select(scope.location_parts(F.lit("Bonn; Köln / Ulm|A/B")).alias("p")).first().p == ["Bonn", "Köln", "Ulm", "A/B"]
+
+
+def test_vector_topk_in_blocks_of_queries(spark, monkeypatch):
+    from vacantia.operators import search
+
+    items = spark.createDataFrame([(k, [float(k % 7), float(k % 5) - 2, 1.0]) for k in range(60)], "item long, v array<float>").repartition(3)
+    queries = items.filter("item % 3 = 0").withColumnRenamed("item", "query")
+    ask = lambda: sorted(map(tuple, search.vector_topk(items, queries, item="item", query="query", vector="v", k=4).collect()))
+    whole = ask()
+    monkeypatch.setattr(search, "MAX_QUERIES", 3)
+    assert len(whole) == 20 * 4 and ask() == whole

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,23 +53,24 @@ def visible(eligible: Column, score: Column, minimum: int, tracked: Column, by_m
 def vector_topk(items: DataFrame, queries: DataFrame, *, item: str, query: str, vector: str, k: int) -> DataFrame:
     """(query, item, distance, rank): the k nearest items of each query by cosine distance, then id.
 
-    Exact: every item meets the whole query set, which is read once a partition; each partition hands on only its own k best
-    of a query, so the shuffle holds partitions * k rows a query.
+    Exact: every item meets every query. Queries are taken in blocks of MAX_QUERIES at most on average (by a hash of the row), each read
+    once a partition; each partition hands on only its own k best of a query, so the shuffle holds partitions * k rows a query.
     """
     import numpy as np
     import pyarrow as pa
 
     asked = queries.select(F.col(query).alias("q"), F.col(vector).alias("v"))
-    if asked.count() > MAX_QUERIES:
-        raise ValueError(f"at most {MAX_QUERIES} query vectors at a time")
-    rows = asked.collect()
-    names = [r.q for r in rows]
-    q = np.array([r.v for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    held = items.sparkSession.sparkContext.broadcast((names, q))
-
-    def nearest(batches):
-        names, q = held.value
+    blocks = max(1, -(-asked.count() // MAX_QUERIES))
+
+    def block(number: int):
+        rows = asked.filter(F.pmod(F.xxhash64("q", "v"), F.lit(blocks)) == number).collect()
+        names = [r.q for r in rows]
+        q = np.array([r.v for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        held = items.sparkSession.sparkContext.broadcast((names, q))
+        return lambda batches: nearest(batches, *held.value)
+
+    def nearest(batches, names, q):
         ids, best = np.empty((len(names), 0), dtype=np.int64), np.empty((len(names), 0))
         for batch in batches:
             own = np.asarray(batch.column(0))
@@ -87,7 +89,8 @@ def vector_topk(items: DataFrame, queries: DataFrame, *, item: str, query: str,
 
     from vacantia.operators.relational import newest
 
-    found = items.filter(F.col(vector).isNotNull()).select(F.col(item).cast("bigint"), F.col(vector)).mapInArrow(nearest, "q bigint, item bigint, distance double")
+    rows = items.filter(F.col(vector).isNotNull()).select(F.col(item).cast("bigint"), F.col(vector))
+    found = reduce(DataFrame.unionByName, [rows.mapInArrow(block(k), "q bigint, item bigint, distance double") for k in range(blocks)])
     top = newest(found, ["q"], [F.col("distance"), F.col("item")], k)
     from pyspark.sql import Window
 
@@ -95,7 +98,7 @@ def vector_topk(items: DataFrame, queries: DataFrame, *, item: str, query: str,
     return top.withColumn("rank", rank).select(F.col("q").alias(query), F.col("item").alias(item), "distance", "rank")
 
 
-#: Query vectors broadcast at once (1.5 MB at 384 dimensions per 1,000).
+#: Query vectors broadcast at once on average (1.5 MB at 384 dimensions per 1,000).
 MAX_QUERIES = 10_000
 
 
