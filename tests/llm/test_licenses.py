@@ -40,3 +40,15 @@ def test_labels_and_score(spark):
     got = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
     assert [(r.labels, r.openness, r.score) for r in sorted(got)] == [("apache-2,mit", "permissive", 0.95), ("lgpl", "weak copyleft", 0.6), ("", None, 0.0), ("mit,proprietary", "restricted", 0.96)]
     assert L.scan_licenses(spark.createDataFrame([], "doc_id int, text string")).collect() == []
+
+
+def test_long_and_wrapped_expressions(spark):
+    long = "(" + " OR ".join(["BSD-3-Clause"] * 60) + ") AND (ISC OR MIT)"
+    texts = [
+        f"SPDX-License-Identifier: {long} AND Apache-2.0", "# SPDX-License-Identifier: (MIT OR\n#   Apache-2.0) AND ISC\n# Zlib", "/* SPDX-License-Identifier: (MIT\r\n *\n * AND GPL-2.0) */",
+        "SPDX-License-Identifier: (MIT OR\n */\nGPL-2.0 and", "SPDX-License-Identifier: (MIT OR Apache-2.0\nand some words", "SPDX-License-Identifier: MIT\nOR GPL-2.0", "SPDX-License-Identifier: ((MIT OR ISC)\nAND (Zlib OR\nBSD-2-Clause))",
+    ]
+    got = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r.labels, r.openness) for r in sorted(got)] == [
+        ("apache-2,bsd,isc,mit", "permissive"), ("apache-2,isc,mit", "permissive"), ("gpl,mit", "copyleft"), ("mit", "permissive"), ("apache-2,mit", "permissive"), ("mit", "permissive"), ("bsd,isc,mit,zlib", "permissive"),
+    ]

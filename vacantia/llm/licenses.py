@@ -51,14 +51,25 @@ CLASSES = ("restricted", "copyleft", "weak copyleft", "permissive")
 CONFIDENCE = {"tag": 0.95, "base": 0.9, "notice": 0.6}
 PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+-]*)")
-#: Bytes after a tag in which its expression must end.
-EXPRESSION_BYTES = 400
+#: A line break, and the comment mark that the next line may begin with.
+_BREAK = re.compile(r"(?:[ \t\r]*\n[ \t]*(?:/{2,}!?|#+|;+|--+|%+|!+|\*+(?!/))?)+")
+_LEAD = re.compile(r"[ \t:=\"']*")
 
 
-def tokens(text: str) -> list[str]:
-    """The longest grammatical run of operands, operators and parentheses at the beginning of a line."""
-    out, at, depth, operand = [], 0, 0, True
-    while m := _TOKEN.match(text, at):
+def tokens(text: str, at: int = 0, stop: int | None = None) -> list[str]:
+    """The longest grammatical run of operands, operators and parentheses at the beginning of text[at:stop].
+
+    It goes on over line breaks while a parenthesis is open; if that is never closed, it ends with its first line.
+    """
+    out, depth, operand, line = [], 0, True, None
+    stop = len(text) if stop is None else stop
+    while True:
+        m = _TOKEN.match(text, at, stop)
+        if not m and depth and (over := _BREAK.match(text, at, stop)):
+            line = len(out) if line is None else line
+            m = _TOKEN.match(text, over.end(), stop)
+        if not m:
+            break
         t = m[1]
         if t == "(":
             if not operand:
@@ -78,6 +89,11 @@ def tokens(text: str) -> list[str]:
             operand = False
         out.append(t)
         at = m.end()
+        if not depth:
+            line = None  # lines within closed parentheses stay
+    if line is not None:
+        out = out[:line]
+        depth = out.count("(") - out.count(")")
     while out and (out[-1] == "(" or out[-1].lower() in PRECEDENCE):
         depth -= out.pop() == "("
     return out + [")"] * depth
@@ -150,7 +166,7 @@ def _scan(automaton, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     source = np.repeat(w.starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
     body = data[source]
     joined[inner] = np.where((body >= 65) & (body <= 90), body + 32, body)
-    base, found = {}, {}
+    base, found, text = {}, {}, None
     for end, (size, count, kinds) in automaton.iter(joined.tobytes().decode("latin-1")):
         k = int(np.searchsorted(head, end - size + 2))
         d = int(owner[k])
@@ -159,9 +175,9 @@ def _scan(automaton, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
                 base.setdefault(d, []).append((k - int(w.first[d]), label))
             if kind == "tag":
                 at = int(w.ends[k + count - 1])
-                stop = min(int(offsets[d + 1]), at + EXPRESSION_BYTES)
-                line = data[at:stop].tobytes().split(b"\n")[0].decode("utf-8", "replace").lstrip(" \t:=\"'")
-                value = evaluate(to_rpn(tokens(line)))
+                stop = int(offsets[d + 1])
+                text = data.tobytes().decode("latin-1") if text is None else text  # a character a byte: tokens are ASCII
+                value = evaluate(to_rpn(tokens(text, _LEAD.match(text, at, stop).end(), stop)))
                 if value and value[0]:
                     found.setdefault(d, []).append(("tag", *value))
             else:
