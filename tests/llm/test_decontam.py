@@ -67,3 +67,14 @@ def test_proximity(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, "the rare of")], "item_id long, text string")
     got = {r.doc_id: r["items"] for r in decontam.proximity(d, b, slop=6).collect()}
     assert got == {1: ["5"], 2: [], 3: [], 4: []}
+
+
+def test_items_without_id_count(spark, monkeypatch):
+    """As in the query's SQL: their windows hit, together they are one item, and they have no name."""
+    docs, items = [(1, "see the lazy dog run"), (2, "a lazy dog or a quick fox"), (3, "nothing")], [(None, "lazy dog"), (None, "dog run"), (4, "quick fox")]
+    want = [(1, 5, 3, [None]), (2, 7, 4, ["4", None]), (3, 1, 0, [])]
+    assert run(spark, docs, items) == want
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 9)
+    assert run(spark, docs, items) == want
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontam.proximity(d, b).collect()} == {1: [None], 2: ["4", None], 3: []}

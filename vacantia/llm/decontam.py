@@ -11,7 +11,8 @@ Test items are taken in blocks of at most ``BLOCK_BYTES`` of text on average (by
 the item), so what is broadcast is bounded however large the benchmark is.
 
 Defined cases: null and empty texts have no words, no hits, and items without
-words match nothing; an item of fewer than ``width`` words is one window; equal
+words match nothing; items with a null id hit and contaminate like others, count as one item together in ``n_items``,
+stand as one null at the end of ``items``, and are no part of the joined ids; an item of fewer than ``width`` words is one window; equal
 rows each get their row; columns other than the named ones are ignored.
 """
 
@@ -53,7 +54,7 @@ class Phrases:
             elif b > a:
                 rows.append(np.concatenate([number[a:b], np.full(width - (b - a), -1)])[None, :])
                 owner.append(np.array([k]))
-        self.names = [str(x) for x in items]
+        self.names = [None if x is None else str(x) for x in items]
         self.terms = np.concatenate(rows) if rows else np.empty((0, width), dtype=np.int64)
         self.owner = np.concatenate(owner) if owner else np.empty(0, dtype=np.int64)
         self.length = (self.terms >= 0).sum(axis=1)
@@ -189,13 +190,13 @@ def _near_searcher(held, gap: int, slop: int):
                         ok &= (term < 0) | ((at < len(postings)) & (found <= ((term << 32) | hi)))
                     for d, k in np.unique(np.stack([doc[ok], phrases.owner[win[ok]]], axis=1), axis=0):
                         items[d].append(phrases.names[k])
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], pa.int64()), pa.array([sorted(set(x), key=lambda y: (y is None, y or "")) for x in items], pa.list_(pa.string()))], names=["id", "items"])
 
     return search
 
 
 def _blocks(tests: DataFrame, item_col: str, text_col: str, width: int) -> Iterator[Phrases]:
-    items = tests.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null")
+    items = tests.select(F.col(item_col).alias("item"), F.col(text_col).alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // BLOCK_BYTES))
     for k in range(count):
