@@ -55,3 +55,18 @@ def test_labelled_junk_does_not_lift_the_limit(spark):
         got = {r.doc_id: r for r in langid.identify(df, langid.learn(df)).collect()}
         assert got[9100].lang_pred == "xx" and got[9100].rejected
         assert not got[9101].rejected and not any(got[i].rejected for i, _, lang in rows() if lang and i < 9000)
+
+
+def test_rare_scripts_keep_their_letters(spark):
+    """Two languages of one script stay apart, however many letters the others use up."""
+    rng = random.Random(7)
+    common = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 80))
+    words = {"zh": common, "el": "αβγδεζηθικλμ", "he": "אבגדהוזחטיכל", "hy": "աբգդեզէըթժիլ", "ja": "ぁあぃいぅうぇえぉおかが"}
+    data = []
+    for k in range(600):
+        lang = "zh" if k < 400 else rng.choice(["el", "he", "hy", "ja"])
+        data.append((k, " ".join("".join(rng.choice(words[lang]) for _ in range(4)) for _ in range(25)), lang))
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(df, langid.learn(df)).collect() if r.held_out}
+    assert {lang for i, _, lang in data if i in got} == set(words)
+    assert all(got[i].lang_pred == lang for i, _, lang in data if i in got)

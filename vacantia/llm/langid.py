@@ -7,9 +7,9 @@ each symbol.  The entropies of a calibration fold under their label's model give
 median and spread (from the median absolute deviation), counted over all rows of the label, so odd
 labelled rows do not move the limit, nor does the number of rows.
 
-Symbols are the 61 most frequent letters of the fitting texts (lower-cased), one for any
-other letter, and one for a run of anything else, so a model has at most 64**3 trigrams
-whatever the corpus.
+Symbols are all letters of the fitting texts (lower-cased), one for any letter not among them, and one for
+a run of anything else.  A model holds the distinct trigrams seen, so it grows with the scripts of its
+language (tens of thousands for an alphabet, more for Chinese), hardly with the documents.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and is
 rejected; so is every text if no labelled text has a letter; ties go to the first language in order; null ids count as
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from vacantia.llm._text import U64, mix, slices
 
-LETTERS, OTHER = 61, 62
-SIZE = 64
+#: Distinct n-grams that a counting task, or a worker's table of looked-up trigrams, holds at once.
+HELD = 2_000_000
 #: Folds of crc32(id as text): 0 is held out, 1 calibrates, the others fit.
 HELD_OUT, CALIBRATES, FOLDS = 0, 1, 5
 #: A doubt of so many symbols at most: longer texts differ among themselves, not by chance alone.
@@ -58,19 +58,24 @@ def _code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.cumsum([0, *map(len, texts)])
 
 
+def _size(alphabet: np.ndarray) -> int:
+    """Symbols of an alphabet; its last is that of letters it does not have.  At most 2**21, so trigrams fit 63 bits."""
+    return int(alphabet.max()) + 1
+
+
 def _trigrams(data: np.ndarray, offsets: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Trigram of each symbol after a text's start, the texts' bounds in these, and the letters in each text."""
     points, bounds = _code_points(data, offsets)
-    symbol = alphabet[points]
+    symbol, size = alphabet[points], _size(alphabet)
     letters = np.add.reduceat((symbol > 0).astype(np.int64), bounds[:-1]) if len(points) else np.zeros(len(offsets) - 1, dtype=np.int64)
     keep = np.ones(len(symbol), dtype=bool)
     keep[1:] = (symbol[1:] > 0) | (symbol[:-1] > 0)
     keep[bounds[:-1]] = keep[bounds[:-1] + 1] = True  # the start
     at = np.cumsum(keep)
-    s = symbol[keep].astype(np.int32)
+    s = symbol[keep].astype(np.int64)
     first = at[bounds[:-1]] - 1
-    gram = np.zeros(len(s), dtype=np.int32)
-    gram[2:] = s[:-2] * (SIZE * SIZE) + s[1:-1] * SIZE + s[2:]
+    gram = np.zeros(len(s), dtype=np.int64)
+    gram[2:] = (s[:-2] * size + s[1:-1]) * size + s[2:]
     real = np.ones(len(s), dtype=bool)
     real[first] = real[first + 1] = False
     ends = np.append(first[1:], len(s))
@@ -106,35 +111,34 @@ def _discount(counts: np.ndarray) -> float:
 class KneserNey:
     """One language's interpolated model from trigram counts."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        c3 = np.zeros(SIZE**3)
-        c3[grams] = counts
-        c3 = c3.reshape(SIZE, SIZE, SIZE)
-        after2 = (c3 > 0).sum(axis=0).astype(float)  # how many symbols stand before each pair
-        after1 = (after2 > 0).sum(axis=0).astype(float)
-        d1, d2, d3 = _discount(after1), _discount(after2[after2 > 0]), _discount(c3[c3 > 0])
-        p1 = (np.maximum(after1 - d1, 0) + d1 * (after1 > 0).sum() / SIZE) / max(after1.sum(), 1)
-        if not after1.sum():
-            p1 = np.full(SIZE, 1 / SIZE)
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, size: int = 64):
+        self.size = size
+        by = np.argsort(grams)
+        grams, c3 = grams[by].astype(np.int64), counts[by].astype(float)
+        pairs, after2 = np.unique(grams % (size * size), return_counts=True)  # how many symbols stand before each pair
+        ones, after1 = np.unique(pairs % size, return_counts=True)
+        d1, d2, d3 = _discount(after1), _discount(after2), _discount(c3)
+        p1 = np.full(size, d1 * len(ones) / size / max(after1.sum(), 1) if len(ones) else 1 / size)
+        p1[ones] += (after1 - d1) / max(after1.sum(), 1)
         self.one = np.log(p1)
-        t2 = after2.sum(axis=1)
-        g2 = np.where(t2 > 0, d2 * (after2 > 0).sum(axis=1) / np.maximum(t2, 1), 1.0)
-        p2 = np.maximum(after2 - d2, 0) / np.maximum(t2, 1)[:, None] + g2[:, None] * p1
-        t3 = c3.sum(axis=2)
-        g3 = np.where(t3 > 0, d3 * (c3 > 0).sum(axis=2) / np.maximum(t3, 1), 1.0)
-        p3 = np.maximum(c3 - d3, 0) / np.maximum(t3, 1)[:, :, None] + g3[:, :, None] * p2
-        pairs, triples = np.flatnonzero(after2), np.flatnonzero(c3)
-        self.three = Table(triples, 3, np.log(p3.reshape(-1)[triples]))
-        self.two = Table(pairs, 2, np.log(p2.reshape(-1)[pairs]))
-        c2, c1 = np.flatnonzero(t3), np.flatnonzero(t2)
-        self.back3, self.back2 = Table(c2, 2, np.log(g3.reshape(-1)[c2])), Table(c1, 1, np.log(g2[c1]))
+        c1, at2, n2 = np.unique(pairs // size, return_inverse=True, return_counts=True)
+        t2 = np.bincount(at2, weights=after2, minlength=len(c1))
+        g2 = d2 * n2 / t2
+        p2 = (after2 - d2) / t2[at2] + g2[at2] * p1[pairs % size]
+        c2, at3, n3 = np.unique(grams // size, return_inverse=True, return_counts=True)
+        t3 = np.bincount(at3, weights=c3, minlength=len(c2))
+        g3 = d3 * n3 / t3
+        p3 = (c3 - d3) / t3[at3] + g3[at3] * p2[np.searchsorted(pairs, grams % (size * size))]
+        self.three, self.two = Table(grams, 3, np.log(p3)), Table(pairs, 2, np.log(p2))
+        self.back3, self.back2 = Table(c2, 2, np.log(g3)), Table(c1, 1, np.log(g2))
 
     def log_p(self, gram: np.ndarray) -> np.ndarray:
-        pair = gram % (SIZE * SIZE)
+        size = self.size
+        pair = gram % (size * size)
         lower = self.two.get(pair, np.nan)
-        lower = np.where(np.isnan(lower), self.back2.get(pair // SIZE, 0.0) + self.one[pair % SIZE], lower)
+        lower = np.where(np.isnan(lower), self.back2.get(pair // size, 0.0) + self.one[pair % size], lower)
         full = self.three.get(gram, np.nan)
-        return np.where(np.isnan(full), self.back3.get(gram // SIZE, 0.0) + lower, full)
+        return np.where(np.isnan(full), self.back3.get(gram // size, 0.0) + lower, full)
 
 
 class Model:
@@ -150,18 +154,20 @@ class Model:
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy (nats a symbol) of each text under each language, symbols, and letters."""
         gram, bounds, letters = _trigrams(data, offsets, self.alphabet)
-        if not hasattr(self, "_seen"):
-            self._seen, self._log_p = np.zeros(SIZE**3, dtype=bool), np.zeros((len(self.langs), SIZE**3), dtype=np.float32)
-        new = np.flatnonzero((np.bincount(gram, minlength=SIZE**3) > 0) & ~self._seen)
+        distinct, at = np.unique(gram, return_inverse=True)
+        if not hasattr(self, "_seen") or len(self._seen) * max(1, len(self.langs)) > HELD:
+            self._seen, self._log_p = np.empty(0, dtype=np.int64), np.empty((len(self.langs), 0), dtype=np.float32)
+        new = distinct[~np.isin(distinct, self._seen, assume_unique=True)]
         if len(new):
-            for k, m in enumerate(self.models):
-                self._log_p[k, new] = m.log_p(new)
-            self._seen[new] = True
+            seen, more = np.concatenate([self._seen, new]), [m.log_p(new) for m in self.models]
+            by = np.argsort(seen)
+            self._seen, self._log_p = seen[by], np.concatenate([self._log_p, np.array(more, dtype=np.float32).reshape(len(self.langs), len(new))], axis=1)[:, by]
+        log_p = self._log_p[:, np.searchsorted(self._seen, distinct)]
         n = np.diff(bounds)
         out = np.zeros((len(self.langs), len(n)))
         full = np.flatnonzero(n)
         for k in range(len(self.langs) if len(full) else 0):
-            out[k, full] = -np.add.reduceat(self._log_p[k][gram].astype(np.float64), bounds[full]) / n[full]
+            out[k, full] = -np.add.reduceat(log_p[k][at].astype(np.float64), bounds[full]) / n[full]
         return out, n, letters
 
     def deviation(self, lang: np.ndarray, entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -179,35 +185,49 @@ class Model:
         return ["und" if z else self.langs[k] for k, z in zip(best, none, strict=True)], np.where(none, 0.0, score), rejected
 
 
-def _sum_by(batches: Iterator[pa.RecordBatch], key_size: int, index, langs: bool):
+def _sum_by(batches: Iterator[pa.RecordBatch], index, langs: bool):
     """Partial counts of one task: (lang, key, n), from index(data, offsets) -> (keys, bounds)."""
-    totals: dict[str, np.ndarray] = {}
+    totals: dict[str, list] = {}
+    held = 0
+
+    def summed(lang):
+        keys, counts = (np.concatenate(x) for x in zip(*totals[lang], strict=True))
+        key, at = np.unique(keys, return_inverse=True)
+        return key, np.bincount(at, weights=counts, minlength=len(key)).astype(np.int64)
+
+    def flush():
+        for lang in totals:
+            key, n = summed(lang)
+            for a in range(0, len(key), 100_000):
+                part = key[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.astype(np.int64)), pa.array(n[a : a + 100_000])], names=["lang", "key", "n"])
+        totals.clear()
+
     for batch in batches:
         names = batch.column(1).to_pylist() if langs else None
         for lo, hi, data, offsets in slices(batch.column(0)):
             keys, bounds = index(data, offsets)
-            if names is None:
-                totals.setdefault("", np.zeros(key_size, dtype=np.int64))
-                totals[""] += np.bincount(keys, minlength=key_size)
-                continue
-            owner = np.repeat(np.arange(hi - lo), np.diff(bounds))
-            own = names[lo:hi]
+            own = names[lo:hi] if langs else [""]
+            owner = np.repeat(np.arange(hi - lo), np.diff(bounds)) if langs else np.zeros(len(keys), dtype=np.int64)
             for lang in dict.fromkeys(own):
-                mine = np.array([x == lang for x in own])
-                totals.setdefault(lang, np.zeros(key_size, dtype=np.int64))
-                totals[lang] += np.bincount(keys[mine[owner]], minlength=key_size)
-    for lang, n in totals.items():
-        at = np.flatnonzero(n)
-        for a in range(0, len(at), 100_000):
-            part = at[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part.astype(np.int64)), pa.array(n[part])], names=["lang", "key", "n"])
+                found = np.unique(keys[np.array([x == lang for x in own])[owner]], return_counts=True)
+                totals.setdefault(lang, []).append(found)
+                held += len(found[0])
+            if held > HELD:
+                for lang in totals:
+                    totals[lang] = [summed(lang)]
+                held = sum(len(x[0][0]) for x in totals.values())
+                if held > HELD // 2:
+                    yield from flush()
+                    held = 0
+    yield from flush()
 
 
 _COUNTS = "lang string, key bigint, n bigint"
 
 
 def _gathered(text: DataFrame, job) -> pa.Table:
-    """Counts summed over all tasks: at most languages x keys rows, not more with more documents."""
+    """Counts summed over all tasks: one row for each distinct key of a language."""
     return text.mapInArrow(job, _COUNTS).groupBy("lang", "key").agg(F.sum("n").alias("n")).toArrow()
 
 
@@ -222,20 +242,19 @@ def learn(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             p, _ = _code_points(data, offsets)
             return p[_is_letter()[p]], None
 
-        yield from _sum_by(batches, 0x110000, letters, False)
+        yield from _sum_by(batches, letters, False)
 
     seen = _gathered(fitting.select("text"), points)
-    n, key = seen["n"].to_numpy(), seen["key"].to_numpy()
-    top = key[np.lexsort((key, -n))][:LETTERS]
-    alphabet = np.where(_is_letter(), OTHER, 0).astype(np.uint8)
-    alphabet[np.sort(top)] = np.arange(1, len(top) + 1)
+    key = np.sort(seen["key"].to_numpy())
+    alphabet = np.where(_is_letter(), len(key) + 1, 0).astype(np.int32)
+    alphabet[key] = np.arange(1, len(key) + 1)
 
     def grams(batches):
-        yield from _sum_by(batches, SIZE**3, lambda d, o: _trigrams(d, o, alphabet)[:2], True)
+        yield from _sum_by(batches, lambda d, o: _trigrams(d, o, alphabet)[:2], True)
 
     counted = _gathered(fitting, grams)
     names = np.array(counted["lang"].to_pylist(), dtype=object)
-    model = Model(alphabet, {x: KneserNey(counted["key"].to_numpy()[names == x], counted["n"].to_numpy()[names == x]) for x in dict.fromkeys(names)})
+    model = Model(alphabet, {x: KneserNey(counted["key"].to_numpy()[names == x], counted["n"].to_numpy()[names == x], _size(alphabet)) for x in dict.fromkeys(names)})
     if model.langs:
         _calibrate(model, text.filter(F.col("fold") == CALIBRATES).drop("fold"))
     return model
@@ -279,7 +298,7 @@ def _calibrate(model: Model, text: DataFrame) -> None:
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, held_out, lang_pred, score, rejected) for each row, and the columns named in ``keep``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by its alphabet: 64**3 trigrams a language
+    held = docs.sparkSession.sparkContext.broadcast(model)  # the distinct trigrams of each language
     rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("__id"), (fold(F.col(id_col)) == HELD_OUT).alias("held_out"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
 
     def predict(batches):
