@@ -51,3 +51,18 @@ def test_mask(spark):
     df = spark.createDataFrame([("é a@b.co, 1.1.1.1!", 1), (None, 2), ("+4465758382889437, +1 (663) 555-6869 9 end", 3), ("clean", 4)], "text string, doc_id int")
     assert [r.text for r in pii.mask_pii(df).collect()] == ["é [EMAIL], [IP]!", None, "+[CARD], [PHONE] end", "clean"]
     assert pii.find_pii(df.limit(0)).collect() == []
+
+
+def test_many_matches(spark):
+    """More matches than a block of the walk holds, in texts longer than a piece; masks agree with a plain loop."""
+    texts = ["é " + " ".join(f"u{k}@x.org 10.0.{k % 300}.1" for k in range(3000)), "x" * 5000 + " a@b.co " + "y" * 5000 + " 1.1.1.1", "𝒳" * 4095 + " a@b.co", 'token = "' + "ab12" * 10 + '" end']
+    rows = pii.mask_pii(pii.find_pii(spark.createDataFrame([(t, t) for t in texts], "raw string, text string"))).collect()
+    for r in rows:
+        want = base(r.raw)
+        assert [f"{x.kind}:{x.s}:{x.e}" for x in r.pii if x.r < 4] == want
+        at, out = 0, ""
+        for x in r.pii:
+            assert r.raw[x.s : x.e] == x.m
+            out, at = (out + r.raw[at : x.s] + f"[{x.kind.upper()}]", x.e) if x.s >= at else (out, max(at, x.e))
+        assert r.text == out + r.raw[at:]
+    assert rows[3].text == "[SECRET] end" and rows[3].pii[0].score == 0.9

@@ -29,7 +29,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents"))
     spans = F.col("pii")
     base = F.filter(spans, lambda x: x["r"] < 4)
-    return found.select("doc_id", *[pii.count_of(spans, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")], F.sha2(pii.spelled(base), 256).alias("base_sha256"), pii.spelled(spans).alias("spans"))
+    return found.select("doc_id", *[pii.count_of(spans, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")], F.sha2(pii.spelled(base), 256).alias("base_sha256"), pii.spelled(spans).alias("spans"), F.size(spans).cast("bigint").alias("n_spans"))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +124,7 @@ _KINDS_SQL = (
     ("card", r"[0-9](?:[\x20-]?[0-9])+", _LUHN_SQL),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)\b", _MOD97_SQL),
+    ("secret", r'(?:token|secret|key|password) ?[=:] ?"[A-Za-z0-9+/_=-]{16,}"', "true"),
     ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", _SSN_SQL),
 )
 _OP3 = (
@@ -133,9 +134,9 @@ _OP3 = (
     + " UNION ALL ".join(f"SELECT doc_id, kind, r, s, e FROM {k}_ok" for k, _, _ in _KINDS_SQL)
     + """),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
-      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) AS spans FROM a GROUP BY 1)
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (r < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) AS spans, count(*) AS n_spans FROM a GROUP BY 1)
 SELECT t.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN g USING (doc_id)"""
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0)::BIGINT AS n_spans FROM t LEFT JOIN g USING (doc_id)"""
 )
 
 _OP5 = rf"""
