@@ -23,7 +23,7 @@ def brute(rows):
     by = defaultdict(list)
     for i, text, source in rows:
         size = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-        u = (int(hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        u = (int(hashlib.md5(f"mix:{(hashlib.md5(text.encode()).hexdigest() if text is not None else '') if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
         q = max(0.1, 1 - abs(len(text) / size - 6) / 12) if size else 0.1
         by[source].append((-math.log(u) / q, i, size))
     t, out = targets({s: sum(x[2] for x in v) for s, v in by.items()}), []
@@ -61,6 +61,25 @@ def test_takes_come_near_targets(spark):
     assert all(abs(taken[s] - target[s]) <= 9 for s in target)
 
 
+def test_rows_without_ids_are_drawn_apart(spark):
+    """No one key for all rows without an id: about the budget is taken, not the first rows by size."""
+    r = [(None, f"w{k} " * (1 + k % 5), "a") for k in range(2000)] + [(k, "w " * 3, "b") for k in range(500)]
+    got = mix_sources(spark.createDataFrame(r, "doc_id long, text string, source string")).filter("source = 'a'").collect()
+    want = [x for x in brute(r) if x[2] == sum(1 + k % 5 for k in range(2000))]
+    assert sorted((x.size, x.taken) for x in got) == sorted((x[1], x[4]) for x in want)
+    assert len({x.size for x in got if x.taken}) == 5
+
+
+def test_edge_is_cut_again(spark, monkeypatch):
+    """With one cell for a whole source, the parts and the order within one part still give the same mix."""
+    from vacantia.llm import mixing
+
+    monkeypatch.setattr(mixing, "CELLS", 0.01)
+    monkeypatch.setattr(mixing, "PARTS", 64)
+    df = spark.createDataFrame(rows(), "doc_id long, text string, source string")
+    assert sorted(((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mix_sources(df).collect()), key=str) == brute(rows())
+
+
 def test_empty(spark):
     assert mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
     one = mix_sources(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string")).collect()

@@ -3,15 +3,16 @@
 Each document gets the key -ln(u) / q with u a hash of its id and q its quality
 weight; the documents with the smallest keys of a source are a weighted sample
 without replacement.  Keys fall into cells of a logarithmic grid, cell totals
-are prefix-summed within the source, and only the one cell in which a budget
-ends is ordered document by document.  So a source that holds a third of all
+are prefix-summed within the source, the one cell in which a budget ends is cut
+into finer parts in the same way, and only the part in which it ends is ordered
+document by document.  So a source that holds a third of all
 rows is never sorted: its cells are combined map-side.
 
 A source whose target is above its size first gives complete epochs; the rest of
 the target is the fractional selection.
 
 Defined cases: null text has no words and takes nothing; null sources are one
-source, last in order; a null id hashes as the empty string; equal rows tie and
+source, last in order; a document with a null id is drawn by its text (without text, as the empty string); equal rows tie and
 are ordered by size and text hash (rows equal in these too are interchangeable); an empty table gives
 an empty result; other columns pass through or are dropped as ``keep`` says.
 """
@@ -33,6 +34,8 @@ MAX_EPOCHS = 3
 SEED = "mix"
 #: Cells for each doubling of the key: a cell holds about 0.02 % of a source.
 CELLS = 2048
+#: Parts of the cell in which a budget ends: only the part in which it ends is ordered, some 5e-8 of a source.
+PARTS = 4096
 
 
 def quality(length: Column, size: Column) -> Column:
@@ -59,37 +62,47 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFr
     return t.withColumn("level", F.max("each").over(whole)).select("source", "source_size", F.least(F.col("cap").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def _narrow(rows: DataFrame, cell: str, few: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows on either side of the cell in which their source's budget ends (with ``more``), and the rows of that cell (with ``before`` moved to its start).
+
+    ``rows`` have source, size, rest (the budget) and before (what is taken ahead of these rows).
+    """
+    running = Window.partitionBy("source").orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+    cells = rows.groupBy("source", "rest", "before", cell).agg(F.sum("size").alias("in_cell")).withColumn("to_here", F.col("before") + F.sum("in_cell").over(running))
+    last = F.when((F.col("to_here") - F.col("in_cell") < F.col("rest")) & (F.col("to_here") > F.col("rest")), F.struct(cell, (F.col("to_here") - F.col("in_cell")).alias("ahead")))
+    full = F.max(F.when(F.col("to_here") <= F.col("rest"), F.col(cell)))
+    plan = cells.groupBy(F.col("source").alias("p_source")).agg(F.max(last).alias("edge"), full.alias("full"))
+    told = rows.join(F.broadcast(plan) if few else plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    at_edge = F.coalesce(F.col(cell) == F.col(f"edge.{cell}"), F.lit(False))
+    clear = told.filter(~at_edge).withColumn("more", F.coalesce(F.col(cell) <= F.col("full"), F.lit(False))).drop("edge", "full")
+    return clear, told.filter(at_edge).withColumn("before", F.col("edge.ahead")).drop("edge", "full")
+
+
 def mix_sources(docs: DataFrame, *, weights: Sequence[int] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """(id_col, source, size, source_size, target, copies, taken) for each row, and the columns named in ``keep``.
 
     size is the number of words between ASCII white space, copies how often the mix takes the document, taken = size * copies.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    name = F.coalesce(F.col(id_col).cast("string"), F.md5(text_col), F.lit(""))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), name)), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
     base = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("source"), size.alias("size"), F.length(text_col).alias("__length"), F.xxhash64(text_col).alias("__tie"), u.alias("__u"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
     q = quality(F.col("__length"), F.col("size"))
-    base = base.withColumn("key", -F.log("__u") / q).withColumn("cell", F.floor(F.log2("key") * CELLS)).drop("__length", "__u")
+    place = F.log2("key") * CELLS
+    base = base.withColumn("key", -F.log("__u") / q).withColumn("cell", F.floor(place)).withColumn("part", F.floor((place - F.col("cell")) * PARTS)).drop("__length", "__u")
     base = checkpoint(base, "mix")
 
     targets = source_targets(base.select("source", "size"), weights)
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_EPOCHS))).otherwise(F.lit(0)).cast("bigint")
     targets = checkpoint(targets.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size")), "targets")
+    few = targets.count() <= BROADCAST_SOURCES
+    targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", "epochs", "rest", F.lit(0).cast("bigint").alias("before"))
 
-    running = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = base.groupBy("source", "cell").agg(F.sum("size").alias("in_cell")).withColumn("to_here", F.sum("in_cell").over(running))
-    t = targets.select(F.col("source").alias("t_source"), "source_size", "target", "epochs", "rest")
-    ends = cells.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    last = F.when((F.col("to_here") - F.col("in_cell") < F.col("rest")) & (F.col("to_here") > F.col("rest")), F.struct("cell", (F.col("to_here") - F.col("in_cell")).alias("before")))
-    full = F.max(F.when(F.col("to_here") <= F.col("rest"), F.col("cell")))
-    plan = ends.groupBy("t_source", "source_size", "target", "epochs", "rest").agg(F.max(last).alias("edge"), full.alias("full"))
-
-    plan = F.broadcast(plan) if targets.count() <= BROADCAST_SOURCES else plan
-    rows = base.join(plan, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    at_edge = F.coalesce(F.col("cell") == F.col("edge.cell"), F.lit(False))
-    clear = rows.filter(~at_edge).withColumn("more", F.coalesce(F.col("cell") <= F.col("full"), F.lit(False)))
+    rows = base.join(F.broadcast(targets) if few else targets, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    outside, cell = _narrow(rows, "cell", few)
+    beside, part = _narrow(cell, "part", few)
     within = Window.partitionBy("source").orderBy("key", "__id", "size", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.filter(at_edge).withColumn("upto", F.col("edge.before") + F.sum("size").over(within))
-    edge = edge.withColumn("more", 2 * F.col("upto") - F.col("size") <= 2 * F.col("rest")).drop("upto")
-    out = clear.unionByName(edge).withColumn("copies", F.col("epochs") + F.col("more").cast("bigint"))
+    part = part.withColumn("upto", F.col("before") + F.sum("size").over(within))
+    part = part.withColumn("more", 2 * F.col("upto") - F.col("size") <= 2 * F.col("rest")).drop("upto")
+    out = outside.unionByName(beside).unionByName(part).withColumn("copies", F.col("epochs") + F.col("more").cast("bigint"))
     return out.select(F.col("__id").alias(id_col), "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *[F.col(f"__keep_{c}").alias(c) for c in keep])

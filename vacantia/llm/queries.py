@@ -141,7 +141,7 @@ SELECT t.doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIG
 
 _OP5 = rf"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_SPACED}'))::BIGINT AS size, length(text) AS n,
-           (('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, ''))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
+           (('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, md5(text), ''))[1:13])::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM documents),
 k AS (SELECT *, -ln(u) / CASE WHEN size > 0 THEN greatest(0.1, 1 - abs(n::DOUBLE / size - 6) / 12) ELSE 0.1 END AS key FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
 c AS (SELECT *, sum(source_size) OVER () AS total, sum(w) OVER () AS all_w, coalesce(sum(3 * source_size) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before
