@@ -153,16 +153,18 @@ r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
 SELECT doc_id, size, source_size, target, (size * (epochs + (2 * upto - size <= 2 * rest)::INT))::BIGINT AS taken FROM r
 """
 
-_OP9 = """
-WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+_OP9 = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), sha256(coalesce(text, ''))) - 1 AS place FROM conversations),
 p AS (SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'),
-x AS (SELECT t.conv_id, perspective, floor(turn / 64)::BIGINT AS chunk, turn, role, text, role = perspective AS own,
-      '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
-      text || '<|im_end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
-y AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
-c AS (SELECT conv_id, perspective, chunk, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS rendered,
-      coalesce(string_agg((off + length(head))::BIGINT || ':' || (off + length(head) + length(body) - 1)::BIGINT, ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own), '') AS mask FROM y GROUP BY 1, 2, 3)
-SELECT conv_id, perspective, chunk, n_turns, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY chunk NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, rendered, mask FROM c
+x AS (SELECT t.conv_id, perspective, place // 64 AS chunk, place, role = perspective AS own,
+      '<|im_start|>' || CASE WHEN role = perspective THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || {_ESCAPED.format("translate(role, chr(13) || chr(10), '  ')")} END || chr(10) AS head,
+      {_ESCAPED.format("text")} || '<|im_end|>' || chr(10) AS body FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
+y AS (SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, chunk ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM x),
+c AS (SELECT conv_id, perspective, chunk, count(*)::BIGINT AS n_turns, string_agg(head || body, '' ORDER BY place) AS rendered,
+      coalesce(string_agg((off + length(head))::BIGINT || ':' || (off + length(head) + length(body) - 1)::BIGINT, ',' ORDER BY place) FILTER (own), '') AS mask FROM y GROUP BY 1, 2, 3)
+SELECT conv_id, perspective, chunk, n_turns, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, rendered, mask FROM c
 """
 
 SQL = {
