@@ -61,6 +61,15 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert got == brute(rows, 2, 80)
 
 
+def test_ids_that_are_no_numbers(spark, monkeypatch):
+    from vacantia.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 4)
+    rows = [(f"id-{i:04}", t) for i, t in texts()]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), width=2).collect()}
+    assert got == brute(rows, 2, 80)
+
+
 def test_repeats_null_ids_and_empty_table(spark):
     rows = [(3, "a b c d"), (3, "a b c d"), (1, "a b c d"), (None, "a b c d"), (7, "q r s")]
     got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect())

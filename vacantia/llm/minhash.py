@@ -39,8 +39,8 @@ from vacantia.operators.storage import checkpoint, drop
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
 SEED = 77
 
-_SIGNED = "id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
-_SETS = "id bigint, n bigint, shingles array<bigint>"
+_SIGNED = "id {}, n bigint, k1 bigint, k2 bigint, bands array<bigint>"
+_SETS = "id {}, n bigint, shingles array<bigint>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
@@ -127,7 +127,7 @@ def _finisher(num: int, den: int):
     """Links within a bucket (or between two of its blocks) that join components not known to be joined."""
 
     def finish(table: pa.Table) -> pa.Table:
-        ids, comp = table["id"].to_numpy(), table["component"].to_numpy()
+        ids = table["id"].combine_chunks()
         flat = table["shingles"].combine_chunks()
         lists = flat if isinstance(flat, pa.ListArray) else flat.chunk(0)
         size = np.diff(lists.offsets.to_numpy())
@@ -139,7 +139,7 @@ def _finisher(num: int, den: int):
         group = np.empty(len(values), dtype=np.int64)
         group[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(values_sorted))))
         stop = np.append(begin[1:], len(values_sorted))
-        label = np.unique(comp, return_inverse=True)[1]
+        label = table["component"].combine_chunks().dictionary_encode().indices.to_numpy().copy()
         heads, left, right = np.concatenate([[0], np.cumsum(size)]), [], []
         for i in range(len(ids)):
             mine = group[heads[i] : heads[i + 1]]
@@ -150,10 +150,10 @@ def _finisher(num: int, den: int):
             near = den * shared >= num * (size[i] + size - shared)
             while len(others := np.flatnonzero(near & (label != label[i]))):
                 j = others[0]
-                left.append(ids[i])
-                right.append(ids[j])
+                left.append(i)
+                right.append(int(j))
                 label[label == label[j]] = label[i]
-        return pa.table({"src": pa.array(left, pa.int64()), "dst": pa.array(right, pa.int64())})
+        return pa.table({"src": ids.take(pa.array(left, pa.int64())), "dst": ids.take(pa.array(right, pa.int64()))})
 
     return finish
 
@@ -165,8 +165,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     distinct ``width``-word shingles.  With the default 32 bands of 4 values a pair at 80 % meets in
     no bucket with probability 5e-8.
     """
-    text = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    signed = checkpoint(text.mapInArrow(_signer(width, permutations, rows), _SIGNED), "minmax")
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = checkpoint(text.mapInArrow(_signer(width, permutations, rows), _SIGNED.format(kind)), "minmax")
     real = signed.filter("n > 0 and id is not null")
     classes = real.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
     banded = real.join(classes.select(F.col("rep").alias("id"), "k1", "k2", "n"), ["id", "k1", "k2", "n"], "left_semi")
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = checkpoint(pairs.union(later).distinct(), "pairs")
 
     wanted = member.select("id").distinct()
-    sets = text.join(wanted, "id", "left_semi").mapInArrow(_setter(width), _SETS)
+    sets = text.join(wanted, "id", "left_semi").mapInArrow(_setter(width), _SETS.format(kind))
     if repeats(signed, "id"):
         sets = sets.dropDuplicates(["id", "shingles"])
     sets = checkpoint(sets, "sets")
@@ -200,7 +201,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).select(
         "bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "id", "component"
     )
-    closed = dealt.join(sets.select("id", "shingles"), "id").groupBy("bucket", "x", "y").applyInArrow(_finisher(similarity, 100), "src bigint, dst bigint")
+    closed = dealt.join(sets.select("id", "shingles"), "id").groupBy("bucket", "x", "y").applyInArrow(_finisher(similarity, 100), f"src {kind}, dst {kind}")
     more = checkpoint(closed, "links")
     final = found if more.isEmpty() else connected_components(links.union(more))
     for used in (member, pairs, sets, links, more):  # nothing below reads these again
