@@ -57,6 +57,21 @@ def test_blocks_of_items(spark, monkeypatch):
     assert run(spark, docs, items) == brute(docs, items)
 
 
+def test_pieces_of_long_items_and_an_index_of_all_words(spark, monkeypatch):
+    docs, items = data()
+    monkeypatch.setattr(decontam, "PIECE", 3)
+    monkeypatch.setattr(decontam, "VOCABULARY", 4)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_ids_of_any_type(spark):
+    docs, items = data()
+    d = spark.createDataFrame([(f"d{i}", t) for i, t in docs], "doc_id string, text string")
+    got = decontam.contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got), key=str) == brute([(f"d{i}", t) for i, t in docs], items)
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b")]) == []
     assert run(spark, [(1, "a b")], []) == [(1, 2, 0, [])]

@@ -51,6 +51,7 @@ def test_query(spark, tmp_path, name, empty):
 def test_values_agree_with_sql(spark, tmp_path, name):
     con = duckdb.connect()
     for table, schema in SCHEMAS.items():
-        spark.createDataFrame(ROWS[table], schema).write.parquet(str(tmp_path / f"{table}.parquet"))
+        rows = [tuple(x[: len(LONG) // 40] if isinstance(x, str) else x for x in r) for r in ROWS[table]]  # the SQL of op3 is quadratic in a text
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{table}.parquet"))
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
     oracle.compare(QUERIES[name](spark, str(tmp_path)), con, SQL[name])
