@@ -70,3 +70,42 @@ def test_rare_scripts_keep_their_letters(spark):
     got = {r.doc_id: r for r in langid.identify(df, langid.learn(df)).collect() if r.held_out}
     assert {lang for i, _, lang in data if i in got} == set(words)
     assert all(got[i].lang_pred == lang for i, _, lang in data if i in got)
+
+
+def test_against_plain_kneser_ney():
+    """Every trigram over a small alphabet, seen or not, against the formula written with dictionaries."""
+    size, rng = 7, np.random.default_rng(3)
+    grams = np.unique(rng.integers(0, size**3, 90))
+    counts = rng.integers(1, 6, len(grams))
+    c3 = {(g // 49, g // 7 % 7, g % 7): int(n) for g, n in zip(grams.tolist(), counts, strict=True)}
+    before2 = {}  # symbols seen before each pair, then before each symbol
+    for x, y, z in c3:
+        before2.setdefault((y, z), set()).add(x)
+    n2 = {k: len(v) for k, v in before2.items()}
+    n1 = {}
+    for _, z in n2:
+        n1[z] = n1.get(z, 0) + 1
+
+    def discount(values):
+        one, two = sum(v == 1 for v in values), sum(v == 2 for v in values)
+        return min(max(one / (one + 2 * two), 0.1), 0.9) if one else 0.5
+
+    d3, d2, d1 = discount(c3.values()), discount(n2.values()), discount(n1.values())
+
+    def p1(z):
+        total = sum(n1.values())
+        return max(n1.get(z, 0) - d1, 0) / total + d1 * len(n1) / total / size
+
+    def p2(y, z):
+        own = {k: v for k, v in n2.items() if k[0] == y}
+        total = sum(own.values())
+        return p1(z) if not total else max(n2.get((y, z), 0) - d2, 0) / total + d2 * len(own) / total * p1(z)
+
+    def p3(x, y, z):
+        own = {k: v for k, v in c3.items() if k[:2] == (x, y)}
+        total = sum(own.values())
+        return p2(y, z) if not total else max(c3.get((x, y, z), 0) - d3, 0) / total + d3 * len(own) / total * p2(y, z)
+
+    got = np.exp(langid.KneserNey(grams, counts, size).log_p(np.arange(size**3)))
+    want = [p3(x, y, z) for x in range(size) for y in range(size) for z in range(size)]
+    assert np.allclose(got, want, rtol=1e-5)

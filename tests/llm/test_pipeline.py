@@ -44,6 +44,18 @@ def test_stages(spark, tmp_path):
         assert max(r.epoch for r in taken) <= 3
 
 
+def test_unlike_texts_under_one_id_stay(spark, tmp_path):
+    words = lambda k: " ".join(f"w{(k * 7919 + j * 104729) % 5000}" for j in range(40))
+    rows = [(1, words(1), "xx", "a"), (1, words(2), "xx", "b"), (2, words(1), "xx", "c"), (None, words(3), "xx", "a"), (None, words(3) + " end", None, "a"), (None, None, None, None), (42, words(4), "xx", None), (42, words(4), "xx", None), (7, "", None, "z")]
+    docs = spark.createDataFrame([(*r, 3) for r in rows], SCHEMA)
+    got = sorted((str(r.doc_id), r.text or "", r.source or "") for r in P.near_dedup(spark, docs, str(tmp_path)).collect())
+    assert [x[0] for x in got] == sorted(["1", "1", "None", "None", "42", "7"]) and ("1", rows[0][1], "a") in got and ("1", rows[1][1], "b") in got  # which of the copies without an id stays is set by their digest
+    item = " ".join(words(2).split()[5:16])
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = P.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.text or "" for r in clean) == sorted((t or "") for _, t, _, _ in rows if t != rows[1][1])
+
+
 def test_run_is_the_stages(spark, tmp_path):
     data(spark, tmp_path)
     a = sorted((r.doc_id or -1, r.epoch) for r in P.run(spark, str(tmp_path)).collect())

@@ -33,11 +33,11 @@ HELD = 2_000_000
 #: Folds of crc32(id as text): 0 is held out, 1 calibrates, the others fit.
 HELD_OUT, CALIBRATES, FOLDS = 0, 1, 5
 #: A doubt of so many symbols at most: longer texts differ among themselves, not by chance alone.
-STEADY = 2000
+STEADY = 100
 #: Scores take no more than so many symbols as independent evidence.
 EVIDENCE = 40
 #: A text is rejected beyond so many robust standard deviations (in nats by the root of symbols, FLOOR at least) above its language's median.
-LIMIT, FLOOR = 10.0, 0.5
+LIMIT, FLOOR = 15.0, 0.5
 #: Steps in which the calibration counts entropies and deviations.
 STEP = 1e-3
 
