@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in a known language, near-duplicates and benchmark leaks out, personal data masked, sources mixed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
-Rows without an id are told apart by their text.
+Defined cases: where ids repeat or are missing, rows are told apart by all their columns; rows equal in all columns are copies and leave one.
+Null texts and texts without letters go in the first stage, as of no language; empty tables give empty stages.
 """
 
 from __future__ import annotations
@@ -10,14 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm import decontam, langid, minhash, mixing, pii
-from vacantia.operators.storage import checkpoint
+from vacantia.operators.storage import checkpoint, drop
 
 #: No stage sequence in SQL: the language models' estimates and the hashed sample depend on the corpus that earlier stages leave.
 ORACLE_SQL = None
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text")))
+    """``docs`` with a key of each row: the id where all rows have their own, else a digest of the whole row, so that only equal rows share one."""
+    if not minhash.repeats(docs, "doc_id") and docs.filter("doc_id is null").isEmpty():
+        return docs.withColumn("__key", F.col("doc_id"))
+    return docs.withColumn("__key", F.sha2(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}), 256))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +32,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id."""
+    """One document of each group of near-duplicates: that of the smallest id (rows without an id last), once if it is repeated."""
     keyed = _keyed(docs)
     found = minhash.near_duplicates(keyed, id_col="__key")
-    rows = keyed.join(found.filter("kept").select("__key"), "__key", "left_semi")
-    if minhash.repeats(found, "__key"):
-        rows = rows.dropDuplicates(["__key"])
-    return rows.select(docs.columns)
+    if keyed.schema["__key"].dataType == docs.schema["doc_id"].dataType:
+        return keyed.join(found.filter("kept").select("__key"), "__key", "left_semi").select(docs.columns)
+    groups = keyed.select("__key", "doc_id").join(found.select("__key", "component_id").distinct(), "__key")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__key")).alias("first")).select(F.col("first.__key").alias("__key"))
+    return keyed.join(first, "__key", "left_semi").dropDuplicates(["__key"]).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,8 +65,11 @@ STAGES = [("language id", language), ("near-dedup", near_dedup), ("decontaminati
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each on all its predecessor kept."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents, each on all its predecessor kept; a stage's table goes once the next stage is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = checkpoint(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if last is not None:
+            drop(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)
