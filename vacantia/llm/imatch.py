@@ -3,49 +3,51 @@
 The lexicon holds the words whose document frequency lies in a band.  A document
 keeps its distinct lexicon words in order of their hashes, and hashes the words that
 fall into each of levels x ``DRAWS`` random subsets of the lexicon; level l keeps a
-2**-l part of it, and there are as many levels as leave the largest document less than one word on average (``LEVELS`` at least).  Sparse subsets survive an edit that leaves
-their few words alone, so the share of equal subset hashes says how much two
-documents share; equal texts agree in all.
+2**-l part of it, and there are as many levels as leave the largest document less than one word on average (``LEVELS`` at least).
+Sparse subsets survive an edit that leaves their few words alone: on a level that leaves most subsets empty, the share of equal
+hashes among subsets that are not empty in both documents is their words' Jaccard similarity (a little below it on others).  So the likeness weighs each level by the
+share of its subsets that are empty in both documents.  A fingerprint spells the 64-bit hashes of all levels but those on which
+every subset is filled, whose weight is 0; equal texts agree in all.
 
 Document frequencies of all words are counted with packed keys.  Copies and near copies must not push
 their words out of the band: a document has the smallest hashes of its shingles as sketches, and where a
 sketch is shared by ``LOW`` of all documents or more, these count as one document at the band's upper edge.
 A word in the band stands in at least ``LOW`` of all documents, so the lexicon has at most
-(mean distinct words a document) / LOW words, whatever the corpus; above
-``MOST`` words the lower edge of the band rises until they fit.
+(mean distinct words a document) / LOW words, whatever the corpus: 8 bytes each of what is broadcast.
 
 Defined cases: null text is empty; a text without lexicon words uses all its words; a text without words is
-fingerprinted by its digest and is like its equals only; equal rows and ids are ordered by id, then text; null ids come last;
+fingerprinted by its digest and is like its equals only; equal ids are ordered by their texts' hashes, then texts; ids may be of any ordered type, null ids come last;
 a single document is its own next; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm._packed import cut, unpack_counts, unpack_keys
 from vacantia.llm._text import ALNUM, U64, mix, slices, words
-from vacantia.operators.storage import checkpoint
+from vacantia.operators.storage import checkpoint, drop
 
 #: The band of document frequency, as parts of all documents (two documents at least).
 LOW, HIGH = 0.001, 0.1
-MOST = 2_000_000
-LEVELS, DRAWS = 12, 24
+LEVELS, DRAWS = 12, 16
 #: Words of a shingle, and sketches of a document: near copies share one of them at least.
 SHINGLE, SKETCHES = 3, 4
 #: Weight of one document in fixed point.
 ONE = 1 << 20
-#: Levels at which more than so many of the draws are filled say too little of an edited text.
-SPARSE = 18
 #: Distinct words that a counting task holds before it sends them on.
 HELD = 4_000_000
-PART_BYTES = 16 << 20
+#: Text for each range of word hashes, and the most ranges: a task sends one packed row a range, a merging task holds its distinct words.
+RANGE_BYTES, RANGES = 16 << 20, 4096
+#: Text of a partition of documents in order of their ids.
+PART_BYTES = 64 << 20
 
 _rng = np.random.Generator(np.random.PCG64(31))
 _SALTS = _rng.integers(0, 2**63, DRAWS, dtype=np.uint64)
@@ -117,10 +119,10 @@ def lexicon(docs: DataFrame, **options) -> np.ndarray:
     return _lexicon(docs, **options)[0]
 
 
-def _lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH, most: int = MOST) -> tuple[np.ndarray, int]:
+def _lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high: float = HIGH) -> tuple[np.ndarray, int]:
     """The lexicon, and the most distinct words of a document."""
     n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
-    parts = max(1, -(-(size or 0) // PART_BYTES))
+    parts = min(max(1, -(-(size or 0) // RANGE_BYTES)), RANGES)
     text = docs.select(F.col(text_col).alias("text"))
     lo = max(2, int(np.ceil(low * n)))
     shared = docs.sparkSession.sparkContext.broadcast(_shared(text, lo))
@@ -153,13 +155,17 @@ def _lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
                     held = 0
         yield from flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        keys = [unpack_keys(x) for x in table["keys"].to_pylist()]
-        k, c = _totals(keys, [unpack_counts(x, len(y)) for x, y in zip(table["counts"].to_pylist(), keys, strict=True)])
-        _, v = _totals(keys, [unpack_counts(x, len(y)) for x, y in zip(table["light"].to_pylist(), keys, strict=True)])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:  # the hints choose the form that takes batches
+        k, c, v, widest = np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), 0
+        for batch in batches:
+            own = [unpack_keys(x) for x in batch.column("keys").to_pylist()]
+            more = [[unpack_counts(x, len(y)) for x, y in zip(batch.column(name).to_pylist(), own, strict=True)] for name in ("counts", "light")]
+            old = k
+            k, c = _totals([old, *own], [c, *more[0]])
+            _, v = _totals([old, *own], [v, *more[1]])
+            widest = max(widest, *batch.column("widest").to_pylist())
         band = (c >= lo) & (c - v / ONE <= hi)
-        widest = max(table["widest"].to_pylist())  # in a row without a word
-        return pa.table({"word": pa.array([*k[band].view(np.int64).tolist(), None], pa.int64()), "df": pa.array([*c[band].tolist(), widest], pa.int64())})
+        yield pa.RecordBatch.from_arrays([pa.array([*k[band].view(np.int64).tolist(), None], pa.int64()), pa.array([*c[band].tolist(), widest], pa.int64())], names=["word", "df"])  # the widest in a row without a word
 
     def weigh(batches):
         for batch in batches:
@@ -171,16 +177,15 @@ def _lexicon(docs: DataFrame, *, text_col: str = "text", low: float = LOW, high:
     sent = text.mapInArrow(send, "part int, keys binary, counts binary, light binary, widest bigint")
     merged = checkpoint(sent.groupBy("part").applyInArrow(merge, "word bigint, df bigint"), "lexicon")
     widest = merged.filter("word is null").agg(F.max("df")).first()[0] or 0
-    band = merged.filter("word is not null")
-    if band.count() > most:
-        band = band.orderBy(F.desc("df"), "word").limit(most)
-    return np.sort(band.select("word").toArrow()["word"].to_numpy().view(np.uint64)), widest
+    words_ = np.sort(merged.filter("word is not null").select("word").toArrow()["word"].to_numpy().view(np.uint64))  # bounded by the band
+    drop(merged)
+    return words_, widest
 
 
 def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, levels: int) -> np.ndarray:
-    """Subset hashes (a byte, 0 for an empty subset) of each document: documents x levels * DRAWS."""
+    """Subset hashes (0 for an empty subset) of each document: documents x levels * DRAWS."""
     h, d = _distinct(data, offsets)
-    out = np.zeros((len(offsets) - 1, levels * DRAWS), dtype=np.uint8)
+    out = np.zeros((len(offsets) - 1, levels * DRAWS), dtype=np.uint64)
     if not len(h):
         return out
     mine = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), dtype=bool)
@@ -199,27 +204,32 @@ def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, levels: int
                 break
             first = np.flatnonzero(np.diff(owner, prepend=-1))
             total = mix(np.add.reduceat(mix(x + U64(draw + 1)), first))
-            out[owner[first], level * DRAWS + draw] = (total % U64(255) + U64(1)).astype(np.uint8)
+            out[owner[first], level * DRAWS + draw] = np.maximum(total, U64(1))
     return out
 
 
 def _spelled(marks: np.ndarray, texts: list[bytes]) -> list[str]:
-    """Two hex digits a subset; the digest for a text without words."""
-    hexed = marks.tobytes().hex()
-    width = 2 * marks.shape[1]
-    empty = ~marks.any(axis=1)
-    return ["text:" + hashlib.sha256(t).hexdigest() if e else hexed[width * k : width * (k + 1)] for k, (t, e) in enumerate(zip(texts, empty, strict=True))]
+    """Three hex digits of a subset's number and 16 of its hash for each filled subset of the levels that are not full; the digest for a text without words."""
+    filled = (marks > 0).reshape(len(marks), -1, DRAWS)
+    telling = ~filled.all(axis=2)
+    telling[:, -1] = True
+    doc, place = np.nonzero((filled & telling[:, :, None]).reshape(len(marks), -1))
+    entries = [f"{p:03x}{h:016x}" for p, h in zip(place.tolist(), marks[doc, place].tolist(), strict=True)]
+    bounds = np.searchsorted(doc, np.arange(len(marks) + 1)).tolist()
+    start = telling.argmax(axis=1).tolist()
+    empty = ~filled.any(axis=(1, 2))
+    return ["text:" + hashlib.sha256(t).hexdigest() if e else f"{start[k]:02x}:" + "".join(entries[bounds[k] : bounds[k + 1]]) for k, (t, e) in enumerate(zip(texts, empty, strict=True))]
 
 
 def _likeness(a: np.ndarray, b: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Share of equal subset hashes on sparse levels; 1 for equal fingerprints."""
+    """Share of equal subset hashes among those filled in either document, each level weighed by its subsets that are empty in both; 1 for equal fingerprints."""
     a, b = a.reshape(len(a), a.shape[1] // DRAWS, DRAWS), b.reshape(len(b), b.shape[1] // DRAWS, DRAWS)
     some = (a > 0) | (b > 0)
-    sparse = some.sum(axis=2) <= SPARSE
-    sparse[:, -1] = True
-    filled = (some & sparse[:, :, None]).sum(axis=(1, 2))
-    equal = ((a == b) & some & sparse[:, :, None]).sum(axis=(1, 2))
-    return np.where(same, 1.0, np.minimum(equal / np.maximum(filled, 1), 0.999))
+    filled = some.sum(axis=2)
+    weight = (DRAWS - filled) / DRAWS
+    weight[:, -1] = np.maximum(weight[:, -1], 1 / DRAWS)
+    equal = ((a == b) & some).sum(axis=2)
+    return np.where(same, 1.0, np.minimum((weight * equal).sum(axis=1) / np.maximum((weight * filled).sum(axis=1), 1e-9), 0.999))
 
 
 def _arrow(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -250,9 +260,12 @@ def _rows(ids: list, texts: list[str], known: np.ndarray, levels: int) -> dict:
     }
 
 
-_RESULT = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_DDL = "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_WIDE = pa.schema([*_RESULT, ("part", pa.int32()), ("first_text", pa.string()), ("last_text", pa.string())])
+_NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_DDL = "id {}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _result(kind: pa.DataType) -> pa.Schema:
+    return pa.schema(list(zip(_NAMES, [kind, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()], strict=True)))
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,42 +273,45 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     The next document is that of the next smaller id, after the last the first; see ``edited`` for the edited text.
     Rows are range-partitioned by id; a partition's last document is finished in a second step with
-    the first document of the next partition.
+    the first document of the next partition that has any.
     """
     sc = docs.sparkSession.sparkContext
     lexicon_, widest = _lexicon(docs, text_col=text_col)
     known, levels = sc.broadcast(lexicon_), max(LEVELS, widest.bit_length() + 1)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
+    parts = max(1, -(-size // PART_BYTES), min(-(-size // (4 << 20)), 4 * sc.defaultParallelism))
     order = F.col("id").desc_nulls_last()
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parts, order).sortWithinPartitions(order, "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    ddl = _DDL.format(rows.schema["id"].dataType.simpleString())
+    # Rows without an id, or of one id, are dealt by their text, too.
+    rows = rows.repartitionByRange(parts, order, F.xxhash64("text")).sortWithinPartitions(order, F.xxhash64("text"), "text")
 
     def run(batches):
         part, ids, texts, first = TaskContext.get().partitionId(), [], [], None
         for batch in batches:
-            body = batch.column(1)
+            kind, body = batch.schema.field("id").type, batch.column(1)
+            wide_ = pa.schema([*_result(kind), ("part", pa.int32()), ("first_text", pa.string()), ("last_text", pa.string())])
             for lo, hi, _, _ in slices(body):
                 ids += batch.column(0).slice(lo, hi - lo).to_pylist()
                 texts += body.slice(lo, hi - lo).to_pylist()
                 first = texts[0] if first is None else first
-                got = pa.table(_rows(ids, texts, known.value, levels), schema=_RESULT)
+                got = pa.table(_rows(ids, texts, known.value, levels), schema=_result(kind))
                 none = pa.nulls(len(got), pa.string())
-                yield from pa.Table.from_arrays([*got.columns, pa.nulls(len(got), pa.int32()), none, none], schema=_WIDE).to_batches()
+                yield from pa.Table.from_arrays([*got.columns, pa.nulls(len(got), pa.int32()), none, none], schema=wide_).to_batches()
                 ids, texts = ids[-1:], texts[-1:]
         if ids:
-            yield pa.RecordBatch.from_pylist([{"id": ids[0], "part": part, "first_text": first, "last_text": texts[0]}], schema=_WIDE)
+            yield pa.RecordBatch.from_pylist([{"id": ids[0], "part": part, "first_text": first, "last_text": texts[0]}], schema=wide_)
 
-    wide = checkpoint(rows.mapInArrow(run, _DDL + ", part int, first_text string, last_text string"), "fingerprints")
+    wide = checkpoint(rows.mapInArrow(run, ddl + ", part int, first_text string, last_text string"), "fingerprints")
     ends = wide.filter("part is not null")
-    filled = sorted(r.part for r in ends.select("part").collect())  # one number a partition
-    following = docs.sparkSession.createDataFrame(list(zip(filled, filled[1:] + filled[:1], strict=True)), "part int, next int")
+    # One number a partition stands in this window, no text.
+    following = ends.select("part").withColumn("next", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())))
     pairs = ends.select("id", "part", "last_text").join(following, "part").join(ends.select(F.col("part").alias("next"), "first_text"), "next").select("id", "last_text", "first_text")
 
     def finish(batches):
         for batch in batches:
             for i, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                yield from pa.table(_rows([i, None], [a, b], known.value, levels), schema=_RESULT).to_batches()
+                yield from pa.table(_rows([i, None], [a, b], known.value, levels), schema=_result(batch.schema.field("id").type)).to_batches()
 
-    done = wide.filter("part is null").select("id", *_RESULT.names[1:])
-    return done.unionByName(pairs.mapInArrow(finish, _DDL)).withColumnRenamed("id", id_col)
+    done = wide.filter("part is null").select(*_NAMES)
+    return done.unionByName(pairs.mapInArrow(finish, ddl)).withColumnRenamed("id", id_col)
