@@ -47,7 +47,7 @@ HELD = 4_000_000
 #: Text for each range of word hashes, and the most ranges: a task sends one packed row a range, a merging task holds its distinct words.
 RANGE_BYTES, RANGES = 16 << 20, 4096
 #: Text of a partition of documents in order of their ids.
-PART_BYTES = 64 << 20
+PART_BYTES = 48 << 20
 
 _rng = np.random.Generator(np.random.PCG64(31))
 _SALTS = _rng.integers(0, 2**63, DRAWS, dtype=np.uint64)
@@ -210,10 +210,10 @@ def _marks(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, levels: int
 
 def _spelled(marks: np.ndarray, texts: list[bytes]) -> list[str]:
     """Three hex digits of a subset's number and 16 of its hash for each filled subset of the levels that are not full; the digest for a text without words."""
-    filled = (marks > 0).reshape(len(marks), -1, DRAWS)
+    filled = (marks > 0).reshape(len(marks), marks.shape[1] // DRAWS, DRAWS)
     telling = ~filled.all(axis=2)
     telling[:, -1] = True
-    doc, place = np.nonzero((filled & telling[:, :, None]).reshape(len(marks), -1))
+    doc, place = np.nonzero((filled & telling[:, :, None]).reshape(marks.shape))
     entries = [f"{p:03x}{h:016x}" for p, h in zip(place.tolist(), marks[doc, place].tolist(), strict=True)]
     bounds = np.searchsorted(doc, np.arange(len(marks) + 1)).tolist()
     start = telling.argmax(axis=1).tolist()
@@ -279,7 +279,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     lexicon_, widest = _lexicon(docs, text_col=text_col)
     known, levels = sc.broadcast(lexicon_), max(LEVELS, widest.bit_length() + 1)
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES), min(-(-size // (4 << 20)), 4 * sc.defaultParallelism))
+    parts = max(1, -(-size // PART_BYTES))
     order = F.col("id").desc_nulls_last()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ddl = _DDL.format(rows.schema["id"].dataType.simpleString())
