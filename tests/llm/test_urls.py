@@ -46,3 +46,89 @@ def test_no_labels_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x://a.net/"), (2, None)], "page_id long, url string")
     assert {r.verdict for r in U.judge_urls(df).collect()} == {"allow"}
     assert U.judge_urls(df.limit(0)).collect() == []
+
+
+def plain_features(url):
+    url = url or ""
+    rest = url.split("://", 1)[1] if "://" in url else url
+    rest, _, fragment = rest.partition("#")
+    rest, _, query = rest.partition("?")
+    host, _, path = rest.partition("/")
+    labels = host.split(".")
+    p = [url.count(c) / len(url) for c in set(url)]
+    return [
+        len(url), len(host), len(path), sum(bool(x) for x in path.split("/")), len(re.findall("[0-9]", url)) / max(len(url), 1), -sum(x * np.log2(x) for x in p), len(query.split("&")) if query else 0, len(query),
+        len(labels), len(labels[-1]), host.count("-"), len(re.findall("[0-9]", host)), max(map(len, labels)), int(bool(re.search("[0-9]/*$", path))), len(fragment),
+    ]
+
+
+def test_features_against_plain_python(spark):
+    df = spark.createDataFrame([(u,) for u in URLS], "url string")
+    from pyspark.sql import functions as F
+
+    for r in df.select("url", U.features(F.col("url")).alias("x"), U.suffix_of(F.col("url")).alias("s")).collect():
+        assert np.allclose(r.x, plain_features(r.url)), (r.url or "")[:80]
+        rest = (r.url or "").split("://", 1)[-1]
+        assert r.s == re.match("[^/?#]*", rest)[0].lower().split(".")[-1]
+
+
+def plain_trees(x, y):
+    """Boosting by trying every split of every node; probabilities of the training rows."""
+    edges = [np.unique(np.quantile(c, np.linspace(0, 1, U.BINS + 1)[1:-1])) for c in x.T]
+    b = [[int(sum(v > e for e in edges[k])) for k, v in enumerate(row)] for row in x]
+    rate = min(max(sum(y) / len(y), 1e-3), 1 - 1e-3)
+    f = [float(np.log(rate / (1 - rate)))] * len(y)
+    for _ in range(U.TREES):
+        p = [1 / (1 + np.exp(-v)) for v in f]
+        node = [0] * len(y)
+        for at in range(2**U.DEPTH - 1):
+            mine = [i for i in range(len(y)) if node[i] == at]
+            g, h = sum(y[i] - p[i] for i in mine), sum(p[i] * (1 - p[i]) for i in mine)
+            best, choice = 1e-6, None
+            for k in range(x.shape[1]):
+                for cut in range(U.BINS - 1):
+                    left = [i for i in mine if b[i][k] <= cut]
+                    if len(left) < U.LEAST_LEAF or len(mine) - len(left) < U.LEAST_LEAF:
+                        continue
+                    gl, hl = sum(y[i] - p[i] for i in left), sum(p[i] * (1 - p[i]) for i in left)
+                    gain = gl**2 / (hl + 1) + (g - gl) ** 2 / (h - hl + 1) - g**2 / (h + 1)
+                    if gain > best + 1e-12:
+                        best, choice = gain, (k, cut)
+            if choice:
+                for i in mine:
+                    node[i] = 2 * at + 1 + (b[i][choice[0]] > choice[1])
+        for leaf in set(node):
+            own = [i for i in range(len(y)) if node[i] == leaf]
+            step = U.RATE * sum(y[i] - p[i] for i in own) / (sum(p[i] * (1 - p[i]) for i in own) + 1)
+            for i in own:
+                f[i] += step
+    return 1 / (1 + np.exp(-np.array(f)))
+
+
+def test_trees_against_plain_boosting(monkeypatch):
+    monkeypatch.setattr(U, "TREES", 4)
+    monkeypatch.setattr(U, "BINS", 8)
+    monkeypatch.setattr(U, "LEAST_LEAF", 2.0)
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 9, (60, 3)).astype(float) + rng.random((60, 3))
+    y = ((x[:, 0] > 4) ^ (x[:, 1] > 6)).astype(float)
+    assert np.allclose(U.Trees(x, y).probability(x), plain_trees(x, y), atol=1e-9)
+
+
+def test_sample_is_the_smallest_hashes(spark):
+    rows = [(f"http://h{k}.net/{k}", "block" if k % 3 else "allow") for k in range(3000)]
+    df = spark.createDataFrame(rows * 2, "url string, verdict string")
+    asked = []
+
+    class Spy(U.UrlModel):
+        def __init__(self, x, suffixes, blocked):
+            asked.append((len(x), int(blocked.sum())))
+            super().__init__(x, suffixes, blocked)
+
+    whole, U.UrlModel = U.UrlModel, Spy
+    try:
+        U.learn(df, sample=500)
+        U.learn(df, sample=5000)
+    finally:
+        U.UrlModel = whole
+    assert asked[0][0] == 500 and asked[1] == (3000, 2000)

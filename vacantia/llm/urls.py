@@ -3,7 +3,8 @@
 A rule (verdict, host, path) fits its host and all subdomains if the URL's path starts with the rule's path; the longest
 host and path wins.  URLs that a rule judges are the labelled examples of the trees (or those
 of ``labelled``); at most ``sample`` of them, those with the smallest hashes, are
-gathered to grow the trees.  Host, path and rule are Column expressions.
+gathered to grow the trees.  Host, path, rule and features are Column expressions; only the trees run in Python, on Arrow batches of numbers.
+Without ``labelled`` the trees carry the rules over to hosts that no rule names, and know no more than these do.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no rule, and is judged by the
 trees; without labelled URLs everything is allowed; repeated rows are judged alike; other columns are ignored.
@@ -15,6 +16,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,32 +49,43 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return out
 
 
-FEATURES = ("length", "host length", "path length", "depth", "digit ratio", "entropy", "parameters", "query length", "host labels", "suffix length", "hyphens in host", "digits in host", "longest label", "suffix block rate", "path ends in digits", "fragment")
-
-
-def features(urls: list[str | None], suffixes: dict[str, float], prior: float) -> np.ndarray:
-    """One row of ``FEATURES`` for each URL."""
-    out = np.zeros((len(urls), len(FEATURES)))
-    for k, url in enumerate(urls):
-        url = url or ""
-        rest = url.partition("://")[2] or url
-        rest, _, fragment = rest.partition("#")
-        rest, _, query = rest.partition("?")
-        host, _, path = rest.partition("/")
-        raw = np.frombuffer(url.encode("utf-8", "replace"), dtype=np.uint8)
-        p = np.bincount(raw, minlength=256)[np.unique(raw)] / max(len(raw), 1)
-        labels = host.lower().split(".")
-        suffix = labels[-1]
-        out[k] = (
-            len(url), len(host), len(path), sum(bool(x) for x in path.split("/")), sum(c.isdigit() for c in url) / max(len(url), 1), -(p * np.log2(p)).sum(), len(query.split("&")) if query else 0, len(query),
-            len(labels), len(suffix), host.count("-"), sum(c.isdigit() for c in host), max(map(len, labels)), suffixes.get(suffix, prior), path.rstrip("/")[-1:].isdigit(), len(fragment),
-        )
-    return out
+FEATURES = ("length", "host length", "path length", "depth", "digit ratio", "entropy", "parameters", "query length", "host labels", "suffix length", "hyphens in host", "digits in host", "longest label", "path ends in digits", "fragment", "suffix block rate")
+
+
+def _parts(url: Column) -> tuple[Column, Column, Column, Column]:
+    """Host, path, query and fragment as the features take them: a URL without ``://`` begins with its host."""
+    rest = F.when(F.instr(url, "://") > 0, F.substring(url, F.instr(url, "://") + 3, F.length(url))).otherwise(url)
+    main, fragment = F.regexp_extract(rest, "(?s)^[^#]*", 0), F.regexp_extract(rest, "(?s)^[^#]*#(.*)", 1)
+    place, query = F.regexp_extract(main, "(?s)^[^?]*", 0), F.regexp_extract(main, "(?s)^[^?]*[?](.*)", 1)
+    return F.regexp_extract(place, "(?s)^[^/]*", 0), F.regexp_extract(place, "(?s)^[^/]*/(.*)", 1), query, fragment
+
+
+def suffix_of(url: Column) -> Column:
+    """The host's last label, lower-cased; empty for null."""
+    return F.substring_index(F.lower(_parts(F.coalesce(url, F.lit("")))[0]), ".", -1)
+
 
+def features(url: Column) -> Column:
+    """array<double> of ``FEATURES`` but the suffix's rate, which is learned; a null URL is empty."""
+    url = F.coalesce(url, F.lit(""))
+    host, path, query, fragment = _parts(url)
+    labels = F.split(host, "[.]")
+    size = F.length(url)
+    share = lambda c: (size - F.length(F.replace(url, c, F.lit("")))) / F.length(c) / size
+    entropy = F.aggregate(F.array_distinct(F.regexp_extract_all(url, F.lit("(?s)."), F.lit(0))), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))
+    parameters = F.when(query == "", 0).otherwise(F.length(query) - F.length(F.replace(query, F.lit("&"), F.lit(""))) + 1)
+    values = (
+        size, F.length(host), F.length(path), F.regexp_count(path, F.lit("[^/]+")), F.regexp_count(url, F.lit("[0-9]")) / F.greatest(size, F.lit(1)), F.when(size > 0, entropy).otherwise(0.0), parameters, F.length(query),
+        F.size(labels), F.length(F.substring_index(host, ".", -1)), F.length(host) - F.length(F.replace(host, F.lit("-"), F.lit(""))), F.regexp_count(host, F.lit("[0-9]")), F.array_max(F.transform(labels, F.length)),
+        path.rlike("[0-9]/*$").cast("int"), F.length(fragment),
+    )
+    return F.array(*[v.cast("double") for v in values])
 
-def _suffix(url: str | None) -> str:
-    rest = (url or "").partition("://")[2] or (url or "")
-    return rest.partition("#")[0].partition("?")[0].partition("/")[0].lower().split(".")[-1]
+
+def _matrix(rows: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Feature arrays as a matrix of one row each."""
+    rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), len(FEATURES) - 1)
 
 
 class Trees:
@@ -124,29 +137,43 @@ class Trees:
 
 
 class UrlModel:
-    """Probability that a URL is to be blocked."""
+    """Probability that a URL is to be blocked, from its features and its suffix."""
 
-    def __init__(self, urls: list[str | None], blocked: list[bool]):
-        y = np.array(blocked, dtype=float)
+    def __init__(self, rows: np.ndarray, suffixes: list[str], blocked: np.ndarray):
+        y = blocked.astype(float)
         self.prior, self.suffixes, self.trees = float(y.mean()) if len(y) else 0.0, {}, None
         if len(y):
-            names = [_suffix(u) for u in urls]
-            for s in set(names):
-                own = y[[n == s for n in names]]
-                self.suffixes[s] = float((own.sum() + 5 * self.prior) / (len(own) + 5))  # shrunk to the mean
-            self.trees = Trees(features(urls, self.suffixes, self.prior), y)
+            names, at = np.unique(np.array(suffixes, dtype=object), return_inverse=True)
+            own, all_ = np.bincount(at, weights=y), np.bincount(at)
+            self.suffixes = dict(zip(names, ((own + 5 * self.prior) / (all_ + 5)).tolist(), strict=True))  # shrunk to the mean
+            self.trees = Trees(self._whole(rows, suffixes), y)
+
+    def _whole(self, rows: np.ndarray, suffixes: list[str]) -> np.ndarray:
+        return np.column_stack([rows, [self.suffixes.get(s, self.prior) for s in suffixes]])
+
+    def probability(self, rows: np.ndarray, suffixes: list[str]) -> np.ndarray:
+        if self.trees is None or not len(rows):
+            return np.zeros(len(rows))
+        return self.trees.probability(self._whole(rows, suffixes))
 
-    def probability(self, urls: list[str | None]) -> np.ndarray:
-        if self.trees is None or not urls:
-            return np.zeros(len(urls))
-        return self.trees.probability(features(urls, self.suffixes, self.prior))
+
+#: The hash that samples URLs has so many values.
+_DRAWS = 1 << 40
 
 
 def learn(labelled: DataFrame, *, url_col: str = "url", verdict_col: str = "verdict", sample: int = SAMPLE) -> UrlModel:
-    """Trees from at most ``sample`` distinct labelled URLs, in order of their hashes."""
+    """Trees from at most ``sample`` distinct labelled URLs: those with the smallest hashes.
+
+    The URLs are counted first, and only those below a threshold that ``sample`` of them are expected to pass are sent.
+    """
     rows = labelled.select(F.col(url_col).alias("url"), (F.col(verdict_col) == "block").alias("y")).filter("url is not null and y is not null").distinct()
-    kept = rows.orderBy(F.md5("url"), "url", "y").limit(sample).collect()
-    return UrlModel([r.url for r in kept], [r.y for r in kept])
+    rows = rows.withColumn("draw", F.pmod(F.xxhash64("url"), F.lit(_DRAWS)))
+    n = rows.count()
+    if n > sample:
+        rows = rows.filter(F.col("draw") < int(_DRAWS * min(1.0, sample / n * (1 + 5 / sample**0.5))))
+    got = rows.select("url", "y", "draw", features(F.col("url")).alias("x"), suffix_of(F.col("url")).alias("suffix")).toArrow()
+    got = got.sort_by([("draw", "ascending"), ("url", "ascending"), ("y", "ascending")]).slice(0, sample)
+    return UrlModel(_matrix(got["x"]), got["suffix"].to_pylist(), np.array(got["y"].to_pylist(), dtype=bool))
 
 
 def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
@@ -156,15 +183,17 @@ def judge_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     rows = rows.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("verdict"))
     model = learn(rows.filter("rule is not null") if labelled is None else labelled, sample=sample)
     held = pages.sparkSession.sparkContext.broadcast(model)  # TREES trees, and suffixes of the sample
+    open_ = F.col("verdict").isNull()
+    rows = rows.select("id", "host", "path", "rule", "verdict", F.when(open_, features(F.col("url"))).alias("x"), F.when(open_, suffix_of(F.col("url"))).alias("suffix"))
 
     def judge(batches):
         for batch in batches:
-            verdict = batch.column(5).to_pylist()
-            open_ = [k for k, v in enumerate(verdict) if v is None]
-            urls = batch.column(1).to_pylist()
-            p, score = held.value.probability([urls[k] for k in open_]), [None] * len(verdict)
-            for k, x in zip(open_, p.tolist(), strict=True):
-                verdict[k], score[k] = "block" if x >= 0.5 else "allow", x
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(k) for k in (2, 3, 4)), pa.array(verdict, pa.string()), pa.array(score, pa.float64())], names=["id", "host", "path", "rule", "verdict", "block_score"])
+            mine = batch.filter(pc.is_null(batch.column(4)))
+            p = held.value.probability(_matrix(mine.column(5)), mine.column(6).to_pylist())
+            score = np.full(batch.num_rows, np.nan)
+            score[batch.column(4).is_null().to_numpy(zero_copy_only=False)] = p
+            score = pa.array(score, from_pandas=True)
+            verdict = pc.coalesce(batch.column(4), pc.if_else(pc.greater_equal(score, 0.5), "block", "allow"))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), verdict, score], names=["id", "host", "path", "rule", "verdict", "block_score"])
 
     return rows.mapInArrow(judge, f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string, block_score double").withColumnRenamed("id", id_col)
