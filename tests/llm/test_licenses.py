@@ -1,3 +1,4 @@
+import random
 import re
 
 from vacantia.llm import licenses as L
@@ -52,3 +53,83 @@ def test_long_and_wrapped_expressions(spark):
     assert [(r.labels, r.openness) for r in sorted(got)] == [
         ("apache-2,bsd,isc,mit", "permissive"), ("apache-2,isc,mit", "permissive"), ("gpl,mit", "copyleft"), ("mit", "permissive"), ("apache-2,mit", "permissive"), ("mit", "permissive"), ("bsd,isc,mit,zlib", "permissive"),
     ]
+
+
+def family(name):
+    low = name.lower()
+    for prefix, label, n in L.FAMILIES:
+        if low == prefix or low.startswith((prefix + "-", prefix + ".")) or (low.startswith(prefix) and low[len(prefix) : len(prefix) + 1].isdigit()):
+            return {label}, n
+    return set(), 0
+
+
+def descend(words):
+    """A licence expression by recursive descent: or over and over with over operands."""
+
+    def operand():
+        if words[0] != "(":
+            return family(words.pop(0))
+        words.pop(0)
+        value = level("or")
+        words.pop(0)
+        return value
+
+    def level(op):
+        below = {"or": lambda: level("and"), "and": lambda: level("with"), "with": operand}[op]
+        value = below()
+        while words and words[0].lower() == op:
+            words.pop(0)
+            other = below()
+            if op == "with":
+                value = value[0], value[1] + (value[1] in (1, 2))
+            else:
+                value = value[0] | other[0], (max if op == "or" else min)(value[1], other[1])
+        return value
+
+    return level("or")
+
+
+def test_labels_against_a_plain_scan(spark):
+    rng = random.Random(12)
+    names = ["MIT", "GPL-2.0", "Apache-2.0", "LGPL-3.0-only", "SSPL-1.0", "0BSD", "Unknown-1", "MPL-2.0", "CDDL-1.0"]
+
+    def expression(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return [rng.choice(names)]
+        if rng.random() < 0.2:
+            return [rng.choice(names), "WITH", "Some-exception"]
+        inner = expression(depth - 1) + [rng.choice(["AND", "OR", "or"])] + expression(depth - 1)
+        return ["(", *inner, ")"] if rng.random() < 0.5 else inner
+
+    texts, want = [], []
+    for _ in range(300):
+        parts, finds, sorts = [], [], set()
+        for _ in range(rng.randrange(4)):
+            kind = rng.choice(["tag", "notice", "base", "plain"])
+            if kind == "tag":
+                e = expression(3)
+                parts.append("SPDX-License-Identifier: " + " ".join(e))
+                value = descend(list(e))
+                if value[0]:
+                    finds.append(value)
+                    sorts.add("tag")
+            elif kind == "notice":
+                phrase = rng.choice([p for p in L.NOTICES if not any(q != p and q in p for q in [*L.NOTICES, *L.BASE_PHRASES])])
+                finds.append(({L.NOTICES[phrase]}, L.OPENNESS[L.NOTICES[phrase]] if L.NOTICES[phrase] in L.OPENNESS else 0))
+                sorts.add("notice")
+                parts.append(phrase.title().replace(" ", rng.choice([" ", ", ", "-"])))
+            elif kind == "base":
+                phrase = rng.choice(list(L.BASE_PHRASES))
+                finds.append(({L.BASE_PHRASES[phrase]}, L.OPENNESS[L.BASE_PHRASES[phrase]]))
+                sorts.add("base")
+                parts.append(phrase.upper())
+            else:
+                parts.append("some words here")
+        texts.append("\n".join(parts))
+        doubt = 1.0
+        for k in sorts:
+            doubt *= 1 - L.CONFIDENCE[k]
+        want.append((",".join(sorted(set().union(*(f[0] for f in finds)))), L.CLASSES[min(f[1] for f in finds)] if finds else None, round(1 - doubt, 4)))
+    got = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    for r in got:
+        assert (r.labels, r.openness, r.score) == want[r.doc_id], texts[r.doc_id]

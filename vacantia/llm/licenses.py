@@ -35,6 +35,27 @@ NOTICES = {
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
     "cc by sa": "cc-by-sa",
+    "redistributions of source code must retain the above copyright notice": "bsd",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "isc",
+    "this software is provided as is without any express or implied warranty": "zlib",
+    "apache software license": "apache-2",
+    "released under the mit license": "mit",
+    "licensed under the mit license": "mit",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution no derivatives": "cc-by-nd",
+    "creative commons attribution non commercial": "cc-by-nc",
+    "creative commons attribution share alike": "cc-by-sa",
+    "creative commons zero": "cc0",
+    "cc by nd": "cc-by-nd",
+    "dedicated to the public domain": "public-domain",
+    "open data commons open database license": "odbl",
+    "do what the fuck you want to public license": "wtfpl",
+    "no part of this publication may be reproduced": "proprietary",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "proprietary",
 }
@@ -44,6 +65,8 @@ FAMILIES = (
     ("mit", "mit", 3), ("apache-2", "apache-2", 3), ("bsd", "bsd", 3), ("isc", "isc", 3), ("unlicense", "unlicense", 3), ("cc0", "cc0", 3), ("zlib", "zlib", 3),
     ("cc-by-nc", "cc-by-nc", 0), ("cc-by-nd", "cc-by-nd", 0), ("cc-by-sa", "cc-by-sa", 1), ("cc-by", "cc-by", 3),
     ("mpl", "mpl", 2), ("lgpl", "lgpl", 2), ("epl", "epl", 2), ("agpl", "agpl", 1), ("gpl", "gpl", 1), ("proprietary", "proprietary", 0),
+    ("eupl", "eupl", 1), ("gfdl", "gfdl", 1), ("bsl", "bsl", 3), ("artistic", "artistic", 3), ("public-domain", "public-domain", 3), ("odbl", "odbl", 1), ("wtfpl", "wtfpl", 3), ("0bsd", "bsd", 3), ("cddl", "cddl", 2),
+    ("ms-pl", "ms-pl", 2), ("ofl", "ofl", 2), ("osl", "osl", 1), ("python", "python", 3), ("psf", "python", 3), ("postgresql", "postgresql", 3), ("ncsa", "ncsa", 3), ("busl", "busl", 0), ("sspl", "sspl", 0), ("elastic", "elastic", 0),
 )
 OPENNESS = {label: n for _, label, n in FAMILIES}
 CLASSES = ("restricted", "copyleft", "weak copyleft", "permissive")
