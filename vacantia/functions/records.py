@@ -41,23 +41,33 @@ def hiring_organization(metadata: Column) -> Column:
     return F.coalesce(get("$.hiring_organization.name"), F.when(~whole.startswith("{"), whole), get("$.hiringOrganization.name"), get("$.company"), get("$.employer"))
 
 
+# Keys on a structured path that say what its text asks for, the first row that fits decides.
+MODALITY = {
+    "optional": "preferred optional nice_to_have desired",
+    "requirements": "required mandatory must_have qualifications educationrequirements experiencerequirements",
+    "duties": "responsibilities duties",
+}
+# Flags that say that a row is not open, on or off, and words of its state.
+CLOSED_IF_TRUE = ("template", "isTemplate", "archived", "closed", "disabled", "expired", "deleted", "hidden", "inactive", "isClosed", "isExpired")
+CLOSED_IF_FALSE = ("active", "enabled", "published", "isActive", "isPublished", "visible")
+STATE_KEYS, CLOSED_STATES = ("status", "state", "availability"), r"(?i)closed|inactive|archiv|expired|filled|template|draft|disabled"
+
+
 def section_modality(path: Column) -> Column:
-    """required, optional or none from the keys on a structured path."""
-    keys = F.split(F.lower(path), r"[./]")
-    hit = lambda *w: F.arrays_overlap(keys, F.array(*map(F.lit, w)))
-    return F.when(hit("optional", "preferred", "nice_to_have", "plus"), "optional").when(hit("required", "requirements", "must_have", "qualifications"), "required")
+    """optional, requirements, duties or neutral from the keys on a structured path like ``job.must_have[0]``."""
+    keys = F.split(F.regexp_replace(F.lower(F.coalesce(path, F.lit(""))), r"\[\d+\]", ""), "[./]")
+    out = F.lit("neutral")
+    for name, words in reversed(MODALITY.items()):
+        out = F.when(F.arrays_overlap(keys, F.array(*map(F.lit, words.split()))), name).otherwise(out)
+    return out
 
 
 def inactive_row(m: Column) -> Column:
-    """Whether any spelling of an inactive flag is set in a map of strings."""
-    value = lambda k: F.lower(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit("")))
-    on = [value(k).isin("true", "1", "yes") for k in ("closed", "expired", "archived", "deleted", "hidden", "inactive", "isClosed", "isExpired")]
-    off = [value(k).isin("false", "0", "no") for k in ("active", "published", "isActive", "isPublished", "visible")]
-    state = [value(k).isin("closed", "expired", "archived", "draft", "inactive") for k in ("status", "state")]
-    out = F.lit(False)
-    for c in (*on, *off, *state):
-        out = out | c
-    return out
+    """Whether a map of strings says by any flag or state that its row is not open."""
+    value = lambda k: F.lower(F.trim(F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(""))))
+    on = F.exists(F.array(*map(value, CLOSED_IF_TRUE)), lambda v: ~v.isin("", "false", "0", "no", "null"))
+    off = F.exists(F.array(*map(value, CLOSED_IF_FALSE)), lambda v: v.isin("false", "0", "no"))
+    return on | off | F.concat_ws(" ", *map(value, STATE_KEYS)).rlike(CLOSED_STATES)
 
 
 def json_leaves(value: Column, *, nodes: int = 512, depth: int = 10, children: int = 80) -> Column:

@@ -73,9 +73,10 @@ def merge_incrementally(stored: DataFrame, keys: DataFrame) -> tuple[DataFrame,
 
 def canonical_per_domain(companies: DataFrame, *, id_col: str = "id", url_col: str = "website_url") -> DataFrame:
     """(id_col, root): the company that stands for a website's domain is its smallest unpaused id, else its smallest."""
-    keyed = companies.withColumn("__d", urls.domain_key(F.col(url_col)))
-    root = F.coalesce(F.min(F.when(~F.col("paused"), F.col(id_col))).over(Window.partitionBy("__d")), F.min(id_col).over(Window.partitionBy("__d")))
-    return keyed.select(id_col, F.when(F.col("__d").isNull(), F.col(id_col)).otherwise(root).alias("root"))
+    keyed = companies.select(F.col(id_col), F.col("paused"), urls.domain_key(F.col(url_col)).alias("__d"))
+    roots = keyed.filter("__d is not null").groupBy("__d").agg(F.coalesce(F.min(F.when(~F.col("paused"), F.col(id_col))), F.min(id_col)).alias("root"))
+    found = keyed.filter("__d is not null").join(roots, "__d").select(id_col, "root")
+    return found.unionByName(keyed.filter("__d is null").select(id_col, F.col(id_col).alias("root")))
 
 
 def merge_postings(rows: DataFrame, key: str, order: str, fields: list[str], *, text: str = "description") -> DataFrame:

@@ -72,10 +72,16 @@ def lookup_own_else_group(rows: DataFrame, states: DataFrame, *, id_col: str, gr
     return rows.join(own, id_col, "left").join(grouped, group_col, "left").withColumn(value, F.coalesce("__own", "__group")).drop("__own", "__group")
 
 
+def labels_of_current_text(labels: DataFrame, texts: DataFrame, *, id_col: str, stated: str = "stated", own: str = "own") -> DataFrame:
+    """Labels whose stated text hash is that of the stored text; labels of other versions and of unknown rows go."""
+    return labels.join(texts.select(id_col, own), id_col).filter(F.col(stated) == F.col(own)).drop(stated, own)
+
+
 def interleave(df: DataFrame, bucket: str, order: Sequence[Column], limit: int) -> DataFrame:
     """Round robin over buckets: every bucket's first row, then every second, up to ``limit`` rows."""
     place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))
-    return df.withColumn("turn", place).orderBy("turn", bucket).limit(limit)
+    # The filter on a rank lets each task keep its own first ``limit`` rows of a bucket before the shuffle.
+    return df.withColumn("turn", place).filter(F.col("turn") <= limit).orderBy("turn", bucket).limit(limit)
 
 
 def greedy_one_to_one(df: DataFrame, left: str, right: str, order: Sequence[str]) -> DataFrame:

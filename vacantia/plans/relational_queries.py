@@ -288,11 +288,12 @@ def json_props(t: Tables):
     return t.events.select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("SELECT d.doc_id, l.quality FROM labels l JOIN documents d USING (doc_id) WHERE sha256(d.text) = sha256(d.text) AND l.toxic = 0")
+@query("SELECT doc_id, l.quality FROM labels l JOIN documents d USING (doc_id) WHERE (CASE WHEN doc_id % 3 = 0 THEN sha256('older ' || d.text) ELSE sha256(d.text) END) = sha256(d.text)")
 def jn18_labels_with_hash(t: Tables):
-    d = t.documents.select("doc_id", F.sha2("text", 256).alias("own"))
-    held = t.documents.select("doc_id", F.sha2("text", 256).alias("stated"))
-    return t.labels.filter("toxic = 0").join(d, "doc_id").join(held, "doc_id").filter("own = stated").select("doc_id", "quality")
+    """Labels count only for the text that they were given to: a third of them states the hash of another version."""
+    d = t.documents.select("doc_id", F.sha2("text", 256).alias("own"), "text")
+    stated = t.labels.join(d.select("doc_id", "text"), "doc_id").select("doc_id", "quality", F.when(c("doc_id") % 3 == 0, F.sha2(F.concat(F.lit("older "), "text"), 256)).otherwise(F.sha2("text", 256)).alias("stated"))
+    return relational.labels_of_current_text(stated, d.drop("text"), id_col="doc_id")
 
 
 @query("""WITH s AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_totalprice END AS v FROM orders), g AS (SELECT o_custkey, min_by(v, s.o_orderkey) FILTER (v IS NOT NULL) AS gv FROM orders o JOIN s ON o.o_orderkey = s.o_orderkey GROUP BY 1)
@@ -314,13 +315,13 @@ def jn22_unique_match(t: Tables):
     return relational.unique_match(t.part.select("p_partkey", "p_brand", "p_size"), right, ["p_brand", "p_size"], "unique_type").drop("p_size")
 
 
-@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0 AND vec_id % 100 < 50), m AS (SELECT v.label AS job, q.vec_id AS profile, max(round(list_cosine_similarity(v.e, q.e), 4)) AS similarity FROM v, q GROUP BY 1, 2)
+@query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), q AS (SELECT * FROM v WHERE vec_id % 50 = 0), m AS (SELECT v.label AS job, q.vec_id AS profile, max(round(list_cosine_similarity(v.e, q.e), 4)) AS similarity FROM v, q GROUP BY 1, 2)
 SELECT job, profile, similarity, CASE WHEN similarity >= 0.84 THEN least(59, 30 + round_even((similarity - 0.84) / 0.07 * 29, 0)::INT) ELSE 0 END AS score FROM m""")
 def jn11_best_sections(t: Tables):
     from vacantia.operators.matching import best_section_pairs
 
     jobs = t.embeddings.select(c("label").alias("job"), F.lit("").alias("text"), c("embedding").alias("vector"))
-    profiles = t.embeddings.filter("vec_id % 50 = 0 and vec_id % 100 < 50").select(c("vec_id").alias("profile"), F.lit("").alias("text"), c("embedding").alias("vector"))
+    profiles = t.embeddings.filter("vec_id % 50 = 0").select(c("vec_id").alias("profile"), F.lit("").alias("text"), c("embedding").alias("vector"))
     best = best_section_pairs(jobs, profiles).select("job", "profile", "similarity")
     return best.withColumn("score", vectors.similarity_score(c("similarity")))
 

@@ -220,18 +220,21 @@ PROVIDERS: dict[str, Callable] = {
 
 
 def parse_feeds(feeds: DataFrame) -> DataFrame:
-    """(feed_id, provider, postings, complete, error) of each feed; a failed feed has no postings and is not complete."""
-    parts = None
+    """(feed_id, provider, postings, complete, error) of each feed; a failed feed has no postings and is not complete.
+
+    One pass over the feeds: each row meets the parser of its provider only.
+    """
+    read = F.lit(None)
     for name, parse in PROVIDERS.items():
-        own = feeds.filter(F.col("provider") == name)
         rows, complete, ok = parse(F.col("body"), F.col("board_url"))
-        valid = F.coalesce(ok, F.lit(False)) & F.coalesce(F.forall(rows, lambda p: F.coalesce((p["title"] != "") & (p["external_id"] != "") & p["url"].rlike("^https?://"), F.lit(False))), F.lit(False))
-        part = own.withColumn("__ok", valid).select(
-            "feed_id", "provider", F.when(F.col("__ok"), rows).otherwise(F.expr(_NONE)).cast(f"array<{POSTING}>").alias("postings"), (F.col("__ok") & F.coalesce(complete, F.lit(False))).alias("complete"), F.when(~F.col("__ok"), F.concat(F.lit("unexpected schema: "), "provider")).alias("error")
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    unknown = feeds.filter(~F.col("provider").isin(*PROVIDERS)).select("feed_id", "provider", F.expr(_NONE).alias("postings"), F.lit(False).alias("complete"), F.concat(F.lit("unsupported provider: "), "provider").alias("error"))
-    return parts.unionByName(unknown)
+        own = F.struct(rows.cast(f"array<{POSTING}>").alias("rows"), F.coalesce(complete, F.lit(False)).alias("complete"), F.coalesce(ok, F.lit(False)).alias("ok"))
+        read = F.when(F.col("provider") == name, own).otherwise(read)
+    known = F.coalesce(F.col("provider").isin(*PROVIDERS), F.lit(False))
+    sound = F.forall(F.col("__r.rows"), lambda p: F.coalesce((p["title"] != "") & (p["external_id"] != "") & p["url"].rlike("^https?://"), F.lit(False)))
+    valid = F.col("__r.ok") & F.coalesce(sound, F.lit(False))
+    out = feeds.withColumn("__r", read).withColumn("__ok", F.coalesce(valid, F.lit(False)))
+    error = F.when(~known, F.concat(F.lit("unsupported provider: "), "provider")).when(~F.col("__ok"), F.concat(F.lit("unexpected schema: "), "provider"))
+    return out.select("feed_id", "provider", F.when(F.col("__ok"), F.col("__r.rows")).otherwise(F.expr(_NONE)).alias("postings"), (F.col("__ok") & F.coalesce("__r.complete", F.lit(False))).alias("complete"), error.alias("error"))
 
 
 def postings(parsed: DataFrame) -> DataFrame:
