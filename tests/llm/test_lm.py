@@ -45,29 +45,76 @@ def test_base_scores_and_counts(spark, monkeypatch):
     assert all(r.score <= 0 for r in got)
 
 
-def test_scores_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_against_brute_force(spark, monkeypatch, order):
     data = rows()
     weights = {}
     learn = lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda *a: weights.setdefault("w", learn(*a)))
-    got = {(r.doc_id, r.n_tokens): r.score for r in lm.lm_scores(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    monkeypatch.setattr(lm, "BLOCK_LEAST", 3000)
+    monkeypatch.setattr(lm, "BLOCK_ROOT", 1)
+    df = spark.createDataFrame([(str(i) if i is not None else None, t) for i, t in data], "doc_id string, text string").repartition(3)
+    got = {(r.doc_id, r.n_tokens): r.score for r in lm.lm_scores(df, order=order).collect()}
     c1, c2, n, v = model(data)
+    train = [toks(t) for i, t in data if fold(i) != 2]
+    c3 = Counter(x for ws in train for x in zip([None, None, *ws[:-2]], [None, *ws[:-1]], ws))
+    bucket = lambda c: min(1 + int(math.log2(c)), lm.CLASSES - 1) if c else 0
     w = weights["w"]
     for i, t in data:
-        total = 0
-        for h, x in zip([None, *toks(t)[:-1]], toks(t), strict=True):
-            k = min(1 + int(math.log2(c1[h])), lm.CLASSES - 1) if c1[h] else 0
-            total += math.log10((w[0, k] * c2[h, x] / c1[h] if c1[h] else 0) + w[1, k] * c1[x] / n + w[2, k] / (v + 1))
-        assert got[i, len(toks(t))] == pytest.approx(total, abs=1e-6)
+        total, ws = 0, toks(t)
+        for k, x in enumerate(ws):
+            a, b = (ws[k - 2] if k > 1 else None), (ws[k - 1] if k else None)
+            pair = c2[a, b] if k and order == 3 else 0
+            at = lm.CLASSES + bucket(pair) if pair else bucket(c1[b])
+            p = w[2, at] * c1[x] / n + w[3, at] / (v + 1)
+            p += w[1, at] * c2[b, x] / c1[b] if c1[b] else 0
+            p += w[0, at] * c3[a, b, x] / pair if pair else 0
+            total += math.log10(p)
+        assert got[None if i is None else str(i), len(ws)] == pytest.approx(total, abs=1e-6)
 
 
 def test_em_finds_the_better_part():
     level = lambda c: int(lm._level(np.array([c]))[0])
-    cell = lambda ctx, word, pair: ((int(lm._context_class(np.array([ctx]))[0]) * 256 + level(ctx)) * 256 + level(word)) * 256 + level(pair)
-    w = lm.learn_weights(np.array([cell(64, 2, 64), cell(4, 500, 0)]), np.array([100.0, 100.0]), 1000, 50)
-    assert w[0, 7] > 0.9 and w[1, 3] > 0.9
+
+    def cell(before, pair_before, word, pair, triple):
+        out = int(lm._context_class(np.array([before]), np.array([pair_before]))[0])
+        for c in (pair_before, triple, before, pair, word):
+            out = out * 256 + level(c)
+        return out
+
+    w = lm.learn_weights(np.array([cell(64, 0, 2, 64, 0), cell(4, 0, 500, 0, 0), cell(64, 16, 2, 1, 16)]), np.array([100.0] * 3), 1000, 50)
+    assert w[1, 7] > 0.9 and w[2, 3] > 0.9 and w[0, lm.CLASSES + 5] > 0.9
     assert np.allclose(w.sum(axis=0), 1)
 
 
+def test_em_against_plain_rounds():
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 30)), int(rng.integers(0, 9)), int(rng.integers(0, 50)), int(rng.integers(0, 9)), int(rng.integers(0, 5))) for _ in range(60)]
+    cells, ns = {}, []
+    for before, pair_before, word, pair, triple in rows:
+        at = int(lm._context_class(np.array([before]), np.array([pair_before]))[0])
+        code = at
+        for c in (pair_before, triple, before, pair, word):
+            code = code * 256 + int(lm._level(np.array([c]))[0])
+        cells[code] = cells.get(code, 0) + 1
+    got = lm.learn_weights(np.array(list(cells)), np.array(list(cells.values()), dtype=float), 900, 80)
+    grid = lambda x: 2 ** ((x - 1) / lm.GRID) if x else 0.0
+    w = {}
+    for _ in range(lm.EM_ROUNDS):
+        sums = {}
+        for code, n in cells.items():
+            word, pair, before, triple, pair_before = (grid(code >> 8 * k & 255) for k in range(5))
+            at = code >> 40
+            old = w.get(at) or ([0, 0, 0.9, 0.1] if at == 0 else [0, 0.4, 0.5, 0.1] if at < lm.CLASSES else [0.2, 0.3, 0.4, 0.1])
+            p = [min(triple / max(pair_before, 1), 1) if pair_before else 0, min(pair / max(before, 1), 1) if before else 0, word / 900, 1 / 81]
+            each = [a * b for a, b in zip(old, p)]
+            for k in range(4):
+                sums.setdefault(at, [0.0] * 4)[k] += n * each[k] / sum(each)
+        w = {at: [x / sum(v) for x in v] for at, v in sums.items()}
+    for at, v in w.items():
+        v = [max(v[0], 0), max(v[1], 0), max(v[2], 1e-6), max(v[3], 1e-6)]
+        assert np.allclose(got[:, at], np.array(v) / sum(v), atol=1e-9)
+
+
 def test_empty(spark):
     assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
