@@ -81,4 +81,4 @@ def test_search_helpers(spark):
     assert keys.a != keys.b and len(keys.a) == 64
     r = spark.createDataFrame([({"closed": "true"},), ({"status": "published"},), ({"isActive": "0"},)], "m map<string,string>").select(records.inactive_row(c("m")).alias("x")).collect()
     assert [x.x for x in r] == [True, False, True]
-    assert spark.range(1).select(records.section_modality(F.lit("a.requirements.b")).alias("x")).first().x == "required"
+    assert spark.range(1).select(records.section_modality(F.lit("a.must_have[2].b")).alias("x")).first().x == "requirements"
