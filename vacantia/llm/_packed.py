@@ -21,9 +21,9 @@ def ranges(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(np.int64)
 
 
-def _planes(x: np.ndarray) -> bytes:
+def _planes(x: np.ndarray, level: int = 1) -> bytes:
     """Bytes of equal significance side by side, then compressed."""
-    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), level)
 
 
 def _joined(blob: bytes, kind) -> np.ndarray:
@@ -40,7 +40,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return _planes(counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64))
+    return _planes(counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64), 3)
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:
