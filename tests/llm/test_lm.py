@@ -73,15 +73,15 @@ def test_scores_against_brute_force(spark, monkeypatch, order):
         assert got[None if i is None else str(i), len(ws)] == pytest.approx(total, abs=1e-6)
 
 
-def test_em_finds_the_better_part():
-    level = lambda c: int(lm._level(np.array([c]))[0])
+def cell(before, pair_before, word, pair, triple):
+    level = lambda p: int(lm._level(np.array([float(p)]))[0])
+    out = int(lm._context_class(np.array([before]), np.array([pair_before]))[0])
+    for p in (triple / pair_before if pair_before else 0, pair / before if before else 0, 1 / word if word else 0):
+        out = out * 256 + level(min(p, 1))
+    return out
 
-    def cell(before, pair_before, word, pair, triple):
-        out = int(lm._context_class(np.array([before]), np.array([pair_before]))[0])
-        for c in (pair_before, triple, before, pair, word):
-            out = out * 256 + level(c)
-        return out
 
+def test_em_finds_the_better_part():
     w = lm.learn_weights(np.array([cell(64, 0, 2, 64, 0), cell(4, 0, 500, 0, 0), cell(64, 16, 2, 1, 16)]), np.array([100.0] * 3), 1000, 50)
     assert w[1, 7] > 0.9 and w[2, 3] > 0.9 and w[0, lm.CLASSES + 5] > 0.9
     assert np.allclose(w.sum(axis=0), 1)
@@ -89,24 +89,20 @@ def test_em_finds_the_better_part():
 
 def test_em_against_plain_rounds():
     rng = np.random.default_rng(8)
-    rows = [(int(rng.integers(0, 30)), int(rng.integers(0, 9)), int(rng.integers(0, 50)), int(rng.integers(0, 9)), int(rng.integers(0, 5))) for _ in range(60)]
-    cells, ns = {}, []
-    for before, pair_before, word, pair, triple in rows:
-        at = int(lm._context_class(np.array([before]), np.array([pair_before]))[0])
-        code = at
-        for c in (pair_before, triple, before, pair, word):
-            code = code * 256 + int(lm._level(np.array([c]))[0])
+    cells = {}
+    for _ in range(60):
+        code = cell(*(int(rng.integers(0, n)) for n in (30, 9, 50, 9, 5)))
         cells[code] = cells.get(code, 0) + 1
     got = lm.learn_weights(np.array(list(cells)), np.array(list(cells.values()), dtype=float), 900, 80)
-    grid = lambda x: 2 ** ((x - 1) / lm.GRID) if x else 0.0
+    grid = lambda x: 2 ** (-(x - 1) / lm.GRID) if x else 0.0
     w = {}
     for _ in range(lm.EM_ROUNDS):
         sums = {}
         for code, n in cells.items():
-            word, pair, before, triple, pair_before = (grid(code >> 8 * k & 255) for k in range(5))
-            at = code >> 40
+            once, pair, triple = (grid(code >> 8 * k & 255) for k in range(3))
+            at = code >> 24
             old = w.get(at) or ([0, 0, 0.9, 0.1] if at == 0 else [0, 0.4, 0.5, 0.1] if at < lm.CLASSES else [0.2, 0.3, 0.4, 0.1])
-            p = [min(triple / max(pair_before, 1), 1) if pair_before else 0, min(pair / max(before, 1), 1) if before else 0, word / 900, 1 / 81]
+            p = [triple, pair, (1 / once if once else 0) / 900, 1 / 81]
             each = [a * b for a, b in zip(old, p)]
             for k in range(4):
                 sums.setdefault(at, [0.0] * 4)[k] += n * each[k] / sum(each)

@@ -40,7 +40,7 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return _planes(counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64), 3)
+    return _planes(counts.astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.uint64), 6)
 
 
 def unpack_counts(blob: bytes, n: int) -> np.ndarray:

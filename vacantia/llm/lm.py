@@ -14,8 +14,8 @@ keys once, and no task holds more than a block or a range.  EM runs on a histogr
 (context class, log counts), whose size is bounded by its
 grid and not by the corpus.  Blocks times ranges is the number of packed rows: see README.
 
-Pairs have keys of 56 bits and triples of 48, so that fewer bytes are sent: among 10**12 distinct triples one in 280 shares its key
-with another, among 10**11 distinct pairs one in 700,000.  Words have 64 bits.
+Pairs and triples have keys of 48 bits, so that fewer bytes are sent: among 10**12 distinct ones one in 280 shares its key
+with another, among 10**10 one in 28,000.  Words have 64 bits.
 
 Defined cases: null text is empty, and an empty text is scored by its end alone; a
 null id counts as the empty string in the fold rule, ids may be of any type; equal rows count as often as they
@@ -39,11 +39,11 @@ from vacantia.llm._text import SPACED, U64, mix, slices, utf8, words
 from vacantia.operators.storage import checkpoint
 
 #: Text of a block: grows with the square root of the corpus, so that blocks times ranges stays in proportion.
-BLOCK_LEAST, BLOCK_MOST, BLOCK_ROOT = 12 << 20, 128 << 20, 400
+BLOCK_LEAST, BLOCK_MOST, BLOCK_ROOT = 14 << 20, 128 << 20, 400
 #: Context classes of words: 0 for unseen contexts, then one for each power of two; those of pairs follow.
 CLASSES = 40
-#: Cells for each doubling of a count in EM's histogram.
-GRID = 4
+#: Cells for each doubling of a probability in EM's histogram, and the last of them.
+GRID, LAST = 2, 80
 EM_ROUNDS = 40
 HELD_OUT, DELETED, FOLDS = 2, 3, 7
 
@@ -130,7 +130,7 @@ def _keys(hashes: np.ndarray, counts: np.ndarray, kind: int) -> np.ndarray:
     if kind == 0:
         return mix(hashes ^ U64(0x51ED270B))
     pair = mix(_before(hashes, counts, 1) * U64(_STEP) + hashes)
-    return pair & ~U64(0xFF) if kind == 1 else mix(_before(hashes, counts, 2) * U64(_STEP) + pair) & ~U64(0xFFFF)
+    return pair & ~U64(0xFFFF) if kind == 1 else mix(_before(hashes, counts, 2) * U64(_STEP) + pair) & ~U64(0xFFFF)
 
 
 def _counted(keys: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,9 +179,13 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "kind", "part", "total", "dev", "types"), zip(*out, strict=True), kinds, strict=True)})
 
 
-def _level(c: np.ndarray) -> np.ndarray:
-    """Cell of a count on the logarithmic grid; 0 for 0."""
-    return np.where(c > 0, 1 + np.rint(np.log2(np.maximum(c, 1)) * GRID).astype(np.int64), 0)
+def _level(p: np.ndarray) -> np.ndarray:
+    """Cell of a probability on the logarithmic grid; 0 for 0."""
+    return np.where(p > 0, 1 + np.minimum(np.rint(-np.log2(np.maximum(p, 1e-30)) * GRID), LAST - 1).astype(np.int64), 0)
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b > 0, np.minimum(a / np.maximum(b, 1), 1.0), 0.0)
 
 
 def _bucket(c: np.ndarray) -> np.ndarray:
@@ -227,7 +231,8 @@ def _resolver(parts: int, order: int):
         word, pair = _contexts(f[0], f[1], own, end) if len(own) else (f[0], f[1])
         pair = pair if order == 3 else pair * 0
         cell = _context_class(word, pair)
-        for level in (_level(pair), _level(f[2]), _level(word), _level(f[1]), _level(f[0])):
+        # Words stand by their count: the number of tokens is not known here.
+        for level in (_level(_ratio(f[2], pair)), _level(_ratio(f[1], word)), _level(_ratio(np.ones(len(word)), f[0]))):
             cell = cell * 256 + level
         cells, weights = np.unique(cell, return_counts=True)
         stats = {"cells": cells, "weights": weights, "tokens": int(counts[fold != HELD_OUT].sum()), "types": sum(answers["types"].to_pylist()), "dev_tokens": int(own.sum())}
@@ -254,10 +259,9 @@ def _end_count(hashes: np.ndarray, counts: np.ndarray) -> int:
 def learn_weights(cells: np.ndarray, weights: np.ndarray, tokens: int, types: int) -> np.ndarray:
     """Mixture weights (l3, l2, l1, l0) of each context class by EM on the deleted fold's histogram."""
     at = lambda k: (cells >> (8 * k)) & 255
-    count = lambda level: np.where(level > 0, 2.0 ** ((level - 1) / GRID), 0.0)
-    word, pair, before, triple, pair_before, kind = *(count(at(k)) for k in range(5)), cells >> 40
-    ratio = lambda a, b: np.where(b > 0, np.minimum(a / np.maximum(b, 1), 1), 0)
-    p = np.stack([ratio(triple, pair_before), ratio(pair, before), word / max(tokens, 1), np.full(len(cells), 1 / (types + 1))])
+    value = lambda level: np.where(level > 0, 2.0 ** (-(level - 1) / GRID), 0.0)
+    once, pair, triple, kind = value(at(0)), value(at(1)), value(at(2)), cells >> 24
+    p = np.stack([triple, pair, np.where(once > 0, 1 / np.maximum(once, 1e-30), 0) / max(tokens, 1), np.full(len(cells), 1 / (types + 1))])
     mixed = np.tile(np.array([[0.2], [0.3], [0.4], [0.1]]), (1, 2 * CLASSES))
     mixed[:, :CLASSES] = np.array([[0.0], [0.4], [0.5], [0.1]])
     mixed[:, 0] = 0, 0, 0.9, 0.1
