@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import dates, strings
+from vacantia.operators import dedupe, scope
+from vacantia.operators.relational import best_per_group
 
 
 def keyword_filter(words: str, columns: Sequence[Column]) -> Column:
@@ -114,3 +116,39 @@ def display(postings: DataFrame, limit: int = 280) -> DataFrame:
     return postings.withColumn("employer", F.coalesce("employer_name", "organization", "source_company")).withColumn("summary", F.left("description", F.lit(limit)))
 
 
+def match_order(kind: str) -> list[Column]:
+    """Orders of matched postings by score, discovery and posting date; 'match' and 'relevance' put the score first.
+
+    Columns: score (null: none), first_seen_at and date_posted as text, title, job_id.
+    """
+    score = F.coalesce("score", F.lit(-1)).desc()
+    discovered, posted = date_rank(F.col("first_seen_at")).desc(), date_rank(F.col("date_posted")).desc()
+    first = {"posted": [posted, score, discovered], "discovered": [discovered, score, posted], "match": [score, discovered, posted], "relevance": [score, discovered, posted]}[kind]
+    return [*first, F.lower("title"), F.col("job_id")]
+
+
+def search_page(postings: DataFrame, *, now: Column, order: str = "match", offset: int = 0, limit: int = 50, minimum: int = 0, include_unknown: bool = True, selection: str = "all", **area) -> tuple[DataFrame, DataFrame]:
+    """One search: (page, counts).  Scope first, then the richest eligible posting of each ``group``, then the match's verdict, the order and the page.
+
+    postings: what ``scope.classify`` and ``dedupe.richness`` read, ``group`` of the vacancy (from the maintained groups), score, conflict and
+    uncertain (null: false).  page: the postings with ``scope`` and ``total``, the number of all that pass.  counts: (reason, n) of what was
+    turned away by scope, profile_conflict, below_score or uncertain, in this precedence.
+    """
+    classified = scope.classify(postings, now=now, selection=selection, **area)
+    unique = best_per_group(classified.filter("scope.eligible"), ["group"], dedupe.richness(now))
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    turned = F.when(yes("conflict"), "profile_conflict").when(F.coalesce("score", F.lit(-1)) < minimum, "below_score").when(F.lit(not include_unknown) & yes("uncertain"), "uncertain")
+    judged = unique.withColumn("turned", turned)
+    kept = judged.filter("turned is null").drop("turned")
+    counts = scope.rejected_by_reason(classified).unionByName(judged.filter("turned is not null").groupBy(F.col("turned").alias("reason")).agg(F.count("*").alias("n")))
+    shown = kept.orderBy(*match_order(order)).offset(offset).limit(limit)
+    return shown.crossJoin(F.broadcast(kept.agg(F.count("*").alias("total")))), counts  # total: one row
+
+
+def evict(snapshots: DataFrame, now: Column, *, keep: int = 32, fresh_s: int = 900, most_s: int = 86_400, preserve: str | int | None = None) -> DataFrame:
+    """Snapshots (key, created_at, is_prewarmed) that stay: prewarmed ones for ``fresh_s`` seconds, others for ``most_s`` and the ``keep`` newest of them; ``preserve`` always, beside these."""
+    own = F.lit(False) if preserve is None else F.col("key") == preserve
+    age = (F.unix_micros(now) - F.unix_micros("created_at")) / 1_000_000
+    newest = snapshots.filter(~F.col("is_prewarmed") & ~own).orderBy(F.col("created_at").desc(), "key").limit(keep).select("key", F.lit(True).alias("__new"))
+    stays = F.when(F.col("is_prewarmed"), age <= fresh_s).otherwise((age <= most_s) & F.coalesce("__new", F.lit(False)))
+    return snapshots.join(F.broadcast(newest), "key", "left").filter(own | stays).select(snapshots.columns)  # at most ``keep`` rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import dates, geo, records, requirements, strings, tasks
@@ -64,15 +64,23 @@ cases("fil14_remote_scope", f"m string, l {_PLACES}", lambda m, l: scope.remote_
 ])
 
 
-def _classified(t: Tables, **area):
+def area_rows(t: Tables, *more: Column) -> DataFrame:
     k = c("c_custkey") % 8
     spot = lambda label, code=None, lat=None, lon=None: F.array(F.struct(F.lit(label).alias("label"), F.lit(code).cast("string").alias("country_code"), F.lit(lat).cast("double").alias("latitude"), F.lit(lon).cast("double").alias("longitude")))
-    rows = t.customer.select(
+    return t.customer.select(
         "c_custkey", F.when(k == 0, "2020-01-01").alias("valid_through"), F.when(k.isin(1, 2, 3), "remote").alias("work_arrangement"), F.lit(None).cast("boolean").alias("is_remote"),
         F.when(k == 1, F.array(F.lit("FR"))).when(k == 2, F.array(F.lit("DE"))).alias("remote_countries"), F.lit(False).alias("remote_unresolved"),
-        F.when(k == 4, spot("Bonn")).when(k == 5, spot("Ulm", "DE", 50.73, 7.1)).when(k == 6, spot("Ulm", "DE", 48.4, 10.0)).when(k == 7, spot("Ulm")).otherwise(spot("Bonn")).alias("locations"),
+        F.when(k == 4, spot("Bonn")).when(k == 5, spot("Ulm", "DE", 50.73, 7.1)).when(k == 6, spot("Ulm", "DE", 48.4, 10.0)).when(k == 7, spot("Ulm")).otherwise(spot("Bonn")).alias("locations"), *more,
     )
-    return scope.classify(rows, now=F.lit("2024-01-01").cast("timestamp"), lat=50.73, lon=7.1, radius_km=25.0, place="Bonn", country="DE", **area)
+
+
+def area(**more) -> dict:
+    """Around Bonn, at the start of 2024."""
+    return {"now": F.lit("2024-01-01").cast("timestamp"), "lat": 50.73, "lon": 7.1, "radius_km": 25.0, "place": "Bonn", "country": "DE", **more}
+
+
+def _classified(t: Tables, **more) -> DataFrame:
+    return scope.classify(area_rows(t), **area(**more))
 
 
 @query("""SELECT c_custkey, c_custkey % 8 IN (2, 3, 4, 5) AS eligible, CASE c_custkey % 8 WHEN 0 THEN 'expired' WHEN 1 THEN 'remote_country' WHEN 6 THEN 'outside_area' WHEN 7 THEN 'outside_area' END AS reason, CASE WHEN c_custkey % 8 IN (1, 2, 3) THEN 'remote' WHEN c_custkey % 8 IN (4, 5) THEN 'in_area' END AS match_kind,
