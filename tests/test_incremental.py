@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vacantia.functions import vectors
-from vacantia.operators import indexing, reports, sections
+from vacantia.operators import indexing, relational, reports, sections
 from vacantia.sources import fetches
 
 
@@ -72,3 +72,10 @@ def test_profile_begins_with_its_skills(spark):
     skills = spark.createDataFrame([(1, ["SQL", "Go"]), (2, [])], "id int, skills array<string>")
     got = [(r.id, r.n, r.scope, r.text) for r in sections.profile_sections(texts, skills, id_col="id").orderBy("n").collect()]
     assert got == [(1, 1, "capabilities", "Skills: SQL, Go"), (1, 2, "experience", "Built data pipelines in Spark.")]
+
+
+def test_a_query_set_in_blocks_meets_every_row(spark):
+    rows, asked = spark.range(7).withColumnRenamed("id", "r"), spark.range(9).withColumnRenamed("id", "q")
+    want = sorted((r, q) for r in range(7) for q in range(9))
+    assert all(sorted(map(tuple, relational.against_all(rows, asked, most=n).collect())) == want for n in (2, 100))
+    assert relational.against_all(rows, asked.limit(0)).count() == 0

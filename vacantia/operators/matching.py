@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import vectors
+from vacantia.operators.relational import against_all
 
 #: Penalty of each kind of gap; formal prerequisites are gates and cost nothing here (fixed values).
 PENALTIES = {"domain": 25, "professional_experience": 20, "skill": 15, "title_domain": 25}
@@ -100,7 +101,8 @@ def best_section_pairs(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     jobs: job, text, vector.  profiles: profile, text, vector.  Profiles are a query set; every posting meets each of them,
     and only the best pair of a posting and profile leaves its partition's partial aggregate.
     """
-    pairs = jobs.select("job", F.col("text").alias("job_text"), vectors.normalize(F.col("vector")).alias("jv")).crossJoin(profiles.select("profile", F.col("text").alias("profile_text"), vectors.normalize(F.col("vector")).alias("pv")))
+    asked = profiles.select("profile", F.col("text").alias("profile_text"), vectors.normalize(F.col("vector")).alias("pv"))
+    pairs = against_all(jobs.select("job", F.col("text").alias("job_text"), vectors.normalize(F.col("vector")).alias("jv")), asked)
     scored = pairs.withColumn("s", vectors.dot(F.col("jv"), F.col("pv")))
     best = scored.groupBy("job", "profile").agg(F.max(F.struct("s", "job_text", "profile_text")).alias("b"))
     return best.select("job", "profile", F.round(vectors.clamp(F.col("b.s"), -1.0, 1.0), 4).alias("similarity"), "b.job_text", "b.profile_text")

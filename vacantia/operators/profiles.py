@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from vacantia.functions import requirements as R
 from vacantia.functions import tasks
 from vacantia.operators import matching
+from vacantia.operators.relational import against_all
 
 MATCH = "struct<role:boolean,secondary:boolean,weight:double,n_skills:int,substantive:int,matched:array<string>,missing:array<string>,gaps:array<struct<gap:string,kind:string>>,conflicts:array<string>,unknowns:array<string>,language_gate:string,language_points:int,experience_points:int,content:int,uncovered:array<string>,stated:boolean>"
 
@@ -108,7 +109,7 @@ def match(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
         if column not in df.columns:
             empty = df.withColumn(column, F.from_json(F.lit("[]"), f"array<{kind}>"))
             jobs, profiles = (empty, profiles) if column == "units" else (jobs, empty)
-    m = jobs.crossJoin(profiles).withColumn("m", run("title", "enriched", "profile")).withColumn("duties", tasks.alignment(F.col("units"), F.col("facts")))
+    m = against_all(jobs, profiles).withColumn("m", run("title", "enriched", "profile")).withColumn("duties", tasks.alignment(F.col("units"), F.col("facts")))
     c = lambda n: F.col(f"m.{n}")
     done = F.filter("duties.requirements", lambda r: r["evidence"]["status"] != "unknown")
     proven = F.exists("duties.requirements", lambda r: (r["evidence"]["status"] == "supported") & (r["evidence"]["context"] != "academic"))

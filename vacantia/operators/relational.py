@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,6 +78,15 @@ def labels_of_current_text(labels: DataFrame, texts: DataFrame, *, id_col: str,
     return labels.join(texts.select(id_col, own), id_col).filter(F.col(stated) == F.col(own)).drop(stated, own)
 
 
+def against_all(rows: DataFrame, queries: DataFrame, *, most: int = 10_000) -> DataFrame:
+    """Every row with every row of a query set.  The set is counted and broadcast in blocks of ``most`` rows on average, so any number of queries will do."""
+    blocks = -(-queries.count() // most)
+    if blocks <= 1:
+        return rows.crossJoin(F.broadcast(queries))
+    numbered = queries.withColumn("__block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
+    return reduce(DataFrame.unionByName, [rows.crossJoin(F.broadcast(numbered.filter(F.col("__block") == b).drop("__block"))) for b in range(blocks)])
+
+
 def interleave(df: DataFrame, bucket: str, order: Sequence[Column], limit: int) -> DataFrame:
     """Round robin over buckets: every bucket's first row, then every second, up to ``limit`` rows."""
     place = F.row_number().over(Window.partitionBy(bucket).orderBy(*order))

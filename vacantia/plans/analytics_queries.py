@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vacantia.operators import analytics, matching, upserts
+from vacantia.operators import analytics, matching, relational, upserts
 from vacantia.plans.catalog import Tables, query
 from vacantia.streaming import queues, windows
 
@@ -83,12 +83,12 @@ def ag19_weighted_component(t: Tables):
 
 _BM25 = """t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9äöüß+#]{2,}'), lambda w: w NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'for', 'with', 'der', 'die', 'das', 'und', 'in', 'mit', 'für', 'von')) AS w FROM documents),
 s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM t), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9äöüß+#]{2,}'), lambda w: w NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'for', 'with', 'der', 'die', 'das', 'und', 'in', 'mit', 'für', 'von'))) AS term FROM benchmark WHERE item_id % 5 = 0),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9äöüß+#]{2,}'), lambda w: w NOT IN ('the', 'and', 'of', 'to', 'in', 'a', 'for', 'with', 'der', 'die', 'das', 'und', 'in', 'mit', 'für', 'von'))) AS term FROM benchmark),
 b AS (SELECT item_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / greatest(avgdl, 1)))) AS score FROM q JOIN tf USING (term) JOIN df USING (term), s GROUP BY 1, 2)"""
 
 
 def _bm25(t: Tables):
-    return analytics.bm25(t.documents, t.benchmark.filter("item_id % 5 = 0"), doc="doc_id", query="item_id")
+    return analytics.bm25(t.documents, t.benchmark, doc="doc_id", query="item_id")
 
 
 def _ranked(t: Tables):
@@ -119,7 +119,7 @@ g AS (SELECT r.item_id, rank, coalesce(gain, 0) AS gain FROM r LEFT JOIN l USING
 i AS (SELECT item_id, sum(CASE WHEN place <= 10 THEN (pow(2, gain) - 1) / log2(place + 1) END) AS ideal, sum((gain > 0)::INT) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY gain DESC, doc_id) AS place FROM l) GROUP BY 1)
 SELECT item_id, round(p, 4) AS precision_k, round(hits::DOUBLE / relevant, 4) AS recall, round(dcg / ideal, 4) AS ndcg_k FROM a JOIN i USING (item_id)""")
 def ndcg_at_10(t: Tables):
-    labels = t.labels.crossJoin(t.benchmark.filter("item_id % 5 = 0").select("item_id")).select("item_id", "doc_id", (c("quality") + (1 - c("toxic"))).alias("gain"))
+    labels = relational.against_all(t.labels, t.benchmark.select("item_id")).select("item_id", "doc_id", (c("quality") + (1 - c("toxic"))).alias("gain"))
     return analytics.ranking_metrics(_ranked(t).select("item_id", "doc_id", "rank"), labels, query="item_id", doc="doc_id")
 
 
@@ -315,12 +315,12 @@ def events_late(t: Tables):
     return windows.sliding(t.events, "12 hours", "6 hours").select(c("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("""WITH p AS (SELECT item_id, item_id % 3 = 0 AS role, item_id % 3 = 1 AS sec FROM benchmark WHERE item_id % 10 = 0), x AS (SELECT item_id, doc_id, role, sec, CASE WHEN role THEN 55 WHEN sec THEN 35 ELSE 0 END + CASE WHEN role THEN 45 WHEN sec THEN 20 ELSE 25 END * (doc_id % 5)::DOUBLE / greatest(1, doc_id % 7) AS s, CASE WHEN (doc_id + item_id) % 4 = 0 THEN 20 ELSE 0 END AS pen, CASE WHEN doc_id % 9 = 0 THEN 59 ELSE 100 END AS lim FROM p, documents),
+@query("""WITH p AS (SELECT item_id, item_id % 3 = 0 AS role, item_id % 3 = 1 AS sec FROM benchmark), x AS (SELECT item_id, doc_id, role, sec, CASE WHEN role THEN 55 WHEN sec THEN 35 ELSE 0 END + CASE WHEN role THEN 45 WHEN sec THEN 20 ELSE 25 END * (doc_id % 5)::DOUBLE / greatest(1, doc_id % 7) AS s, CASE WHEN (doc_id + item_id) % 4 = 0 THEN 20 ELSE 0 END AS pen, CASE WHEN doc_id % 9 = 0 THEN 59 ELSE 100 END AS lim FROM p, documents),
 v AS (SELECT *, least(100, round_even(s, 0)::INT) AS v0 FROM x), w AS (SELECT *, greatest(0, least(lim, CASE WHEN pen > 0 THEN greatest(0, least(v0, 60) - least(40, pen)) ELSE v0 END)) AS score FROM v)
 SELECT item_id, doc_id, score, CASE WHEN doc_id % 13 = 0 OR score < 30 THEN 'unlikely' WHEN score >= 65 AND doc_id % 2 = 0 THEN 'recommended' ELSE 'possible' END AS tier FROM w""")
 def scored_cross_join(t: Tables):
-    p = t.benchmark.filter("item_id % 10 = 0").select("item_id", (c("item_id") % 3 == 0).alias("role"), (c("item_id") % 3 == 1).alias("sec"))
-    x = t.documents.select("doc_id").crossJoin(p)  # a stated set of profiles against all postings
+    p = t.benchmark.select("item_id", (c("item_id") % 3 == 0).alias("role"), (c("item_id") % 3 == 1).alias("sec"))
+    x = relational.against_all(t.documents.select("doc_id"), p)  # the items are the profiles
     s = matching.lexical_score(c("role"), c("sec"), F.lit(True), (c("doc_id") % 5).cast("double"), c("doc_id") % 7)
     pen, lim = F.when((c("doc_id") + c("item_id")) % 4 == 0, 20).otherwise(0), F.when(c("doc_id") % 9 == 0, 59).otherwise(100)
     x = x.withColumn("score", matching.adjusted_score(s, pen, lim, F.lit(0), F.lit(0), F.lit(0)))
