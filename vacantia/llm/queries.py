@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import chat, decontam, imatch, langid, licenses, lm, minhash, mixing, pii, urls
+from vacantia.llm import chat, decontam, imatch, langid, licenses, lm, minhash, mixing, pii, urls, warc, whitening
+from vacantia.operators.storage import checkpoint, drop, shared_dir
 
 _SPACED = r"[^\x20\x09-\x0D]+"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -62,6 +65,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    return whitening.components_of(whitening.whiten(vectors, model), model)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/vacantia/warc-{uuid.uuid4().hex}"
+    warc.write_archives(_table(spark, sf_dir, "pages"), path)
+    records = checkpoint(warc.reassemble(warc.read_records(spark, path), payload=False).drop("payload"), "warc-records")
+    drop(spark.read.text(path))
+    return warc.resolved(records).drop("complete")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii, op4_lm_scoring, op5_mixing, op6_license_scans, op7_fingerprints, op8_url_filters, op9_chat_formatting, op10_language_id, pipeline,
+        op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii, op4_lm_scoring, op5_mixing, op6_license_scans, op7_fingerprints, op8_url_filters, op9_chat_formatting, op10_language_id, op12_whitening, op13_warc, pipeline,
     )
 }
 
@@ -167,10 +184,18 @@ c AS (SELECT conv_id, perspective, chunk, count(*)::BIGINT AS n_turns, string_ag
 SELECT conv_id, perspective, chunk, n_turns, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, rendered, mask FROM c
 """
 
+_BASE32 = "list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * g + 1, 5))::BIGINT >> b) & 31)::INT + 1, 1)), lambda a, x: a || x)), lambda a, x: a || x)"
+_OP13 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS k, first_value(page_id) OVER (PARTITION BY h ORDER BY page_id NULLS LAST) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to FROM r
+"""
+
 SQL = {
     "op1_minhash_near_dedup": _OP1,
     "op2_benchmark_decontamination": _OP2,
     "op3_pii": _OP3,
     "op5_mixing": _OP5,
     "op9_chat_formatting": _OP9,
+    "op13_warc": _OP13,
 }
