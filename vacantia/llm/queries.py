@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm import chat, decontam, imatch, langid, licenses, lm, minhash, mixing, pii, urls, warc, whitening
+from vacantia.llm import chat, decontam, imatch, langid, licenses, lm, minhash, mixing, pii, trie, urls, warc, whitening
 from vacantia.operators.storage import checkpoint, drop, shared_dir
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -65,6 +65,31 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.learn(docs))
 
 
+#: The first turns that a rebuilt conversation takes of another: crc32 of its id modulo this.
+_HEADS = 9
+
+
+def _rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``turns_of`` with every conversation's first h turns taken from conversation c - c % 5, and all conversations' lengths."""
+    h = F.crc32(F.col("conv").cast("string").cast("binary")) % _HEADS
+    lengths = trie.lengths_of(turns)
+    bases = lengths.select(F.col("conv").alias("base"), F.col("length").alias("base_length"))
+    heads = turns.filter(F.col("place") < _HEADS - 1).select(F.col("conv").alias("base"), "place", "digest", "bytes")
+    plan = lengths.select("conv", F.col("length").alias("own"), h.alias("h"), (F.col("conv") - F.col("conv") % 5).alias("base")).join(bases, "base", "left")
+    plan = plan.withColumn("taken", F.least("h", F.coalesce("base_length", F.lit(0)))).withColumn("length", F.col("taken") + F.greatest(F.col("own") - F.col("h"), F.lit(0)))
+    taken = plan.join(heads, "base").filter(F.col("place") < F.col("h")).select("conv", "place", "digest", "bytes", "length")
+    kept = turns.drop("length").join(plan.select("conv", "h", "taken", "length"), "conv").filter(F.col("place") >= F.col("h"))
+    kept = kept.select("conv", (F.col("place") - F.col("h") + F.col("taken")).alias("place"), "digest", "bytes", "length")
+    return taken.union(kept), plan.select("conv", "length")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = checkpoint(trie.turns_of(_table(spark, sf_dir, "conversations")), "trie-placed")
+    out = trie.prefix_trie(*_rebuilt(turns))
+    drop(turns)
+    return out
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     model = whitening.fit(vectors)
@@ -88,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii, op4_lm_scoring, op5_mixing, op6_license_scans, op7_fingerprints, op8_url_filters, op9_chat_formatting, op10_language_id, op12_whitening, op13_warc, pipeline,
+        op1_minhash_near_dedup, op2_benchmark_decontamination, op3_pii, op4_lm_scoring, op5_mixing, op6_license_scans, op7_fingerprints, op8_url_filters, op9_chat_formatting, op10_language_id, op11_prefix_trie, op12_whitening, op13_warc, pipeline,
     )
 }
 
@@ -184,6 +209,23 @@ c AS (SELECT conv_id, perspective, chunk, count(*)::BIGINT AS n_turns, string_ag
 SELECT conv_id, perspective, chunk, n_turns, coalesce(sum(length(rendered)) OVER (PARTITION BY conv_id, perspective ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, rendered, mask FROM c
 """
 
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({0}) + 1), lambda i: [ascii(substr({0}, i::INT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+_OP11 = f"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, strlen(text) AS bytes, sha256(strlen(role) || ':' || role || text) AS g, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text)) - 1 AS place FROM t),
+p AS (SELECT c, c - c % 5 AS base, {_CRC32.format("c::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT c FROM o)),
+r AS (SELECT p.c, place, g, bytes, 0 AS own FROM p JOIN o ON o.c = p.base AND o.place < p.h UNION ALL SELECT p.c, place, g, bytes, 1 FROM p JOIN o ON o.c = p.c AND o.place >= p.h),
+d AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, place) AS depth FROM r),
+k AS (SELECT c, depth, bytes, sha256(string_agg(g, '' ) OVER (PARTITION BY c ORDER BY depth)) AS key FROM d UNION ALL SELECT c, 0, 0, '' FROM p),
+n AS (SELECT depth, key, min(c) AS owner, count(*) AS n_convs, max(bytes) AS bytes FROM k GROUP BY 1, 2),
+a AS (SELECT k.c, k.depth, n.owner, max(k.depth) OVER (PARTITION BY k.c) AS len FROM k JOIN n ON k.depth = n.depth AND k.key = n.key),
+e AS (SELECT owner, depth, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM a WHERE depth = len GROUP BY 1, 2),
+f AS (SELECT n.owner, n.depth, n_convs, (n_convs - 1) * bytes AS saved, up.owner AS parent FROM n LEFT JOIN a up ON up.c = n.owner AND up.depth = n.depth - 1),
+b AS (SELECT parent AS owner, depth - 1 AS depth, count(*) AS n_children FROM f WHERE depth > 0 GROUP BY 1, 2),
+s AS (SELECT a.owner, a.depth, sum(f.saved) AS saved, count(*) FILTER (b.owner IS NULL) AS n_leaves FROM f JOIN a ON a.c = f.owner AND a.depth <= f.depth LEFT JOIN b ON b.owner = f.owner AND b.depth = f.depth GROUP BY 1, 2)
+SELECT f.owner AS conv_id, f.depth::BIGINT AS depth, parent AS parent_conv_id, f.n_convs, coalesce(n_children, 0)::BIGINT AS n_children, n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN s USING (owner, depth) LEFT JOIN b USING (owner, depth) LEFT JOIN e USING (owner, depth)
+"""
 _BASE32 = "list_reduce(list_transform(range(0, 8), lambda g: list_reduce(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * g + 1, 5))::BIGINT >> b) & 31)::INT + 1, 1)), lambda a, x: a || x)), lambda a, x: a || x)"
 _OP13 = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -197,5 +239,6 @@ SQL = {
     "op3_pii": _OP3,
     "op5_mixing": _OP5,
     "op9_chat_formatting": _OP9,
+    "op11_prefix_trie": _OP11,
     "op13_warc": _OP13,
 }
