@@ -6,7 +6,6 @@ import random
 import pytest
 
 from vacantia.llm import warc
-from vacantia.operators.storage import shared_dir
 
 SCHEMA = "page_id long, url string, html binary, digest int, row string"
 
@@ -15,7 +14,7 @@ def pages():
     rng = random.Random(5)
     rows = [(1, "http://a/1", b"<p>one</p>"), (2, "http://a/2", None), (3, None, b""), (4, "u\r\nX-Forged: 1", b"<p>one</p>"), (4, "u", b"<p>one</p>"), (None, "n", b"<p>one</p>"), (None, "n", b"only null")]
     rows += [(10 + k, f"http://b/{k}", bytes(rng.randrange(256) for _ in range(rng.choice((0, 1, 63, 64, 65, 700, 5000))))) for k in range(60)]
-    rows += [(100, "d", b"x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n"), (101, "e", warc.DELIMITER), (102, "f", b"y" * 40 + warc.DELIMITER * 9), (103, "g", b"0\r\n\r\n"), (104, "h", warc.END * 5)]
+    rows += [(100, "d", b"x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n"), (101, "http://x/WARC/1.0/e", warc.MARK), (102, "f", b"y" * 40 + (warc.END + warc.MARK) * 9), (103, "g", b"0\r\n\r\n"), (104, "h", warc.END * 5)]
     rows += [(200 + k, "hot", b"same") for k in range(40)] + [(5, "long", bytes(range(256)) * 900)]
     return [(*r, 7, "x") for r in rows]
 
@@ -89,7 +88,18 @@ def test_broken_archives(spark, tmp_path):
     assert (r.payload_bytes, r.payload_digest, r.refers_to, r.complete) == (None, "ABC", None, False)
 
 
-def test_no_pages(spark):
-    path = f"{shared_dir(spark)}/vacantia/warc-none"
+def test_records_that_end_at_any_place_of_the_readers_buffer(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, f"http://c/{k}", rng.choice((b"\r\n", b"W", b"WARC/1", b"ab")) * rng.randrange(400)) for k in range(3000)]
+    path = str(tmp_path / "many")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html binary").coalesce(1), path, least=10**9)
+    for cut in (b"", b"z"):  # the same records, shifted
+        files = [gzip.decompress(f.read_bytes()) for f in (tmp_path / "many").glob("*.gz")]
+        read = warc.reassemble(archive(spark, tmp_path, f"shifted{len(cut)}", *[cut * 7 + f for f in files]))
+        assert {r.page_id: bytes(r.payload) for r in read.filter("complete").collect()} == {r[0]: r[2] for r in rows}
+
+
+def test_no_pages(spark, tmp_path):
+    path = str(tmp_path / "none")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert warc.resolved(warc.reassemble(warc.read_records(spark, path))).collect() == []

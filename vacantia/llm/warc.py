@@ -2,11 +2,11 @@
 
 ``write_archives`` writes one record a page (payloads that equal an earlier page's as revisits), each HTTP body in
 chunked transfer framing, blocks of more than ``segment`` bytes as a first segment and continuation records.  The
-archives are gzip files of the shared folder, written and read by Spark's text source with the record's own
-delimiter, so that neither side needs a file system of its own.
+archives are gzip files of the shared folder, written and read by Spark's text source with separators of the format,
+so that neither side needs a file system of its own.
 
-``read_records`` streams an archive: a piece between two delimiters is a record if it is as long as its Content-Length;
-a shorter one goes on in the next piece (its block holds the delimiter).  One record is in memory at a time.
+``read_records`` streams an archive: pieces begin with ``WARC/1.``, a record takes pieces until it has its headers and as many
+bytes as its Content-Length (the mark may stand in a URL or a block), and what follows it is the next record.  One record is in memory at a time.
 ``reassemble`` groups a record's segments by the identifier of their origin, in whatever archive they are, orders them by number,
 verifies that the numbers are 1 to n and add up to the stated total length, and takes the chunked framing off.
 Records without segments are not shuffled, and a group never holds more than one record's block.
@@ -30,9 +30,10 @@ from pyspark.sql import functions as F
 
 from vacantia.operators.storage import checkpoint, drop
 
-#: What ends a record, and what stands between two records.
+#: What ends headers and records, and what every record begins with.  Archives are cut before each of the latter: it does
+#: not overlap itself, which Spark's reader needs to find it across its buffers.
 END = b"\r\n\r\n"
-DELIMITER = b"\r\n\r\nWARC/1."
+MARK = b"WARC/1."
 #: Bytes of a segment's block, of a chunk in transfer framing, and of rows given on at once.
 SEGMENT, CHUNK, BATCH = 1 << 14, 1 << 12, 1 << 23
 DATE = "2024-01-01T00:00:00Z"
@@ -172,18 +173,16 @@ def _bare(text: str | None) -> str | None:
     return None if text is None else text.strip("<>").removeprefix("urn:uuid:")
 
 
-def _parsed(piece: bytes, archive: str) -> tuple[dict, int]:
-    """The record in ``piece`` (what follows ``WARC/1.``), and how many bytes of its block are not there."""
-    stop = piece.find(END)
-    fields = _headers(piece[: max(stop, 0)])
-    length = _number(fields.get("content-length"))
-    block = piece[stop + 4 : stop + 4 + length] if stop >= 0 and length is not None else b""
+def _record(data: bytes, need: int | None, archive: str) -> dict:
+    """The record in ``data`` (what follows the mark); ``need`` is its length, unknown where headers do not end or give no length."""
+    stop = data.find(END)
+    fields = _headers(data[: max(stop, 0)])
     digest = fields.get("warc-payload-digest")
     return {
         "type": fields.get("warc-type"), "record_id": _bare(fields.get("warc-record-id")), "page_id": _number(fields.get(ID_HEADER)), "uri": fields.get("warc-target-uri"), "refers_to": _bare(fields.get("warc-refers-to")),
         "digest": digest.rpartition(":")[2] if digest else None, "origin": _bare(fields.get("warc-segment-origin-id")), "segment": _number(fields.get("warc-segment-number")), "total": _number(fields.get("warc-segment-total-length")),
-        "block": block, "whole": length is not None and len(block) == length, "archive": archive,
-    }, (length or 0) - len(block)
+        "block": data[stop + 4 : need] if stop >= 0 else b"", "whole": need is not None and len(data) >= need, "archive": archive,
+    }
 
 
 _ARROW = pa.schema([
@@ -192,51 +191,71 @@ _ARROW = pa.schema([
 ])
 
 
+class _Stream:
+    """The records of one archive, fed with its bytes mark by mark."""
+
+    def __init__(self, archive: str):
+        self.archive, self.parts, self.have, self.need = archive, [], 0, None
+
+    def feed(self, piece: bytes) -> Iterator[dict]:
+        """Take the bytes after a mark; give the records that are whole now."""
+        if self.parts:
+            piece = MARK + piece
+        while True:
+            self.parts.append(piece)
+            self.have += len(piece)
+            if self.need is None:
+                self.parts = [b"".join(self.parts)]
+                stop = self.parts[0].find(END)
+                if stop < 0:
+                    return
+                self.need = stop + 4 + max(0, _number(_headers(self.parts[0][:stop]).get("content-length")) or 0)
+            if self.have < self.need:
+                return
+            data = b"".join(self.parts)
+            yield _record(data, self.need, self.archive)
+            piece = data[self.need :].lstrip(b"\r\n")
+            self.parts, self.have, self.need = [], 0, None
+            if not piece.startswith(MARK):
+                return
+            piece = piece[len(MARK) :]
+
+    def close(self) -> Iterator[dict]:
+        """The record that the archive's end cut off."""
+        if self.parts:
+            yield _record(b"".join(self.parts), self.need, self.archive)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of archives whose pieces come in order, file after file."""
+    """Records of archives whose pieces come in order, file after file; what stands before a file's first mark is no record."""
+
+    def records() -> Iterator[dict]:
+        stream = None
+        for batch in batches:
+            for value, archive in zip(batch.column(0), batch.column(1), strict=True):
+                if stream is None or stream.archive != archive.as_py():
+                    if stream:
+                        yield from stream.close()
+                    stream = _Stream(archive.as_py())
+                else:
+                    yield from stream.feed(value.as_py())
+        if stream:
+            yield from stream.close()
+
     out, size = [], 0
-    parts: list[bytes] = []  # of the record that is not whole yet
-    missing, archive = 0, None
-
-    def ended() -> None:
-        nonlocal size
-        if parts:
-            out.append(_parsed(b"".join(parts), archive)[0])
-            size += len(out[-1]["block"])
-            parts.clear()
-
-    for batch in batches:
-        for value, name in zip(batch.column(0), batch.column(1), strict=True):
-            piece, name = value.as_py(), name.as_py()
-            if name != archive:
-                ended()
-                archive, missing = name, 0
-                if not piece.startswith(DELIMITER[4:]):
-                    continue  # not an archive, or what stands before its first record
-                piece = piece[len(DELIMITER) - 4 :]
-            if parts and missing == len(DELIMITER) and not piece:  # the block ends with the delimiter's bytes
-                parts.append(DELIMITER)
-                missing = 0
-            elif parts and missing > len(DELIMITER):
-                parts += [DELIMITER, piece]
-                missing -= len(DELIMITER) + len(piece)
-            else:
-                ended()
-                parts.append(piece)
-                missing = _parsed(piece, archive)[1]
-            if missing <= 0:
-                ended()
-            if size >= BATCH:
-                yield pa.RecordBatch.from_pylist(out, _ARROW)
-                out, size = [], 0
-    ended()
+    for r in records():
+        out.append(r)
+        size += len(r["block"])
+        if size >= BATCH:
+            yield pa.RecordBatch.from_pylist(out, _ARROW)
+            out, size = [], 0
     if out:
         yield pa.RecordBatch.from_pylist(out, _ARROW)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """The records of the gzip archives below ``path`` as ``RECORD``, segments as they stand."""
-    pieces = spark.read.option("lineSep", DELIMITER.decode()).text(path)
+    pieces = spark.read.option("lineSep", MARK.decode()).text(path)
     return pieces.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("archive")).mapInArrow(_read, RECORD)
 
 
