@@ -137,7 +137,8 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
         written.append(rows)
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
     groups = keys.filter(F.col("size") >= least).groupBy(F.col("digest").alias("same")).agg(F.min(order).alias("first"), F.count("*").alias("members"))
-    first = groups.filter("members > 1").select("same", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"))
+    first = checkpoint(groups.filter("members > 1").select("same", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row")), "warc-first")
+    written.append(first)
     rows = rows.join(first, F.col("digest") == F.col("same"), "left")
     again = F.col("same").isNotNull() & ~(F.col("first_id").eqNullSafe(F.col("id")) & (F.col("first_row") == F.col("row")))
     made = rows.select(
