@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import geo, strings, urls, vectors
-from vacantia.operators import dedupe, relational, scope, search
+from vacantia.operators import dedupe, relational, scope, search, spatial
 from vacantia.plans.catalog import Tables, query
 
 c = F.col
@@ -394,3 +394,23 @@ def wn_rank_in_status(t: Tables):
 @query("""SELECT doc_id, trim(regexp_replace(translate(replace(lower(text), 'ß', 'ss'), 'äöüàâáéèêëîïíôóûùúçñ', 'aouaaaeeeeiiioouuucn'), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents""")
 def text_key_normalize(t: Tables):
     return t.documents.select("doc_id", strings.text_key(c("text")).alias("key"))
+
+
+_DIAMONDS = """n AS (SELECT n_nationkey AS region, (n_nationkey * 29) % 360 - 180.0 AS x, (n_nationkey * 13) % 100 - 50.0 AS y, 8.0 + n_nationkey % 7 AS a, 6.0 + n_nationkey % 5 AS b, n_nationkey % 3 = 0 AS holed, n_nationkey % 4 = 1 AS twice FROM nation),
+p AS (SELECT c_custkey, (c_custkey * 7919 % 36000) / 100.0 - 179.9963 AS lon, (c_custkey * 104729 % 17000) / 100.0 - 84.9987 AS lat FROM customer),
+d AS (SELECT c_custkey, region, holed, twice, least(abs(lon - x), 360 - abs(lon - x)) / a AS dx, abs(lat - y) / b AS dy, abs(lat - y - 25) / b AS dz FROM p, n)"""
+
+
+@query(f"WITH {_DIAMONDS} SELECT c_custkey, region FROM d WHERE (dx + dy <= 1 AND NOT (holed AND dx + dy <= 0.5)) OR (twice AND 2 * (dx + dz) <= 1)")
+def jn13_points_in_regions(t: Tables):
+    """Points of customers in diamonds of nations: some with a hole, some of two polygons, some across the antimeridian."""
+    turned = lambda x: F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
+    corner = lambda x, y: F.array(turned(x), y)
+    k = F.col("n_nationkey")
+    x, y, a, b = (k * 29) % 360 - F.lit(180.0), (k * 13) % 100 - F.lit(50.0), F.lit(8.0) + k % 7, F.lit(6.0) + k % 5
+    ring = lambda y, s: F.array(corner(x - a * s, y), corner(x, y - b * s), corner(x + a * s, y), corner(x, y + b * s), corner(x - a * s, y))
+    first = F.when(k % 3 == 0, F.array(ring(y, 1.0), ring(y, 0.5))).otherwise(F.array(ring(y, 1.0)))
+    regions = t.nation.select(k.alias("region"), F.when(k % 4 == 1, F.array(first, F.array(ring(y + 25, 0.5)))).otherwise(F.array(first)).alias("polygons"))
+    c_key = F.col("c_custkey")
+    points = t.customer.select("c_custkey", ((c_key * 7919 % 36000) / 100.0 - 179.9963).alias("lon"), ((c_key * 104729 % 17000) / 100.0 - 84.9987).alias("lat"))
+    return spatial.join_regions(points, regions, size=1.0).select("c_custkey", "region")
