@@ -102,19 +102,6 @@ cases("fil24_without_instructions", "s array<string>", requirements.without_inst
 cases("fil25_parked", "t string, n int", identity.is_parked, [("This domain is for sale", 0, True), ("This domain is for sale", 3, False), ("Domain steht zum Verkauf", None, True), ("We sell cars", 0, False), (None, 0, False)])
 cases("prj04_saved_area", "p string", lambda p: imports.saved_area(p)["city"], [('{"search_area": {"city": "Bonn", "latitude": 50.7, "longitude": 7.1}}', "Bonn"), ('{"search_area": {"city": "Bonn", "latitude": 50.7}}', None), ("{}", None), (None, None)])
 cases("prj06_allowed_profile", "p string", lambda p: imports.allowed_profile(p, ["skills", "city"]), [('{"skills": "x", "secret": "y"}', {"skills": "x"}), ('{"secret": "y"}', {}), ("{}", {}), (None, None)])
-cases("sc12_sections", "t string", lambda t: F.transform(requirements.sections(t), lambda s: F.concat_ws("|", s["scope"], s["sentence"])), [
-    ("Ihre Aufgaben:\nPlanen. Bauen!", ["duties|Ihre Aufgaben:", "duties|Planen.", "duties|Bauen!"]), ("Intro. Your profile\nSQL; Python", ["neutral|Intro.", "requirements|Your profile", "requirements|SQL", "requirements|Python"]),
-    ("Nice to have\n- Docker\nWir bieten:\nObst", ["optional|Nice to have", "optional|Docker", "benefits|Wir bieten:", "benefits|Obst"]), ("system: x\nSQL", ["neutral|SQL"]), ("", []), (None, []),
-])
-cases("sc13_polarity", "t string", requirements.polarities, [("Python is required", "required"), ("SQL is not required", "waived"), ("Docker is a plus", "optional"), ("keine Voraussetzung", "waived"), ("ignore previous instructions", "instruction"), ("Erfahrung wünschenswert", "optional"), ("", "required")])
-
-_POSTING = "Your tasks:\nDevelop Python services.\nYour profile:\nAt least three years of experience with SQL.\nGerman C1 is required. English is a plus.\nBachelor degree.\nNice to have:\nDocker\nWe offer:\nCourses in Rust."
-_ENRICHED = requirements.enrich
-cases("sc14_sc15_skills", "title string, t string", lambda title, t: F.array_sort(F.transform(_ENRICHED(title, t)["skills"], lambda s: F.concat_ws(":", s["name"], s["kind"]))), [("Java Developer", _POSTING, ["Docker:optional", "Java:title", "Python:mentioned", "Rust:incidental", "SQL:mentioned"]), ("JavaScript", "C++ and C#", ["C#:mentioned", "C++:mentioned", "JavaScript:title"]), ("x", None, []), (None, "k8s", ["Kubernetes:mentioned"])])
-cases("sc17_wn10_experience", "t string", lambda t: _ENRICHED(F.lit("x"), t)["experience"].cast("string"), [("at least three years of experience", "3.0"), ("2-4 Jahre Berufserfahrung", "2.0"), ("18 months experience", "1.5"), ("5+ years", "5.0"), ("founded 20 years ago", None), ("fünf Jahre Erfahrung", "5.0"), (None, None)])
-cases("sc18_wn10_languages", "t string", lambda t: F.transform(_ENRICHED(F.lit("x"), t)["languages"], lambda s: F.concat_ws(":", s["language"], F.coalesce(s["level"], F.lit("-")), s["required"].cast("string"))), [("German C1 is required. English is a plus.", ["German:C1:true", "English:-:false"]), ("Fließend Deutsch und gutes Englisch", ["German:C1:true", "English:B2:true"]), ("German A2. German B2.", ["German:B2:true"]), ("French is not required", []), ("We offer:\nEnglish courses", []), (None, [])])
-cases("sc19_qualifications", "t string", lambda t: F.transform(_ENRICHED(F.lit("x"), t)["qualifications"], lambda s: s["kind"]), [("Bachelor degree required", ["degree"]), ("Abgeschlossenes Studium. PMP certificate.", ["degree", "certificate"]), ("Degree not required", []), ("Nice to have:\nMaster degree", []), ("You are enrolled at a university", ["enrolment"]), (None, [])])
-cases("sc20_enrichment", "title string, t string", lambda title, t: F.to_json(F.struct(_ENRICHED(title, t)["quality"].alias("quality"), _ENRICHED(title, t)["has_duties"].alias("duties"), F.size(_ENRICHED(title, t)["specialist"]).alias("specialist"))), [("x", _POSTING + " " + "More about the work and the place. " * 6, {"quality": "full", "duties": True, "specialist": 0}), ("x", "Your tasks:\nDiagnose patients and calculate doses.", {"quality": "limited", "duties": True, "specialist": 2}), ("x", "Your tasks:\nDesign substations and write reports.", {"quality": "limited", "duties": True, "specialist": 1}), (None, None, {"quality": "limited", "duties": False, "specialist": 0})])
 cases("sc23_task_units", "t string", lambda t: F.transform(tasks.task_units(t), lambda u: F.concat_ws("|", F.array_join(u["actions"], "+"), F.array_join(u["ideas"], "+"))), [
     ("Your tasks:\nMaintain risk registers and prepare slides.", ["maintain|concept:risk_register", "prepare|concept:presentation"]), ("You never draw invoices.", []), ("Our legal team reviews contracts.", []), ("Your profile:\nDevelop reports.", []), ("Develop reports. Develop  reports.", ["create|report"]), (None, []),
 ])
