@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia.functions import modality, requirements
+from vacantia.operators import applicability
 from vacantia.plans.catalog import Tables, query
 
 c = F.col
@@ -94,3 +95,44 @@ def sc18_language_levels(t: Tables):
 @query("SELECT p_partkey, CASE WHEN p_size % 6 IN (0, 3, 5) THEN 'degree' END AS kind FROM part")
 def sc19_required_degree(t: Tables):
     return _posting(t).select("p_partkey", F.try_element_at("enriched.qualifications", F.lit(1))["kind"].alias("kind"))
+
+
+_NATIONS = "SELECT c_custkey, n_name, c_custkey % 5 AS k, c_custkey % 3 AS z, c_custkey % 7 AS y FROM customer JOIN nation ON n_nationkey = c_nationkey"
+
+
+def _applicability(t: Tables):
+    """A posting and a profile a customer: a permit or residence of its nation, years in its segment, and facts that hold, contradict, or are missing."""
+    row = t.customer.join(t.nation, c("n_nationkey") == c("c_nationkey")).select("c_custkey", "n_name", "c_mktsegment", (c("c_custkey") % 5).alias("k"), (c("c_custkey") % 3).alias("z"), (c("c_custkey") % 7).alias("y"))
+    ask = F.when(c("k") == 0, F.concat(F.lit("A work permit for "), "n_name", F.lit(" is required."))).when(c("k") == 1, F.concat(F.lit("You must reside in "), "n_name", F.lit("."))).when(c("k") == 2, F.concat(F.lit("4 years of experience in "), F.lower("c_mktsegment"), F.lit(".")))
+    ask = ask.when(c("k") == 3, F.lit("A forklift licence or a driving licence is needed.")).otherwise(F.concat(F.lit("A work permit for "), "n_name", F.lit(" is preferred.")))
+    key = c("c_custkey")
+    jobs = row.select(key.alias("job_id"), F.concat(F.lit("Your profile:\n"), ask).alias("description"))
+    z, other = c("z"), F.lit("Atlantis")
+    profiles = row.select(
+        key.alias("profile_id"), F.lit(None).cast("string").alias("city"), F.when(z == 0, c("n_name")).when(z == 1, other).alias("country"), F.lit(False).alias("relocates"), F.when(z < 2, c("n_name")).otherwise(other).alias("authorised_in"),
+        (z == 0).alias("authorised"), F.lit(False).alias("sponsorship"), F.when(z == 1, 3.0).when(z == 0, 9.0).alias("experience_years"),
+    )
+    credentials = row.filter("y < 3").select(key.alias("profile_id"), F.lit("Driving licence").alias("name"), F.when(c("y") == 0, F.lit("2020-01-01")).cast("date").alias("valid_to"))
+    day = lambda x: F.lit(x).cast("date")
+    spans = F.array(F.struct(day("2015-01-01").alias("start"), day("2018-01-01").alias("end")), F.struct(day("2017-01-01").alias("start"), F.when(c("y") < 4, day("2019-06-01")).otherwise(day("2018-06-01")).alias("end")))
+    tenures = row.select(key.alias("profile_id"), F.lower("c_mktsegment").alias("topic"), F.explode(spans).alias("s"), F.lit("professional").alias("kind")).select("profile_id", "topic", "s.start", "s.end", "kind")
+    pairs = row.select(key.alias("job_id"), key.alias("profile_id"))
+    return pairs, applicability.condition_rows(pairs, applicability.job_conditions(jobs), profiles, credentials, tenures, day("2024-01-01"))
+
+
+# Spans of 2015 to 2018 and 2017 to June 2019 are 4.4 years, those that end in June 2018 are 3.4.
+@query(f"""WITH c AS ({_NATIONS}) SELECT c_custkey AS job_id, c_custkey AS profile_id,
+CASE k WHEN 0 THEN CASE z WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'unknown' END WHEN 2 THEN CASE WHEN y < 4 THEN 'pass' WHEN z = 1 THEN 'fail' ELSE 'unknown' END WHEN 3 THEN CASE WHEN y IN (1, 2) THEN 'pass' ELSE 'unknown' END ELSE 'pass' END AS eligibility,
+CASE WHEN k = 1 THEN CASE z WHEN 0 THEN 'pass' WHEN 1 THEN 'fail' ELSE 'unknown' END ELSE 'pass' END AS location FROM c""")
+def mt06_gates(t: Tables):
+    return applicability.gates(*_applicability(t))
+
+
+# Of the unknown licences, those whose notes name one (even keys) are passed; the others cite words that are not there.
+@query(f"""WITH c AS ({_NATIONS}) SELECT c_custkey AS job_id, CASE WHEN y IN (1, 2) OR c_custkey % 2 = 0 THEN 'pass' ELSE 'unknown' END AS eligibility, 'pass' AS location FROM c WHERE k = 3""")
+def mt11_reconciled_gates(t: Tables):
+    pairs, rows = _applicability(t)
+    mine = rows.filter("kind = 'licence'")
+    notes = pairs.select("profile_id", F.lit("cv").alias("source"), F.when(c("profile_id") % 2 == 0, "Since 2001 I hold a driving licence, class B.").otherwise("I like walking.").alias("text"))
+    assessed = mine.select("job_id", "profile_id", F.lit("credential").alias("category"), F.lit("required").alias("priority"), F.lit("supported").alias("status"), c("quote").alias("job_quote"), F.lit("cv").alias("evidence_source"), F.lit("I hold a driving licence").alias("evidence_quote"))
+    return applicability.gates(mine.select("job_id", "profile_id").distinct(), applicability.reconcile(mine, assessed, notes)).select("job_id", "eligibility", "location")
