@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from vacantia.operators import frontier
+from vacantia.operators import frontier, partitions
+from vacantia.operators.storage import shared_dir
 from vacantia.plans.catalog import Tables, query
+from vacantia.sources import tiles
+from vacantia.streaming.queues import VersionedTable
 
 c = F.col
 
@@ -51,3 +56,42 @@ def ot07_budgeted_searches(t: Tables):
     text = F.when(s == 0, F.concat("c_mktsegment", (k % 90).cast("string"))).when(s == 1, F.concat("c_mktsegment", (k % 140).cast("string"))).otherwise(F.concat(F.lit("n"), c("c_nationkey").cast("string"), F.lit("-"), (k % 40).cast("string")))
     rows = t.customer.withColumn("stage", F.explode(F.array(*map(F.lit, range(3))))).withColumn("key", key)
     return frontier.budgeted_searches(rows.select(k.alias("company"), (k * 7919 % 100003).alias("rank"), "stage", text.alias("query"), ((k + s) % 3 == 0).alias("resolves")), 400)
+
+
+_COMPLETE = "(round(south * 64)::BIGINT + 3 * round(west * 64)::BIGINT + 5 * round(east * 64)::BIGINT) % 3 <> 1"
+
+
+@query(f"""WITH RECURSIVE a AS (SELECT s_suppkey AS area, (s_suppkey % 50)::DOUBLE AS s, (s_suppkey * 2)::DOUBLE AS w FROM supplier),
+b AS (SELECT area, (s + i * 0.5)::DOUBLE AS south, (w + j * 0.5)::DOUBLE AS west, least(s + 0.75, s + (i + 1) * 0.5)::DOUBLE AS north, (w + (j + 1) * 0.5)::DOUBLE AS east, 0 AS depth FROM a, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)
+UNION ALL SELECT area, CASE WHEN q < 2 THEN south ELSE (south + north) / 2 END, CASE WHEN q % 2 = 0 THEN west ELSE (west + east) / 2 END, CASE WHEN q < 2 THEN (south + north) / 2 ELSE north END, CASE WHEN q % 2 = 0 THEN (west + east) / 2 ELSE east END, depth + 1
+FROM b, (SELECT unnest([0, 1, 2, 3]) AS q) WHERE depth < 2 AND NOT {_COMPLETE})
+SELECT area, south::DOUBLE AS south, west::DOUBLE AS west, north::DOUBLE AS north, east::DOUBLE AS east, depth, CASE WHEN {_COMPLETE} THEN 'done' WHEN depth = 2 THEN 'failed' ELSE 'split' END AS state FROM b""")
+def src23_adaptive_tiles(t: Tables):
+    """A box a supplier; which tiles are answered whole follows from their corners.  The first round's cursor is stored, a second call resumes it."""
+    k = c("s_suppkey")
+    areas = t.supplier.select(k.cast("string").alias("area"), (k % 50 + F.lit(0.0)).alias("south"), (k * F.lit(2.0)).alias("west"), (k % 50 + F.lit(0.75)).alias("north"), (k * F.lit(2.0) + 1).alias("east"))
+    level = tiles.first_tiles(areas)
+    boxes = level
+    for _ in range(tiles.MOST):
+        level = level.select("area", F.explode(tiles.quadrants(c("south"), c("west"), c("north"), c("east"))).alias("q")).select("area", "q.*")
+        boxes = boxes.select("south", "west", "north", "east").union(level.select("south", "west", "north", "east"))
+    whole = (F.round(c("south") * 64).cast("bigint") + 3 * F.round(c("west") * 64).cast("bigint") + 5 * F.round(c("east") * 64).cast("bigint")) % 3 != 1
+    answers = boxes.withColumn("complete", whole)
+    table = VersionedTable(t.spark, f"{shared_dir(t.spark)}/vacantia/tiles-{uuid.uuid4().hex}", tiles.CURSOR)
+    tiles.inventory(areas, answers, table, rounds=1)
+    return tiles.inventory(areas, answers, table).withColumn("area", c("area").cast("bigint"))
+
+
+@query("""SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n, sum((o_totalprice * CASE WHEN year(o_orderdate) = 1995 THEN 2 ELSE 1 END)::DECIMAL(18, 2))::DOUBLE AS total
+FROM orders WHERE year(o_orderdate) <> 1995 OR o_orderkey % 2 = 0 GROUP BY 1""")
+def snk06_partition_overwrite(t: Tables):
+    """Orders by month; 1995 is replaced by its even orders at twice the price, twice with the same token."""
+    import datetime as dt
+
+    rows = t.orders.select(F.trunc(c("o_orderdate").cast("date"), "month").alias("month"), "o_orderkey", c("o_totalprice").cast("decimal(18,2)").alias("price"))
+    table = partitions.PartitionedTable(t.spark, f"{shared_dir(t.spark)}/vacantia/orders-{uuid.uuid4().hex}", "month date, o_orderkey bigint, price decimal(18,2)", "month")
+    table.replace(rows, dt.date(1900, 1, 1), dt.date(2100, 1, 1), "load")
+    again = rows.filter("year(month) = 1995 and o_orderkey % 2 = 0").withColumn("price", (c("price") * 2).cast("decimal(18,2)"))
+    for _ in range(2):
+        table.replace(again, dt.date(1995, 1, 1), dt.date(1996, 1, 1), "fix")
+    return table.read().groupBy("month").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("total"))
