@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vacantia.operators import frontier, partitions
+from vacantia.operators import frontier, invalidation, partitions
 from vacantia.operators.storage import shared_dir
 from vacantia.plans.catalog import Tables, query
-from vacantia.sources import tiles
+from vacantia.sources import archives, tiles
 from vacantia.streaming.queues import VersionedTable
 
 c = F.col
@@ -95,3 +95,44 @@ def snk06_partition_overwrite(t: Tables):
     for _ in range(2):
         table.replace(again, dt.date(1995, 1, 1), dt.date(1996, 1, 1), "fix")
     return table.read().groupBy("month").agg(F.count("*").alias("n"), F.sum("price").cast("double").alias("total"))
+
+
+@query("SELECT c_nationkey || '/' || c_custkey // 500 AS archive, c_custkey, c_name AS name, c_mktsegment AS segment, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 500 ORDER BY c_custkey) - 1 AS row FROM customer")
+def src18_archive_members(t: Tables):
+    """Customers packed into archives of 500 keys and a nation, with preamble lines and an unrelated member; read back."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out, rows = io.BytesIO(), rows.sort_values("c_custkey")
+        lines = [f'{k};"{n}";{s}' for k, n, s in zip(rows["c_custkey"], rows["c_name"], rows["c_mktsegment"], strict=True)]
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("notes.txt", "Key;nothing\n")
+            z.writestr("results.csv", "\n".join(["﻿Customers", "", "Key;Name;Segment", *lines]))
+        return pd.DataFrame({"path": [f"{key[0]}/{key[1]}"], "content": [out.getvalue()]})
+
+    packed = t.customer.groupBy("c_nationkey", F.floor(c("c_custkey") / 500).alias("block")).applyInPandas(pack, "path string, content binary")
+    rows = archives.read_members(packed, member="results.csv", first="Key")
+    return rows.select("archive", c("cells")["Key"].cast("bigint").alias("c_custkey"), c("cells")["Name"].alias("name"), c("cells")["Segment"].alias("segment"), "row")
+
+
+# Orders are postings, customers profiles; every seventh customer and every fifth of the first thousand postings changes, every eleventh of these is gone.
+@query("""WITH a AS (SELECT o_custkey AS p, o_orderkey AS j FROM orders), cj AS (SELECT o_orderkey AS j FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 11 = 0), cp AS (SELECT c_custkey AS p FROM customer WHERE c_custkey % 7 = 0)
+SELECT 'assessment' AS what, p AS a, j AS b FROM a WHERE j NOT IN (SELECT j FROM cj) AND p NOT IN (SELECT p FROM cp)
+UNION ALL SELECT 'vector', j, 0 FROM a WHERE j NOT IN (SELECT j FROM cj) UNION ALL SELECT 'reset', p, 0 FROM (SELECT p FROM cp UNION SELECT p FROM a WHERE j IN (SELECT j FROM cj))""")
+def ot29_hash_cascade(t: Tables):
+    """What is left of vectors and assessments, and whose match index is reset."""
+    k = c("o_orderkey")
+    jobs = t.orders.select(k.alias("id"), "o_orderpriority", "o_orderstatus")
+    after = jobs.filter("id % 11 <> 0").withColumn("o_orderstatus", F.when(c("id") % 5 == 0, "new").otherwise(c("o_orderstatus")))
+    people = t.customer.select(c("c_custkey").alias("id"), "c_name")
+    columns = ["o_orderpriority", "o_orderstatus"]
+    vectors = jobs.select(F.lit("job").alias("kind"), "id", invalidation.content_hash(*columns).alias("source_hash"))
+    assessments = t.orders.select(c("o_custkey").alias("profile_id"), k.alias("job_id"))
+    changed_people = invalidation.changed(people, people.withColumn("c_name", F.when(c("id") % 7 == 0, "new").otherwise(c("c_name"))), "id", ["c_name"])
+    out = invalidation.cascade(invalidation.changed(jobs, after, "id", columns), changed_people, vectors, assessments)
+    zero = F.lit(0).cast("bigint")
+    kept = out.assessments.select(F.lit("assessment").alias("what"), c("profile_id").alias("a"), c("job_id").alias("b"))
+    return kept.union(out.vectors.select(F.lit("vector"), "id", zero)).union(out.reset.select(F.lit("reset"), "profile_id", zero))
