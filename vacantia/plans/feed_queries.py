@@ -59,7 +59,7 @@ def src04_ashby(t: Tables):
 
 
 @query(f"SELECT {_BOARD} AS feed_id, true AS complete, 'k' || c_custkey AS external_id, c_name AS title, 'https://s.example/' || c_custkey AS url, 'Bonn, NRW' AS location, 'FULL_TIME, OTHER' AS employment_type, CASE WHEN c_custkey % 2 = 0 THEN 'remote' END AS work_arrangement, '2024-05-06' AS date_posted FROM customer")
-def src08_schema_org(t: Tables):
+def src06_schema_org(t: Tables):
     address = F.struct(F.lit("Bonn").alias("addressLocality"), F.lit("NRW").alias("addressRegion"), F.lit("DE").alias("addressCountry"))
     item = F.struct(
         F.lit("JobPosting").alias("@type"), F.struct(F.concat(F.lit("k"), _text()).alias("value")).alias("identifier"), F.concat(F.lit("https://s.example/"), _text()).alias("url"), c("c_name").alias("title"), F.lit("2024-05-06T10:00").alias("datePosted"),
@@ -71,7 +71,7 @@ def src08_schema_org(t: Tables):
 
 
 @query(f"SELECT {_BOARD} AS feed_id, {_BOARD} % 2 = 0 AS complete, c_custkey::VARCHAR AS external_id, c_name AS title, 'https://jobs.smartrecruiters.com/Acme/' || c_custkey AS url, 'Bonn, Germany' AS location, CASE WHEN c_custkey % 2 = 0 THEN 'remote' END AS work_arrangement FROM customer")
-def src10_smartrecruiters(t: Tables):
+def src08_smartrecruiters(t: Tables):
     row = F.struct(
         _text().alias("id"), c("c_name").alias("name"), F.lit("PUBLIC").alias("visibility"), F.struct(F.lit("Acme").alias("identifier"), F.lit("Acme AG").alias("name")).alias("company"),
         F.struct(F.lit("Bonn").alias("city"), F.lit("de").alias("country"), (c("c_custkey") % 2 == 0).alias("remote"), F.lit(False).alias("hybrid")).alias("location"),
@@ -82,7 +82,7 @@ def src10_smartrecruiters(t: Tables):
 
 
 @query(f"SELECT {_BOARD} AS feed_id, false AS complete, 'id' || c_custkey AS external_id, 'Clerk / ' || c_mktsegment AS title, 'https://b' || {_BOARD} || '.example/clerk-' || lower(c_mktsegment) || '-id' || c_custkey AS url, 'Bonn' AS location, 'Acme' AS employer FROM customer WHERE c_custkey % 5 <> 0")
-def src06_keyed_map(t: Tables):
+def src10_keyed_map(t: Tables):
     value = F.struct(F.lit("Acme").alias("company"), F.when(c("c_custkey") % 5 == 0, "Initiativbewerbung").otherwise(F.concat(F.lit("Clerk / "), "c_mktsegment")).alias("job_title"), F.lit("Bonn, Ulm").alias("city"), F.lit("Bonn").alias("location"))
     row = F.struct(F.concat(F.lit("id"), _text()).alias("key"), value.alias("value"))
     wrap = lambda rows, b: F.to_json(F.struct(F.lit(200).alias("status_code"), F.map_from_entries(rows).alias("data")))
@@ -194,7 +194,7 @@ def ot23_supplement(t: Tables):
 
 @query("""WITH n AS (SELECT o_custkey % 50 AS e, o_orderkey // 2 AS x FROM orders), f AS (SELECT DISTINCT e, x FROM n WHERE NOT (x % 5 = 0)), d AS (SELECT x, min(e) AS e FROM f GROUP BY x)
 SELECT 'e' || e AS name, count(*)::BIGINT + CASE WHEN e < 10 THEN 100 ELSE 0 END AS job_count FROM d GROUP BY e UNION ALL SELECT 'e' || i AS name, 100 AS job_count FROM range(0, 10) t(i) WHERE i NOT IN (SELECT e FROM d)""")
-def ot19_save_posting(t: Tables):
+def snk16_save_posting(t: Tables):
     new = t.orders.groupBy(F.floor(c("o_orderkey") / 2).alias("x")).agg(F.min(c("o_custkey") % 50).alias("e")).select(F.concat(F.lit("e"), c("e").cast("string")).alias("employer"), F.lit("f").alias("feed_url"), c("x").cast("string").alias("external_id"), F.lit("t").alias("title"))
     known = new.filter(c("external_id").cast("bigint") % 5 == 0).select("feed_url", "external_id", "title")
     employers = t.spark.range(10).select(F.concat(F.lit("e"), c("id").cast("string")).alias("name"), F.lit(100).cast("bigint").alias("job_count"))
@@ -203,7 +203,7 @@ def ot19_save_posting(t: Tables):
 
 @query("""WITH s AS (SELECT c_custkey AS k, 'ok' || (c_custkey % 3) AS status, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS n FROM customer WHERE c_custkey % 5 <> 0)
 SELECT coalesce(s.k, c.k) AS source_id, s.status, CASE WHEN s.k IS NULL THEN 'missing' WHEN c.k IS NULL THEN 'foreign' WHEN n > 1 THEN 'repeated' ELSE 'merged' END AS state FROM s FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0) c USING (k)""")
-def ot16_merge_results(t: Tables):
+def ot17_merge_results(t: Tables):
     k = c("c_custkey")
     one = t.customer.filter(k % 5 != 0).select(k.alias("source_id"), F.lit(1).alias("slice"), F.when(k % 4 == 0, "early").otherwise(F.concat(F.lit("ok"), (k % 3).cast("string"))).alias("status"))
     two = t.customer.filter((k % 5 != 0) & (k % 4 == 0)).select(k.alias("source_id"), F.lit(2).alias("slice"), F.concat(F.lit("ok"), (k % 3).cast("string")).alias("status"))
@@ -212,7 +212,7 @@ def ot16_merge_results(t: Tables):
 
 @query("""WITH r AS (SELECT c_custkey AS k, ['jobs_feed_found', 'unresolved', 'career_content_found', NULL][c_custkey % 4 + 1] AS n, ['jobs_extracted', 'unresolved', NULL][c_custkey % 3 + 1] AS p FROM customer)
 SELECT k AS source_id, CASE WHEN p = 'jobs_extracted' AND coalesce(n, '') NOT IN ('jobs_feed_found', 'career_content_found') THEN p ELSE coalesce(n, p, 'unresolved') END AS status FROM r""")
-def ot15_enrich_build(t: Tables):
+def ot16_enrich_build(t: Tables):
     k = c("c_custkey")
     pick = lambda values, n: F.try_element_at(F.array(*map(F.lit, values)), ((k % n) + 1).cast("int"))
     base = t.customer.select(k.alias("source_id"), pick(["jobs_feed_found", "unresolved", "career_content_found", None], 4).alias("n"), pick(["jobs_extracted", "unresolved", None], 3).alias("p"))
@@ -221,14 +221,14 @@ def ot15_enrich_build(t: Tables):
 
 
 @query("SELECT o_custkey AS page, count(*) FILTER (o_orderstatus <> 'F')::BIGINT AS kept, count(*) FILTER (o_orderstatus = 'F')::BIGINT AS rejected, CASE WHEN count(*) FILTER (o_orderstatus <> 'F') > 0 THEN 'jobs_extracted' ELSE 'unresolved' END AS status FROM orders GROUP BY 1")
-def ot31_drop_unverified(t: Tables):
+def ot15_drop_unverified(t: Tables):
     trust = F.when(c("o_orderstatus") == "F", "linked_external").when(c("o_orderstatus") == "O", "first_party").otherwise("branded_external")
     return imports.drop_unverified(t.orders.select(c("o_custkey").alias("page"), trust.alias("trust")))
 
 
 @query("""WITH o AS (SELECT c_custkey AS id, lower(c_mktsegment) AS l, c_custkey + 0.5 AS y FROM customer WHERE c_custkey % 2 = 0)
 SELECT c_custkey AS job_id, c_mktsegment AS label, CASE WHEN c_custkey % 3 = 0 THEN 1.0 ELSE o.y END AS latitude FROM customer LEFT JOIN o ON o.id = c_custkey""")
-def snk16_location_rows(t: Tables):
+def prj06_location_rows(t: Tables):
     k = c("c_custkey")
     own = F.when(k % 3 == 0, 1.0)
     new = t.customer.select(k.alias("job_id"), c("c_mktsegment").alias("label"), own.alias("latitude"), own.alias("longitude"))
@@ -237,7 +237,7 @@ def snk16_location_rows(t: Tables):
 
 
 @query("SELECT rtrim(lower(url), '/') AS url, count(*)::BIGINT AS n FROM (SELECT 'https://x.example/job/' || (c_custkey // 2) || CASE WHEN c_custkey % 2 = 0 THEN '/' ELSE '' END AS url FROM customer) GROUP BY 1 HAVING count(*) > 1")
-def ot22_repeated_urls(t: Tables):
+def ot24_repeated_urls(t: Tables):
     url = F.concat(F.lit("https://X.example/job/"), F.floor(c("c_custkey") / 2).cast("string"), F.when(c("c_custkey") % 2 == 0, "/").otherwise(""))
     return imports.repeated_urls(t.customer.select(url.alias("url")))
 
@@ -325,7 +325,7 @@ def jn15_municipalities(t: Tables):
 
 
 @query("""SELECT c_custkey AS job_id, CASE WHEN c_custkey % 3 = 0 THEN 'd' || c_custkey END AS description FROM customer""")
-def ot40_hydrate_details(t: Tables):
+def ot08_hydrate_details(t: Tables):
     """Details of every third posting are unambiguous, of the next missing, of the others repeated."""
     k = c("c_custkey")
     url = F.concat(F.lit("https://x.example/job/"), _text())
@@ -335,7 +335,7 @@ def ot40_hydrate_details(t: Tables):
 
 
 @query("SELECT page_id, count(*)::BIGINT AS n, min(score) AS least FROM (SELECT o_custkey AS page_id, (o_orderkey * 7 % 100)::INT AS score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey * 7 % 100 DESC, length('https://x/' || o_orderkey), 'https://x/' || o_orderkey) AS r FROM orders WHERE o_orderkey * 7 % 100 >= 70) WHERE r <= 3 GROUP BY 1")
-def ot39_best_links(t: Tables):
+def ot36_best_links(t: Tables):
     links = t.orders.select(c("o_custkey").alias("page_id"), (c("o_orderkey") * 7 % 100).cast("int").alias("score"), F.concat(F.lit("https://x/"), c("o_orderkey").cast("string")).alias("url"))
     return identity.best_links(links, "page_id", most=3).groupBy("page_id").agg(F.count("*").alias("n"), F.min("score").alias("least"))
 
