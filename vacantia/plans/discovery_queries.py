@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from vacantia.operators import frontier, invalidation, partitions
+from vacantia.operators import company_search, frontier, invalidation, partitions
 from vacantia.operators.storage import shared_dir
 from vacantia.plans.catalog import Tables, query
 from vacantia.sources import archives, tiles
@@ -136,3 +136,43 @@ def ot29_hash_cascade(t: Tables):
     zero = F.lit(0).cast("bigint")
     kept = out.assessments.select(F.lit("assessment").alias("what"), c("profile_id").alias("a"), c("job_id").alias("b"))
     return kept.union(out.vectors.select(F.lit("vector"), "id", zero)).union(out.reset.select(F.lit("reset"), "profile_id", zero))
+
+
+def _companies(t: Tables):
+    return t.customer.select(c("c_custkey").alias("id"), c("c_name").alias("name"), (46 + c("c_custkey") * 7 % 90 / 10.0).alias("lat"), (5 + c("c_custkey") * 13 % 110 / 10.0).alias("lon"), "c_nationkey")
+
+
+_COSINE = "1 - list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 50))"
+
+
+@query(f"SELECT c_custkey AS id, (SELECT count(*) FROM customer JOIN embeddings e ON e.vec_id = c_custkey WHERE c_nationkey < 9) AS total FROM customer JOIN embeddings e ON e.vec_id = c_custkey WHERE c_nationkey < 9 ORDER BY {_COSINE}, c_custkey LIMIT 20")
+def ot02_semantic_step(t: Tables):
+    """Companies with a vector in scope, nearest first; all lists are looked into, so the order is exact."""
+    docs = t.embeddings.select(c("vec_id").alias("id"), "embedding")
+    index = company_search.build_index(docs, lists=16, probes=16)
+    asked = [float(x) for x in docs.filter("id = 50").first()["embedding"]]
+    page, total, _ = company_search.search_companies(_companies(t), index, vector=asked, where=c("c_nationkey") < 9, limit=20)
+    return page.select("id", F.lit(total).cast("bigint").alias("total"))
+
+
+@query("SELECT true AS enough, (SELECT count(*) FROM embeddings) AS indexed")
+def ot02_index_recall(t: Tables):
+    """Recall of the five nearest over every id divisible by 50 against full comparison: 0.9 at least."""
+    docs = t.embeddings.select(c("vec_id").alias("id"), "embedding")
+    index = company_search.build_index(docs, lists=32, probes=24)
+    found = company_search.recall(index, docs, docs.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), 5)
+    return index.rows.agg(F.lit(found >= 0.9).alias("enough"), F.count("*").alias("indexed"))
+
+
+@query("SELECT c_custkey AS id, 'keyword' AS mode FROM customer WHERE contains(lower(c_name), '007') AND c_nationkey % 2 = 0 ORDER BY lower(c_name), c_custkey LIMIT 15 OFFSET 3")
+def ot02_keyword_step(t: Tables):
+    page, _, mode = company_search.search_companies(_companies(t), None, text=" 007 ", vector=[1.0], where=c("c_nationkey") % 2 == 0, offset=3, limit=15)
+    return page.select("id", F.lit(mode).alias("mode"))
+
+
+@query("""WITH p AS (SELECT c_custkey, c_name, 46 + c_custkey * 7 % 90 / 10.0 AS lat, 5 + c_custkey * 13 % 110 / 10.0 AS lon FROM customer),
+d AS (SELECT *, 2 * 6371008.8 * asin(sqrt(least(1, pow(sin(radians(lat - 50) / 2), 2) + cos(radians(50)) * cos(radians(lat)) * pow(sin(radians(lon - 8) / 2), 2)))) AS m FROM p)
+SELECT c_custkey AS id, (SELECT count(*) FROM d WHERE m <= 150000) AS total FROM d WHERE m <= 150000 ORDER BY round(m, 3), lower(c_name), c_custkey LIMIT 25""")
+def ot02_browse_radius(t: Tables):
+    page, total, _ = company_search.search_companies(_companies(t), None, within=(50.0, 8.0, 150.0), limit=25)
+    return page.select("id", F.lit(total).cast("bigint").alias("total"))
