@@ -36,6 +36,12 @@ def test_expressions():
     assert value("") is None and value(") x") is None and value("nonsense") == (set(), 0)
 
 
+def test_identifiers_outside_the_families_are_their_own_labels(spark):
+    texts = ["SPDX-License-Identifier: LicenseRef-Foo", "SPDX-License-Identifier: Beerware-2.0-only OR MIT", "SPDX-License-Identifier: GPL-2.0 WITH Odd-exception-1.0", "SPDX-License-Identifier: whatever you like"]
+    got = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r.labels, r.openness) for r in sorted(got)] == [("licenseref-foo", "restricted"), ("beerware-2.0,mit", "permissive"), ("gpl", "weak copyleft"), ("", None)]
+
+
 def test_labels_and_score(spark):
     texts = ["// SPDX-License-Identifier: (MIT OR Apache-2.0)\nx", "GNU Lesser General Public License v3", "plain", "under the MIT license. All rights reserved"]
     got = L.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
@@ -60,7 +66,11 @@ def family(name):
     for prefix, label, n in L.FAMILIES:
         if low == prefix or low.startswith((prefix + "-", prefix + ".")) or (low.startswith(prefix) and low[len(prefix) : len(prefix) + 1].isdigit()):
             return {label}, n
-    return set(), 0
+    if not any(c in "-." or c.isdigit() for c in low):
+        return set(), 0
+    for end in ("-only", "-or-later"):
+        low = low.removesuffix(end)
+    return {low.rstrip("+")}, 0
 
 
 def descend(words):

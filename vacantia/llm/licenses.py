@@ -142,8 +142,13 @@ def to_rpn(expression: list[str]) -> list[str]:
     return out + stack[::-1]
 
 
+def identifier(name: str) -> str | None:
+    """The label of an identifier outside the families: its name without version suffixes; None for what is only a word (no hyphen, dot or digit)."""
+    return re.sub(r"(?:-only|-or-later|\++)$", "", name) if re.search(r"[-.0-9]", name) else None
+
+
 def evaluate(rpn: list[str]) -> tuple[set[str], int] | None:
-    """Labels of the known licences, and how open the expression is; None for an empty expression."""
+    """Labels of the licences (an unknown identifier is its own label, and restricted), and how open the expression is; None for an empty expression."""
     stack: list[tuple[set[str], int]] = []
     for t in rpn:
         if t in PRECEDENCE:
@@ -155,7 +160,7 @@ def evaluate(rpn: list[str]) -> tuple[set[str], int] | None:
         else:
             low = t.lower()
             known = next(((label, n) for prefix, label, n in FAMILIES if low == prefix or low.startswith((prefix + "-", prefix + ".")) or (low.startswith(prefix) and low[len(prefix) :][:1].isdigit())), None)
-            stack.append(({known[0]}, known[1]) if known else (set(), 0))
+            stack.append(({known[0]}, known[1]) if known else ({own} if (own := identifier(low)) else set(), 0))
     return stack[-1] if stack else None
 
 
