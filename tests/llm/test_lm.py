@@ -114,3 +114,7 @@ def test_em_against_plain_rounds():
 
 def test_empty(spark):
     assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_estimates_end_at_one_where_keys_are_shared():
+    assert lm._ratio(np.array([5.0, 1.0, 3.0]), np.array([2.0, 4.0, 0.0])).tolist() == [1.0, 0.25, 0.0]

@@ -15,7 +15,10 @@ keys once, and no task holds more than a block or a range.  EM runs on a histogr
 grid and not by the corpus.  Blocks times ranges is the number of packed rows: see README.
 
 Pairs and triples have keys of 48 bits, so that fewer bytes are sent: among 10**12 distinct ones one in 280 shares its key
-with another, among 10**10 one in 28,000.  Words have 64 bits.
+with another, among 10**10 one in 28,000.  Words have 64 bits.  Where keys are shared a triple may count more often than its
+pair: estimates end at 1, in EM and in the scores, so no probability exceeds 1.
+
+Training documents are scored with their own counts in, held-out ones without: scores of the two are not comparable.
 
 Defined cases: null text is empty, and an empty text is scored by its end alone; a
 null id counts as the empty string in the fold rule, ids may be of any type; equal rows count as often as they
@@ -286,7 +289,7 @@ def _scorer(mixed: np.ndarray, tokens: int, types: int, ends: int, order: int):
                 word, pair = _contexts(c1, c2, n, ends)
                 pair = pair if order == 3 else pair * 0
                 kind = _context_class(word, pair)
-                p = mixed[0, kind] * c3 / np.maximum(pair, 1) + mixed[1, kind] * c2 / np.maximum(word, 1) + mixed[2, kind] * c1 / max(tokens, 1) + mixed[3, kind] / (types + 1)
+                p = mixed[0, kind] * _ratio(c3, pair) + mixed[1, kind] * _ratio(c2, word) + mixed[2, kind] * c1 / max(tokens, 1) + mixed[3, kind] / (types + 1)
                 base = np.add.reduceat(np.log10((c1 + 1) / (tokens + types + 1)), first)
                 known = np.add.reduceat((c1 > 0).astype(np.int64), first)
                 yield pa.RecordBatch.from_arrays(
