@@ -64,15 +64,17 @@ def countries_in(text: Column) -> Column:
 
 def states_in(text: Column) -> Column:
     """States named in a location text; a name inside a longer state name does not count."""
-    w = F.concat(F.lit(" "), strings.words_of(strings.fold(text)), F.lit(" "))
+    # Two blanks between words: names that follow each other share none.
+    w = F.concat(F.lit(" "), F.replace(strings.words_of(strings.fold(text)), F.lit(" "), F.lit("  ")), F.lit(" "))
+    spaced = lambda name: f" {name} ".replace(" ", "  ")[1:-1]
     phrases = [(" ".join(s.lower().replace("ü", "u").replace("-", " ").split()), s) for s in STATES] + list(STATE_ALIASES.items())
     found = []
     for phrase, state in phrases:
         rest = w
         for longer, other in phrases:
             if other != state and f" {phrase} " in f" {longer} ":
-                rest = F.replace(rest, F.lit(f" {longer} "), F.lit("  "))
-        found.append(F.when(F.contains(rest, F.lit(f" {phrase} ")), F.lit(state)))
+                rest = F.replace(rest, F.lit(spaced(longer)), F.lit("  "))
+        found.append(F.when(F.contains(rest, F.lit(spaced(phrase))), F.lit(state)))
     return F.coalesce(F.array_distinct(F.array_compact(F.array(*found))), F.expr("cast(array() as array<string>)"))
 
 
