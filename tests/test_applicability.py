@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia.functions import requirements
 from vacantia.operators import applicability as A
+from vacantia.operators import profiles
 
 AS_OF = "2024-01-01"
 PROFILE = "profile_id int, city string, country string, relocates boolean, authorised_in string, authorised boolean, sponsorship boolean, experience_years double"
@@ -65,3 +67,20 @@ def test_empty(spark, tables):
     _, conditions, people, credentials, tenures = tables
     none = spark.createDataFrame([], "job_id int, profile_id int")
     assert A.gates(none, A.condition_rows(none, conditions, people, credentials, tenures, F.lit(AS_OF).cast("date"))).collect() == []
+
+
+def test_gates_decide_in_the_composite_match(spark):
+    """A failed group is a conflict, an open one a review, and tenure limits the score; a pair without rows meets everything; alternatives count by their best."""
+    text = "Your profile:\nPython and SQL.\n" + "We offer:\n" + "A bright place near the station. " * 8
+    jobs = requirements.enrich_distinct(spark.createDataFrame([(k, "Data Analyst", text) for k in range(5)], "job_id int, title string, description string"))
+    people = spark.createDataFrame([(1, '{"skills": ["Python", "SQL"], "desired_roles": ["data analyst"]}')], "profile_id int, profile string")
+    rows = [(0, "a", "g", "eligibility", "tenure", "4 years", "fail"), (1, "a", "g", "eligibility", "tenure", "4 years", "unknown"), (2, "a", "g", "location", "residence", "reside in Bonn", "unknown"), (3, "a", "g", "eligibility", "licence", "a licence", "fail"), (3, "b", "g", "eligibility", "licence", "a permit", "pass")]
+    asked = spark.createDataFrame([(j, 1, *r) for j, *r in rows], "job_id int, profile_id int, condition string, group string, gate string, kind string, quote string, status string")
+    got = {r["job_id"]: r for r in profiles.match(jobs.select("job_id", "title", "enriched"), people, asked).collect()}
+    plain = {r["job_id"]: r for r in profiles.match(jobs.select("job_id", "title", "enriched"), people).collect()}
+    assert [got[k]["score"] for k in range(5)] == [29, 59, *[plain[4]["score"]] * 3] and plain[0]["score"] > 59
+    assert [got[k]["eligible"] for k in range(5)] == [False, True, True, True, True]
+    assert [got[k]["mandatory_review"] for k in range(5)] == [True, True, True, False, False]
+    assert [got[k]["tier"] for k in range(3)] == ["unlikely"] * 3 and got[3]["tier"] == got[4]["tier"] == plain[4]["tier"]
+    assert (got[0]["conflicts"], got[2]["unknowns"], got[2]["location_gate"]) == (["Condition not met: 4 years"], ["Verify condition: reside in Bonn"], "unknown")
+    assert profiles.match(jobs.select("job_id", "title", "enriched"), people, asked.limit(0)).count() == 5

@@ -115,6 +115,21 @@ def gates(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return pairs.join(worst, ["job_id", "profile_id"], "left").select("job_id", "profile_id", word("eligibility"), word("location"))
 
 
+def verdicts(rows: DataFrame) -> DataFrame:
+    """(job_id, profile_id, eligibility, location, failed, open, short, unproven) of pairs with conditions, for ``profiles.match``.
+
+    failed and open are the quotes of the groups that failed or are unknown, sorted; short says that a tenure failed, unproven that one is unknown.
+    """
+    rank = F.when(F.col("status") == "pass", 0).when(F.col("status") == "unknown", 1).otherwise(2)
+    groups = rows.groupBy("job_id", "profile_id", "gate", "group").agg(F.min(rank).alias("rank"), F.array_join(F.sort_array(F.collect_set("quote")), " / ").alias("quotes"), F.bool_or(F.col("kind") == "tenure").alias("tenure"))
+    r = F.col("rank")
+    status = lambda gate: F.element_at(F.array(F.lit("pass"), F.lit("unknown"), F.lit("fail")), F.coalesce(F.max(F.when(F.col("gate") == gate, r)), F.lit(0)) + 1).alias(gate)
+    quotes = lambda k, name: F.sort_array(F.collect_set(F.when(r == k, F.col("quotes")))).alias(name)
+    return groups.groupBy("job_id", "profile_id").agg(
+        status("eligibility"), status("location"), quotes(2, "failed"), quotes(1, "open"), F.bool_or(F.col("tenure") & (r == 2)).alias("short"), F.bool_or(F.col("tenure") & (r == 1)).alias("unproven")
+    )
+
+
 def reconcile(rows: DataFrame, assessed: DataFrame, sources: DataFrame) -> DataFrame:
     """``rows`` with unknown conditions passed where an assessment supports them by evidence that can be found.
 

@@ -11,7 +11,7 @@ from pyspark.sql.functions import pandas_udf
 
 from vacantia.functions import requirements as R
 from vacantia.functions import tasks
-from vacantia.operators import matching
+from vacantia.operators import applicability, matching
 from vacantia.operators.relational import against_all
 
 MATCH = "struct<role:boolean,secondary:boolean,weight:double,n_skills:int,substantive:int,matched:array<string>,missing:array<string>,gaps:array<struct<gap:string,kind:string>>,conflicts:array<string>,unknowns:array<string>,language_gate:string,language_points:int,experience_points:int,content:int,uncovered:array<string>,stated:boolean>"
@@ -88,12 +88,16 @@ def compare(job: dict, profile: dict) -> dict:
     }
 
 
-def match(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(job_id, profile_id, score, tier, eligible, uncertain, …) for every posting and profile.
+def match(jobs: DataFrame, profiles: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
+    """(job_id, profile_id, score, tier, eligible, uncertain, mandatory_review, …) for every posting and profile.
 
     jobs: job_id, title, enriched, and, to compare duties, units (``tasks.task_units``).  profiles: profile_id, profile
     (JSON text), and facts (``tasks.profile_facts``): a stated query set, which every posting meets.  Without units or
     facts no duty counts as done.
+
+    conditions: rows of ``applicability.condition_rows`` or ``reconcile``; pairs without rows have nothing to meet.  A group of conditions that
+    failed is a conflict; one that is unknown is an open question, and either puts the pair up for review and out of the tiers that
+    suggest it.  A tenure that is too short limits the score to 29, one without proof to 59.
     """
     import json
 
@@ -110,6 +114,12 @@ def match(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
             empty = df.withColumn(column, F.from_json(F.lit("[]"), f"array<{kind}>"))
             jobs, profiles = (empty, profiles) if column == "units" else (jobs, empty)
     m = against_all(jobs, profiles).withColumn("m", run("title", "enriched", "profile")).withColumn("duties", tasks.alignment(F.col("units"), F.col("facts")))
+    none = F.expr("cast(array() as array<string>)")
+    if conditions is None:
+        m = m.withColumns({"eligibility": F.lit("pass"), "location": F.lit("pass"), "failed": none, "open": none, "short": F.lit(False), "unproven": F.lit(False)})
+    else:
+        m = m.join(applicability.verdicts(conditions), ["job_id", "profile_id"], "left")
+        m = m.fillna({"eligibility": "pass", "location": "pass", "short": False, "unproven": False}).withColumns({k: F.coalesce(k, none) for k in ("failed", "open")})
     c = lambda n: F.col(f"m.{n}")
     done = F.filter("duties.requirements", lambda r: r["evidence"]["status"] != "unknown")
     proven = F.exists("duties.requirements", lambda r: (r["evidence"]["status"] == "supported") & (r["evidence"]["context"] != "academic"))
@@ -119,16 +129,18 @@ def match(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
     lexical = matching.lexical_score(c("role"), c("secondary"), F.get_json_object("profile", "$.desired_roles[0]").isNotNull(), c("weight"), c("n_skills"))
     raw = F.greatest(lexical, c("content"), F.least("shown", F.when(F.col("grounded"), 85).otherwise(59)))
     limited = (F.col("enriched.quality") == "limited") & ~F.col("grounded")
-    false, special, stated = F.lit(False), F.size(c("uncovered")) > 0, c("stated") | (F.size("units") > 0)
-    limit = matching.score_limit(uncovered_specialist=special, missing_experience=false, unknown_experience=false, substantive=stated, limited=limited, role=c("role"), n_substantive=c("substantive"), secondary=c("secondary"), content=c("content"))
+    special, stated = F.size(c("uncovered")) > 0, c("stated") | (F.size("units") > 0)
+    limit = matching.score_limit(uncovered_specialist=special, missing_experience=F.col("short"), unknown_experience=F.col("unproven"), substantive=stated, limited=limited, role=c("role"), n_substantive=c("substantive"), secondary=c("secondary"), content=c("content"))
     fit = F.when(stated, F.least(F.greatest(c("content"), "shown"), F.when(special, 29).otherwise(100))).otherwise(0)
     m = m.withColumn("task_fit", fit).withColumn("score", matching.adjusted_score(raw, matching.gap_penalty(c("gaps")), limit, c("experience_points"), c("language_points"), F.lit(0)))
-    bad = F.size(c("conflicts")) > 0
+    conflicts = F.concat(c("conflicts"), F.transform("failed", lambda q: F.concat(F.lit("Condition not met: "), q)))
+    unknowns = F.concat(c("unknowns"), F.transform("open", lambda q: F.concat(F.lit("Verify condition: "), q)))
+    bad, blocking = F.size(conflicts) > 0, (F.size("failed") > 0) | (F.size("open") > 0)
     open_ = (c("language_gate") == "unknown") | limited | (F.size(c("gaps")) > 0)
     return m.select(
-        "job_id", "profile_id", "score", matching.tier(F.col("score"), F.col("task_fit"), bad, false, open_).alias("tier"), (~bad).alias("eligible"), (F.size(c("unknowns")) > 0).alias("uncertain"),
-        c("matched").alias("matched_skills"), c("missing").alias("missing_skills"), c("gaps").alias("gaps"), c("conflicts").alias("conflicts"), c("unknowns").alias("unknowns"), c("language_gate").alias("language_gate"),
-        "task_fit", c("content").alias("content_score"), F.col("duties").alias("task_alignment"),
+        "job_id", "profile_id", "score", matching.tier(F.col("score"), F.col("task_fit"), bad, blocking, open_).alias("tier"), (~bad).alias("eligible"), (F.size(unknowns) > 0).alias("uncertain"), blocking.alias("mandatory_review"),
+        c("matched").alias("matched_skills"), c("missing").alias("missing_skills"), c("gaps").alias("gaps"), conflicts.alias("conflicts"), unknowns.alias("unknowns"), c("language_gate").alias("language_gate"),
+        F.col("eligibility").alias("eligibility_gate"), F.col("location").alias("location_gate"), "task_fit", c("content").alias("content_score"), F.col("duties").alias("task_alignment"),
     )
 
 

@@ -1,45 +1,16 @@
-"""Rules over bounded tables of cases: each row of a table meets one case, and the SQL states what the case gives."""
+"""Scope, suggestions and assessments over rows of customers that differ by their keys."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.functions import requirements, tasks
 from vacantia.operators import identity, profiles, scope
 from vacantia.plans.catalog import Tables, query
 
 c = F.col
 
 
-def _said(value) -> str | None:
-    return None if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False, separators=(",", ":"))
-
-
-def cases(name: str, schema: str, rule: Callable[..., Column], rows: Sequence[tuple]) -> None:
-    """Register ``name``: ``rule`` over the case of each customer; a row of ``rows`` is the inputs and, last, what they give.
-
-    Results are compared as text: strings as they are, all else as JSON.
-    """
-    names = [x.split()[0] for x in schema.split(", ")]
-    literal = lambda v: "NULL" if v is None else "'" + _said(v).replace("'", "''") + "'"
-    sql = f"SELECT c_custkey, CASE c_custkey % {len(rows)} " + " ".join(f"WHEN {k} THEN {literal(r[-1])}" for k, r in enumerate(rows)) + " END AS result FROM customer"
-
-    def run(t: Tables):
-        table = t.spark.createDataFrame([(k, *r[:-1]) for k, r in enumerate(rows)], f"kase int, {schema}")
-        out = rule(*[c(n) for n in names])
-        given = table.select("kase", out.alias("out"))
-        plain = given.schema["out"].dataType.typeName()
-        text = c("out") if plain == "string" else F.to_json("out") if plain in ("array", "struct", "map") else c("out").cast("string")
-        given = given.select("kase", text.alias("result"))
-        return t.customer.select("c_custkey", (c("c_custkey") % len(rows)).cast("int").alias("kase")).join(F.broadcast(given), "kase").select("c_custkey", "result")  # one row a case
-
-    query(sql, name=name)(run)
-
-
 def area_rows(t: Tables, *more: Column) -> DataFrame:
     k = c("c_custkey") % 8
     spot = lambda label, code=None, lat=None, lon=None: F.array(F.struct(F.lit(label).alias("label"), F.lit(code).cast("string").alias("country_code"), F.lit(lat).cast("double").alias("latitude"), F.lit(lon).cast("double").alias("longitude")))
@@ -70,23 +41,6 @@ def fil20_rejected_by_reason(t: Tables):
     return scope.rejected_by_reason(_classified(t, selection="area"))
 
 
-cases("sc23_task_units", "t string", lambda t: F.transform(tasks.task_units(t), lambda u: F.concat_ws("|", F.array_join(u["actions"], "+"), F.array_join(u["ideas"], "+"))), [
-    ("Your tasks:\nMaintain risk registers and prepare slides.", ["maintain|concept:risk_register", "prepare|concept:presentation"]), ("You never draw invoices.", []), ("Our legal team reviews contracts.", []), ("Your profile:\nDevelop reports.", []), ("Develop reports. Develop  reports.", ["create|report"]), (None, []),
-])
-_SOURCES = "array<struct<source:string,text:string,context:string>>"
-
-
-def _aligned(t: Column, s: Column) -> Column:
-    sides = F.array(F.struct(tasks.task_units(t).alias("units"), tasks.profile_facts(s).alias("facts")))
-    told = lambda a: F.struct(a["score"].alias("score"), F.transform(a["requirements"], lambda r: r["evidence"]["status"]).alias("status"))
-    return F.to_json(F.transform(F.transform(sides, lambda x: tasks.alignment(x["units"], x["facts"])), told)[0])
-
-
-cases("jn12_alignment", f"t string, s {_SOURCES}", _aligned, [
-    ("Maintain risk registers.\nPrepare slides.\nDevelop compilers.", [("experience.0", "Maintained risk registers", None), ("experience.1", "Created slides", None)], {"score": 50, "status": ["supported", "transferable", "unknown"]}), ("Own action plans.", [("x", "Assisted action plans", None)], {"score": 0, "status": ["unknown"]}), ("Prepare slides.", [], {"score": 0, "status": ["unknown"]}), (None, [], {"status": []}),
-])
-
-
 @query("""SELECT c_custkey AS source_id, CASE c_custkey % 4 WHEN 0 THEN true ELSE false END AS eligible, CASE c_custkey % 4 WHEN 1 THEN 'free_email_provider' WHEN 2 THEN 'email_domain_does_not_identify_candidate' WHEN 3 THEN 'email_domain_identity_not_verified' END AS ineligible_reason FROM customer WHERE c_custkey > 0""")
 def ot18_suggest_from_emails(t: Tables):
     k, n = c("c_custkey") % 4, c("c_custkey").cast("string")
@@ -123,16 +77,3 @@ def mt10_validate_assessments(t: Tables):
     text = F.when(k == 1, F.lit('{"dimensions": {"skills": {"score": 80}, "tasks": {}}, "gates": {"language": {"status": "pass"}}}')).otherwise(text)
     rows = t.customer.select(c("c_custkey").alias("profile"), c("c_nationkey").alias("job"), text.alias("assessment"))
     return profiles.validate_assessments(rows, {"skills": 1.0, "tasks": 1.0})
-
-
-@query("""SELECT c_custkey AS job_id, c_custkey % 3 <> 1 AS eligible, CASE c_custkey % 3 WHEN 1 THEN 'fail' ELSE 'pass' END AS language_gate, CASE c_custkey % 3 WHEN 2 THEN 'Docker' ELSE 'SQL' END AS first_missing FROM customer""")
-def mt01_mt06_match(t: Tables):
-    k = c("c_custkey") % 3
-    text = F.when(k == 0, F.lit("Your profile:\nPython and SQL. German B1 required.")).when(k == 1, F.lit("Your profile:\nPython and SQL. German C2 required.")).otherwise(F.lit("Your profile:\nPython and Docker. German B1 required."))
-    jobs = requirements.enrich_distinct(t.customer.select(c("c_custkey").alias("job_id"), F.lit("Data Analyst").alias("title"), text.alias("description"))).select("job_id", "title", "enriched")
-    profile = json.dumps({"skills": ["Python"], "desired_roles": ["data analyst"], "language_levels": {"German": "C1"}})
-    people = t.spark.createDataFrame([(1, profile)], "profile_id int, profile string")
-    got = profiles.match(jobs, people)
-    return got.select("job_id", "eligible", "language_gate", F.try_element_at("missing_skills", F.lit(1)).alias("first_missing"))
-
-

@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vacantia.functions import dates, geo, records, requirements, strings
-from vacantia.operators import identity, imports, matching, scope, search
+from vacantia.functions import dates, geo, records, requirements, strings, tasks
+from vacantia.operators import applicability, identity, imports, matching, profiles, scope, search
 from vacantia.plans.catalog import Tables, query
 
 c = F.col
@@ -331,3 +331,73 @@ def mt_dates_expired(t: Tables):
     day = lambda f: F.date_format("o_orderdate", f)
     text = F.when(k == 0, day("yyyy-MM-dd")).when(k == 1, F.concat(day("yyyy-MM-dd"), F.lit("T23:59:59Z"))).when(k == 2, F.concat(F.date_format(c("o_orderdate") + F.expr("interval 1 day"), "yyyy-MM-dd"), F.lit("T00:59:59+01:00"))).when(k == 3, day("dd.MM.yyyy"))
     return t.orders.select("o_orderkey", dates.is_expired(text, F.lit("1998-01-01 00:00:00").cast("timestamp")).alias("expired"))
+
+
+_DOES = (("Maintain", "Maintained", "maintain"), ("Prepare", "Prepared", "prepare"), ("Develop", "Developed", "create"))
+_THINGS = (("risk registers", "concept:risk_register"), ("slides", "concept:presentation"), ("reports", "report"))
+
+
+@query(f"""WITH x AS (SELECT p_partkey, p_size % 4 AS k, {listed([v[2] for v in _DOES])}[p_partkey % 3 + 1] || '|' || {listed([w for _, w in _THINGS])}[p_size % 3 + 1] AS a, {listed([v[2] for v in _DOES])}[p_partkey // 3 % 3 + 1] || '|' || {listed([w for _, w in _THINGS])}[p_partkey // 9 % 3 + 1] AS b FROM part)
+SELECT p_partkey, CASE WHEN k = 3 THEN '' WHEN a = b THEN a ELSE a || ' ' || b END AS units FROM x""")
+def sc23_task_units(t: Tables):
+    """Two duties a part, under its tasks, without a heading, or under what an applicant should bring; equal ones count once."""
+    k = c("p_partkey")
+    a = F.concat_ws(" ", pick([v[0] for v in _DOES], k % 3), pick([w[0] for w in _THINGS], c("p_size") % 3))
+    b = F.concat_ws(" ", pick([v[0] for v in _DOES], F.floor(k / 3) % 3), pick([w[0] for w in _THINGS], F.floor(k / 9) % 3))
+    text = F.concat(pick(("Your tasks:\n", "", "Responsibilities:\n", "Your profile:\n"), c("p_size") % 4), a, F.lit(".\n"), b, F.lit("."))
+    units = F.transform(tasks.task_units(text), lambda u: F.concat_ws("|", F.array_join(u["actions"], "+"), F.array_join(u["ideas"], "+")))
+    return t.part.select("p_partkey", F.array_join(units, " ").alias("units"))
+
+
+# A fact of the same thing supports a duty of the same action, and one of a neighbouring action if the thing is a product.
+_NEAR = "(least({0}, {1}), greatest({0}, {1})) IN (('create', 'maintain'), ('create', 'prepare'), ('maintain', 'prepare'))"
+
+
+@query(f"""WITH x AS (SELECT p_partkey, {listed([v[2] for v in _DOES])} AS d, {listed([w for _, w in _THINGS])} AS w FROM part), y AS (SELECT p_partkey, d[p_partkey % 3 + 1] AS a, w[p_size % 3 + 1] AS p, d[p_partkey // 3 % 3 + 1] AS b, w[p_partkey // 9 % 3 + 1] AS q, d[p_size // 3 % 3 + 1] AS f, w[p_partkey // 2 % 3 + 1] AS r FROM x JOIN part USING (p_partkey)),
+u AS (SELECT p_partkey, 1 AS i, a AS v, p AS w, f, r FROM y UNION ALL SELECT p_partkey, 2, b, q, f, r FROM y WHERE a <> b OR p <> q), s AS (SELECT p_partkey, i, CASE WHEN w <> r THEN 0 WHEN v = f THEN 1 WHEN w LIKE 'concept:%' AND {_NEAR.format('v', 'f')} THEN 0.5 ELSE 0 END AS s FROM u)
+SELECT p_partkey, string_agg(CASE s WHEN 1 THEN 'supported' WHEN 0.5 THEN 'transferable' ELSE 'unknown' END, ' ' ORDER BY i) AS status, round_even(100 * avg(s), 0)::INT AS score FROM s GROUP BY 1""")
+def jn12_alignment(t: Tables):
+    """Two duties a part against one fact of a profile made from other keys of the part."""
+    k, z = c("p_partkey"), c("p_size")
+    duty = lambda v, w: F.concat_ws(" ", pick([x[0] for x in _DOES], v), pick([x[0] for x in _THINGS], w))
+    text = F.concat(duty(k % 3, z % 3), F.lit(".\n"), duty(F.floor(k / 3) % 3, F.floor(k / 9) % 3), F.lit("."))
+    told = F.concat_ws(" ", pick([x[1] for x in _DOES], F.floor(z / 3) % 3), pick([x[0] for x in _THINGS], F.floor(k / 2) % 3))
+    fact = F.array(F.struct(F.lit("experience.0").alias("source"), told.alias("text"), F.lit("professional").alias("context")))
+    sides = t.part.select("p_partkey", tasks.task_units(text).alias("units"), tasks.profile_facts(fact).alias("facts"))
+    m = sides.withColumn("m", tasks.alignment(c("units"), c("facts")))
+    return m.select("p_partkey", F.array_join(F.transform("m.requirements", lambda r: r["evidence"]["status"]), " ").alias("status"), "m.score")
+
+
+_KNOWN, _LEVELS = ("Python", "SQL", "Docker", "Kubernetes"), ("A2", "B1", "B2", "C1", "C2")
+_ASKED = f"""p AS (SELECT r_regionkey AS r, {listed(_KNOWN)}[r_regionkey % 4 + 1] AS skill, r_regionkey % 5 AS level, r_regionkey * 3 AS nation, 2.0 * r_regionkey AS years, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY'][r_regionkey % 5 + 1] AS segment FROM region),
+j AS (SELECT *, c_custkey % 3 = 0 AS job_brief, c_custkey % 4 AS k, c_custkey // 4 % 5 AS level, {listed(_KNOWN)}[c_nationkey % 4 + 1] AS a, {listed(_KNOWN)}[(c_nationkey + 1 + c_custkey % 3) % 4 + 1] AS b FROM customer),
+m AS (SELECT c_custkey AS job_id, r AS profile_id, p.level < j.level AS low, (skill = a OR skill = b) AS known, CASE k WHEN 0 THEN CASE WHEN nation = c_nationkey THEN 'pass' ELSE 'unknown' END WHEN 1 THEN CASE WHEN segment = c_mktsegment THEN 'pass' WHEN years < 4 THEN 'fail' ELSE 'unknown' END
+WHEN 2 THEN CASE WHEN r % 2 = 1 THEN 'pass' ELSE 'unknown' END ELSE 'pass' END AS gate, k, k = 1 AS asks, years, job_brief AS brief FROM j, p)"""
+
+
+# The profile's wanted role and one of two skills give 78, without the skill 55; a level too low costs 20, one that is there gives 5; a short text gives 60 at most.
+@query(f"""WITH {_ASKED}, s AS (SELECT *, CASE WHEN known THEN 78 ELSE 55 END + CASE WHEN low THEN -20 ELSE 5 END + CASE WHEN NOT asks THEN 0 WHEN years >= 4 THEN 5 ELSE -10 END AS raw FROM m)
+SELECT job_id, profile_id, greatest(0, least(raw, CASE WHEN k = 1 AND gate = 'fail' THEN 29 WHEN k = 1 AND gate = 'unknown' THEN 59 WHEN brief THEN 60 ELSE 85 END))::INT AS score, NOT low AND gate <> 'fail' AS eligible, CASE WHEN low THEN 'fail' ELSE 'pass' END AS language_gate, gate AS eligibility_gate, gate <> 'pass' AS mandatory_review,
+low::INT + (gate = 'fail')::INT AS conflicts, (gate = 'unknown')::INT + brief::INT AS unknowns FROM s""")
+def mt01_mt06_match(t: Tables):
+    """Postings of customers (two skills, a language level, a permit, a scoped tenure or a licence) against profiles of regions."""
+    k, n = c("c_custkey"), c("c_nationkey")
+    ask = F.when(k % 4 == 0, F.concat(F.lit("A work permit for NATION_"), n.cast("string"), F.lit(" is required."))).when(k % 4 == 1, F.concat(F.lit("4 years of experience in "), F.lower("c_mktsegment"), F.lit("."))).when(k % 4 == 2, "A driving licence is needed.").otherwise("")
+    text = F.concat(F.lit("Your profile:\n"), pick(_KNOWN, n % 4), F.lit(" and "), pick(_KNOWN, (n + 1 + k % 3) % 4), F.lit(".\nGerman "), pick(_LEVELS, F.floor(k / 4) % 5), F.lit(" required.\n"), ask, F.when(k % 3 > 0, F.concat(F.lit("\nWe offer:\n"), F.repeat(F.lit("A bright place near the station. "), 8))).otherwise(""))
+    jobs = requirements.enrich_distinct(t.customer.select(k.alias("job_id"), F.lit("Data Analyst").alias("title"), text.alias("description")))
+    r, none = c("r_regionkey"), F.lit(None)
+    own = F.struct(F.array(pick(_KNOWN, r % 4)).alias("skills"), F.array(F.lit("data analyst")).alias("desired_roles"), F.struct(pick(_LEVELS, r % 5).alias("German")).alias("language_levels"), (2.0 * r).alias("experience_years"))
+    people = t.region.select(r.alias("profile_id"), F.to_json(own).alias("profile"))
+    facts = t.region.select(
+        r.alias("profile_id"), none.cast("string").alias("city"), none.cast("string").alias("country"), F.lit(False).alias("relocates"), F.concat(F.lit("NATION_"), (r * 3).cast("string")).alias("authorised_in"),
+        F.lit(True).alias("authorised"), F.lit(False).alias("sponsorship"), (2.0 * r).alias("experience_years"),
+    )
+    day = lambda x: F.lit(x).cast("date")
+    licences = t.region.filter(r % 2 == 1).select(r.alias("profile_id"), F.lit("Driving licence").alias("name"), none.cast("date").alias("valid_to"))
+    segment = pick(("automobile", "building", "furniture", "household", "machinery"), r % 5)
+    spans = t.region.select(r.alias("profile_id"), segment.alias("topic"), day("2015-01-01").alias("start"), day("2021-01-01").alias("end"), F.lit("professional").alias("kind"))
+    rows = applicability.job_conditions(jobs.select("job_id", "description"))
+    pairs = rows.select("job_id").distinct().join(F.broadcast(people.select("profile_id")))  # the regions are a stated query set
+    asked = applicability.condition_rows(pairs, rows, facts, licences, spans, day("2024-01-01"))
+    got = profiles.match(jobs.select("job_id", "title", "enriched"), people, asked)
+    return got.select("job_id", "profile_id", "score", "eligible", "language_gate", "eligibility_gate", "mandatory_review", F.size("conflicts").alias("conflicts"), F.size("unknowns").alias("unknowns"))
