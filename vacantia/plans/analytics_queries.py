@@ -370,66 +370,16 @@ def src14_pages_complete(t: Tables):
     return pages_complete(pages, feed="feed", page="page", ids="id", total="total", page_size=3, cap=2)
 
 
-@query("""SELECT d.doc_id, CASE WHEN a.h IS NULL THEN 'pending' WHEN a.h = md5(d.lang) THEN 'done' ELSE 'pending' END AS state FROM documents d LEFT JOIN (SELECT doc_id, md5(CASE WHEN quality = 1 THEN lang ELSE 'stale' END) AS h FROM labels JOIN documents USING (doc_id)) a USING (doc_id) WHERE d.lang <> 'fr'""")
-def ot09_ot29_queue_state(t: Tables):
-    held = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id").select("doc_id", F.md5(F.when(c("quality") == 1, c("lang")).otherwise("stale")).alias("h"))
-    j = t.documents.filter("lang <> 'fr'").join(held, "doc_id", "left")
-    return j.select("doc_id", F.when(c("h") == F.md5("lang"), "done").otherwise("pending").alias("state"))
-
-
-@query("SELECT c_custkey, n - f AS delta, n >= f AS passed FROM (SELECT c_custkey, count(o_orderkey) AS n, count(o_orderkey) FILTER (o_orderstatus = 'F') AS f FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1)")
-def ot10_compare_scores(t: Tables):
-    base = t.orders.filter("o_orderstatus = 'F'").groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("f"))
-    new = t.orders.groupBy(c("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    j = t.customer.select("c_custkey").join(new, "c_custkey", "left").join(base, "c_custkey", "left").na.fill(0, ["n", "f"])
-    return j.select("c_custkey", (c("n") - c("f")).alias("delta"), (c("n") >= c("f")).alias("passed"))
-
-
 @query("SELECT o_orderpriority AS family, count(*) FILTER (o_orderstatus = 'O') AS filled, count(*) FILTER (o_orderstatus = 'F') AS missed, count(DISTINCT o_custkey) AS examples FROM orders GROUP BY 1")
 def ot12_ot13_outcomes(t: Tables):
     return t.orders.groupBy(c("o_orderpriority").alias("family")).agg(F.count_if(c("o_orderstatus") == "O").alias("filled"), F.count_if(c("o_orderstatus") == "F").alias("missed"), F.countDistinct("o_custkey").alias("examples"))
 
 
-@query("""SELECT outcome, count(*) AS n FROM (SELECT CASE WHEN l_tax = 0 THEN 'not_visible' WHEN l_returnflag = l_linestatus THEN 'filled' WHEN l_returnflag = 'N' THEN 'missed' WHEN l_discount = 0 THEN 'preserved' ELSE 'wrong' END AS outcome FROM lineitem) GROUP BY 1""")
-def ot14_field_outcomes(t: Tables):
-    o = F.when(c("l_tax") == 0, "not_visible").when(c("l_returnflag") == c("l_linestatus"), "filled").when(c("l_returnflag") == "N", "missed").when(c("l_discount") == 0, "preserved").otherwise("wrong")
-    return t.lineitem.groupBy(o.alias("outcome")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT c_nationkey, count(*) AS companies, count(*) FILTER (n > 0) AS done, CASE WHEN count(*) FILTER (n > 0) = 0 THEN 'failed' WHEN count(*) FILTER (n > 0) < count(*) THEN 'partial' ELSE 'completed' END AS status FROM (SELECT c_nationkey, c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2) GROUP BY 1")
-def ot20_campaign_status(t: Tables):
-    per = t.customer.join(t.orders, c("c_custkey") == c("o_custkey"), "left").groupBy("c_nationkey", "c_custkey").agg(F.count("o_orderkey").alias("n"))
-    done = F.count_if(c("n") > 0)
-    return per.groupBy("c_nationkey").agg(F.count("*").alias("companies"), done.alias("done"), F.when(done == 0, "failed").when(done < F.count("*"), "partial").otherwise("completed").alias("status"))
-
-
 @query("SELECT n_nationkey FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
 def ot21_empty_campaigns(t: Tables):
     return t.nation.join(t.supplier, c("n_nationkey") == c("s_nationkey"), "left_anti").select("n_nationkey")
 
 
-@query("SELECT part, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'current' WHEN o_orderstatus = 'O' THEN 'scheduled' ELSE 'recent' END AS part FROM orders) GROUP BY 1")
-def ot25_partitions(t: Tables):
-    return t.orders.groupBy(F.when(c("o_orderstatus") == "P", "current").when(c("o_orderstatus") == "O", "scheduled").otherwise("recent").alias("part")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT event_id, CASE WHEN event_type = 'error' AND value > 50 THEN 'blocked' WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'throttled' ELSE 'ok' END AS state FROM events")
-def ot28_failure_class(t: Tables):
-    err = c("event_type") == "error"
-    return t.events.select("event_id", F.when(err & (c("value") > 50), "blocked").when(err, "failed").when(c("event_type") == "view", "throttled").otherwise("ok").alias("state"))
-
-
-@query("SELECT l.doc_id, d.source, d.doc_id IS NULL AS unknown FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id AND d.lang = 'en'")
-def ot32_citations(t: Tables):
-    d = t.documents.filter("lang = 'en'").select(c("doc_id").alias("d_id"), "source")
-    return t.labels.join(d, c("doc_id") == c("d_id"), "left").select("doc_id", "source", c("d_id").isNull().alias("unknown"))
-
-
-@query("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')")
-def ot34_deferral(t: Tables):
-    return t.orders.filter("o_orderstatus = 'P'").join(t.orders.filter("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti").select("o_orderkey")
-
-
 @query("SELECT user_id, CASE max(CASE event_type WHEN 'purchase' THEN 5 WHEN 'signup' THEN 4 WHEN 'click' THEN 3 WHEN 'view' THEN 2 ELSE 1 END) WHEN 5 THEN 'purchase' WHEN 4 THEN 'signup' WHEN 3 THEN 'click' WHEN 2 THEN 'view' ELSE 'error' END AS status FROM events GROUP BY 1")
 def ot38_status_precedence(t: Tables):
     order = F.create_map(*[F.lit(x) for k, n in (("purchase", 5), ("signup", 4), ("click", 3), ("view", 2), ("error", 1)) for x in (k, n)])
