@@ -117,3 +117,39 @@ def ot34_deferral(t: Tables):
     feeds = t.orders.filter("o_orderkey % 6 = 0").select(company, url.alias("feed_url"))
     postings = t.orders.select(company, F.when(p == "2-HIGH", "html_jobs").when(p == "5-LOW", "browser_html").otherwise("lever").alias("provider"), (c("o_orderstatus") == "O").alias("is_active"))
     return operations.undeferred(found, feeds, postings)
+
+
+_FLAT = "regexp_replace(lower({}), '\\s+', ' ', 'g')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, split_part(text, ' ', 2) || '  ' || split_part(text, ' ', 3) AS keyword FROM documents), p AS (SELECT d.doc_id, d.keyword, d.text AS posting, n.text AS output FROM d JOIN d n ON n.doc_id = d.doc_id + 1)
+SELECT keyword, contains({_FLAT.format('posting')}, {_FLAT.format('keyword')}) AS in_posting, contains({_FLAT.format('output')}, {_FLAT.format('keyword')}) AS in_output FROM p""")
+def ot19_keyword_coverage(t: Tables):
+    """Two words of each document against its whole text and the next document's."""
+    d = t.documents.select("doc_id", c("text").alias("posting"), F.concat(F.split_part("text", F.lit(" "), F.lit(2)), F.lit("  "), F.split_part("text", F.lit(" "), F.lit(3))).alias("keyword"))
+    rows = d.join(t.documents.select((c("doc_id") - 1).alias("doc_id"), c("text").alias("output")), "doc_id")
+    return imports.keyword_coverage(rows, c("posting"), c("output"))
+
+
+@query("""WITH e AS (SELECT event_type AS grp, user_id AS source, event_id AS seq, props AS text, count(*) OVER (PARTITION BY event_type, user_id) AS n, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS place FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY grp, source ORDER BY seq) AS turn FROM e WHERE n <= 4 OR place <= 2 OR place > n - 2), g AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY turn, source) AS spot FROM k)
+SELECT 'c' || row_number() OVER (ORDER BY spot, grp) AS ref, grp, source, seq, text FROM g QUALIFY row_number() OVER (ORDER BY spot, grp) <= 300""")
+def ot31_citation_catalogue(t: Tables):
+    """Events as excerpts of users; the catalogue of 300 references is the feature."""
+    excerpts = t.events.select(c("event_type").alias("grp"), c("user_id").alias("source"), c("event_id").alias("seq"), c("props").alias("text"))
+    return imports.citation_catalogue(excerpts, limit=300, most=4)
+
+
+@query("""WITH p AS (SELECT page_id % 60 AS company, max(CASE WHEN ok THEN 3 ELSE 1 END) AS p, arg_min(url, page_id) FILTER (ok) AS career_url FROM (SELECT *, url LIKE 'https%' AND page_id % 4 = 1 AS ok FROM pages) GROUP BY 1),
+b AS (SELECT s_suppkey % 70 AS company, max(CASE WHEN s_nationkey % 3 = 0 THEN CASE WHEN s_nationkey % 2 = 0 THEN 5 ELSE 4 END ELSE 2 END) AS b, count(DISTINCT CASE WHEN s_nationkey % 3 = 0 THEN s_name END) AS observed FROM supplier GROUP BY 1),
+o AS (SELECT n_nationkey * 3 AS company, CASE n_regionkey WHEN 0 THEN 5 WHEN 1 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS o FROM nation)
+SELECT company, ['unresolved', 'ats_identified', 'career_content_found', 'jobs_extracted', 'jobs_feed_found'][greatest(coalesce(p, 1), coalesce(b, 1), CASE WHEN o >= 3 THEN o ELSE 1 END)] AS status, career_url, coalesce(observed, 0) AS observed FROM p FULL JOIN b USING (company) FULL JOIN o USING (company)""")
+def ot33_ot38_discovery_result(t: Tables):
+    """Pages, boards from suppliers and an earlier run from nations, of companies that some of them do not know."""
+    k = c("page_id")
+    pages = t.pages.select((k % 60).alias("company"), k.alias("page_order"), "url", c("url").startswith("https").alias("trusted"), (k % 4 == 1).alias("career"))
+    n = c("s_nationkey")
+    boards = t.supplier.select((c("s_suppkey") % 70).alias("company"), F.when(n % 2 == 0, "lever").otherwise("html").alias("provider"), (n % 3 == 0).alias("parsed"), c("s_name").alias("external_id"))
+    status = F.when(c("n_regionkey") == 0, "jobs_feed_found").when(c("n_regionkey") == 1, "career_content_found").when(c("n_regionkey") == 2, "ats_identified").otherwise("unresolved")
+    prior = t.nation.select((c("n_nationkey") * 3).cast("bigint").alias("company"), status.alias("status"))
+    return imports.discovery_result(pages, boards, prior)
