@@ -157,3 +157,13 @@ def location_adjustment(share: Column, weight: Column) -> Column:
 
 def field_coverage(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     return df.agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "").alias(c) for c in fields])
+
+
+def distinct_postings(postings: DataFrame, groups: DataFrame) -> DataFrame:
+    """(company, postings): active postings of each company after duplicates: a group counts once, a posting without one as itself.
+
+    postings: job_id, employer, company, is_active (null: not active).  groups: job_id, group, one row a posting.  The employer stands for the company of the feed where it is known; rows with neither count for none.
+    """
+    live = postings.filter("is_active").join(groups, "job_id", "left")
+    one = live.select(F.coalesce("employer", "company").alias("company"), F.coalesce(F.col("group"), F.col("job_id")).alias("one")).filter("company is not null")
+    return one.distinct().groupBy("company").agg(F.count("*").alias("postings"))

@@ -86,6 +86,27 @@ def enrich_build(candidates: DataFrame, results: DataFrame, prior: DataFrame, ke
     return j.select(key, F.when(keep, F.col("__p")).otherwise(F.coalesce("__n", "__p", F.lit("unresolved"))).alias("status"), F.when(keep, F.col("__pu")).otherwise(F.coalesce("__nu", "__pu")).alias("career_url"))
 
 
+def fill_websites(existing: DataFrame, selected: DataFrame) -> DataFrame:
+    """Imported companies (source_id, website_url, career_status) with the websites selected for those that have none, and ``method`` of a website filled in.
+
+    selected: source_id, website_url, method, one row a source (``identity.select_websites``).  Sources that are not there are added, not yet checked; a website that is there
+    stays, and an empty one counts as none.
+    """
+    new = selected.select("source_id", F.col("website_url").alias("__url"), "method")
+    own = F.nullif("website_url", F.lit(""))
+    j = existing.select("source_id", "website_url", "career_status").join(new, "source_id", "full")
+    return j.select("source_id", F.coalesce(own, "__url").alias("website_url"), F.coalesce("career_status", F.lit("not_checked")).alias("career_status"), F.when(own.isNull(), F.col("method")).alias("method"))
+
+
+def accepted_results(companies: DataFrame, results: DataFrame) -> DataFrame:
+    """Career results (source_id, website, status) with ``accepted``: only those of a company with a website, tested on that website's host; rows of unknown companies are not."""
+    from vacantia.functions import urls
+
+    site = lambda u: F.regexp_replace(urls.host(F.col(u)), r"^www\.", "")
+    j = results.join(companies.select("source_id", "website_url"), "source_id", "left")
+    return j.select("source_id", "website", "status", F.coalesce(site("website") == site("website_url"), F.lit(False)).alias("accepted"))
+
+
 def drop_unverified(rows: DataFrame) -> DataFrame:
     """Rows (page, trust, …) of verified provenance only; a page that loses all its rows becomes ``unresolved``."""
     ok = F.col("trust").isin("first_party", "branded_external")

@@ -101,6 +101,11 @@ def text_scope(locations: Column, *, place: str | None = None, country: str | No
     return F.lit(None).cast("boolean")
 
 
+def _result(ok: bool, reason: str | None, kind: str | None, unknown: Column | None = None) -> Column:
+    none = F.expr("cast(array() as array<string>)")
+    return F.struct(F.lit(ok).alias("eligible"), F.lit(reason).cast("string").alias("reason"), (none if unknown is None else unknown).alias("unknowns"), F.lit(kind).cast("string").alias("match_kind"))
+
+
 def classify(postings: DataFrame, *, now: Column, lat: float | None = None, lon: float | None = None, radius_km: float | None = None, place: str | None = None, country: str | None = None, selection: str = "all") -> DataFrame:
     """``postings`` with ``scope`` struct(eligible, reason, unknowns, match_kind).
 
@@ -108,7 +113,7 @@ def classify(postings: DataFrame, *, now: Column, lat: float | None = None, lon:
     both coordinates are missing; else outside.  selection 'remote' or 'area' then rejects the other kind.
     postings: valid_through, work_arrangement, is_remote, remote_countries array<string>, remote_unresolved boolean, locations.
     """
-    result = lambda ok, reason, kind, unknown=None: F.struct(F.lit(ok).alias("eligible"), F.lit(reason).cast("string").alias("reason"), F.expr("cast(array() as array<string>)").alias("unknowns") if unknown is None else unknown.alias("unknowns"), F.lit(kind).cast("string").alias("match_kind"))
+    result = _result
     remote = fully_remote(F.col("work_arrangement"), F.col("is_remote"))
     stated = F.coalesce(F.col("remote_countries"), F.expr("cast(array() as array<string>)"))
     barred = F.lit(False) if country is None else F.coalesce(F.col("remote_unresolved"), F.lit(False)) | ((F.size(stated) > 0) & ~F.array_contains(stated, country))
@@ -126,14 +131,41 @@ def classify(postings: DataFrame, *, now: Column, lat: float | None = None, lon:
         .when(F.coalesce(near | named, F.lit(False)), result(True, None, "in_area"))
         .otherwise(result(False, "outside_area", None))
     )
-    out = postings.withColumn("scope", scope)
+    return _selected(postings.withColumn("scope", scope), selection)
+
+
+def _selected(out: DataFrame, selection: str) -> DataFrame:
     if selection == "remote":
-        out = out.withColumn("scope", F.when(F.col("scope.eligible") & (F.col("scope.match_kind") != "remote"), result(False, "not_remote", None)).otherwise(F.col("scope")))
+        out = out.withColumn("scope", F.when(F.col("scope.eligible") & (F.col("scope.match_kind") != "remote"), _result(False, "not_remote", None)).otherwise(F.col("scope")))
     if selection == "area":
-        out = out.withColumn("scope", F.when(F.col("scope.eligible") & (F.col("scope.match_kind") == "remote"), result(False, "remote_not_selected", "remote")).otherwise(F.col("scope")))
+        out = out.withColumn("scope", F.when(F.col("scope.eligible") & (F.col("scope.match_kind") == "remote"), _result(False, "remote_not_selected", "remote")).otherwise(F.col("scope")))
     return out
 
 
+def classify_by_employer(postings: DataFrame, *, now: Column, country: str = "DE", state: str | None = None, selection: str = "all") -> DataFrame:
+    """``postings`` with ``scope`` for a search of a whole country, or of a state of Germany, where the employer stands in for an unsaid place.
+
+    Expired and remote postings go as in ``classify``.  Else the places named decide (work_location); where they say nothing, a country is met by the
+    employer's own country, a German state of the employer's for DE, a feed kept for the country, or any location's code (employer_in_country), and a
+    state by the state of the employer or of the feed's company (employer_in_state).  A null employer meets nothing.
+    postings: the columns of ``classify``, employer_country, employer_state, feed_state, default_feed boolean.
+    """
+    land = "DE" if state else country
+    base = classify(postings, now=now, country=land)
+    verdict = text_scope(F.col("locations"), state=state) if state else text_scope(F.col("locations"), country=country)
+    if state:
+        at = (F.col("employer_state") == state) | (F.col("feed_state") == state)
+    else:
+        at = (F.col("employer_country") == country) | F.col("default_feed") | F.exists("locations", lambda x: F.upper(x["country_code"]) == country)
+        at = at | F.col("employer_state").isin(*STATES) if country == "DE" else at
+    kept = F.coalesce(F.col("scope.reason") == "expired", F.lit(False)) | fully_remote(F.col("work_arrangement"), F.col("is_remote"))
+    scope = (
+        F.when(kept, F.col("scope")).when(verdict, _result(True, None, "work_location")).when(~verdict, _result(False, "outside_area", None))
+        .when(F.coalesce(at, F.lit(False)), _result(True, None, "employer_in_state" if state else "employer_in_country")).otherwise(_result(False, "outside_area", None))
+    )
+    return _selected(base.withColumn("scope", scope), selection)
+
+
 def rejected_by_reason(classified: DataFrame) -> DataFrame:
     return classified.filter("not scope.eligible").groupBy(F.col("scope.reason").alias("reason")).agg(F.count("*").alias("n"))
 

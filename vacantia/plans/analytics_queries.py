@@ -154,9 +154,19 @@ def ag08_ag09_generation(t: Tables):
     return t.orders.agg(F.max("o_orderkey").alias("generation"), F.count("*").alias("n"), F.max("o_orderdate").alias("newest"))
 
 
-@query("SELECT o_custkey, count(DISTINCT o_orderpriority || o_orderstatus) AS postings FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
+# Orders of a customer on one day at one priority share a key; so do those of a customer with the same whole thousands of price.
+@query("""WITH RECURSIVE o AS (SELECT o_orderkey AS id, o_custkey AS k, o_orderstatus <> 'F' AS live, o_orderpriority AS p, floor(o_totalprice / 50000) AS w FROM orders), e AS (SELECT a.id AS a, b.id AS b FROM o a JOIN o b ON a.k = b.k AND (a.p = b.p AND a.id % 3 = 0 AND b.id % 3 = 0 OR a.w = b.w)),
+r AS (SELECT id AS a, id AS b FROM o UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a), g AS (SELECT a AS id, min(b) AS grp FROM r GROUP BY 1) SELECT k AS company, count(DISTINCT grp) AS postings FROM o JOIN g USING (id) WHERE live GROUP BY 1""")
 def ag10_distinct_postings(t: Tables):
-    return t.orders.filter("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.countDistinct(F.concat("o_orderpriority", "o_orderstatus")).alias("postings"))
+    """Active orders of a customer after grouping by shared keys, active or not."""
+    from vacantia.operators import dedupe
+
+    key = c("o_orderkey")
+    keys = t.orders.select(key.alias("job_id"), F.explode(F.array_compact(F.array(
+        F.when(key % 3 == 0, F.concat_ws("|", F.lit("p"), "o_custkey", "o_orderpriority")), F.concat_ws("|", F.lit("w"), "o_custkey", F.floor(c("o_totalprice") / 50000).cast("string")),
+    ))).alias("key"))
+    rows = t.orders.select(key.alias("job_id"), F.when(key % 2 == 0, c("o_custkey")).alias("employer"), c("o_custkey").alias("company"), (c("o_orderstatus") != "F").alias("is_active"))
+    return analytics.distinct_postings(rows, dedupe.group_by_keys(keys))
 
 
 @query("SELECT o_orderpriority AS tier, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")

@@ -401,3 +401,48 @@ def mt01_mt06_match(t: Tables):
     asked = applicability.condition_rows(pairs, rows, facts, licences, spans, day("2024-01-01"))
     got = profiles.match(jobs.select("job_id", "title", "enriched"), people, asked)
     return got.select("job_id", "profile_id", "score", "eligible", "language_gate", "eligibility_gate", "mandatory_review", F.size("conflicts").alias("conflicts"), F.size("unknowns").alias("unknowns"))
+
+
+# Labels of `_LABELS` with their country and state; an employer's country and state, and a feed kept for Germany.
+_BASED = f"""WITH {_PLACED}, v AS (SELECT c_custkey, bool_or(said) AS told, bool_or(said AND CASE WHEN country IS NOT NULL THEN country = 'DE' WHEN state IS NOT NULL THEN coalesce(code, 'DE') = 'DE' ELSE coalesce(code = 'DE', false) END) AS inland,
+bool_or(said AND coalesce(country, 'DE') = 'DE' AND coalesce(state = 'Bayern', false) AND coalesce(code, 'DE') = 'DE') AS instate, bool_or(coalesce(code = 'DE', false)) AS coded FROM x GROUP BY 1),
+e AS (SELECT c_custkey, c_custkey % 13 = 0 AS expired, c_custkey % 7 = 0 AS remote, c_nationkey % 6 = 1 AS own, c_nationkey % 6 = 2 AS bavarian, c_custkey % 11 = 0 AS feed FROM customer)"""
+
+
+def _employers(t: Tables):
+    k, n = c("c_custkey"), c("c_nationkey")
+    extra = t.customer.select(
+        "c_custkey", F.when(k % 13 == 0, "2020-01-01").alias("valid_through"), F.when(k % 7 == 0, "remote").alias("work_arrangement"), F.lit(False).alias("is_remote"), F.lit(None).cast("array<string>").alias("remote_countries"), F.lit(False).alias("remote_unresolved"),
+        F.when(n % 6 == 1, "DE").when(n % 6 == 3, "AT").alias("employer_country"), F.when(n % 6 == 2, "Bayern").alias("employer_state"), F.when(k % 11 == 0, "Bayern").alias("feed_state"), (k % 11 == 0).alias("default_feed"),
+    )
+    return _places(t).withColumnRenamed("l", "locations").join(extra, "c_custkey")
+
+
+@query(f"""{_BASED} SELECT c_custkey, CASE WHEN expired THEN 'expired' WHEN remote THEN 'remote' WHEN told THEN CASE WHEN inland THEN 'work_location' ELSE 'outside_area' END WHEN own OR bavarian OR feed OR coded THEN 'employer_in_country' ELSE 'outside_area' END AS verdict FROM v JOIN e USING (c_custkey)""")
+def fil17_employer_country(t: Tables):
+    s = scope.classify_by_employer(_employers(t), now=F.lit("2024-01-01").cast("timestamp"))
+    return s.select("c_custkey", F.coalesce("scope.match_kind", "scope.reason").alias("verdict"))
+
+
+@query(f"""{_BASED} SELECT c_custkey, CASE WHEN expired THEN 'expired' WHEN remote THEN 'remote_not_selected' WHEN told THEN CASE WHEN instate THEN 'work_location' ELSE 'outside_area' END WHEN bavarian OR feed THEN 'employer_in_state' ELSE 'outside_area' END AS verdict FROM v JOIN e USING (c_custkey)""")
+def fil17_employer_state(t: Tables):
+    """The state's search, with remote postings turned away."""
+    s = scope.classify_by_employer(_employers(t), now=F.lit("2024-01-01").cast("timestamp"), state="Bayern", selection="area")
+    return s.select("c_custkey", F.coalesce("scope.reason", "scope.match_kind").alias("verdict"))
+
+
+@query("""SELECT coalesce(e.id, n.id) AS source_id, coalesce(nullif(e.url, ''), n.url) AS website_url, CASE WHEN e.id IS NULL THEN 'not_checked' ELSE 'checked' END AS career_status, CASE WHEN coalesce(e.url, '') = '' THEN n.method END AS method
+FROM (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'https://old' || c_custkey || '.de' END AS url FROM customer WHERE c_nationkey < 15) e FULL JOIN (SELECT c_custkey AS id, 'https://new' || c_custkey || '.de' AS url, c_mktsegment AS method FROM customer WHERE c_nationkey > 7) n USING (id)""")
+def ot17_fill_websites(t: Tables):
+    k = c("c_custkey")
+    link = lambda word: F.concat(F.lit(f"https://{word}"), k.cast("string"), F.lit(".de"))
+    old = t.customer.filter("c_nationkey < 15").select(k.alias("source_id"), F.when(k % 3 == 0, "").when(k % 3 == 1, link("old")).alias("website_url"), F.lit("checked").alias("career_status"))
+    return imports.fill_websites(old, t.customer.filter("c_nationkey > 7").select(k.alias("source_id"), link("new").alias("website_url"), c("c_mktsegment").alias("method")))
+
+
+@query("""SELECT page_id AS source_id, url AS website, 'found' AS status, page_id % 4 < 2 AS accepted FROM pages""")
+def ot17_accepted_results(t: Tables):
+    """Results on pages against companies with the page's host, with www before it, another host, or none."""
+    k, host = c("page_id"), F.regexp_extract("url", "^[a-z]+://(?:www[.])?([^/?#]+)", 1)
+    site = F.when(k % 4 == 0, F.concat(F.lit("https://"), host, F.lit("/jobs"))).when(k % 4 == 1, F.concat(F.lit("http://WWW."), host)).when(k % 4 == 2, F.concat(F.lit("https://not-"), host))
+    return imports.accepted_results(t.pages.select(k.alias("source_id"), site.alias("website_url")), t.pages.select(k.alias("source_id"), c("url").alias("website"), F.lit("found").alias("status")))
