@@ -51,3 +51,11 @@ def test_tiles_without_an_answer_stay_pending(spark, tmp_path):
     assert sorted(r.state for r in tiles.inventory(df, answers, table).collect()) == ["done", "pending"]
     later = answers.union(spark.createDataFrame([(0.0, 0.5, 0.5, 1.0, True)], answers.schema))
     assert tiles.inventory(df, later, table).filter(F.col("state") == "done").count() == 2
+
+
+def test_answers_that_explode_out_of_few_rows_are_not_broadcast(spark, tmp_path):
+    areas = spark.range(50).select(F.col("id").cast("string").alias("area"), F.lit(0.0).alias("south"), (F.col("id") * 2.0).alias("west"), F.lit(0.75).alias("north"), (F.col("id") * 2.0 + 1).alias("east"))
+    first = tiles.first_tiles(areas)
+    answers = first.select("south", "west", "north", "east", F.lit(True).alias("complete"))
+    plan = tiles.advance(first, answers)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

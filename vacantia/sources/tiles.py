@@ -31,7 +31,8 @@ def advance(cursor: DataFrame, answers: DataFrame, most: int = MOST) -> DataFram
     nothing; tiles without an answer stay pending.  An answer given twice counts as complete if one is.
     """
     box = ["south", "west", "north", "east"]
-    known = answers.groupBy(*box).agg(F.max("complete").alias("complete"))
+    # Boxes grow out of few rows by ``explode``, which the planner takes for small: it would broadcast them without the hint.
+    known = answers.groupBy(*box).agg(F.max("complete").alias("complete")).hint("merge")
     waiting = cursor.filter("state = 'pending'").join(known, box, "left")
     state = F.when(F.col("complete"), "done").when(F.col("complete").isNull(), "pending").when(F.col("depth") >= most, "failed").otherwise("split")
     told = waiting.withColumn("state", state).select(cursor.columns)
@@ -50,7 +51,7 @@ def inventory(areas: DataFrame, answers: DataFrame, table: VersionedTable, *, si
         table.write(first_tiles(areas, size), number)
     for _ in range(most + 1 if rounds is None else rounds):
         now = table.read()
-        open_ = now.filter("state = 'pending'").join(answers, ["south", "west", "north", "east"], "left_semi")
+        open_ = now.filter("state = 'pending'").join(answers.hint("merge"), ["south", "west", "north", "east"], "left_semi")
         if open_.isEmpty():
             break
         number += 1
