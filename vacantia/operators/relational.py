@@ -9,6 +9,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt anew to four parts a core at least (by the columns named, else in turn), for dear expressions over many short rows.
+
+    Such a table lies in few file splits, and adaptive execution joins small parts of a shuffle again unless their number is stated.
+    """
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *by)
+
+
+def once_per_value(rows: DataFrame, inputs: Sequence[str], **columns: Column) -> DataFrame:
+    """``rows`` with ``columns``, dear expressions over ``inputs`` alone, worked out once for each of their distinct values (nulls are a value)."""
+    keyed = rows.withColumn("__value", F.sha2(F.to_json(F.struct(*inputs)), 256))
+    distinct = spread(keyed.groupBy("__value").agg(*[F.first(i).alias(i) for i in inputs]), "__value")
+    return keyed.join(distinct.select("__value", *[v.alias(k) for k, v in columns.items()]), "__value").drop("__value")
+
+
 def best_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each group in ``order``; give an order that ends in a unique key."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

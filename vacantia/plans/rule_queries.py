@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantia.functions import dates, geo, records, requirements, strings, tasks
-from vacantia.operators import applicability, identity, imports, matching, profiles, scope, search
+from vacantia.operators import applicability, identity, imports, matching, profiles, relational, scope, search
 from vacantia.plans.catalog import Tables, query
 
 c = F.col
@@ -345,8 +345,8 @@ def sc23_task_units(t: Tables):
     a = F.concat_ws(" ", pick([v[0] for v in _DOES], k % 3), pick([w[0] for w in _THINGS], c("p_size") % 3))
     b = F.concat_ws(" ", pick([v[0] for v in _DOES], F.floor(k / 3) % 3), pick([w[0] for w in _THINGS], F.floor(k / 9) % 3))
     text = F.concat(pick(("Your tasks:\n", "", "Responsibilities:\n", "Your profile:\n"), c("p_size") % 4), a, F.lit(".\n"), b, F.lit("."))
-    units = F.transform(tasks.task_units(text), lambda u: F.concat_ws("|", F.array_join(u["actions"], "+"), F.array_join(u["ideas"], "+")))
-    return t.part.select("p_partkey", F.array_join(units, " ").alias("units"))
+    units = F.transform(tasks.task_units(c("text")), lambda u: F.concat_ws("|", F.array_join(u["actions"], "+"), F.array_join(u["ideas"], "+")))
+    return relational.once_per_value(t.part.select("p_partkey", text.alias("text")), ["text"], units=F.array_join(units, " ")).drop("text")
 
 
 # A fact of the same thing supports a duty of the same action, and one of a neighbouring action if the thing is a product.
