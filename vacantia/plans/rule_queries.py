@@ -362,9 +362,8 @@ def jn12_alignment(t: Tables):
     duty = lambda v, w: F.concat_ws(" ", pick([x[0] for x in _DOES], v), pick([x[0] for x in _THINGS], w))
     text = F.concat(duty(k % 3, z % 3), F.lit(".\n"), duty(F.floor(k / 3) % 3, F.floor(k / 9) % 3), F.lit("."))
     told = F.concat_ws(" ", pick([x[1] for x in _DOES], F.floor(z / 3) % 3), pick([x[0] for x in _THINGS], F.floor(k / 2) % 3))
-    fact = F.array(F.struct(F.lit("experience.0").alias("source"), told.alias("text"), F.lit("professional").alias("context")))
-    sides = t.part.select("p_partkey", tasks.task_units(text).alias("units"), tasks.profile_facts(fact).alias("facts"))
-    m = sides.withColumn("m", tasks.alignment(c("units"), c("facts")))
+    fact = F.array(F.struct(F.lit("experience.0").alias("source"), c("told").alias("text"), F.lit("professional").alias("context")))
+    m = relational.once_per_value(t.part.select("p_partkey", text.alias("text"), told.alias("told")), ["text", "told"], m=tasks.alignment(tasks.task_units(c("text")), tasks.profile_facts(fact)))
     return m.select("p_partkey", F.array_join(F.transform("m.requirements", lambda r: r["evidence"]["status"]), " ").alias("status"), "m.score")
 
 
