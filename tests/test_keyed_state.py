@@ -132,3 +132,39 @@ def test_newest_revisions_are_handed_on_once(spark, tmp_path):
     keyed.emit(keyed.newest_stream(drip(spark, str(tmp_path), frames), "id", "rev"), str(tmp_path / "out"), str(tmp_path / "cp"))
     rows = keyed.emitted(spark, str(tmp_path / "out"), "id string, rev bigint, body string").collect()
     assert sorted((r.batch, r.id, r.rev, r.body) for r in rows) == [(0, "a", 3, "y"), (0, "b", 1, "z"), (2, "a", 4, "new")]
+
+
+def test_debounce_reads_and_writes_a_keys_requests_once_a_call():
+    import pandas as pd
+
+    calls = []
+
+    class Pending:
+        rows: list = []
+
+        def exists(self):
+            return bool(self.rows)
+
+        def get(self):
+            calls.append("get")
+            return iter(self.rows)
+
+        def put(self, rows):
+            calls.append("put")
+            self.rows = rows
+
+    class Handle:
+        def getListState(self, name, schema):  # noqa: N802
+            return Pending()
+
+        def registerTimer(self, at):  # noqa: N802
+            calls.append(at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            calls.append(-at)
+
+    step = keyed._Debounce("k", 2_000, False)
+    step.init(Handle())
+    list(step.handleInputRows(("a",), iter([pd.DataFrame({"at_us": [i * 1_000_000 for i in range(5, 500)]})] * 2), None))
+    list(step.handleInputRows(("a",), iter([pd.DataFrame({"at_us": [4_000_000]})]), None))
+    assert calls == ["put", 7_001, "get", "put", -7_001, 6_001] and step.pending.rows[:2] == [(4_000_000, 1), (5_000_000, 2)]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,52 +21,67 @@ PARTS = 64
 
 
 class _Debounce(StatefulProcessor):
-    """Pending requests by time; a timer fires once the watermark says that no request can join the first ones any more."""
+    """Pending requests by time; a timer fires once the watermark says that no request can join the first ones any more.
+
+    The pending requests of a key are read and written whole, once a call: single entries would cost a message each.
+    """
 
     def __init__(self, key_field: str, wait_ms: int, restart: bool):
         self.key_field, self.wait_ms, self.restart = key_field, wait_ms, restart
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "at long", "n long")
-
-    def _groups(self) -> list[tuple[int, int, int]]:
-        """(first, last, requests) of each refresh that the pending requests make up."""
-        out: list[tuple[int, int, int]] = []
-        for at, n in sorted((k[0], v[0]) for k, v in self.pending.iterator()):
-            if out and at < (out[-1][1] if self.restart else out[-1][0]) + self.wait_ms * 1000:
-                out[-1] = (out[-1][0], at, out[-1][2] + n)
-            else:
-                out.append((at, at, n))
-        return out
-
-    def _timer(self) -> None:
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        groups = self._groups()
-        if groups:
-            first, last, _ = groups[0]
-            self.handle.registerTimer((last if self.restart else first) // 1000 + self.wait_ms + 1)
+        self.pending = handle.getListState("pending", "at long, n long")
+
+    def _read(self) -> np.ndarray:
+        """The pending (time, requests) as rows; times differ and ascend."""
+        rows = list(self.pending.get()) if self.pending.exists() else []
+        return np.array([(r[0], r[1]) for r in rows], dtype=np.int64).reshape(-1, 2)
+
+    def _write(self, rows: np.ndarray, old: int | None) -> None:
+        """Store ``rows``; ``old`` is the time of the timer that is set, if any."""
+        if len(rows):
+            self.pending.put([(int(a), int(n)) for a, n in rows])
+        else:
+            self.pending.clear()
+        new = self._due(rows) if len(rows) else None
+        if old is not None and old != new:
+            self.handle.deleteTimer(old)
+        if new is not None and old != new:
+            self.handle.registerTimer(new)
+
+    def _end(self, at: np.ndarray) -> int:
+        """How many of the pending times the first refresh takes."""
+        wait = self.wait_ms * 1000
+        if not self.restart:
+            return int(np.searchsorted(at, at[0] + wait))
+        gaps = np.flatnonzero(np.diff(at) >= wait)
+        return int(gaps[0]) + 1 if len(gaps) else len(at)
+
+    def _due(self, rows: np.ndarray) -> int:
+        at = rows[:, 0]
+        return int(at[self._end(at) - 1] if self.restart else at[0]) // 1000 + self.wait_ms + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            for at, n in frame.groupby("at_us").size().items():
-                k = (int(at),)
-                self.pending.updateValue(k, (int(n) + (self.pending.getValue(k)[0] if self.pending.containsKey(k) else 0),))
-        self._timer()
+        old = self._read()
+        new = np.concatenate([f["at_us"].to_numpy(dtype=np.int64) for f in rows])
+        at, place = np.unique(np.concatenate([old[:, 0], new]), return_inverse=True)
+        n = np.zeros(len(at), dtype=np.int64)
+        np.add.at(n, place, np.concatenate([old[:, 1], np.ones(len(new), dtype=np.int64)]))
+        self._write(np.stack([at, n], axis=1), self._due(old) if len(old) else None)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        done = []
-        for first, last, n in self._groups():
-            due = (last if self.restart else first) + self.wait_ms * 1000
+        rows, start, done = self._read(), 0, []
+        while start < len(rows):
+            end = start + self._end(rows[start:, 0])
+            due = int(rows[end - 1 if self.restart else start, 0]) + self.wait_ms * 1000
             if due // 1000 >= now:
                 break
-            done.append((key[0], first, due, n))
-            for k in [k for k, _ in self.pending.iterator() if first <= k[0] <= last]:
-                self.pending.removeKey(k)
-        self._timer()
+            done.append((key[0], int(rows[start, 0]), due, int(rows[start:end, 1].sum())))
+            start = end
+        self._write(rows[start:], None)  # the timer that fired is gone
         if done:
             yield pd.DataFrame(done, columns=[self.key_field, "first_us", "due_us", "requests"])
 
