@@ -180,3 +180,17 @@ def test_vector_topk_in_blocks_of_queries(spark, monkeypatch):
     whole = ask()
     monkeypatch.setattr(search, "MAX_QUERIES", 3)
     assert len(whole) == 20 * 4 and ask() == whole
+
+
+def test_vector_topk_holds_few_distances_at_once(spark, monkeypatch):
+    """Any number of queries a step gives the same rows, ties by id among them."""
+    from vacantia.operators import search
+
+    rng = random.Random(5)
+    rows = [(i, [float(rng.randrange(3)) + 0.5 for _ in range(3)]) for i in range(60)]
+    items = spark.createDataFrame(rows, "item long, v array<double>").repartition(2)
+    queries = items.filter("item % 4 = 0").withColumnRenamed("item", "query")
+    ask = lambda: sorted(map(tuple, search.vector_topk(items, queries, item="item", query="query", vector="v", k=4).collect()))
+    want = ask()
+    monkeypatch.setattr(search, "CELLS", 100)
+    assert ask() == want and len(want) == 60

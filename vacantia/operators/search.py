@@ -81,13 +81,21 @@ def vector_topk(items: DataFrame, queries: DataFrame, *, item: str, query: str,
                 continue
             x = np.asarray(flat.flatten()).reshape(len(own), -1).astype(np.float64)
             n = np.linalg.norm(x, axis=1, keepdims=True)
-            d = 1 - q @ (x / np.maximum(n, 1e-300)).T
-            ids, best = np.concatenate([ids, np.tile(own, (len(names), 1))], axis=1), np.concatenate([best, d], axis=1)
-            order = np.lexsort((ids, best), axis=1)[:, :k]
-            ids, best = np.take_along_axis(ids, order, 1), np.take_along_axis(best, order, 1)
-        for row, name in enumerate(names):
-            if ids.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array([name] * ids.shape[1], pa.int64()), pa.array(ids[row]), pa.array(best[row])], names=["q", "item", "distance"])
+            x = (x / np.maximum(n, 1e-300)).T
+            width = min(k, ids.shape[1] + len(own))
+            new_ids, new_best = np.empty((len(names), width), dtype=np.int64), np.empty((len(names), width))
+            step = max(1, CELLS // (ids.shape[1] + len(own)))
+            for at in range(0, len(names), step):  # queries whose distances are held at once
+                some = slice(at, at + step)
+                d = np.concatenate([best[some], 1 - q[some] @ x], axis=1)
+                i = np.concatenate([ids[some], np.broadcast_to(own, (len(d), len(own)))], axis=1)
+                order = np.lexsort((i, d), axis=1)[:, :k]
+                new_ids[some], new_best[some] = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
+            ids, best = new_ids, new_best
+        width = ids.shape[1]
+        for at in range(0, len(names) if width else 0, 1_000):
+            some = slice(at, at + 1_000)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(names[some], dtype=np.int64), width)), pa.array(ids[some].ravel()), pa.array(best[some].ravel())], names=["q", "item", "distance"])
 
     from vacantia.operators.relational import newest
 
@@ -102,6 +110,8 @@ def vector_topk(items: DataFrame, queries: DataFrame, *, item: str, query: str,
 
 #: Query vectors broadcast at once on average (1.5 MB at 384 dimensions per 1,000).
 MAX_QUERIES = 10_000
+#: Distances that a task holds at once, some 40 bytes each with their ids and order.
+CELLS = 1_000_000
 
 
 def snapshot_key(generation: Column, **criteria: Column) -> Column:
