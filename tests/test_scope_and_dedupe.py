@@ -194,3 +194,14 @@ def test_vector_topk_holds_few_distances_at_once(spark, monkeypatch):
     want = ask()
     monkeypatch.setattr(search, "CELLS", 100)
     assert ask() == want and len(want) == 60
+
+
+def test_or_join_gives_each_pair_once_without_shuffling_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    side = lambda n: [(rng.randrange(n) if rng.random() < 0.95 else None, rng.choice([1, 2, 3, None]), rng.choice(["x", "y", None])) for _ in range(2 * n)]
+    left, right = side(40), side(30)
+    want = {(a, b) for a, k, m in left for b, j, n in right if ((k is not None and k == j) or (m is not None and m == n))}
+    monkeypatch.setattr(relational, "BLOCK", 5)
+    out = relational.or_join(spark.createDataFrame(left, "a long, k int, m string"), spark.createDataFrame(right, "b long, j int, n string"), [("k", "j"), ("m", "n")], left_id="a", right_id="b")
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want

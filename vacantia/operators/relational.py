@@ -67,13 +67,34 @@ def priority_pick(df: DataFrame, group: Sequence[str], key: str, levels: Sequenc
     return df.groupBy(*group).agg(F.coalesce(*picks, F.min(key)).alias(key))
 
 
+#: Rows a side of a block of ``or_join``: a block gives 4 million pairs at most on average.
+BLOCK = 2_000
+
+
 def or_join(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], *, left_id: str, right_id: str) -> DataFrame:
-    """(left_id, right_id) of rows that agree on any pair of columns: a union of equi-joins, not a nested loop."""
-    parts = [left.select(left_id, F.col(a).alias("__k")).join(right.select(right_id, F.col(b).alias("__k")), "__k").select(left_id, right_id) for a, b in pairs]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.distinct()
+    """(left_id, right_id) of rows that agree on any pair of columns: a union of equi-joins, not a nested loop.
+
+    Each id (null is one) stands once a side, with the sets of its keys, and a pair is taken by the first columns and the smallest key that it shares, so pairs are
+    distinct without a shuffle.  A key of many rows is cut into blocks on both sides, which meet one by one.
+    """
+    a, b = [f"__a{i}" for i in range(len(pairs))], [f"__b{i}" for i in range(len(pairs))]
+    l = left.groupBy(left_id).agg(*[F.collect_set(x).alias(n) for n, (x, _) in zip(a, pairs, strict=True)])  # noqa: E741
+    r = right.groupBy(right_id).agg(*[F.collect_set(y).alias(n) for n, (_, y) in zip(b, pairs, strict=True)])
+    parts = []
+    for i in range(len(pairs)):
+        mine, theirs = l.withColumn("__k", F.explode(a[i])), r.withColumn("__k", F.explode(b[i]))
+        count = lambda rows, name: rows.groupBy("__k").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+        cuts = count(mine, "__nl").join(count(theirs, "__nr"), "__k")
+        block = lambda x, n: F.pmod(F.xxhash64(x), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+        mine = mine.join(cuts, "__k").withColumn("__x", block(left_id, "__nl")).withColumn("__y", every("__nr")).drop("__nl", "__nr")
+        theirs = theirs.join(cuts, "__k").withColumn("__y", block(right_id, "__nr")).withColumn("__x", every("__nl")).drop("__nl", "__nr")
+        met = mine.join(theirs.hint("shuffle_hash"), ["__k", "__x", "__y"])
+        met = met.filter((F.size(a[i]) == 1) | (F.size(b[i]) == 1) | (F.col("__k") == F.array_min(F.array_intersect(a[i], b[i]))))
+        for j in range(i):
+            met = met.filter(~F.arrays_overlap(a[j], b[j]))
+        parts.append(met.select(left_id, right_id))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unique_match(left: DataFrame, right: DataFrame, on: Sequence[str], value: str) -> DataFrame:
