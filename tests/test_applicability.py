@@ -84,3 +84,11 @@ def test_gates_decide_in_the_composite_match(spark):
     assert [got[k]["tier"] for k in range(3)] == ["unlikely"] * 3 and got[3]["tier"] == got[4]["tier"] == plain[4]["tier"]
     assert (got[0]["conflicts"], got[2]["unknowns"], got[2]["location_gate"]) == (["Condition not met: 4 years"], ["Verify condition: reside in Bonn"], "unknown")
     assert profiles.match(jobs.select("job_id", "title", "enriched"), people, asked.limit(0)).count() == 5
+
+
+def test_equal_texts_are_read_once(spark):
+    jobs = spark.createDataFrame([(i, f"A driving licence is needed.{' ' * (i % 2)}") for i in range(40)], "job_id long, description string")
+    rows = A.job_conditions(jobs)
+    assert sorted(r.job_id for r in rows.collect()) == list(range(40))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("__rows") > 0 and "__value" in plan

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import requirements as R
+from vacantia.operators.relational import once_per_value
 
 # Wording of conditions, number words, and words that are no scope of a tenure.
 LICENCES = r"approbation|berufszulassung|staplerschein|fahrerlaubnis|führerschein|(?:driving|driver's|forklift|professional|medical|pharmacist|nursing) licen[cs]e"
@@ -39,7 +40,8 @@ def job_conditions(jobs: DataFrame, *, text: str = "description") -> DataFrame:
     Sentences under headings of benefits or options, and members that are optional or waived, require nothing.  Members that *or* joins share a ``group``.
     A tenure's ``scope`` is what its years are asked in, null if in nothing particular.
     """
-    rows = jobs.select("job_id", F.posexplode(R.placed(F.col(text))).alias("place", "r")).filter(~F.col("r.scope").isin("benefits", "optional"))
+    read = once_per_value(jobs.select("job_id", text), [text], __rows=R.placed(F.col(text)))
+    rows = read.select("job_id", F.posexplode("__rows").alias("place", "r")).filter(~F.col("r.scope").isin("benefits", "optional"))
     parts = rows.select("job_id", "place", "r.sentence", F.posexplode("r.parts").alias("member", "m"))
     piece = F.substring(F.col("sentence"), F.col("m.s") + 1, F.col("m.e") - F.col("m.s"))
     parts = parts.withColumn("piece", piece).withColumn("either", F.col("piece").rlike(r"(?i)^(?:or|oder)\b"))
