@@ -36,6 +36,14 @@ def test_scope_order_and_reasons(spark):
     assert classify(spark, jobs, selection="area")[3][1] == "remote_not_selected"
 
 
+def test_location_texts_are_read_once(spark):
+    jobs = spark.createDataFrame([], JOB)
+    folds = lambda df: df._jdf.queryExecution().analyzed().toString().count("translate(")
+    for area in ({"place": "Bonn", "country": "DE"}, {"country": "DE"}, {"state": "Bayern"}):
+        assert folds(jobs.select(scope.text_scope(F.col("locations"), **area).alias("within"))) == 2
+    assert folds(scope.classify(jobs, now=now(), place="Bonn", country="DE", selection="area")) == 2
+
+
 def test_places_countries_states(spark):
     df = spark.createDataFrame([("Frankfurt (Oder)",), ("Frankfurt am Main",), ("MUENCHEN, Bayern",), ("Halle Westf.",), ("Sachsen-Anhalt",), ("Paris, fr",), ("Wien, Österreich",), ("Fully remote",), (None,)], "t string")
     rows = df.select("t", scope.names_place(F.col("t"), "Frankfurt").alias("f"), scope.names_place(F.col("t"), "München").alias("m"), scope.names_place(F.col("t"), "Halle").alias("h"), scope.states_in(F.col("t")).alias("s"), scope.countries_in(F.col("t")).alias("c"), scope.is_unspecified(F.col("t")).alias("u")).collect()

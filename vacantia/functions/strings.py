@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ STOPWORDS = ("the", "and", "of", "to", "in", "a", "for", "with", "der", "die", "
 CHALLENGE = r"(?i)just a moment|attention required|verify(?:ing)? (?:that )?you are (?:a )?human|captcha|access denied|ddos protection"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is evaluated once: what a lambda takes from outside, or names twice, is evaluated again each time."""
+    return F.try_element_at(F.transform(F.array(value), then), F.lit(1))
+
+
 def fold(text: Column) -> Column:
     """Lower-case, ß as ss, marks dropped."""
     return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), _MARKED, _PLAIN)
@@ -50,7 +57,7 @@ def contains_phrase(text_words: Column, phrase_words: Column, exceptions: tuple[
 def only_generic(text_words: Column, generic: list[str]) -> Column:
     """Whether all tokens are generic (and there is one)."""
     tokens = F.filter(F.split(text_words, " "), lambda t: t != "")
-    return (F.size(tokens) > 0) & (F.size(F.array_except(tokens, F.array(*map(F.lit, generic)))) == 0)
+    return once(tokens, lambda all_: (F.size(all_) > 0) & F.forall(all_, lambda t: t.isin(generic)))
 
 
 def title_identity(title: Column) -> Column:

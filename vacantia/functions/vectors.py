@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vacantia.functions.strings import once
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -16,15 +16,10 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def _once(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is evaluated once: what a lambda takes from outside is evaluated again for each element."""
-    return F.try_element_at(F.transform(F.array(value), then), F.lit(1))
-
-
 def normalize(a: Column) -> Column:
     """Unit vector; null for a zero or non-finite one."""
     unit = lambda v, n: F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform(v, lambda x: x.cast("double") / n))
-    return _once(a, lambda v: _once(norm(v), lambda n: unit(v, n)))
+    return once(a, lambda v: once(norm(v), lambda n: unit(v, n)))
 
 
 def masked_mean_pool(states: Column, mask: Column) -> Column:
@@ -32,7 +27,7 @@ def masked_mean_pool(states: Column, mask: Column) -> Column:
     kept = F.filter(F.zip_with(states, mask, lambda v, m: F.struct(v.alias("v"), m.alias("m"))), lambda x: F.coalesce(x["m"] > 0, F.lit(False)) & x["v"].isNotNull())
     add = lambda a, x: F.zip_with(a, x["v"], lambda p, q: p + q.cast("double"))
     mean = lambda k, n: F.transform(F.aggregate(k, F.transform(F.try_element_at(k, F.lit(1))["v"], lambda x: F.lit(0.0)), add), lambda x: x / n)
-    return normalize(_once(kept, lambda k: _once(F.size(k), lambda n: mean(k, n))))
+    return normalize(once(kept, lambda k: once(F.size(k), lambda n: mean(k, n))))
 
 
 def cosine(a: Column, b: Column) -> Column:
