@@ -132,3 +132,30 @@ def test_section_functions(spark):
     df = spark.createDataFrame([(TEXT,), (None,)], "t string")
     rows = df.select(F.size(R.sections(F.col("t"))).alias("n")).collect()
     assert [r.n for r in rows] == [len(read(spark, TEXT).rows), 0]
+
+
+def test_best_section_pairs_meet_in_blocks(spark, monkeypatch):
+    """Against each pair in turn: several sections a side, copies, vectors of nothing; blocks and products of a few cells."""
+    import math
+    import random
+
+    from vacantia.operators import matching
+
+    monkeypatch.setattr(matching, "MAX_SECTIONS", 7)
+    monkeypatch.setattr(matching, "CELLS", 20)
+    dice = random.Random(5)
+    vector = lambda: [round(dice.uniform(-1, 1), 1) for _ in range(3)]
+    jobs = [(dice.choice([1, 2, 3, None]), f"j{k}", vector()) for k in range(25)] + [(4, "zero", [0.0, 0.0, 0.0]), (4, None, None), (5, "a", [1.0, 0.0, 0.0]), (5, "b", [1.0, 0.0, 0.0])]
+    people = [(f"p{k % 6}", f"t{k}", vector()) for k in range(17)] + [("copy", "x", [2.0, 0.0, 0.0]), ("copy", None, [2.0, 0.0, 0.0])]
+    got = matching.best_section_pairs(spark.createDataFrame(jobs, "job int, text string, vector array<double>"), spark.createDataFrame(people, "profile string, text string, vector array<double>"))
+    got = {(r.job, r.profile): (r.similarity, r.job_text, r.profile_text) for r in got.collect()}
+    unit = lambda v: [x / n for x in v] if v and (n := math.sqrt(sum(x * x for x in v))) else None
+    want = {}
+    for job, a, v in jobs:
+        for profile, b, w in people:
+            s = sum(x * y for x, y in zip(unit(v), unit(w), strict=True)) if unit(v) and unit(w) else float("-inf")
+            want[job, profile] = max(want.get((job, profile), (float("-inf"), "", "")), (s, a or "", b or ""))
+    assert got.keys() == want.keys()
+    assert got[4, "copy"] == (None, "zero", "x") and got[5, "copy"] == (1.0, "b", "x")
+    for k, (s, a, b) in want.items():
+        assert got[k][1:] == (a, b) and (got[k][0] is None if s == float("-inf") else abs(got[k][0] - s) < 1e-4)

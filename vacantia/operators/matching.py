@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from vacantia.functions import vectors
-from vacantia.operators.relational import against_all
+from vacantia.operators.relational import spread
 
 #: Penalty of each kind of gap; formal prerequisites are gates and cost nothing here (fixed values).
 PENALTIES = {"domain": 25, "professional_experience": 20, "skill": 15, "title_domain": 25}
@@ -95,14 +98,69 @@ def scope_overlay(matches: DataFrame) -> DataFrame:
     return matches.withColumn("tier", F.when(F.col("in_scope"), F.col("tier")).otherwise("unlikely")).withColumn("eligible", F.col("eligible") & F.col("in_scope"))
 
 
+#: Profile sections broadcast at once on average; pairs of sections that a task holds at once; similarities so near the best are worked out again in order.
+MAX_SECTIONS, CELLS, NEAR = 10_000, 2_000_000, 1e-9
+
+
 def best_section_pairs(jobs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(job, profile, similarity, job_text, profile_text): the most similar pair of sections.
+    """(job, profile, similarity, job_text, profile_text): the most similar pair of sections, of equal ones that of the largest texts; null without comparable vectors.
 
-    jobs: job, text, vector.  profiles: profile, text, vector.  Profiles are a query set; every posting meets each of them,
-    and only the best pair of a posting and profile leaves its partition's partial aggregate.
+    jobs: job, text, vector.  profiles: profile, text, vector.  Profiles are a query set, broadcast in blocks; every posting meets each of them in products of
+    matrices, and only the best pair of a posting and profile leaves a batch of postings.
     """
-    asked = profiles.select("profile", F.col("text").alias("profile_text"), vectors.normalize(F.col("vector")).alias("pv"))
-    pairs = against_all(jobs.select("job", F.col("text").alias("job_text"), vectors.normalize(F.col("vector")).alias("jv")), asked)
-    scored = pairs.withColumn("s", vectors.dot(F.col("jv"), F.col("pv")))
-    best = scored.groupBy("job", "profile").agg(F.max(F.struct("s", "job_text", "profile_text")).alias("b"))
-    return best.select("job", "profile", F.round(vectors.clamp(F.col("b.s"), -1.0, 1.0), 4).alias("similarity"), "b.job_text", "b.profile_text")
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    unit = lambda rows, name: rows.select(F.col(name).alias("key"), F.col("text").cast("string").alias("text"), vectors.normalize(F.col("vector")).alias("v"))
+    asked = unit(profiles, "profile")
+    blocks = max(1, -(-asked.count() // MAX_SECTIONS))
+
+    def side(rows, none: int) -> tuple:
+        """Sections in the order of their keys: rows, codes, places of texts in order, lengths of vectors (``none``: no vector), vectors with zeros behind."""
+        codes = np.asarray(rows.column(0).dictionary_encode(null_encoding="encode").indices)
+        rows, codes = rows.take(pa.array(order := np.argsort(codes, kind="stable"))), codes[order]
+        size = np.asarray(pc.fill_null(pc.list_value_length(rows.column(2)), none)).astype(np.int64)
+        held = np.arange(max(size.max(initial=0), 1)) < np.maximum(size, 0)[:, None]
+        x = np.zeros(held.shape)
+        x[held] = np.asarray(rows.column(2).flatten())
+        return rows, codes, np.asarray(pc.rank(rows.column(1), null_placement="at_start", tiebreaker="dense")).astype(np.int64), size, x
+
+    def best(batches, table):
+        theirs, p_codes, p_place, p_size, p = side(table, -1)
+        for batch in batches:
+            if not len(batch) or not len(theirs):
+                continue
+            own, j_codes, j_place, j_size, j = side(batch, -2)
+            d = min(j.shape[1], p.shape[1])
+            first = np.flatnonzero(np.diff(j_codes, prepend=-1))
+            group = np.cumsum(np.diff(j_codes, prepend=-1) != 0) - 1
+            step = max(1, CELLS // len(own))
+            for at in range(0, len(theirs), step):  # profile sections that the batch meets at once
+                some = slice(at, at + step)
+                s = j[:, :d] @ p[some, :d].T
+                s[j_size[:, None] != p_size[some]] = -np.inf
+                new = np.diff(p_codes[some], prepend=-1) != 0
+                top = np.maximum.reduceat(np.maximum.reduceat(s, first, axis=0), np.flatnonzero(new), axis=1)
+                column = np.cumsum(new) - 1
+                a, b = np.nonzero(s >= (top - NEAR)[group][:, column])
+                exact, b = s[a, b], b + at
+                for k in range(0, len(a), max(1, CELLS // d)):  # sums in the order of the entries, whatever the matrix product did
+                    part = slice(k, k + max(1, CELLS // d))
+                    exact[part] = np.where(np.isinf(exact[part]), -np.inf, np.cumsum(j[a[part], :d] * p[b[part], :d], axis=1)[:, -1] + 0.0)
+                order = np.lexsort((p_place[b], j_place[a], exact, p_codes[b], group[a]))
+                a, b, exact = a[order], b[order], exact[order]
+                last = np.flatnonzero((np.diff(group[a], append=-1) != 0) | (np.diff(p_codes[b], append=-1) != 0))
+                i, k = pa.array(a[last]), pa.array(b[last])
+                yield pa.RecordBatch.from_arrays([own.column(0).take(i), theirs.column(0).take(k), pa.array(exact[last], mask=np.isinf(exact[last])), own.column(1).take(i), theirs.column(1).take(k)], names=["job", "profile", "s", "job_text", "profile_text"])
+
+    def block(number: int):
+        table = asked.filter(F.pmod(F.xxhash64("key", "text", "v"), F.lit(blocks)) == number).toArrow().combine_chunks()
+        held = jobs.sparkSession.sparkContext.broadcast(table)
+        return lambda batches: best(batches, pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in held.value.columns], names=held.value.column_names))
+
+    fields = StructType([StructField("job", jobs.schema["job"].dataType), StructField("profile", profiles.schema["profile"].dataType), StructField("s", DoubleType()), StructField("job_text", StringType()), StructField("profile_text", StringType())])
+    rows = spread(unit(jobs, "job"))
+    scored = reduce(DataFrame.unionByName, [rows.mapInArrow(block(n), fields) for n in range(blocks)])
+    top = scored.groupBy("job", "profile").agg(F.max(F.struct("s", "job_text", "profile_text")).alias("b"))
+    return top.select("job", "profile", F.when(F.col("b.s").isNotNull(), F.round(vectors.clamp(F.col("b.s"), -1.0, 1.0), 4)).alias("similarity"), "b.job_text", "b.profile_text")
