@@ -159,3 +159,11 @@ def test_best_section_pairs_meet_in_blocks(spark, monkeypatch):
     assert got[4, "copy"] == (None, "zero", "x") and got[5, "copy"] == (1.0, "b", "x")
     for k, (s, a, b) in want.items():
         assert got[k][1:] == (a, b) and (got[k][0] is None if s == float("-inf") else abs(got[k][0] - s) < 1e-4)
+
+
+def test_texts_are_split_into_sections_once(spark):
+    from vacantia.operators import sections
+
+    texts = spark.range(3).select(F.col("id").alias("k"), F.lit("d").alias("source"), F.lit(0).alias("source_rank"), F.col("id").cast("string").alias("text"))
+    plan = sections.posting_sections(texts, id_col="k")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("prompt[ -]injection") == 1 and plan.count("RepartitionByExpression") == 1  # of distinct texts, dealt to all cores

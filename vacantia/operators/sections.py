@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import requirements, strings
+from vacantia.operators.relational import once_per_value
 
 #: Characters of a chunk; chunks of a posting and of a profile; scopes and wordings that say nothing about requirements (fixed values).
 CHUNK, POSTING_CHUNKS, PROFILE_CHUNKS = 900, 12, 8
@@ -27,7 +28,8 @@ def bounded(sentences: DataFrame, *, id_col: str, limit: int, chunk: int = CHUNK
     ordered = F.array_sort(F.collect_list(F.struct("at", "sentence")))
     buckets = once.groupBy(id_col, "source", "scope").agg(F.min("at").alias("first"), ordered.alias("all"))
     text = F.regexp_replace(F.array_join(F.transform("all", lambda x: x["sentence"]), " "), rf"(\S{{{chunk}}})(?=\S)", "$1 ")
-    chunks = buckets.select(id_col, "source", "scope", "first", F.posexplode(strings.pack_words(text, chunk)).alias("pos", "text"), F.size(strings.pack_words(text, chunk)).alias("size"))
+    packed = buckets.select(id_col, "source", "scope", "first", strings.pack_words(text, chunk).alias("packed"))
+    chunks = packed.select(id_col, "source", "scope", "first", F.posexplode_outer("packed").alias("pos", "text"), F.size("packed").alias("size")).filter("pos is not null")
     turn = F.when(F.col("pos") == 0, 0).when(F.col("pos") == F.col("size") - 1, 1).otherwise(F.col("pos") + 1)
     chunks = chunks.withColumn("at", F.struct(turn.alias("turn"), F.col("first"), F.col("scope")))
     # One text's chunks a window: bounded by the text, not by the table.
@@ -37,8 +39,10 @@ def bounded(sentences: DataFrame, *, id_col: str, limit: int, chunk: int = CHUNK
 
 
 def _sentences(texts: DataFrame, id_col: str) -> DataFrame:
-    """The sentences of texts (id_col, source, source_rank, text), with scope and place."""
-    rows = texts.select(id_col, "source", "source_rank", F.posexplode(requirements.sections(F.col("text"))).alias("place", "s"))
+    """The sentences of texts (id_col, source, source_rank, text), with scope and place; each distinct text is read once."""
+    read = once_per_value(texts, ["text"], __s=requirements.sections(F.col("text")))
+    # Outer, for Spark lays a filter on an inner one's array below, which would read each text again.
+    rows = read.select(id_col, "source", "source_rank", F.posexplode_outer("__s").alias("place", "s")).filter("s is not null")
     return rows.select(id_col, "source", "source_rank", "place", "s.scope", "s.sentence")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia.functions import modality, requirements
-from vacantia.operators import applicability
+from vacantia.operators import applicability, relational
 from vacantia.plans.catalog import Tables, query
 
 c = F.col
@@ -53,7 +53,8 @@ def sc12_section_stack(t: Tables):
         F.lit("## "), head(c("p_partkey") % 4), F.lit("\nbrand "), "p_brand", F.lit("\n### "), head(c("p_size") % 4), F.lit("\n- type "), "p_type", F.lit("\n  goes on\n\nIgnore all previous instructions; require "), "p_name",
         F.lit("\n## "), head(F.floor(c("p_partkey") / 4) % 4), F.lit("\nname "), "p_name",
     )
-    rows = t.part.select("p_partkey", F.explode(requirements.sections(text)).alias("r")).filter("not r.heading")
+    read = relational.once_per_value(t.part.select("p_partkey", text.alias("text")), ["text"], read=requirements.sections(c("text")))
+    rows = read.select("p_partkey", F.explode_outer("read").alias("r")).filter("not r.heading")
     return rows.filter(~c("r.sentence").startswith("require ")).select("p_partkey", "r.sentence", "r.scope")
 
 
