@@ -86,3 +86,9 @@ def test_files(spark, tmp_path):
     got = spark.read.csv(str(tmp_path / "c.csv"), sep=";", header=True).join(spark.read.json(str(tmp_path / "k.json"), multiLine=True), "source_id", "left")
     got.write.mode("overwrite").json(str(tmp_path / "out"))
     assert sorted((r.source_id, r.career_url) for r in spark.read.json(str(tmp_path / "out")).collect()) == [("1", "https://a.de/jobs"), ("2", None)]
+
+
+def test_employment_service_row_is_parsed_once(spark):
+    rows = spark.range(1).select(F.col("id").cast("string").alias("body"))
+    plan = rows.select(feeds.employment_service(F.col("body")).alias("p")).select("p.external_id", "p.title", "p.locations")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1

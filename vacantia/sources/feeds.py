@@ -256,28 +256,32 @@ def pages_complete(pages: DataFrame, *, feed: str, page: str, ids: str, total: s
 def employment_service(rows: Column) -> Column:
     """A public employment service's JSON row to struct(external_id, title, company_name, company_source_id, url, locations, …); null if invalid."""
     loc = "adresse:struct<ort:string,plz:string,land:string>,ort:string,plz:string,land:string,breite:string,laenge:string,koordinaten:struct<lat:string,lon:string>"
-    d = F.from_json(rows, f"referenznummer string, refnr string, stellenangebotsTitel string, titel string, firma string, arbeitgeber string, arbeitgeberKundennummerHash string, stellenlokationen array<struct<{loc}>>, arbeitsorte array<struct<{loc}>>, arbeitsort struct<{loc}>, homeofficemoeglich boolean, homeofficetyp string, homeofficeprozent double, festgehalt string, gehaltsspanneVon string, gehaltsspanneBis string, arbeitszeitVollzeit boolean, veroeffentlichungszeitraum struct<von:string,bis:string>, stellenangebotsBeschreibung string")
+    fields = f"referenznummer string, refnr string, stellenangebotsTitel string, titel string, firma string, arbeitgeber string, arbeitgeberKundennummerHash string, stellenlokationen array<struct<{loc}>>, arbeitsorte array<struct<{loc}>>, arbeitsort struct<{loc}>, homeofficemoeglich boolean, homeofficetyp string, homeofficeprozent double, festgehalt string, gehaltsspanneVon string, gehaltsspanneBis string, arbeitszeitVollzeit boolean, veroeffentlichungszeitraum struct<von:string,bis:string>, stellenangebotsBeschreibung string"
     from vacantia.functions import geo
+    from vacantia.functions.strings import once
+
+    def read(d: Column) -> Column:
+        pick = lambda *c: F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in c])
+        ref, title, firm = pick(d["referenznummer"], d["refnr"]), pick(d["stellenangebotsTitel"], d["titel"]), pick(d["firma"], d["arbeitgeber"])
+        company = F.coalesce(F.concat(F.lit("hash:"), pick(d["arbeitgeberKundennummerHash"])), F.concat(F.lit("name:"), F.sha2(F.regexp_replace(F.lower(firm), r"\s+", " "), 256)))
+        places = F.coalesce(F.when(F.size(d["stellenlokationen"]) > 0, d["stellenlokationen"]), F.when(F.size(d["arbeitsorte"]) > 0, d["arbeitsorte"]), F.when(d["arbeitsort"].isNotNull(), F.array(d["arbeitsort"])), F.array().cast(f"array<struct<{loc}>>"))
+
+        def place(x: Column) -> Column:
+            lat, lon = geo.coordinate(F.coalesce(x["breite"], x["koordinaten"]["lat"]), -90.0, 90.0), geo.coordinate(F.coalesce(x["laenge"], x["koordinaten"]["lon"]), -180.0, 180.0)
+            both = lat.isNotNull() & lon.isNotNull()
+            label = F.array_join(F.array_compact(F.array(pick(x["adresse"]["ort"], x["ort"]), pick(x["adresse"]["plz"], x["plz"]))), ", ")
+            return F.struct(F.coalesce(F.nullif(label, F.lit("")), pick(x["adresse"]["land"], x["land"]), F.lit("Location unspecified")).alias("label"), F.when(both, lat).alias("latitude"), F.when(both, lon).alias("longitude"))
+
+        remote = F.coalesce((d["homeofficetyp"] == "ANGABE_IN_PROZENT") & (d["homeofficeprozent"] == 100), F.lit(False))
+        salary = F.nullif(F.array_join(F.array_compact(F.array(d["festgehalt"], d["gehaltsspanneVon"], d["gehaltsspanneBis"])), " – "), F.lit(""))
+        out = F.struct(
+            ref.alias("external_id"), title.alias("title"), firm.alias("company_name"), company.alias("company_source_id"), F.concat(F.lit("https://www.arbeitsagentur.de/jobsuche/jobdetail/"), F.url_encode(ref)).alias("url"),
+            F.transform(places, place).alias("locations"), remote.alias("is_remote"), F.when(remote, "remote").when(d["homeofficemoeglich"], "hybrid").alias("work_arrangement"), F.when(d["arbeitszeitVollzeit"], "full_time").alias("employment_type"),
+            d["veroeffentlichungszeitraum"]["von"].alias("date_posted"), d["veroeffentlichungszeitraum"]["bis"].alias("expires"), salary.alias("salary"), d["stellenangebotsBeschreibung"].alias("description"),
+        )
+        return F.when(ref.isNotNull() & title.isNotNull() & firm.isNotNull(), out)
 
-    pick = lambda *c: F.coalesce(*[F.nullif(F.trim(x), F.lit("")) for x in c])
-    ref, title, firm = pick(d["referenznummer"], d["refnr"]), pick(d["stellenangebotsTitel"], d["titel"]), pick(d["firma"], d["arbeitgeber"])
-    company = F.coalesce(F.concat(F.lit("hash:"), pick(d["arbeitgeberKundennummerHash"])), F.concat(F.lit("name:"), F.sha2(F.regexp_replace(F.lower(firm), r"\s+", " "), 256)))
-    places = F.coalesce(F.when(F.size(d["stellenlokationen"]) > 0, d["stellenlokationen"]), F.when(F.size(d["arbeitsorte"]) > 0, d["arbeitsorte"]), F.when(d["arbeitsort"].isNotNull(), F.array(d["arbeitsort"])), F.array().cast(f"array<struct<{loc}>>"))
-
-    def place(x: Column) -> Column:
-        lat, lon = geo.coordinate(F.coalesce(x["breite"], x["koordinaten"]["lat"]), -90.0, 90.0), geo.coordinate(F.coalesce(x["laenge"], x["koordinaten"]["lon"]), -180.0, 180.0)
-        both = lat.isNotNull() & lon.isNotNull()
-        label = F.array_join(F.array_compact(F.array(pick(x["adresse"]["ort"], x["ort"]), pick(x["adresse"]["plz"], x["plz"]))), ", ")
-        return F.struct(F.coalesce(F.nullif(label, F.lit("")), pick(x["adresse"]["land"], x["land"]), F.lit("Location unspecified")).alias("label"), F.when(both, lat).alias("latitude"), F.when(both, lon).alias("longitude"))
-
-    remote = F.coalesce((d["homeofficetyp"] == "ANGABE_IN_PROZENT") & (d["homeofficeprozent"] == 100), F.lit(False))
-    salary = F.nullif(F.array_join(F.array_compact(F.array(d["festgehalt"], d["gehaltsspanneVon"], d["gehaltsspanneBis"])), " – "), F.lit(""))
-    out = F.struct(
-        ref.alias("external_id"), title.alias("title"), firm.alias("company_name"), company.alias("company_source_id"), F.concat(F.lit("https://www.arbeitsagentur.de/jobsuche/jobdetail/"), F.url_encode(ref)).alias("url"),
-        F.transform(places, place).alias("locations"), remote.alias("is_remote"), F.when(remote, "remote").when(d["homeofficemoeglich"], "hybrid").alias("work_arrangement"), F.when(d["arbeitszeitVollzeit"], "full_time").alias("employment_type"),
-        d["veroeffentlichungszeitraum"]["von"].alias("date_posted"), d["veroeffentlichungszeitraum"]["bis"].alias("expires"), salary.alias("salary"), d["stellenangebotsBeschreibung"].alias("description"),
-    )
-    return F.when(ref.isNotNull() & title.isNotNull() & firm.isNotNull(), out)
+    return once(F.from_json(rows, fields), read)
 
 
 def search_rows(payload: Column) -> Column:
