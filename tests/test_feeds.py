@@ -80,6 +80,20 @@ def test_html(spark):
     assert got[2].kind == "other" and got[2].links == [] and got[3].kind == "challenge"
 
 
+def test_pages_are_not_read_in_large_batches(spark):
+    """Arrow batches hold ten thousand pages with all that is read from them; rows of a hundred do not grow with the table."""
+    df = spark.createDataFrame([(1, "https://a.de/", "<p>a</p>")], "page_id int, url string, html string")
+    for out in (df.select(html.html_text(F.col("html"))), df.select(html.html_links(F.col("html"), F.col("url"))), html.inspect_pages(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+
+
+def test_half_a_surrogate_in_a_page(spark):
+    page = '<script type="application/ld+json">{"@type":"JobPosting","title":"Dev \\ud83d","url":"/j"}</script><p>a</p>'
+    got = html.inspect_pages(spark.createDataFrame([("https://a.de/", page)], "url string, html string")).first()
+    assert got.kind == "postings" and got.postings[0].title.startswith("Dev ")
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text("source_id;name\n1;A\n2;B\n")
     (tmp_path / "k.json").write_text(json.dumps([{"source_id": "1", "career_url": "https://a.de/jobs"}]))
