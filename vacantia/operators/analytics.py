@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import strings
+from vacantia.operators.storage import checkpoint
 
 WEEKLY_GOAL = 10
+#: Terms of queries that are broadcast at once, on average.
+MOST_TERMS = 500_000
+#: Terms that documents and queries share, in one task on average.
+TASK_TERMS = 2_000_000
 
 
 def health_counts(roots: DataFrame, now: Column) -> DataFrame:
@@ -100,36 +106,78 @@ def weighted_component(rows: DataFrame, by: Sequence[str], score: str, weight: s
     return rows.groupBy(*by).agg((F.sum(F.col(score) * F.col(weight)) / F.sum(there)).alias("component"))
 
 
-def ranking_metrics(ranked: DataFrame, labels: DataFrame, *, query: str, doc: str, k: int = 10) -> DataFrame:
-    """(query, precision_k, recall, ndcg_k) of ranked (query, doc, rank) against labels (query, doc, gain)."""
-    j = ranked.join(labels, [query, doc], "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+def ranking_metrics(ranked: DataFrame, labels: DataFrame, *, query: str, doc: str, k: int = 10, found: DataFrame | None = None) -> DataFrame:
+    """(query, precision_k, recall, ndcg_k) of ranked (query, doc, rank) against labels (query, doc, gain), or (doc, gain) for all queries alike.
+
+    ``ranked`` may end at rank k if ``found`` has all (query, doc) that a query found.
+    """
+    own = query in labels.columns
+    on = [query, doc] if own else [doc]
     dcg = lambda place: (F.pow(F.lit(2.0), F.col("gain")) - 1) / F.log2(place + 1)
-    got = j.groupBy(query).agg(F.sum(F.when(F.col("rank") <= k, dcg(F.col("rank")))).alias("dcg"), F.avg(F.when(F.col("rank") <= k, (F.col("gain") > 0).cast("double"))).alias("p"), F.sum((F.col("gain") > 0).cast("int")).alias("hits"))
-    place = F.row_number().over(Window.partitionBy(query).orderBy(F.col("gain").desc(), doc))
-    ideal = labels.withColumn("place", place).groupBy(query).agg(F.sum(F.when(F.col("place") <= k, dcg(F.col("place")))).alias("ideal"), F.sum((F.col("gain") > 0).cast("int")).alias("relevant"))
-    return got.join(ideal, query).select(query, F.round("p", 4).alias("precision_k"), F.round(F.try_divide("hits", "relevant"), 4).alias("recall"), F.round(F.try_divide("dcg", "ideal"), 4).alias("ndcg_k"))
+    j = ranked.filter(F.col("rank") <= k).join(labels, on, "left").withColumn("gain", F.coalesce("gain", F.lit(0)))
+    got = j.groupBy(query).agg(F.sum(dcg(F.col("rank"))).alias("dcg"), F.avg((F.col("gain") > 0).cast("double")).alias("p"))
+    hits = (ranked if found is None else found).join(labels.filter("gain > 0").select(*on), on).groupBy(query).agg(F.count("*").alias("hits"))
+    got = got.join(hits, query, "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    relevant = F.sum((F.col("gain") > 0).cast("int")).alias("relevant")
+    by_gain = Window.partitionBy(query).orderBy(F.col("gain").desc(), doc) if own else Window.orderBy(F.col("gain").desc(), doc)
+    best = (labels if own else labels.orderBy(F.col("gain").desc(), doc).limit(k)).withColumn("place", F.row_number().over(by_gain)).filter(F.col("place") <= k)
+    key = [query] if own else []
+    ideal, total = best.groupBy(*key).agg(F.sum(dcg(F.col("place"))).alias("ideal")), labels.groupBy(*key).agg(relevant, F.count("*").alias("n")).filter("n > 0")
+    j = got.join(ideal, query).join(total, query) if own else got.crossJoin(F.broadcast(ideal)).crossJoin(F.broadcast(total))  # one row each
+    return j.select(query, F.round("p", 4).alias("precision_k"), F.round(F.try_divide("hits", "relevant"), 4).alias("recall"), F.round(F.try_divide("dcg", "ideal"), 4).alias("ndcg_k"))
+
+
+def top_ranks(scored: DataFrame, *, query: str, doc: str, k: int) -> DataFrame:
+    """The first k rows of each query by score (six places), then document, with their rank; each task keeps its own first k before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.round("score", 6).desc(), doc))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def places(rows: DataFrame, wanted: DataFrame, *, query: str, doc: str) -> DataFrame:
+    """(query, doc, rank): the places of the ``wanted`` (query, doc) among a query's ``rows`` in the documents' order, counted without sorting them."""
+    at = wanted.select(query, F.col(doc).alias("__at"))
+    return rows.join(at, query).filter(F.col(doc) <= F.col("__at")).groupBy(query, "__at").agg(F.count("*").alias("rank")).withColumnRenamed("__at", doc)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, *, doc: str, query: str, text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, *, doc: str, query: str, text: str = "text", k1: float = 1.2, b: float = 0.75, most: int = MOST_TERMS) -> DataFrame:
     """(query, doc, score) of all documents that share a term with a query; a query's repeated terms count once.
 
-    Only postings of query terms are joined; corpus statistics are aggregates over all documents.
+    Documents are read once; the counts of query terms are written, corpus statistics with them.  A document's counts then meet the
+    queries in one task, which adds up its scores: only counts are shuffled, not the terms of all pairs.  The terms of queries are
+    broadcast in blocks of ``most`` rows on average, so any number of queries will do.
     """
-    tokens = docs.select(doc, strings.tokenize(F.col(text)).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     terms = queries.select(query, F.explode(F.array_distinct(strings.tokenize(F.col(text)))).alias("term"))
-    postings = tokens.select(doc, F.size("t").alias("dl"), F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    tf = postings.groupBy(doc, "dl", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    blocks = max(1, -(-terms.count() // most))
+    small = F.broadcast if blocks == 1 else lambda df: df
+    every = F.lit("")  # no token is empty: this one stands for the document itself
+    wanted = terms.select("term").union(docs.sparkSession.range(1).select(every.alias("term"))).distinct()
+    tokens = docs.select(doc, strings.tokenize(F.col(text)).alias("t"))
+    # The length is taken before the terms are spread out, or each of a document's rows would carry all its terms.
+    words = tokens.select(doc, F.size("t").alias("dl"), F.concat(F.coalesce("t", F.array().cast("array<string>")), F.array(every)).alias("t"))
+    found = words.select(doc, "dl", F.explode("t").alias("term"))
+    tf = checkpoint(found.join(small(wanted), "term", "left_semi").groupBy(doc, "dl", "term").agg(F.count("*").alias("tf")), "bm25-tf")
+    stats = tf.filter(F.col("term") == every).agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum(F.when(F.col("dl").isNotNull(), F.col("tf")))).alias("avgdl"))
+    postings = tf.filter(F.col("term") != every)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part)  # stats: one row
-    return terms.join(scored, "term").groupBy(query, doc).agg(F.sum("part").alias("score"))
-
-
-def fuse_ranks(first: DataFrame, second: DataFrame, *, query: str, doc: str, weight: float, k: int = 60) -> DataFrame:
-    """Reciprocal ranks 1 / (k + r1) + weight / (k + r2); a document missing in the second list ranks behind all of it."""
-    size = second.groupBy(query).agg((F.max("rank") + 1).alias("last"))
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    weights = checkpoint(df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"), "avgdl"), "bm25-idf")  # stats: one row
+    pairs = weights.join(terms, "term").agg(F.sum("df")).first()[0] or 0
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-pairs // TASK_TERMS))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0))))
+    # The sum by query and document needs no shuffle of its own: rows lie by document already.
+    parts = postings.join(small(weights), "term").select(doc, "term", part.alias("part")).repartition(tasks, doc)
+    block = F.pmod(F.xxhash64(query), F.lit(blocks))
+    scored = [parts.join(F.broadcast(terms.filter(block == n) if blocks > 1 else terms), "term").groupBy(query, doc).agg(F.sum("part").alias("score")) for n in range(blocks)]
+    return reduce(DataFrame.unionByName, scored)
+
+
+def fuse_ranks(first: DataFrame, second: DataFrame, *, query: str, doc: str, weight: float, k: int = 60, size: DataFrame | None = None) -> DataFrame:
+    """Reciprocal ranks 1 / (k + r1) + weight / (k + r2); a document missing in the second list ranks behind all of it.
+
+    The second list may be cut to documents of the first if ``size`` (query, last) has the rank behind its whole.
+    """
+    if size is None:
+        size = second.groupBy(query).agg((F.max("rank") + 1).alias("last"))
     j = first.withColumnRenamed("rank", "r1").join(second.withColumnRenamed("rank", "r2"), [query, doc], "left").join(size, query, "left")
     return j.select(query, doc, (1 / (k + F.col("r1")) + weight / (k + F.coalesce("r2", "last", F.lit(1)))).alias("score"))
 

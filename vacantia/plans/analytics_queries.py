@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vacantia.operators import analytics, matching, relational, upserts
+from vacantia.operators.storage import checkpoint
 from vacantia.plans.catalog import Tables, query
 from vacantia.streaming import queues, windows
 
@@ -91,26 +92,20 @@ def _bm25(t: Tables):
     return analytics.bm25(t.documents, t.benchmark, doc="doc_id", query="item_id")
 
 
-def _ranked(t: Tables):
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("score", 6).desc(), "doc_id"))
-    return _bm25(t).withColumn("rank", rank)
-
-
 @query(f"WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM b) SELECT item_id, doc_id, round(score, 4) AS score, rank FROM r WHERE rank <= 10")
 def bm25_top(t: Tables):
-    return _ranked(t).filter("rank <= 10").select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return analytics.top_ranks(_bm25(t), query="item_id", doc="doc_id", k=10).select("item_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 @query(f"""WITH {_BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM b), v AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM b WHERE doc_id % 3 = 0), z AS (SELECT item_id, max(rank) + 1 AS last FROM v GROUP BY 1)
 SELECT r.item_id, r.doc_id, round(1.0::DOUBLE / (60 + r.rank) + 0.5::DOUBLE / (60 + coalesce(v.rank, z.last, 1)), 6) AS score FROM r LEFT JOIN v USING (item_id, doc_id) LEFT JOIN z USING (item_id) WHERE r.rank <= 20""")
 def rrf_fusion(t: Tables):
-    from pyspark.sql import Window
-
-    ranked = _ranked(t)
-    second = ranked.filter("doc_id % 3 = 0").withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy("doc_id"))).select("item_id", "doc_id", "rank")
-    fused = analytics.fuse_ranks(ranked.filter("rank <= 20").select("item_id", "doc_id", "rank"), second, query="item_id", doc="doc_id", weight=0.5)
+    keys = {"query": "item_id", "doc": "doc_id"}
+    scored = checkpoint(_bm25(t), "bm25")  # read twice
+    first = checkpoint(analytics.top_ranks(scored, **keys, k=20).select("item_id", "doc_id", "rank"), "bm25-top")
+    thirds = scored.filter("doc_id % 3 = 0").select("item_id", "doc_id")
+    size = thirds.groupBy("item_id").agg((F.count("*") + 1).alias("last"))
+    fused = analytics.fuse_ranks(first, analytics.places(thirds, first.filter("doc_id % 3 = 0"), **keys), **keys, weight=0.5, size=size)
     return fused.select("item_id", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -119,8 +114,10 @@ g AS (SELECT r.item_id, rank, coalesce(gain, 0) AS gain FROM r LEFT JOIN l USING
 i AS (SELECT item_id, sum(CASE WHEN place <= 10 THEN (pow(2, gain) - 1) / log2(place + 1) END) AS ideal, sum((gain > 0)::INT) AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY gain DESC, doc_id) AS place FROM l) GROUP BY 1)
 SELECT item_id, round(p, 4) AS precision_k, round(hits::DOUBLE / relevant, 4) AS recall, round(dcg / ideal, 4) AS ndcg_k FROM a JOIN i USING (item_id)""")
 def ndcg_at_10(t: Tables):
-    labels = relational.against_all(t.labels, t.benchmark.select("item_id")).select("item_id", "doc_id", (c("quality") + (1 - c("toxic"))).alias("gain"))
-    return analytics.ranking_metrics(_ranked(t).select("item_id", "doc_id", "rank"), labels, query="item_id", doc="doc_id")
+    keys = {"query": "item_id", "doc": "doc_id"}
+    scored = checkpoint(_bm25(t), "bm25")  # read twice
+    labels = t.labels.select("doc_id", (c("quality") + (1 - c("toxic"))).alias("gain"))
+    return analytics.ranking_metrics(analytics.top_ranks(scored, **keys, k=10).select("item_id", "doc_id", "rank"), labels, **keys, found=scored.select("item_id", "doc_id"))
 
 
 @query("""WITH f AS (SELECT event_type AS stage, user_id AS key FROM events), m AS (SELECT key, min(stage) AS stage FROM f GROUP BY 1), n AS (SELECT stage, count(*) AS new FROM m GROUP BY 1)
