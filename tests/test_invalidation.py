@@ -24,6 +24,16 @@ def test_a_changed_row_drops_exactly_what_hangs_on_it(spark):
     assert {r.profile_id for r in out.reset.collect()} == {1, 2, 3} and {r.profile_id for r in out.profiles.collect()} == {2}
 
 
+def test_vectors_meet_their_owners_in_one_join(spark):
+    """Three joins in a row held the sorted rows of all of them in one task; an owner that is named twice made its vectors two."""
+    jobs = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "id int, hash string")
+    none = spark.createDataFrame([], "id int, hash string")
+    vectors = spark.createDataFrame([("job", 1, "a"), ("job", 2, "b"), ("job", 3, None), ("job", 4, None)], "kind string, id int, source_hash string")
+    out = I.cascade(jobs, none, vectors, spark.createDataFrame([], "profile_id int, job_id int")).vectors
+    assert sorted(tuple(r)[:2] for r in out.collect()) == [("job", 1), ("job", 4)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_results_of_an_old_generation_are_not_served(spark, tmp_path):
     store, made = I.Snapshots(spark, str(tmp_path / "s")), []
 

@@ -46,9 +46,10 @@ def cascade(jobs: DataFrame, profiles: DataFrame, vectors: DataFrame, assessment
     content; an assessment goes if either side changed.  Reset are the profiles that changed and those that lost an assessment.
     """
     owners = jobs.select(F.lit("job").alias("kind"), F.col("id"), "hash").unionByName(profiles.select(F.lit("profile").alias("kind"), "id", "hash"))
-    kept = vectors.join(owners, ["kind", "id"], "left").filter(F.col("hash").isNull() | (F.col("hash") == F.col("source_hash")))
-    gone = vectors.join(owners.filter("hash is null").select("kind", "id"), ["kind", "id"], "left_semi").select("kind", "id").distinct()
-    kept = kept.select(vectors.columns).join(gone, ["kind", "id"], "left_anti").select(vectors.columns)
+    # One join, by rows that are no longer so: a vector goes if its owner is gone or now has another hash than it was made from.
+    v, o = vectors.alias("v"), owners.alias("o")
+    stale = (F.col("v.kind") == F.col("o.kind")) & (F.col("v.id") == F.col("o.id")) & ~F.coalesce(F.col("o.hash") == F.col("v.source_hash"), F.lit(False))
+    kept = v.join(o, stale, "left_anti").select(vectors.columns)
     by_job, by_profile = jobs.select(F.col("id").alias("job_id")), profiles.select(F.col("id").alias("profile_id"))
     live = assessments.join(by_job, "job_id", "left_anti").join(by_profile, "profile_id", "left_anti").select(assessments.columns)
     lost = assessments.join(by_job, "job_id", "left_semi").select("profile_id")
