@@ -88,6 +88,17 @@ def test_pages_are_not_read_in_large_batches(spark):
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
 
 
+def test_whole_text_of_a_long_page(spark):
+    """Nothing in the middle of a page, or of an embedded posting's description, is left out."""
+    words = " ".join(f"w{k}" for k in range(60_000))
+    assert len(words) > 240_000
+    script = json.dumps({"@type": "JobPosting", "title": "Dev", "url": "/j", "description": f"<p>{words}</p>"})
+    page = f'<script type="application/ld+json">{script}</script><h1>Jobs</h1><p>{words}</p><p>end</p>'
+    df = spark.createDataFrame([(1, "https://a.de/", page)], "page_id int, url string, html string")
+    assert df.select(html.html_text(F.col("html")).alias("text")).first().text == f"Jobs {words} end"
+    assert html.inspect_pages(df).first().postings[0].description == words
+
+
 def test_half_a_surrogate_in_a_page(spark):
     page = '<script type="application/ld+json">{"@type":"JobPosting","title":"Dev \\ud83d","url":"/j"}</script><p>a</p>'
     got = html.inspect_pages(spark.createDataFrame([("https://a.de/", page)], "url string, html string")).first()
