@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import geo, vectors
+from vacantia.operators import search
+from vacantia.operators.relational import newest
 from vacantia.operators.search import vector_topk
 from vacantia.operators.storage import checkpoint
 
@@ -48,44 +51,81 @@ def _fitted(sample: np.ndarray, lists: int) -> np.ndarray:
     return centres
 
 
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(unit vectors, which rows have one): sums in the order of the entries, as in ``vectors.normalize``; none for a zero or non-finite row."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        n = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+    there = (n > 0) & np.isfinite(n)
+    return x[there] / n[there, None], there
+
+
+def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Ids and unit vectors of batches (id, vector); a null entry is not finite."""
+    for b in batches:
+        if b.num_rows:
+            x, there = _units(b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1))
+            yield b.column(0).filter(pa.array(there)), x
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
 def build_index(documents: DataFrame, *, key: str = "id", vector: str = "embedding", lists: int = 64, probes: int = 16) -> VectorIndex:
     """Index every vector; null, empty, zero and non-finite ones are not found by any search.  All vectors have one length."""
-    unit = documents.select(F.col(key).cast("bigint").alias("id"), vectors.normalize(F.col(vector)).alias("vector")).filter("vector is not null and size(vector) > 0")
+    rows = documents.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vector")).filter("vector is not null and size(vector) > 0")
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, x in _indexed(batches):
+            yield pa.RecordBatch.from_arrays([ids, _lists(x)], names=["id", "vector"])
+
+    unit = rows.mapInArrow(units, "id bigint, vector array<double>")
     sample = np.array([r[0] for r in unit.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()], dtype=np.float64)
     if not len(sample):
         return VectorIndex(checkpoint(unit.select("id", F.lit(0).alias("list"), "vector"), "vectors"), np.empty((0, 0)), probes)
     centres = _fitted(sample, lists)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((x @ centres.T).argmax(axis=1).astype(np.int32)), b.column(1)], names=["id", "list", "vector"])
+        for ids, x in _indexed(batches):
+            yield pa.RecordBatch.from_arrays([ids, pa.array((x @ centres.T).argmax(axis=1).astype(np.int32)), _lists(x)], names=["id", "list", "vector"])
 
-    rows = unit.mapInArrow(deal, "id bigint, list int, vector array<double>")
+    rows = rows.mapInArrow(deal, "id bigint, list int, vector array<double>")
     return VectorIndex(checkpoint(rows.repartitionByRange("list", "id").sortWithinPartitions("list"), "vectors"), centres, probes)
 
 
 def topk(index: VectorIndex, queries: DataFrame, k: int, *, query: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query, id, distance): the k nearest of each query among the lists it looks into, by cosine distance, then id.
 
-    Queries find their lists in one pass and join them by list; a large list is read by as many tasks as it has parts.
+    Queries are broadcast in blocks (``search.MAX_QUERIES`` on average) and meet the lists they look into in products of matrices; a large list is read by as
+    many tasks as it has parts, and each hands on its own k best of a query.
     """
-    centres, probes = index.centres, index.probes
-    asked = queries.select(F.col(query).cast("bigint").alias(query), vectors.normalize(F.col(vector)).alias("q")).filter("q is not null")
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-            near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(near.tolist(), pa.list_(pa.int32())), b.column(1)], names=[query, "lists", "q"])
-
+    centres, probes, cells = index.centres, index.probes, search.CELLS
+    asked = queries.select(F.col(query).cast("bigint").alias("q"), F.col(vector).alias("v")).filter("q is not null and v is not null and size(v) > 0")
     if not len(centres):
-        return asked.select(query, F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("distance")).limit(0)
-    wanted = asked.mapInArrow(choose, f"{query} bigint, lists array<int>, q array<double>").select(query, F.explode("lists").alias("list"), "q")
-    pairs = index.rows.join(wanted, "list").select(query, "id", (1 - vectors.dot(F.col("q"), F.col("vector"))).alias("distance"))
-    best = pairs.groupBy(query, F.pmod(F.col("id"), F.lit(64)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "id"))), 1, k).alias("best"))
-    top = best.groupBy(query).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
-    return top.select(query, F.explode("best").alias("b")).select(query, "b.id", "b.distance")
+        return asked.select(F.col("q").alias(query), F.lit(0).cast("bigint").alias("id"), F.lit(0.0).alias("distance")).limit(0)
+    blocks = max(1, -(-asked.count() // search.MAX_QUERIES))
+
+    def block(number: int):
+        rows = asked.filter(F.pmod(F.xxhash64("q", "v"), F.lit(blocks)) == number).collect()
+        q, there = _units(np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), centres.shape[1]))
+        held = index.rows.sparkSession.sparkContext.broadcast((np.array([r.q for r in rows], dtype=np.int64)[there], q))
+        return lambda batches: nearest(batches, *held.value)
+
+    def nearest(batches: Iterator[pa.RecordBatch], names: np.ndarray, q: np.ndarray) -> Iterator[pa.RecordBatch]:
+        best = search.Nearest(names, q, k, cells)
+        looks = np.zeros((len(names), len(centres)), dtype=bool)
+        np.put_along_axis(looks, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, own, x = np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2).flatten()).reshape(b.num_rows, -1)
+            for n in np.unique(own):
+                best.meet(ids[own == n], x[own == n], np.flatnonzero(looks[:, n]))
+        yield from best.found([query, "id", "distance"])
+
+    rows = index.rows.filter("id is not null").select("id", "list", "vector")
+    found = reduce(DataFrame.unionByName, [rows.mapInArrow(block(n), f"{query} bigint, id bigint, distance double") for n in range(blocks)])
+    return newest(found, [query], [F.col("distance"), F.col("id")], k)
 
 
 def recall(index: VectorIndex, documents: DataFrame, queries: DataFrame, k: int, *, key: str = "id", query: str = "query_id", vector: str = "embedding") -> float:

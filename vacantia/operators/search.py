@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import dates, strings
 from vacantia.operators import dedupe, scope
-from vacantia.operators.relational import best_per_group
+from vacantia.operators.relational import best_per_group, newest
 
 
 def keyword_filter(words: str, columns: Sequence[Column]) -> Column:
@@ -52,54 +54,83 @@ def visible(eligible: Column, score: Column, minimum: int, tracked: Column, by_m
     return eligible & ((score >= minimum) | (tracked & by_model)) & (F.lit(include_unknown) | ~unknown)
 
 
+class Nearest:
+    """The k nearest rows of each query among those met, by cosine distance, then id; of unit vectors, whatever rows come together.
+
+    Products of matrices leave the rows that can be among the k best; only their distances are worked out again, as sums in the order of the entries.
+    """
+
+    def __init__(self, names: Sequence[int], queries: np.ndarray, k: int, cells: int):
+        self.names, self.queries, self.k, self.cells = np.asarray(names, dtype=np.int64), queries, k, cells
+        self.ids, self.best = np.full((len(names), k), np.iinfo(np.int64).max), np.full((len(names), k), np.nan)  # empty places sort last
+        self.held = np.zeros(len(names), dtype=np.int64)
+
+    def meet(self, ids: np.ndarray, rows: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """Rows that the queries at ``asking`` (all) look at."""
+        asking = np.arange(len(self.names)) if asking is None else asking
+        step = max(1, self.cells // max(1, len(ids)))
+        for at in range(0, len(asking) if len(ids) else 0, step):  # queries whose distances are held at once
+            self._meet(ids, rows, asking[at : at + step])
+
+    def _meet(self, ids: np.ndarray, rows: np.ndarray, who: np.ndarray) -> None:
+        q = self.queries[who]
+        near = q @ rows.T
+        most = self.best[who, -1]
+        if len(ids) >= self.k and np.isnan(most).any():  # the k best of some rows bound those of all
+            some = near[:, : max(self.k, FIRST)]
+            most = np.fmin(most, 1 - np.partition(some, some.shape[1] - self.k, axis=1)[:, -self.k])
+        a, b = np.nonzero(~(near < (1 - most - NEAR)[:, None]))  # not a number: no bound, or no distance
+        if not len(a):
+            return
+        exact, part = np.empty(len(a)), max(1, self.cells // max(1, q.shape[1]))
+        for at in range(0, len(a), part):
+            some = slice(at, at + part)
+            exact[some] = 1 - np.cumsum(q[a[some]] * rows[b[some]], axis=1)[:, -1]
+        new = np.bincount(a, minlength=len(who))
+        row = np.concatenate([np.repeat(np.arange(len(who)), self.k), a])
+        d, i = np.concatenate([self.best[who].ravel(), exact]), np.concatenate([self.ids[who].ravel(), ids[b]])
+        order = np.lexsort((i, d, row))
+        first = order[(np.cumsum(new + self.k) - new - self.k)[:, None] + np.arange(self.k)]
+        self.ids[who], self.best[who] = i[first], d[first]
+        self.held[who] = np.minimum(self.k, self.held[who] + new)
+
+    def found(self, names: Sequence[str]) -> Iterator[pa.RecordBatch]:
+        """(query, id, distance) in batches of a thousand queries."""
+        for at in range(0, len(self.names), 1_000):
+            some = slice(at, at + 1_000)
+            there = np.arange(self.k) < self.held[some, None]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.names[some], self.held[some])), pa.array(self.ids[some][there]), pa.array(self.best[some][there])], names=list(names))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
 def vector_topk(items: DataFrame, queries: DataFrame, *, item: str, query: str, vector: str, k: int) -> DataFrame:
     """(query, item, distance, rank): the k nearest items of each query by cosine distance, then id.
 
     Exact: every item meets every query. Queries are taken in blocks of MAX_QUERIES at most on average (by a hash of the row), each read
     once a partition; each partition hands on only its own k best of a query, so the shuffle holds partitions * k rows a query.
     """
-    import numpy as np
-    import pyarrow as pa
-
     asked = queries.select(F.col(query).alias("q"), F.col(vector).alias("v"))
-    blocks = max(1, -(-asked.count() // MAX_QUERIES))
+    blocks, cells = max(1, -(-asked.count() // MAX_QUERIES)), CELLS
 
     def block(number: int):
         rows = asked.filter(F.pmod(F.xxhash64("q", "v"), F.lit(blocks)) == number).collect()
         names = [r.q for r in rows]
-        q = np.array([r.v for r in rows], dtype=np.float64) if rows else np.zeros((0, 1))
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        q = _unit(np.array([r.v for r in rows], dtype=np.float64)) if rows else np.zeros((0, 1))
         held = items.sparkSession.sparkContext.broadcast((names, q))
         return lambda batches: nearest(batches, *held.value)
 
     def nearest(batches, names, q):
-        ids, best = np.empty((len(names), 0), dtype=np.int64), np.empty((len(names), 0))
+        best = Nearest(names, q, k, cells)
         for batch in batches:
-            own = np.asarray(batch.column(0))
-            flat = batch.column(1)
-            if not len(own) or not len(names):
-                continue
-            x = np.asarray(flat.flatten()).reshape(len(own), -1).astype(np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = (x / np.maximum(n, 1e-300)).T
-            width = min(k, ids.shape[1] + len(own))
-            new_ids, new_best = np.empty((len(names), width), dtype=np.int64), np.empty((len(names), width))
-            step = max(1, CELLS // (ids.shape[1] + len(own)))
-            for at in range(0, len(names), step):  # queries whose distances are held at once
-                some = slice(at, at + step)
-                d = np.concatenate([best[some], 1 - q[some] @ x], axis=1)
-                i = np.concatenate([ids[some], np.broadcast_to(own, (len(d), len(own)))], axis=1)
-                order = np.lexsort((i, d), axis=1)[:, :k]
-                new_ids[some], new_best[some] = np.take_along_axis(i, order, 1), np.take_along_axis(d, order, 1)
-            ids, best = new_ids, new_best
-        width = ids.shape[1]
-        for at in range(0, len(names) if width else 0, 1_000):
-            some = slice(at, at + 1_000)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.asarray(names[some], dtype=np.int64), width)), pa.array(ids[some].ravel()), pa.array(best[some].ravel())], names=["q", "item", "distance"])
-
-    from vacantia.operators.relational import newest
+            if len(batch) and len(names):
+                best.meet(np.asarray(batch.column(0)), _unit(np.asarray(batch.column(1).flatten()).reshape(len(batch), -1).astype(np.float64)))
+        yield from best.found(["q", "item", "distance"])
 
-    rows = items.filter(F.col(vector).isNotNull()).select(F.col(item).cast("bigint"), F.col(vector))
+    rows = items.filter(F.col(vector).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(vector).alias("v"))
+    rows = rows.repartition(4 * items.sparkSession.sparkContext.defaultParallelism, "item")  # vectors are short: a table of many lies in few file splits
     found = reduce(DataFrame.unionByName, [rows.mapInArrow(block(k), "q bigint, item bigint, distance double") for k in range(blocks)])
     top = newest(found, ["q"], [F.col("distance"), F.col("item")], k)
     from pyspark.sql import Window
@@ -112,6 +143,8 @@ def vector_topk(items: DataFrame, queries: DataFrame, *, item: str, query: str,
 MAX_QUERIES = 10_000
 #: Distances that a task holds at once, some 40 bytes each with their ids and order.
 CELLS = 1_000_000
+#: Rows that bound the first k best of a query; similarities so near the bound are worked out again in order.
+FIRST, NEAR = 1_000, 1e-9
 
 
 def snapshot_key(generation: Column, **criteria: Column) -> Column:
