@@ -106,3 +106,12 @@ def test_odd_vectors_are_neither_indexed_nor_asked(spark):
     assert sorted((r.id, r.vector) for r in index.rows.collect()) == [(0, [3.0 / 5.0, 4.0 / 5.0]), (1, [1.0, 0.0])]
     found = S.topk(index, docs.withColumnRenamed("id", "query_id"), 5).collect()
     assert sorted((r.query_id, r.id) for r in found) == [(0, 0), (0, 1), (1, 0), (1, 1)]
+
+
+def test_few_of_many_copies():
+    """Of equal rows those with the smallest ids are compared; rows that differ in any entry all are."""
+    rows = np.ones((500, 3))
+    rows[100, 2] = 1 + 1e-15
+    ids = np.arange(500)[::-1].copy()
+    kept, some = S.search._few(ids, rows, 4)
+    assert sorted(kept) == [0, 1, 2, 3, 399] and (some[kept == 399] == rows[100]).all()

@@ -68,8 +68,11 @@ class Nearest:
     def meet(self, ids: np.ndarray, rows: np.ndarray, asking: np.ndarray | None = None) -> None:
         """Rows that the queries at ``asking`` (all) look at."""
         asking = np.arange(len(self.names)) if asking is None else asking
-        step = max(1, self.cells // max(1, len(ids)))
-        for at in range(0, len(asking) if len(ids) else 0, step):  # queries whose distances are held at once
+        if not len(ids) or not len(asking):
+            return
+        ids, rows = _few(ids, rows, self.k)
+        step = max(1, self.cells // len(ids))
+        for at in range(0, len(asking), step):  # queries whose distances are held at once
             self._meet(ids, rows, asking[at : at + step])
 
     def _meet(self, ids: np.ndarray, rows: np.ndarray, who: np.ndarray) -> None:
@@ -102,6 +105,16 @@ class Nearest:
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.names[some], self.held[some])), pa.array(self.ids[some][there]), pa.array(self.best[some][there])], names=list(names))
 
 
+def _few(ids: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of equal rows the k with the smallest ids: no others can be among the k nearest."""
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel()
+    code = np.unique(whole, return_inverse=True)[1]
+    order = np.lexsort((ids, code))
+    first = np.searchsorted(code[order], code[order])
+    kept = np.sort(order[np.arange(len(order)) - first < k])
+    return ids[kept], rows[kept]
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
